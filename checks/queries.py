@@ -1,0 +1,611 @@
+"""Registered queries with their SQL twins.
+
+``@query(name, sql)`` registers a function of (spark, sf_dir); columns carry the same names
+on both sides. Nested results are flattened to text so that values compare exactly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks import corpus, model
+from checks import oracle as O
+from checks.oracle import dbl, fx, q, rx, strip, words
+from peerlight.functions import patterns as P
+from peerlight.functions import text as T
+from peerlight.functions.numbers import recommendation
+from peerlight.operators import authors as AU
+from peerlight.operators import citations as C
+from peerlight.operators import claims as CL
+from peerlight.operators import compliance as CO
+from peerlight.operators import contracts, drafts, fairness, inference, parsing, quality, references
+from peerlight.operators import depth as DE
+from peerlight.operators import entailment as EN
+from peerlight.operators import rubric as RU
+from peerlight.operators import rubric_requests as RR
+from peerlight.operators import scoring, verification, whatif
+from peerlight.plans import review as R
+from peerlight.sources import auditlog, costs, papers as sources, responses
+from peerlight.sources.configs import times_configs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = O.query(sql)
+        return fn
+
+    return add
+
+
+def _papers(spark, sf_dir):
+    return corpus.papers(spark, sf_dir)
+
+
+def _parsed(spark, sf_dir):
+    return parsing.parse_papers(corpus.papers(spark, sf_dir))
+
+
+def _joined(c, sep=" ## "):
+    return F.coalesce(F.array_join(c, sep), F.lit(""))
+
+
+def _refs(spark, sf_dir):
+    return references.refs(_parsed(spark, sf_dir))
+
+
+def _docs(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents")
+
+
+# --- sources ------------------------------------------------------------------
+
+
+@query(
+    "s2_content_ids",
+    "SELECT doc_id, 'md:' || substr(sha256(text), 1, 16) AS paper_id FROM documents",
+)
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.content_id(F.col("text")).alias("paper_id"))
+
+
+PAGES = (
+    "SELECT concat('c', CAST(conv_id AS STRING)) AS paper_id, CAST(turn AS INT) AS page_no, "
+    "CASE WHEN turn % 3 = 0 THEN '1. Introduction' || chr(10) || '  ' || text "
+    "WHEN turn % 3 = 1 THEN text || chr(10) || chr(10) || chr(10) || ' II. RELATED WORK ' || chr(10) || 'more' "
+    "ELSE text || chr(10) || 'References' END AS text FROM conversations"
+)
+
+
+def _pages(spark, sf_dir):
+    corpus.table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    return spark.sql(PAGES)
+
+
+_HEAD = (
+    "(regexp_matches(ln, '^([IVX]{1,4})\\.\\s+([A-Z][A-Z\\s\\-&/]{2,60})$') "
+    "OR regexp_matches(ln, '^(\\d+(?:\\.\\d+)*\\.?)\\s+([A-Z][A-Za-z0-9\\s\\-:,''&/()]{2,80})$') "
+    "OR regexp_matches(ln, '(?i)^(Abstract|Introduction|Related\\s+Work|Background|Method(?:ology|s)?|Approach|Experiments?|Results?|Discussion|Conclusions?|References|Bibliography|Acknowledgm?ents?|Appendix|Limitations?|Broader\\s+Impact|Societal\\s+Impact|Ethics)$'))"
+)
+_LINES = (
+    f"SELECT paper_id, page_no, unnest(range(0, len(ls))) AS line_no, {strip('unnest(ls)')} AS ln "
+    f"FROM (SELECT paper_id, page_no, string_split(text, chr(10)) AS ls FROM ({PAGES}))"
+)
+
+
+@query(
+    "s3_pages_to_markdown",
+    f"""SELECT paper_id, {strip("regexp_replace(string_agg(m, chr(10) || chr(10) ORDER BY page_no), '\\n{3,}', chr(10) || chr(10), 'g')")} || chr(10) AS md
+    FROM (SELECT paper_id, page_no, string_agg(CASE WHEN {_HEAD} THEN chr(10) || '## ' || ln || chr(10) ELSE ln END, chr(10) ORDER BY line_no) AS m
+      FROM ({_LINES}) GROUP BY 1, 2) GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    return sources.pages_to_markdown(_pages(spark, sf_dir))
+
+
+@query(
+    "s4_first_pages",
+    f"SELECT paper_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS md FROM ({PAGES}) WHERE page_no < 3 GROUP BY 1",
+)
+def _(spark, sf_dir):
+    return sources.first_pages(_pages(spark, sf_dir), 3)
+
+
+@query(
+    "r10_promoted_headers",
+    f"SELECT paper_id, page_no, line_no, '## ' || ln AS header FROM ({_LINES}) WHERE {_HEAD}",
+)
+def _(spark, sf_dir):
+    return sources.promote_headers(_pages(spark, sf_dir))
+
+
+@query(
+    "r11_clean_word_markdown",
+    "SELECT doc_id, replace(text, chr(10), chr(10) || '## ') || ' see (a-b)' AS cleaned FROM documents",
+)
+def _(spark, sf_dir):
+    # Anchors before headers and escaped punctuation, as word-processor conversion leaves them.
+    raw = F.concat(
+        F.replace("text", F.lit("\n"), F.lit('\n  <a id="x1"></a>## ')), F.lit(" see \\(a\\-b)")
+    )
+    return _docs(spark, sf_dir).select("doc_id", sources.clean_word_markdown(raw).alias("cleaned"))
+
+
+_STATUS = "CASE d % 6 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 429 ELSE 200 END"
+RESPONSES = (
+    "SELECT CASE d % 3 WHEN 0 THEN 'crossref' WHEN 1 THEN 'semantic_scholar' ELSE 'openalex' END AS source, "
+    "'doi' AS key_kind, concat('10.5555/work.', CAST(d AS STRING)) AS key, "
+    f"concat('https://api.test/', CAST(d AS STRING)) AS url, CAST({_STATUS} AS INT) AS status, "
+    "CASE WHEN d % 6 = 3 THEN '  ' WHEN d % 6 = 4 THEN concat('{bad json ', CAST(d AS STRING)) "
+    "ELSE concat('{\"id\": ', CAST(d AS STRING), '}') END AS body FROM (SELECT doc_id AS d FROM documents) x"
+)
+
+
+@query(
+    "s15_classify_responses",
+    f"""SELECT source, key, status, sha256(url) AS url_hash, CASE WHEN status = 404 THEN 'miss' WHEN status >= 400 THEN 'error'
+      WHEN trim(body) = '' THEN 'miss' WHEN contains(body, 'bad') THEN 'error' ELSE 'hit' END AS outcome FROM ({RESPONSES})""",
+)
+def _(spark, sf_dir):
+    corpus.register(spark, sf_dir)
+    return responses.classify_responses(spark.sql(RESPONSES)).select(
+        "source", "key", "status", "url_hash", "outcome"
+    )
+
+
+@query(
+    "j4_failed_lookups",
+    f"""SELECT DISTINCT source, key_kind, key FROM ({RESPONSES})
+    WHERE status <> 404 AND (status >= 400 OR (trim(body) <> '' AND contains(body, 'bad')))""",
+)
+def _(spark, sf_dir):
+    corpus.register(spark, sf_dir)
+    return responses.failed_lookups(spark.sql(RESPONSES))
+
+
+def _bodies(spark, sf_dir, body):
+    """One API body per document, as (catalog_id, body)."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("d"), "text", "source")
+    return d.select(F.concat(F.lit("w-"), F.col("d").cast("string")).alias("catalog_id"), F.to_json(body).alias("body"))
+
+
+def _flat_catalog(df):
+    return df.select("source", "catalog_id", "title", _joined("authors").alias("authors"), "year", "venue", "doi")
+
+
+_D = "(SELECT doc_id AS d, text, source AS src FROM documents)"
+
+
+@query(
+    "s16a_normalize_crossref",
+    f"""SELECT 'crossref' AS source, 'w-' || d AS catalog_id, CASE WHEN d % 5 <> 0 THEN text END AS title,
+      CASE WHEN d % 2 = 0 THEN 'Ann Miller' || ' ## ' || src ELSE 'Okafor' || ' ## ' || src END AS authors,
+      CASE WHEN d % 4 <> 0 THEN CAST(1990 + d % 30 AS INT) END AS year, CASE WHEN d % 3 <> 0 THEN 'J ' || src END AS venue,
+      '10.1/' || d AS doi FROM {_D}""",
+)
+def _(spark, sf_dir):
+    c = F.col
+    person = lambda g, f: F.struct(g.alias("given"), f.alias("family"))
+    body = F.struct(
+        F.struct(
+            F.concat(F.lit("10.1/"), c("d").cast("string")).alias("DOI"),
+            F.when(c("d") % 5 != 0, F.array("text")).otherwise(F.array().cast("array<string>")).alias("title"),
+            F.array(
+                person(F.when(c("d") % 2 == 0, F.lit("Ann")), F.when(c("d") % 2 == 0, F.lit("Miller")).otherwise(F.lit("Okafor"))),
+                person(F.lit(None).cast("string"), c("source")),
+                person(F.lit(None).cast("string"), F.lit(None).cast("string")),
+            ).alias("author"),
+            F.struct(
+                F.when(c("d") % 4 != 0, F.array(F.array((1990 + c("d") % 30).cast("int"), F.lit(3)))).alias("date-parts")
+            ).alias("issued"),
+            F.when(c("d") % 3 != 0, F.array(F.concat(F.lit("J "), c("source")))).alias("container-title"),
+        ).alias("message")
+    )
+    return _flat_catalog(responses.normalize_crossref(_bodies(spark, sf_dir, body)))
+
+
+@query(
+    "s16b_normalize_s2",
+    f"""SELECT 'semantic_scholar' AS source, 'w-' || d AS catalog_id, text AS title, 'Ann Miller ## ' || src AS authors,
+      CASE WHEN d % 4 <> 0 THEN CAST(1990 + d % 30 AS INT) END AS year, CASE WHEN d % 3 <> 0 THEN 'J ' || src END AS venue,
+      CASE WHEN d % 2 = 0 THEN '10.1/' || d END AS doi FROM {_D}""",
+)
+def _(spark, sf_dir):
+    c = F.col
+    body = F.struct(
+        c("text").alias("title"),
+        F.array(F.struct(F.lit("Ann Miller").alias("name")), F.struct(F.lit("").alias("name")), F.struct(c("source").alias("name"))).alias("authors"),
+        F.when(c("d") % 4 != 0, (1990 + c("d") % 30).cast("int")).alias("year"),
+        F.when(c("d") % 3 != 0, F.concat(F.lit("J "), c("source"))).otherwise(F.lit("")).alias("venue"),
+        F.struct(F.when(c("d") % 2 == 0, F.concat(F.lit("10.1/"), c("d").cast("string"))).alias("DOI")).alias("externalIds"),
+    )
+    return _flat_catalog(responses.normalize_s2(_bodies(spark, sf_dir, body)))
+
+
+@query(
+    "s16c_normalize_openalex",
+    f"""SELECT 'openalex' AS source, 'w-' || d AS catalog_id, CASE WHEN d % 2 = 0 THEN text ELSE 'Shown ' || d END AS title,
+      'Ann Miller ## ' || src AS authors, CAST(1990 + d % 30 AS INT) AS year,
+      CASE WHEN d % 3 = 0 THEN 'Host ' || src WHEN d % 3 = 1 THEN 'Place ' || src END AS venue, '10.1/' || d AS doi FROM {_D}""",
+)
+def _(spark, sf_dir):
+    c = F.col
+    named = lambda n: F.struct(F.struct(n.alias("display_name")).alias("author"))
+    body = F.struct(
+        F.when(c("d") % 2 == 0, c("text")).alias("title"),
+        F.concat(F.lit("Shown "), c("d").cast("string")).alias("display_name"),
+        F.array(named(F.lit("Ann Miller")), named(F.lit(None).cast("string")), named(c("source"))).alias("authorships"),
+        (1990 + c("d") % 30).cast("int").alias("publication_year"),
+        F.when(c("d") % 3 == 0, F.struct(F.concat(F.lit("Host "), c("source")).alias("display_name"))).alias("host_venue"),
+        F.struct(
+            F.when(c("d") % 3 == 1, F.struct(F.concat(F.lit("Place "), c("source")).alias("display_name"))).alias("source")
+        ).alias("primary_location"),
+        F.concat(F.when(c("d") % 2 == 0, F.lit("https://doi.org/")).otherwise(F.lit("")), F.lit("10.1/"), c("d").cast("string")).alias("doi"),
+    )
+    return _flat_catalog(responses.normalize_openalex(_bodies(spark, sf_dir, body)))
+
+
+PEOPLE = "(SELECT s_suppkey AS k, 'Ann Lee ' || chr(CAST(97 + s_suppkey % 26 AS INT)) || 'son' AS name FROM supplier)"
+
+
+@query(
+    "s18_author_candidates",
+    f"""SELECT name AS queried_name, h AS hit_rank,
+      CASE WHEN k % 3 <> 0 THEN '0000-0002-1825-009' || CASE WHEN k % 2 = 0 THEN 'X' ELSE '7' END END AS orcid_id,
+      CASE WHEN h = 0 THEN 'Ann Lee' WHEN h = 1 THEN name ELSE 'Credit ' || k END AS candidate,
+      CASE WHEN k % 4 = 0 THEN 'MIT' WHEN k % 4 = 1 THEN 'ETH' END AS institution
+    FROM {PEOPLE}, (SELECT unnest([0, 1, 2]) AS h)""",
+)
+def _(spark, sf_dir):
+    return responses.normalize_orcid(_orcid_bodies(spark, sf_dir)).drop("k")
+
+
+def _orcid_bodies(spark, sf_dir):
+    """A search result of three hits per supplier name."""
+    c = F.col
+    corpus.table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    people = spark.sql(f"SELECT k, name FROM {PEOPLE}")
+    orcid = F.when(
+        c("k") % 3 != 0,
+        F.concat(F.lit("0000-0002-1825-009"), F.when(c("k") % 2 == 0, F.lit("X")).otherwise(F.lit("7"))),
+    ).otherwise(F.lit("bad-id"))
+    place = (
+        F.when(c("k") % 4 == 0, F.lit('["MIT", "other"]'))
+        .when(c("k") % 4 == 1, F.lit('[{"value": "ETH"}]'))
+        .otherwise(F.lit("[]"))
+    )
+
+    def hit(given, family, credit):
+        return F.concat(
+            F.lit('{"orcid-id": "'), orcid, F.lit('", "given-names": "'), given, F.lit('", "family-names": "'), family,
+            F.lit('", "credit-name": "'), credit, F.lit('", "institution-name": '), place, F.lit("}"),
+        )
+
+    hits = [
+        hit(F.lit("Ann"), F.lit("Lee"), F.lit("ignored")),
+        hit(F.lit(""), c("name"), F.lit("")),
+        hit(F.lit(""), F.lit(""), F.concat(F.lit("Credit "), c("k").cast("string"))),
+    ]
+    return people.select(
+        c("name").alias("queried_name"),
+        F.concat(F.lit('{"expanded-result": ['), F.concat_ws(",", *hits), F.lit("]}")).alias("body"),
+    )
+
+
+# --- parsing -----------------------------------------------------------------
+
+
+@query("r1_header_blocks", "SELECT paper_id, pos, level, title, body FROM blocks")
+def _(spark, sf_dir):
+    return parsing.header_blocks(_papers(spark, sf_dir))
+
+
+@query("r2_paper_titles", "SELECT paper_id, title FROM titles")
+def _(spark, sf_dir):
+    return parsing.paper_titles(_papers(spark, sf_dir))
+
+
+@query("r3_sections", "SELECT paper_id, section_id, title, text, ord FROM secs")
+def _(spark, sf_dir):
+    return parsing.sections(_parsed(spark, sf_dir))
+
+
+@query(
+    "r4_normalized_titles",
+    f"SELECT paper_id, pos, {strip(f'regexp_replace(title, {q(O.NUM)}, chr(32))')} AS clean FROM blocks",
+)
+def _(spark, sf_dir):
+    return parsing.header_blocks(_papers(spark, sf_dir)).select(
+        "paper_id", "pos", T.normalize_title(F.col("title")).alias("clean")
+    )
+
+
+@query(
+    "r5_slugs",
+    """SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64) AS slug,
+      coalesce(nullif(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), ''), 'untitled') AS report_slug FROM documents""",
+)
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        "doc_id", T.slug(F.col("text")).alias("slug"), T.report_slug(F.col("text")).alias("report_slug")
+    )
+
+
+@query(
+    "r6_rejected_papers",
+    f"""SELECT 'doc-' || doc_id AS paper_id, 'empty markdown' AS reason FROM documents
+    WHERE {strip("regexp_replace(text, '[^ \\n]{4,}', '', 'g')")} = ''""",
+)
+def _(spark, sf_dir):
+    # Dropping every longer word leaves some documents blank.
+    md = F.regexp_replace("text", r"[^ \n]{4,}", "")
+    p = _docs(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("paper_id"), md.alias("md"))
+    return parsing.rejected_papers(p).select("paper_id", "reason")
+
+
+@query(
+    "r7_figures",
+    f"""SELECT paper_id, 'fig-' || i AS figure_id, nullif({strip('c')}, '') AS caption FROM (
+      SELECT paper_id, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM (
+        SELECT paper_id, regexp_extract_all(md, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 1) AS cs FROM papers))""",
+)
+def _(spark, sf_dir):
+    return parsing.figures(_papers(spark, sf_dir))
+
+
+_ROW = "regexp_matches(ln, '^\\s*\\|.+\\|\\s*$')"
+_RULE = "regexp_matches(ln, '^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)+\\|?\\s*$')"
+
+
+@query(
+    "r8_pipe_tables",
+    f"""SELECT paper_id, 'table-' || row_number() OVER (PARTITION BY paper_id ORDER BY n) AS table_id,
+      CASE WHEN regexp_matches(above, '(?i)^\\s*\\*?\\*?Table\\s+\\d+[:.]') THEN trim(trim(above), '*') END AS caption
+    FROM (
+      SELECT *, last_value(CASE WHEN trim(ln) <> '' THEN ln END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+        lead(is_rule) OVER (PARTITION BY paper_id ORDER BY n) AS next_rule, lag(is_row) OVER (PARTITION BY paper_id ORDER BY n) AS prev_row
+      FROM (SELECT paper_id, n, ln, {_ROW} AS is_row, {_RULE} AS is_rule
+        FROM (SELECT paper_id, unnest(ls) AS ln, unnest(range(0, len(ls))) AS n FROM (SELECT paper_id, string_split(md, chr(10)) AS ls FROM papers)))
+    ) WHERE is_row AND next_rule""",
+)
+def _(spark, sf_dir):
+    return parsing.pipe_tables(_papers(spark, sf_dir))
+
+
+@query("r9_abstracts", "SELECT paper_id, abstract FROM abst")
+def _(spark, sf_dir):
+    return parsing.abstracts(_parsed(spark, sf_dir))
+
+
+@query("r12_reference_entries", "SELECT paper_id, ref_pos, entry FROM entries")
+def _(spark, sf_dir):
+    return references.reference_entries(_parsed(spark, sf_dir))
+
+
+@query("r13_references", "SELECT paper_id, ref_id, ref_pos, raw FROM refraw")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select("paper_id", "ref_id", "ref_pos", "raw")
+
+
+@query("r14_dois", "SELECT paper_id, ref_id, doi FROM refs")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select("paper_id", "ref_id", "doi")
+
+
+@query("r15_arxiv_ids", "SELECT paper_id, ref_id, arxiv_id FROM refs")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select("paper_id", "ref_id", "arxiv_id")
+
+
+@query("r16_years", "SELECT paper_id, ref_id, year FROM refs")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select("paper_id", "ref_id", "year")
+
+
+@query("r17_reference_titles", "SELECT paper_id, ref_id, title FROM refs")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select("paper_id", "ref_id", "title")
+
+
+@query("r18_reference_authors", "SELECT paper_id, ref_id, array_to_string(authors, ' ## ') AS authors FROM refs")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select("paper_id", "ref_id", _joined("authors").alias("authors"))
+
+
+@query("r26_detect_venue", f"""
+SELECT paper_id, CASE WHEN roman >= 3 THEN 'ieee' WHEN ax THEN 'arxiv' WHEN imp THEN 'neurips' WHEN w < 3000 THEN 'ieee' WHEN w > 15000 THEN 'arxiv' ELSE 'neurips' END AS recommended,
+  CASE WHEN roman >= 3 THEN least({dbl(0.95)}, {dbl(0.5)} + {dbl(0.05)} * roman) WHEN ax THEN {dbl(0.85)} WHEN imp THEN {dbl(0.75)} WHEN w < 3000 OR w > 15000 THEN {dbl(0.55)} ELSE {dbl(0.5)} END AS confidence,
+  CASE WHEN roman >= 3 THEN roman || ' Roman-numeral section headers detected (I., II., III., …).' WHEN ax THEN 'arXiv ID detected in paper body.'
+    WHEN imp THEN 'Broader-impact / checklist language detected (NeurIPS convention).' WHEN w < 3000 THEN 'Short paper (' || w || ' words) — matches IEEE conference format.'
+    WHEN w > 15000 THEN 'Long paper (' || w || ' words) — matches arXiv preprint norms.' ELSE 'No strong signal; defaulting to NeurIPS (generic ML venue).' END AS rationale
+FROM (SELECT paper_id, len(regexp_extract_all(md, '(?m)^\\s*[IVX]+\\.\\s+[A-Z][A-Z \\-]{{2,}}\\s*$')) AS roman, regexp_matches(md, {O.re2(P.ARXIV_MENTION)}) AS ax,
+  regexp_matches(md, {O.re2(P.IMPACT_LANGUAGE)}) AS imp, {words('md')} AS w FROM (SELECT paper_id, replace(md, '## I', 'I') AS md FROM papers))
+""")
+def _(spark, sf_dir):
+    # Roman headers without the markdown marks, as extracted pages have them.
+    p = _papers(spark, sf_dir).withColumn("md", F.replace("md", F.lit("## I"), F.lit("I")))
+    return CO.detect_venue(p)
+
+
+@query("r29_word_counts", f"SELECT doc_id, {words('text')} AS word_count FROM documents")
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("word_count"))
+
+
+@query("r29_paper_word_counts", "SELECT paper_id, word_count FROM facts")
+def _(spark, sf_dir):
+    return parsing.word_counts(_parsed(spark, sf_dir))
+
+
+@query(
+    "r30_anonymized",
+    "SELECT paper_id, (author IS NULL OR contains(lower(author), 'anon')) AS anonymized FROM meta",
+)
+def _(spark, sf_dir):
+    return corpus.metadata(spark, sf_dir).select(
+        "paper_id", CO.looks_anonymized(F.col("authors")).alias("anonymized")
+    )
+
+
+@query(
+    "r31_section_categories",
+    "SELECT paper_id, ord, title, is_intro, is_method, is_results, is_conclusion, is_limited AS is_limitations FROM cats",
+)
+def _(spark, sf_dir):
+    return DE.section_categories(parsing.sections(_parsed(spark, sf_dir)))
+
+
+@query(
+    "r32_depth",
+    "SELECT paper_id, methodology, limitations, reproducibility, logical_soundness, why_methodology, why_limitations, why_reproducibility, why_logical FROM dep",
+)
+def _(spark, sf_dir):
+    why = lambda k: F.try_element_at("rationales", F.lit(k))
+    return DE.depth(_parsed(spark, sf_dir)).select(
+        "paper_id", "methodology", "limitations", "reproducibility", "logical_soundness",
+        why("methodology").alias("why_methodology"), why("limitations").alias("why_limitations"),
+        why("reproducibility").alias("why_reproducibility"), why("logical_soundness").alias("why_logical"),
+    )
+
+
+# --- compliance ---------------------------------------------------------------
+
+
+def _parsed_meta(spark, sf_dir):
+    return R.with_metadata(_parsed(spark, sf_dir), corpus.metadata(spark, sf_dir))
+
+
+@query(
+    "r27_compliance_checks",
+    "SELECT paper_id, config_id, check_seq, block, name, passed, detail, issue, critical FROM checks",
+)
+def _(spark, sf_dir):
+    return CO.compliance_checks(_parsed_meta(spark, sf_dir)).drop("config_ord")
+
+
+@query("a3_compliance", "SELECT paper_id, config_id, triage, n_passed, n_checks, issues FROM comp")
+def _(spark, sf_dir):
+    return CO.compliance(_parsed_meta(spark, sf_dir)).select(
+        "paper_id", "config_id", "triage", "n_passed", "n_checks", _joined("issues").alias("issues")
+    )
+
+
+@query("a3_compliance_from_checks", "SELECT paper_id, config_id, triage, n_passed, n_checks, issues FROM comp")
+def _(spark, sf_dir):
+    return CO.roll_up_checks(CO.compliance_checks(_parsed_meta(spark, sf_dir))).select(
+        "paper_id", "config_id", "triage", "n_passed", "n_checks", _joined("issues").alias("issues")
+    )
+
+
+@query("r28_live_papers", "SELECT DISTINCT paper_id FROM comp WHERE triage <> 'FAIL'")
+def _(spark, sf_dir):
+    return CO.live_papers(_parsed(spark, sf_dir)).select("paper_id")
+
+
+# --- rubric, composite -----------------------------------------------------------
+
+
+def _signals(spark, sf_dir):
+    rows = R.with_ledger(R.triaged(_parsed_meta(spark, sf_dir)), None)
+    return rows.select(
+        "paper_id", "config_id", "word_count", "total_claims", "verified_count", "hallucination_count",
+        "methodology", "limitations", "reproducibility", "logical_soundness",
+    )
+
+
+@query("r33a_heuristic_dims", "SELECT paper_id, config_id, dim_pos, name, score, max_score, weight, rationale FROM dims")
+def _(spark, sf_dir):
+    return RU.rubric_dims(RU.rubric(_signals(spark, sf_dir)))
+
+
+@query("a7_rubric_totals", "SELECT paper_id, config_id, raw_total, bias_adjusted_total, note FROM rub")
+def _(spark, sf_dir):
+    return RU.rubric(_signals(spark, sf_dir)).select(
+        "paper_id", "config_id", "raw_total", "bias_adjusted_total", _joined("adjustment_notes").alias("note")
+    )
+
+
+_LONG = (
+    "SELECT 'doc-' || doc_id AS paper_id, CASE doc_id % 3 WHEN 0 THEN 'neurips' WHEN 1 THEN 'ieee' ELSE 'arxiv' END AS config_id, "
+    f"{words('text')} * 9 AS wc, doc_id % 100 / {dbl(100)} AS raw FROM documents"
+)
+
+
+@query("r33b_bias_adjust", f"""
+SELECT paper_id, config_id, CASE WHEN wc > ps THEN greatest({dbl(0)}, raw - pen) ELSE raw END AS adjusted,
+  CASE WHEN wc > ps THEN 'Length bias: word_count=' || wc || ', penalty=' || {fx('pen', 3)} || ' (x of ' || {fx('mp', 2)} || ')' ELSE '' END AS note
+FROM (SELECT *, least({dbl(1)}, {dbl('wc - ps')} / (pf - ps)) * mp AS pen FROM (SELECT *,
+  CASE config_id WHEN 'neurips' THEN 10000 WHEN 'ieee' THEN 7000 ELSE 15000 END AS ps,
+  CASE config_id WHEN 'neurips' THEN 20000 WHEN 'ieee' THEN 12000 ELSE 30000 END AS pf,
+  CASE config_id WHEN 'neurips' THEN {dbl(0.3)} ELSE {dbl(0.2)} END AS mp FROM ({_LONG})))
+""")
+def _(spark, sf_dir):
+    c = F.col
+    base = _docs(spark, sf_dir).select(
+        F.concat(F.lit("doc-"), c("doc_id").cast("string")).alias("paper_id"),
+        (T.word_count(c("text")) * 9).alias("word_count"),
+        ((c("doc_id") % 100) / F.lit(100.0)).alias("raw"),
+        F.when(c("doc_id") % 3 == 0, F.lit("neurips")).when(c("doc_id") % 3 == 1, F.lit("ieee")).otherwise(F.lit("arxiv")).alias("mine"),
+    )
+    return RU.bias_adjust(times_configs(base).filter("mine = config_id")).select(
+        "paper_id", "config_id", "adjusted", _joined("adjustment_notes").alias("note")
+    )
+
+
+def _heuristic(spark, sf_dir, meta=True):
+    parsed = _parsed_meta(spark, sf_dir) if meta else _parsed(spark, sf_dir)
+    return R.heuristic_review(parsed, options=R.Options(created_at="2024-01-01 00:00:00"))
+
+
+def _sub(evaluations):
+    return scoring.subscores(evaluations)
+
+
+@query("a4_subscores", "SELECT paper_id, config_id, compliance, verification, depth, rubric FROM sub")
+def _(spark, sf_dir):
+    return _sub(_heuristic(spark, sf_dir))
+
+
+@query("a8_composites", "SELECT paper_id, config_id, composite, recommendation FROM compo")
+def _(spark, sf_dir):
+    return scoring.composite(_sub(_heuristic(spark, sf_dir))).select(
+        "paper_id", "config_id", "composite", "recommendation"
+    )
+
+
+_TOT = " + ".join(f"(CASE WHEN {k} IS NULL THEN {dbl(0)} ELSE {O.W[k]} END)" for k in P.SCORING_KEYS)
+_STAGES = " UNION ALL ".join(
+    f"SELECT paper_id, config_id, {i} AS stage_pos, '{k}' AS name, {rx(k)} AS value, {O.W[k]} AS weight, "
+    f"{rx(f'coalesce({k} * ({O.W[k]} / ({_TOT})), {dbl(0)})')} AS contribution FROM sub"
+    for i, k in enumerate(P.SCORING_KEYS)
+)
+
+
+@query("a9_stage_breakdown", f"SELECT * FROM ({_STAGES})")
+def _(spark, sf_dir):
+    return scoring.subscores_long(scoring.composite(_sub(_heuristic(spark, sf_dir))))
+
+
+@query(
+    "v1_banners",
+    "SELECT paper_id, config_id, CASE WHEN triage <> 'PASS' THEN '⚠️  Compliance ' || triage || ': ' || banner_issues || '. The composite score below does not force a recommendation — review these issues manually before accepting or rejecting.' END AS banner FROM comp",
+)
+def _(spark, sf_dir):
+    return _heuristic(spark, sf_dir).select("paper_id", "config_id", "banner")
+
+
+@query("w7_triage_queue", """
+SELECT config_id, rank() OVER (PARTITION BY config_id ORDER BY CASE WHEN triage = 'FAIL' THEN 0 ELSE 1 END, composite DESC) AS queue_rank,
+  paper_id, triage, composite, recommendation FROM compo JOIN comp USING (paper_id, config_id)
+""")
+def _(spark, sf_dir):
+    return scoring.triage_queue(_heuristic(spark, sf_dir))
+
+

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
+from peerlight.functions.rows import each
 from peerlight.operators.inference import request_rows
 from peerlight.operators.parsing import clean_entry
 from peerlight.operators.parsing import sections as sections_of
@@ -58,9 +59,11 @@ def decompose_requests(
 ) -> DataFrame:
     """One claim-extraction request per content section; ``unit_id`` is the section's ord.
     Narrow: sections and reference ids come from the same parsed row."""
-    listed = claim_sections(
-        parsed.select("paper_id", known_ids().alias("known_ids"), F.inline("sections"))
+    rows = each(
+        parsed.select("paper_id", known_ids().alias("known_ids"), "sections"),
+        ["paper_id", "known_ids"], "sections", "s",
     )
+    listed = claim_sections(rows.select("paper_id", "known_ids", "s.*"))
     ids = F.coalesce(T.blank_to_null(F.array_join("known_ids", ", ")), F.lit("(none)"))
     prompt = F.concat(
         F.lit("Section title: "), F.col("title"),
@@ -129,10 +132,10 @@ def parse_claims(
             json_array(F.col("body")), json_array(embedded(F.col("body"), "[", "]"))
         ).alias("items"),
     )
-    each = items.select(
-        "paper_id", "ord", F.posexplode(F.slice("items", 1, limit)).alias("item_pos", "item")
+    objects = each(
+        items, ["paper_id", "ord"], F.slice("items", 1, limit), "item", "item_pos"
     ).filter(F.startswith("item", F.lit("{")))
-    typed = each.select(
+    typed = objects.select(
         "*",
         _item_type(F.col("item"), "$.text").alias("text_type"),
         _item_type(F.col("item"), "$.ref_ids").alias("ids_type"),

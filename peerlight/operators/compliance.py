@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
+from peerlight.functions.rows import each, settled
 from peerlight.sources.configs import Configs, config_array, times_configs
 
 
@@ -63,7 +64,7 @@ def live_papers(parsed: DataFrame, configs: Configs = None) -> DataFrame:
     array. No product, no shuffle, no text moved."""
     titles = F.transform("sections", lambda s: F.lower(T.strip(s["title"])))
     passes = F.exists(config_array(configs), lambda c: ~critical_failure(lambda name: c[name]))
-    return parsed.withColumn("titles", titles).filter(passes).drop("titles")
+    return settled(parsed).withColumn("titles", titles).filter(passes).drop("titles")
 
 
 def _check_array() -> Column:
@@ -165,9 +166,10 @@ def checked(parsed: DataFrame, configs: Configs = None) -> DataFrame:
 
 def compliance_checks(parsed: DataFrame, configs: Configs = None) -> DataFrame:
     """Long table of checks in evaluation order."""
-    return checked(parsed, configs).select(
-        "paper_id", "config_id", "config_ord", F.posexplode("checks").alias("check_seq", "c")
-    ).select("paper_id", "config_id", "config_ord", "check_seq", "c.*")
+    ids = ["paper_id", "config_id", "config_ord"]
+    return each(checked(parsed, configs), ids, "checks", "c", "check_seq").select(
+        *ids, "check_seq", "c.*"
+    )
 
 
 def roll_up(checks: Column) -> Column:

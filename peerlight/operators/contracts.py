@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
+from peerlight.functions.rows import each
 
 
 def _unit(name: str) -> Column:
@@ -64,4 +65,4 @@ def contract_violations(table: DataFrame, rules: dict[str, Column] | None = None
         if checks
         else F.array().cast("array<string>")
     )
-    return table.withColumn("rule", F.explode(broken))
+    return each(table, ["*"], broken, "rule")

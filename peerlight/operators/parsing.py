@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
+from peerlight.functions.rows import each
 
 
 def _is_header(piece: Column) -> Column:
@@ -148,7 +149,7 @@ def rejected_papers(papers: DataFrame) -> DataFrame:
 
 def header_blocks(papers: DataFrame) -> DataFrame:
     """Long table (paper_id, pos, level, title, body)."""
-    return papers.select("paper_id", F.posexplode(block_array(F.col("md"))).alias("pos", "b")).select(
+    return each(papers, ["paper_id"], block_array(F.col("md")), "b", "pos").select(
         "paper_id", "pos", "b.level", "b.title", "b.body"
     )
 
@@ -210,7 +211,7 @@ def total_words(abstract: Column, sections: Column) -> Column:
 
 def sections(parsed: DataFrame) -> DataFrame:
     """Long table (paper_id, section_id, title, text, ord)."""
-    return parsed.select("paper_id", F.inline("sections"))
+    return each(parsed, ["paper_id"], "sections", "s").select("paper_id", "s.*")
 
 
 def paper_titles(papers: DataFrame) -> DataFrame:
@@ -228,7 +229,7 @@ def word_counts(parsed: DataFrame) -> DataFrame:
 def figures(papers: DataFrame) -> DataFrame:
     """Image links (paper_id, figure_id, caption)."""
     captions = F.regexp_extract_all("md", F.lit(P.IMAGE), F.lit(1))
-    return papers.select("paper_id", F.posexplode(captions).alias("pos", "raw")).select(
+    return each(papers, ["paper_id"], captions, "raw", "pos").select(
         "paper_id",
         F.concat(F.lit("fig-"), (F.col("pos") + 1).cast("string")).alias("figure_id"),
         T.blank_to_null(T.strip(F.col("raw"))).alias("caption"),
@@ -243,14 +244,12 @@ def pipe_tables(papers: DataFrame) -> DataFrame:
     caption candidate.
     """
     above = F.split(T.unify_newlines(F.col("md")), P.PIPE_TABLE)
-    last_line = F.regexp_extract("above", rf"([^\n]*{P.NOT_WS}[^\n]*)\n{P.WS}*$", 1)
+    last_line = F.substring_index(F.rtrim("above", F.lit(P.WHITESPACE)), "\n", -1)
     caption = T.strip(last_line)
+    pieces = papers.select("paper_id", above.alias("pieces"))
+    but_last = F.slice("pieces", F.lit(1), F.size("pieces") - 1)
     return (
-        papers.select("paper_id", above.alias("pieces"))
-        .select(
-            "paper_id",
-            F.posexplode(F.slice("pieces", F.lit(1), F.size("pieces") - 1)).alias("pos", "above"),
-        )
+        each(pieces, ["paper_id"], but_last, "above", "pos")
         .select(
             "paper_id",
             F.concat(F.lit("table-"), (F.col("pos") + 1).cast("string")).alias("table_id"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
+from peerlight.functions.rows import each, settled
 from peerlight.operators.parsing import clean_entry
 
 
@@ -52,7 +53,7 @@ def guess_authors(raw: Column, title: Column) -> Column:
 
 def reference_entries(parsed: DataFrame) -> DataFrame:
     """Raw entries (paper_id, ref_pos, entry)."""
-    return parsed.select("paper_id", F.posexplode("ref_entries").alias("ref_pos", "entry"))
+    return each(parsed, ["paper_id"], "ref_entries", "entry", "ref_pos")
 
 
 def refs(parsed: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def refs(parsed: DataFrame) -> DataFrame:
         find_year(F.col("raw")).alias("year"),
     )
     titled = keyed.select("*", guess_title(F.col("raw"), F.col("year")).alias("title"))
-    return titled.select(
+    return settled(titled.select(
         "paper_id",
         "ref_id",
         "ref_pos",
@@ -79,4 +80,4 @@ def refs(parsed: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("venue"),
         find_doi(F.col("raw")).alias("doi"),
         find_arxiv(F.col("raw")).alias("arxiv_id"),
-    )
+    ))

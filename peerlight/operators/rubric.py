@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import text as T
 from peerlight.functions.numbers import clamp, fixed, round_exact
+from peerlight.functions.rows import each
 from peerlight.sources.configs import Configs, config_array
 
 FALLBACK_NOTE = " (LLM output unparseable; fell back to heuristics.)"
@@ -203,6 +204,5 @@ def bias_adjust(df: DataFrame) -> DataFrame:
 
 def rubric_dims(rubrics: DataFrame) -> DataFrame:
     """Long table of dimension scores."""
-    return rubrics.select(
-        "paper_id", "config_id", F.posexplode("dimensions").alias("dim_pos", "d")
-    ).select("paper_id", "config_id", "dim_pos", "d.*")
+    ids = ["paper_id", "config_id"]
+    return each(rubrics, ids, "dimensions", "d", "dim_pos").select(*ids, "dim_pos", "d.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions.numbers import recommendation, round_exact
+from peerlight.functions.rows import each, settled
 
 
 def compliance_subscore(n_passed: Column, n_checks: Column) -> Column:
@@ -113,9 +114,8 @@ def composite(scores: DataFrame, weights: Column | None = None) -> DataFrame:
 
 
 def subscores_long(composites: DataFrame) -> DataFrame:
-    return composites.select(
-        "paper_id", "config_id", F.posexplode("subscores").alias("stage_pos", "s")
-    ).select("paper_id", "config_id", "stage_pos", "s.*")
+    ids = ["paper_id", "config_id"]
+    return each(composites, ids, "subscores", "s", "stage_pos").select(*ids, "stage_pos", "s.*")
 
 
 def banner(triage: Column, issues: Column) -> Column:
@@ -143,7 +143,7 @@ def triage_queue(composites: DataFrame) -> DataFrame:
     counts are aggregated map-side, the running count over that small table gives the
     exact rank, and it is broadcast back (bounded by the number of configs, not papers).
     """
-    placed = composites.withColumn("urgency", F.when(F.col("triage") == "FAIL", 0).otherwise(1))
+    placed = settled(composites).withColumn("urgency", F.when(F.col("triage") == "FAIL", 0).otherwise(1))
     keys = ["config_id", "urgency", "composite"]
     ahead = (
         Window.partitionBy("config_id")

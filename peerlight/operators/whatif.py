@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions.numbers import fixed, recommendation, round_exact
+from peerlight.functions.rows import each
 from peerlight.operators.scoring import composite_of, subscore_array, weights_struct
 from peerlight.sources.configs import check_weights, merge_weights, weight_presets
 
@@ -120,7 +121,7 @@ def sweep(
             ).alias("flips"),
         ),
     )
-    return named.select(*IDS, F.inline(flips))
+    return each(named, IDS, flips, "p").select(*IDS, "p.*")
 
 
 def tipping_point(scores: DataFrame, target: str) -> DataFrame:
@@ -172,7 +173,9 @@ def explain(scores: DataFrame, weights: dict[str, float] | None = None) -> DataF
     weakest = F.get(F.filter("subs", lambda s: s["value"] == lowest), F.lit(0))["name"]
     return (
         rows.select(*IDS, "subs", weakest.alias("weakest_stage"), composite_of(F.col("subs")).alias("composite"))
-        .select(*IDS, "weakest_stage", "composite", F.posexplode("subs").alias("stage_pos", "s"))
+        .transform(
+            lambda df: each(df, [*IDS, "weakest_stage", "composite"], "subs", "s", "stage_pos")
+        )
         .select(
             *IDS,
             "stage_pos",
@@ -210,7 +213,7 @@ def side_by_side(scores: DataFrame, a: str, b: str) -> DataFrame:
             for i, (n, x, y) in enumerate(entries)
         ]
     )
-    return rows.select(*IDS, F.inline(table))
+    return each(rows, IDS, table, "p").select(*IDS, "p.*")
 
 
 __all__ = [

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from peerlight import __version__
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
+from peerlight.functions.rows import settled
 from peerlight.operators import citations, claims, entailment, inference, parsing, references
 from peerlight.operators import verification
 from peerlight.operators.compliance import add_compliance, live_papers
@@ -123,9 +124,11 @@ def finish(
     now = (
         F.lit(options.created_at).cast("timestamp") if options.created_at else F.current_timestamp()
     )
-    return scored.select(
-        "*", banner(F.col("triage"), F.col("issues")).alias("banner"), now.alias("created_at")
-    ).select(*RECORD_COLUMNS)
+    return settled(
+        scored.select(
+            "*", banner(F.col("triage"), F.col("issues")).alias("banner"), now.alias("created_at")
+        ).select(*RECORD_COLUMNS)
+    )
 
 
 def heuristic_review(
@@ -204,7 +207,7 @@ def evaluate_papers(
     rows = with_ledger(triaged(parsed, configs), ledgers)
     model_dims = None
     if infer is not None:
-        asked = rows.filter("triage <> 'FAIL'").drop("title", "abstract")
+        asked = settled(rows).filter("triage <> 'FAIL'").drop("title", "abstract")
         answers, fresh = ask(
             rubric_requests(live, asked, configs, opt.model, opt.provider), "rubric"
         )
