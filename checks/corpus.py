@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peerlight.session import spread
+
 NL = "chr(10)"
 
 
@@ -190,8 +192,7 @@ WORKS_SQL = "SELECT doc_id AS c, text AS t FROM documents"
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    for name in ("documents",):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    spread(table(spark, sf_dir, "documents")).createOrReplaceTempView("documents")
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

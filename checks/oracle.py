@@ -377,6 +377,19 @@ SELECT paper_id, ref_id, source, catalog_id, sim FROM (
   ) WHERE sim >= {dbl(0.6)}
 ) WHERE rn = 1
 """
+CTE["errs"] = " UNION ALL ".join(
+    f"SELECT '{s}' AS source, '{k}' AS key_kind, {e} AS key FROM works WHERE {cond}"
+    for s, k, e, cond in [
+        ("crossref", "doi", corpus._DOI, "c % 5 = 0"),
+        ("semantic_scholar", "doi", corpus._DOI, "c % 5 = 0 AND c % 2 = 0"),
+        ("openalex", "doi", corpus._DOI, "c % 10 = 0"),
+        ("semantic_scholar", "arxiv", corpus.work_arxiv("c"), "c % 3 = 1 AND c % 4 = 0"),
+    ]
+)
+CTE["ref_err"] = """
+SELECT r.paper_id, r.ref_id, e.source, 0 AS key_rank FROM refs r JOIN errs e ON e.key_kind = 'doi' AND lower(e.key) = lower(r.doi)
+UNION ALL SELECT r.paper_id, r.ref_id, e.source, 1 FROM refs r JOIN errs e ON e.key_kind = 'arxiv' AND lower(e.key) = lower(r.arxiv_id)
+"""
 CTE["all_hits"] = """
 SELECT r.paper_id, r.ref_id, c.source, c.source_rank, 0 AS key_rank, min(c.catalog_id) AS catalog_id
 FROM refs r JOIN cat c ON lower(r.doi) = lower(c.doi) GROUP BY 1, 2, 3, 4

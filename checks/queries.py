@@ -6,6 +6,7 @@ on both sides. Nested results are flattened to text so that values compare exact
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from peerlight.operators import rubric as RU
 from peerlight.operators import rubric_requests as RR
 from peerlight.operators import scoring, verification, whatif
 from peerlight.plans import review as R
+from peerlight.session import shared_folder, stage
 from peerlight.sources import auditlog, costs, papers as sources, responses
 from peerlight.sources.configs import times_configs
 
@@ -57,6 +59,11 @@ def _joined(c, sep=" ## "):
     return F.coalesce(F.array_join(c, sep), F.lit(""))
 
 
+def _stored(df, name):
+    """Stage a table that several joins of a query read, as a run with a run id does."""
+    return stage(df, name, "check-" + uuid.uuid4().hex[:12])
+
+
 def _refs(spark, sf_dir):
     return references.refs(_parsed(spark, sf_dir))
 
@@ -267,11 +274,11 @@ def _(spark, sf_dir):
     return responses.normalize_orcid(_orcid_bodies(spark, sf_dir)).drop("k")
 
 
-def _orcid_bodies(spark, sf_dir):
+def _orcid_bodies(spark, sf_dir, where=""):
     """A search result of three hits per supplier name."""
     c = F.col
     corpus.table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    people = spark.sql(f"SELECT k, name FROM {PEOPLE}")
+    people = spark.sql(f"SELECT k, name FROM {PEOPLE} {where}")
     orcid = F.when(
         c("k") % 3 != 0,
         F.concat(F.lit("0000-0002-1825-009"), F.when(c("k") % 2 == 0, F.lit("X")).otherwise(F.lit("7"))),
@@ -609,3 +616,443 @@ def _(spark, sf_dir):
     return scoring.triage_queue(_heuristic(spark, sf_dir))
 
 
+# --- citations -----------------------------------------------------------------
+
+
+def _ref_catalog(spark, sf_dir):
+    return _stored(_refs(spark, sf_dir), "refs"), corpus.catalog(spark, sf_dir)
+
+
+def _flat_lookups(df):
+    return df.select(
+        "paper_id", "ref_id", "status", "source",
+        F.col("meta.title").alias("m_title"), _joined("meta.authors").alias("m_authors"),
+        F.col("meta.year").alias("m_year"), F.col("meta.venue").alias("m_venue"), F.col("meta.doi").alias("m_doi"),
+    )
+
+
+_FLAT = "SELECT paper_id, ref_id, status, source, m_title, coalesce(array_to_string(m_authors, ' ## '), '') AS m_authors, m_year, m_venue, m_doi FROM "
+
+
+@query("j1_lookup_refs", _FLAT + "look")
+def _(spark, sf_dir):
+    return _flat_lookups(C.lookup_refs(*_ref_catalog(spark, sf_dir)))
+
+
+@query("j1_lookup_refs_hot_keys", _FLAT + "look")
+def _(spark, sf_dir):
+    # The same lookups with every key above 20 references treated as hot and split.
+    return _flat_lookups(C.lookup_refs(*_ref_catalog(spark, sf_dir), hot_rows=20))
+
+
+@query("j1_lookup_refs_key_major", _FLAT + "look_key")
+def _(spark, sf_dir):
+    return _flat_lookups(C.lookup_refs(*_ref_catalog(spark, sf_dir), key_major=True))
+
+
+@query("j1a_doi_hits", "SELECT paper_id, ref_id, source, source_rank FROM all_hits WHERE key_rank = 0")
+def _(spark, sf_dir):
+    return C.exact_lookup(*_ref_catalog(spark, sf_dir), "doi").select("paper_id", "ref_id", "source", "source_rank")
+
+
+@query("j2_arxiv_hits", "SELECT paper_id, ref_id, source, source_rank FROM all_hits WHERE key_rank = 1")
+def _(spark, sf_dir):
+    return C.exact_lookup(*_ref_catalog(spark, sf_dir), "arxiv").select("paper_id", "ref_id", "source", "source_rank")
+
+
+@query(
+    "j3_title_search",
+    "SELECT t.paper_id, t.ref_id, t.source, t.catalog_id, t.sim AS similarity, c.title AS m_title FROM title_hits t JOIN cat c USING (source, catalog_id)",
+)
+def _(spark, sf_dir):
+    return C.title_search(*_ref_catalog(spark, sf_dir)).select(
+        "paper_id", "ref_id", "source", "catalog_id", "similarity", F.col("meta.title").alias("m_title")
+    )
+
+
+@query("j4_lookup_errors", f"""
+SELECT r.paper_id, r.ref_id, CASE WHEN h.source IS NOT NULL THEN 'FOUND' WHEN e.n = 3 THEN 'ERROR' ELSE 'NOT_FOUND' END AS status,
+  coalesce(h.source, 'none') AS source
+FROM refs r
+LEFT JOIN (SELECT paper_id, ref_id, count(DISTINCT source) AS n FROM ref_err GROUP BY 1, 2) e USING (paper_id, ref_id)
+LEFT JOIN (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY a.paper_id, a.ref_id ORDER BY source_rank * 10 + key_rank) AS rn
+  FROM all_hits a WHERE NOT EXISTS (SELECT 1 FROM ref_err x WHERE x.paper_id = a.paper_id AND x.ref_id = a.ref_id AND x.source = a.source AND x.key_rank <= a.key_rank)) WHERE rn = 1) h USING (paper_id, ref_id)
+""")
+def _(spark, sf_dir):
+    refs, cat = _ref_catalog(spark, sf_dir)
+    errors = spark.sql(f"WITH works AS ({corpus.WORKS_SQL}) {O.CTE['errs']}")
+    return C.lookup_refs(refs, cat, errors).select("paper_id", "ref_id", "status", "source")
+
+
+@query("r36_metadata_match", f"""
+SELECT paper_id, ref_id, title_score, author_score, year_score, venue_score, overall,
+  concat_ws(',', CASE WHEN title <> '' AND title_score < 0.2 THEN 'title' END, CASE WHEN abs(year - m_year) > 1 THEN 'year' END,
+    CASE WHEN len(authors) > 0 AND author_score < 0.2 THEN 'author' END) AS mismatches,
+  overall >= {dbl(0.6)} AND NOT (title <> '' AND title_score < 0.2) AS match_ok FROM match
+""")
+def _(spark, sf_dir):
+    refs, cat = _ref_catalog(spark, sf_dir)
+    lookups = _stored(C.lookup_refs(refs, cat), "lookups")
+    return C.metadata_match(refs, lookups).withColumn(
+        "mismatches", F.array_join("mismatches", ",")
+    )
+
+
+@query("r37_surnames", f"SELECT paper_id, ref_id, array_to_string(list_transform(authors, lambda n: {O.SURNAME}), ',') AS surnames FROM refs")
+def _(spark, sf_dir):
+    return _refs(spark, sf_dir).select(
+        "paper_id", "ref_id", F.array_join(F.transform("authors", T.surname), ",").alias("surnames")
+    )
+
+
+def _temporal(spark, sf_dir, refs):
+    return C.temporal_issues(refs, corpus.metadata(spark, sf_dir), current_year=2020, max_age=20)
+
+
+@query("r35_temporal_issues", "SELECT paper_id, ref_id, reason, ref_year, paper_year FROM temporal")
+def _(spark, sf_dir):
+    return _temporal(spark, sf_dir, _refs(spark, sf_dir))
+
+
+@query("j9_abstracts", """
+SELECT r.paper_id, r.ref_id, coalesce(a.abstract, x.abstract) AS abstract FROM refs r
+LEFT JOIN abs_doi a ON a.k = lower(r.doi)
+LEFT JOIN (SELECT arxiv_id, arg_min(trim(abstract, chr(32) || chr(10) || chr(9)), catalog_id) AS abstract FROM cat WHERE source = 'semantic_scholar' GROUP BY 1) x USING (arxiv_id)
+""")
+def _(spark, sf_dir):
+    return C.abstracts_by_id(*_ref_catalog(spark, sf_dir))
+
+
+# --- claims ---------------------------------------------------------------------
+
+
+@query("r19_claim_sections", "SELECT paper_id, section_id, title, text, ord FROM content")
+def _(spark, sf_dir):
+    return CL.claim_sections(parsing.sections(_parsed(spark, sf_dir)))
+
+
+@query("r20_decompose_prompts", """
+SELECT c.paper_id, CAST(c.ord AS VARCHAR) AS unit_id, sha256('Section title: ' || c.title || chr(10) || chr(10) || 'Reference ids available in this paper: '
+  || coalesce(nullif(array_to_string(k.ids, ', '), ''), '(none)') || chr(10) || chr(10) || 'Section text:' || chr(10) || '---' || chr(10) || c.text
+  || chr(10) || '---' || chr(10) || chr(10) || 'Return the JSON array now.') AS prompt_hash
+FROM content c LEFT JOIN known k USING (paper_id)
+""")
+def _(spark, sf_dir):
+    return CL.decompose_requests(_parsed(spark, sf_dir)).select(
+        "paper_id", "unit_id", F.sha2("prompt", 256).alias("prompt_hash")
+    )
+
+
+def _replies(spark, sf_dir):
+    """Model replies to the claim requests, still one row per section."""
+    asked = CL.decompose_requests(_parsed(spark, sf_dir))
+    return asked.select(
+        "paper_id", F.col("unit_id").cast("int").alias("ord"), model.claim_reply(F.col("prompt")).alias("text")
+    )
+
+
+@query(
+    "r21a_parse_claims",
+    "SELECT paper_id, ord, item_pos, text, array_to_string(ref_ids, ',') AS ref_ids FROM raw_claims",
+)
+def _(spark, sf_dir):
+    return CL.parse_claims(_replies(spark, sf_dir)).withColumn("ref_ids", F.array_join("ref_ids", ","))
+
+
+@query(
+    "r22_known_refs",
+    "SELECT paper_id, 'claim-' || claim_seq AS claim_id, array_to_string(ref_ids, ',') AS ref_ids FROM claims0",
+)
+def _(spark, sf_dir):
+    raw = CL.number_claims(CL.parse_claims(_replies(spark, sf_dir)))
+    return CL.known_refs(raw, _parsed(spark, sf_dir)).select(
+        "paper_id", "claim_id", F.array_join("ref_ids", ",").alias("ref_ids")
+    )
+
+
+def _claims(spark, sf_dir):
+    return _stored(
+        CL.build_claims(CL.parse_claims(_replies(spark, sf_dir)), _parsed(spark, sf_dir)), "claims"
+    )
+
+
+@query("r23_claims", """
+SELECT paper_id, claim_id, claim_seq, text, claim_type, severity, section_id, char_start, char_end, array_to_string(ref_ids, ',') AS ref_ids FROM claims
+""")
+def _(spark, sf_dir):
+    return _claims(spark, sf_dir).withColumn("ref_ids", F.array_join("ref_ids", ","))
+
+
+_TURN = "(SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' It improves the mean by 12 points.' WHEN 1 THEN ' As of 2019 it can help.' WHEN 2 THEN ' See Miller et al. (2015).' WHEN 3 THEN ' A novel gain of 4.5 %.' ELSE '' END AS t FROM conversations)"
+
+
+@query(
+    "r24_turn_categories",
+    f"SELECT conv_id, turn, claim_type, {O.severity('claim_type', 't')} AS severity FROM (SELECT *, {O.claim_type('t', 'FALSE')} AS claim_type FROM {_TURN})",
+)
+def _(spark, sf_dir):
+    corpus.table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    turns = spark.sql(f"SELECT * FROM {_TURN}")
+    typed = turns.withColumn("claim_type", CL.claim_type(F.col("t"), F.lit(False)))
+    return typed.select(
+        "conv_id", "turn", "claim_type", CL.severity_of(F.col("claim_type"), F.col("t")).alias("severity")
+    )
+
+
+# --- verification ------------------------------------------------------------------
+
+
+def _verified(spark, sf_dir):
+    refs, cat = _ref_catalog(spark, sf_dir)
+    lookups = _stored(C.lookup_refs(refs, cat), "lookups")
+    claims = _claims(spark, sf_dir)
+    results = verification.verify_claims(
+        claims, lookups, C.metadata_match(refs, lookups), _temporal(spark, sf_dir, refs)
+    )
+    return claims, lookups, results
+
+
+@query("j6_claim_refs", "SELECT paper_id, claim_id, ref_pos, ref_id, status, source FROM crefs")
+def _(spark, sf_dir):
+    lookups = C.lookup_refs(*_ref_catalog(spark, sf_dir))
+    return verification.claim_refs(_claims(spark, sf_dir), lookups).drop("meta")
+
+
+@query(
+    "a2_verify_claims",
+    "SELECT paper_id, claim_id, verified, confidence, source, evidence, hallucination_flag, notes FROM verdicts",
+)
+def _(spark, sf_dir):
+    return _verified(spark, sf_dir)[2]
+
+
+def _pairs(spark, sf_dir, claims=None, lookups=None):
+    claims = claims if claims is not None else _claims(spark, sf_dir)
+    if lookups is None:
+        lookups = _stored(C.lookup_refs(*_ref_catalog(spark, sf_dir)), "lookups")
+    found = lookups.filter("status = 'FOUND'").select(
+        "paper_id", "ref_id", F.col("meta.doi").alias("doi"), F.lit(None).cast("string").alias("arxiv_id")
+    )
+    abstracts = C.abstracts_by_id(found, corpus.catalog(spark, sf_dir))
+    return _stored(EN.entailment_pairs(claims, lookups, abstracts), "pairs")
+
+
+@query("j8_entailment_pairs", "SELECT paper_id, claim_id, ref_pos, ref_id, claim_text, abstract FROM pairs")
+def _(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+# Benchmark passages as claims against every document that carries the same item number.
+_BENCH = "(SELECT b.item_id, d.doc_id, b.text AS claim_text, d.text AS abstract FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)"
+
+
+@query(
+    "r38_keyword_entailment",
+    O.keyword(_BENCH, "item_id, doc_id").replace("k_verdict", "verdict").replace("k_confidence", "confidence").replace("k_rationale", "rationale"),
+)
+def _(spark, sf_dir):
+    corpus.register(spark, sf_dir)
+    corpus.table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    return EN.keyword_entailment(spark.sql(f"SELECT * FROM {_BENCH}"))
+
+
+def _verdicts(pairs):
+    asked = EN.entailment_requests(pairs)
+    said = asked.select(
+        "paper_id", "claim_id", "ref_pos", "ref_id", model.entailment_reply(F.col("prompt")).alias("text")
+    )
+    return EN.entailment(pairs, said)
+
+
+@query("j9b_entailment", "SELECT paper_id, claim_id, ref_pos, ref_id, verdict, confidence, rationale, method FROM entail")
+def _(spark, sf_dir):
+    return _verdicts(_pairs(spark, sf_dir))
+
+
+@query("j9b_entailment_keyword_only", f"""
+SELECT paper_id, claim_id, ref_pos, ref_id, CASE WHEN abstract IS NULL THEN 'INSUFFICIENT' ELSE k_verdict END AS verdict,
+  CASE WHEN abstract IS NULL THEN {dbl(0)} ELSE k_confidence END AS confidence,
+  CASE WHEN abstract IS NULL THEN 'No abstract available for cited paper.' ELSE k_rationale END AS rationale,
+  CASE WHEN abstract IS NULL THEN 'no_abstract' ELSE 'keyword' END AS method FROM kw
+""")
+def _(spark, sf_dir):
+    return EN.entailment(_pairs(spark, sf_dir))
+
+
+def _merged(spark, sf_dir):
+    claims, lookups, results = _verified(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir, claims, lookups)
+    return claims, _stored(verification.merge_entailment(results, _verdicts(pairs)), "results")
+
+
+@query("j10_merge_entailment", "SELECT paper_id, claim_id, verified, confidence, source, evidence, hallucination_flag, notes FROM merged")
+def _(spark, sf_dir):
+    return _merged(spark, sf_dir)[1]
+
+
+@query("a1_ledger", "SELECT paper_id, total_claims, verified_count, hallucination_count, mean_confidence FROM ledger")
+def _(spark, sf_dir):
+    return verification.ledger(_merged(spark, sf_dir)[1], _papers(spark, sf_dir))
+
+
+@query("a15_flagged_citations", """
+SELECT paper_id, array_to_string(list_sort(list(DISTINCT ref_id)), ',') AS flagged_citations
+FROM (SELECT c.paper_id, unnest(c.ref_ids) AS ref_id FROM claims c JOIN merged m USING (paper_id, claim_id) WHERE m.hallucination_flag) GROUP BY 1
+""")
+def _(spark, sf_dir):
+    return verification.flagged_citations(*_merged(spark, sf_dir)).withColumn(
+        "flagged_citations", F.array_join("flagged_citations", ",")
+    )
+
+
+@query("v12_unverified_claims", """
+SELECT paper_id, claim_id, CASE WHEN m.hallucination_flag THEN 'hallucination' ELSE 'unverified' END AS label, claim_type, severity, confidence, source,
+  CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS claim_text, notes
+FROM claims c JOIN merged m USING (paper_id, claim_id) WHERE NOT m.verified OR m.hallucination_flag
+""")
+def _(spark, sf_dir):
+    return verification.unverified_claims(*_merged(spark, sf_dir))
+
+
+# --- authors, inference, cost --------------------------------------------------------
+
+
+@query("j16_match_authors", f"""
+SELECT a.paper_id, a.queried_name, CASE WHEN k % 3 <> 0 THEN '0000-0002-1825-009' || CASE WHEN k % 2 = 0 THEN 'X' ELSE '7' END END AS orcid_id,
+  queried_name AS matched_name, CASE WHEN k % 4 = 0 THEN 'MIT' WHEN k % 4 = 1 THEN 'ETH' END AS institution, {dbl(1)} AS confidence
+FROM (SELECT 'p-' || p_partkey AS paper_id, p_partkey % 26 AS r FROM part) a
+JOIN (SELECT name AS queried_name, k, k % 26 AS r, row_number() OVER (PARTITION BY name ORDER BY k) AS rn FROM {PEOPLE}) n USING (r)
+WHERE rn = 1
+""")
+def _(spark, sf_dir):
+    # One name per residue class; suppliers that share a name are one author.
+    candidates = responses.normalize_orcid(_orcid_bodies(spark, sf_dir, "WHERE k < 26"))
+    corpus.table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    asked = spark.sql(
+        f"SELECT 'p-' || p_partkey AS paper_id, name AS queried_name FROM part JOIN {PEOPLE} ON p_partkey % 26 = k WHERE k < 26"
+    )
+    return AU.match_authors(asked, candidates, hot_rows=10)
+
+
+@query("x1_stub_completions", f"""
+SELECT doc_id, 'STUB[' || substr(sha256('sys' || chr(10) || text), 1, 12) || '] ' || substr(text, 1, 120) AS text,
+  greatest(1, length(text) // 4) AS prompt_tokens, greatest(1, (19 + least(length(text), 120)) // 4) AS completion_tokens FROM documents
+""")
+def _(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("cache_key"), F.lit("sys").alias("system"),
+        F.col("text").alias("prompt"), F.lit("m").alias("model"),
+    )
+    return inference.stub_completions(rows).select(
+        F.col("cache_key").cast("bigint").alias("doc_id"), "text", "prompt_tokens", "completion_tokens"
+    )
+
+
+_VEC = "list_transform(range(0, 16), lambda i: (CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INT) - CAST(127.5 AS DOUBLE)) / CAST(127.5 AS DOUBLE))"
+
+
+@query("x2_stub_embeddings", f"""
+SELECT doc_id, i AS dim, v[i + 1] / n AS value FROM (
+  SELECT doc_id, v, sqrt(list_reduce(list_prepend({dbl(0)}, list_transform(v, lambda x: x * x)), lambda a, b: a + b)) AS n FROM (
+    SELECT doc_id, {_VEC} AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents))), (SELECT unnest(range(0, 16)) AS i)
+""")
+def _(spark, sf_dir):
+    v = _docs(spark, sf_dir).select("doc_id", F.array("text").alias("texts"))
+    asked = v.select(F.col("doc_id").cast("string").alias("cache_key"), "texts", F.lit("m").alias("model"))
+    return inference.stub_embeddings(asked).select(
+        F.col("cache_key").cast("bigint").alias("doc_id"),
+        F.posexplode(F.get("vectors", F.lit(0))).alias("dim", "value"),
+    )
+
+
+@query("j14_with_cache", """
+SELECT doc_id, r.text, k.hit AS cache_hit FROM (SELECT doc_id, text AS prompt, 'STUB[' || substr(sha256('sys' || chr(10) || text), 1, 12) || '] ' || substr(text, 1, 120) AS text FROM documents) r
+JOIN (SELECT text AS prompt, bool_or(doc_id % 4 = 0) AS hit FROM documents GROUP BY 1) k USING (prompt)
+""")
+def _(spark, sf_dir):
+    # Every fourth document was answered before; exact copies share one answer.
+    asked = inference.request_rows(
+        _docs(spark, sf_dir).select(
+            F.col("doc_id").cast("string").alias("unit_id"), F.lit("p").alias("paper_id"), F.col("text").alias("prompt")
+        ),
+        kind="check", system="sys", model="m", max_tokens=10,
+    )
+    cache = inference.stub_completions(
+        inference.distinct_requests(asked.filter(F.col("unit_id").cast("bigint") % 4 == 0))
+    )
+    answers, _ = inference.with_cache(asked, cache, inference.stub_completions, hot_rows=3)
+    return answers.select(F.col("unit_id").cast("bigint").alias("doc_id"), "text", "cache_hit")
+
+
+def _usage(spark, sf_dir):
+    """Events as model calls: the event type picks the model, the id the token counts."""
+    c = F.col
+    name = (
+        F.when(c("event_type") == "click", F.lit("claude-sonnet-4-6"))
+        .when(c("event_type") == "view", F.lit("gpt-4o-mini"))
+        .when(c("event_type") == "purchase", F.lit("claude-opus-4-6"))
+        .otherwise(c("event_type"))
+    )
+    return corpus.table(spark, sf_dir, "events").select(
+        "event_id", c("ts").alias("timestamp"), F.lit("check").alias("provider"), name.alias("model"),
+        (c("event_id") % 977).alias("prompt_tokens"), (c("event_id") % 313).alias("completion_tokens"),
+        c("value").alias("cost_usd"), F.lit("complete").alias("kind"),
+    )
+
+
+@query("j15_estimate_cost", f"""
+SELECT event_id, (event_id % 977) * pin / {dbl(1000000)} + (event_id % 313) * pout / {dbl(1000000)} AS cost_usd FROM (
+  SELECT event_id, CASE event_type WHEN 'click' THEN {dbl(3)} WHEN 'view' THEN {dbl(0.15)} WHEN 'purchase' THEN {dbl(15)} ELSE {dbl(0)} END AS pin,
+    CASE event_type WHEN 'click' THEN {dbl(15)} WHEN 'view' THEN {dbl(0.6)} WHEN 'purchase' THEN {dbl(75)} ELSE {dbl(0)} END AS pout FROM events)
+""")
+def _(spark, sf_dir):
+    return costs.estimate_cost(_usage(spark, sf_dir).drop("cost_usd")).select("event_id", "cost_usd")
+
+
+_NAMED = "CASE event_type WHEN 'click' THEN 'claude-sonnet-4-6' WHEN 'view' THEN 'gpt-4o-mini' WHEN 'purchase' THEN 'claude-opus-4-6' ELSE event_type END"
+
+
+@query("a10_cost_totals", f"""
+SELECT {_NAMED} AS model, CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) AS cost_usd, sum(event_id % 977) AS prompt_tokens,
+  sum(event_id % 313) AS completion_tokens, count(*) AS n_calls, 0 AS is_total FROM events GROUP BY 1
+UNION ALL SELECT NULL, CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE), sum(event_id % 977), sum(event_id % 313), count(*), 1 FROM events
+""")
+def _(spark, sf_dir):
+    return costs.cost_totals(_usage(spark, sf_dir))
+
+
+_WINDOWED = f"""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, {_NAMED} AS model, CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) AS cost_usd,
+  sum(event_id % 977 + event_id % 313) AS tokens, count(*) AS n_calls FROM events GROUP BY 1, 2
+"""
+
+
+@query("t2_windowed_costs", _WINDOWED)
+def _(spark, sf_dir):
+    from peerlight.streaming.costs import windowed_costs
+
+    return windowed_costs(_usage(spark, sf_dir)).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "model", "cost_usd", "tokens", "n_calls"
+    )
+
+
+@query("t2_windowed_costs_stream", _WINDOWED)
+def _(spark, sf_dir):
+    """The same aggregation driven as a stream over the events files to completion."""
+    from peerlight.streaming.costs import windowed_costs
+
+    raw = corpus.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream.createOrReplaceTempView("event_stream")
+    usage = spark.sql(
+        f"SELECT ts AS timestamp, {_NAMED} AS model, event_id % 977 AS prompt_tokens, event_id % 313 AS completion_tokens, value AS cost_usd FROM event_stream"
+    )
+    name = "costs_" + uuid.uuid4().hex[:8]
+    run = (
+        windowed_costs(usage).writeStream.format("memory").queryName(name).outputMode("complete")
+        .option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.table(name).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "model", "cost_usd", "tokens", "n_calls"
+    )

@@ -15,70 +15,77 @@ from pyspark.sql import functions as F
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
 from peerlight.functions.numbers import year_closeness
+from peerlight.functions.rows import each, settled
 from peerlight.operators.joins import HOT_ROWS, attach_by_key, key_counts
 
 KEY_RANK = {"doi": 0, "arxiv": 1, "title": 2}
-META = ["title", "authors", "year", "venue", "doi", "abstract"]
+META = ["title", "authors", "year", "venue", "doi"]
+HIT = (
+    "array<struct<source_rank:int,key_rank:int,source:string,catalog_id:string,similarity:double,"
+    "meta:struct<title:string,authors:array<string>,year:int,venue:string,doi:string>>>"
+)
+FAILED = "array<struct<source_rank:int,key_rank:int>>"
 
 
-def _meta(prefix: str = "") -> Column:
-    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in META])
+def _meta() -> Column:
+    return F.struct(*[F.col(c) for c in META])
 
 
-def search_text(title: Column, authors: Column, raw: Column) -> Column:
-    """What a title search is asked for: title and first author, else the raw entry."""
-    with_author = F.concat_ws(" ", title, F.get(authors, F.lit(0)))
-    return F.coalesce(
-        F.when(F.coalesce(title, F.lit("")) != "", with_author), T.blank_to_null(T.strip(raw))
-    )
+def _rank_of(source: Column) -> Column:
+    ranks = F.create_map(*[F.lit(x) for kv in P.SOURCE_RANKS.items() for x in kv])
+    return F.try_element_at(ranks, source)
 
 
-def _best_per_key(catalog: DataFrame, key: Column, name: str, sources: list[str]) -> DataFrame:
-    """One catalog row per (source, key): the smallest catalog id."""
-    return (
-        catalog.filter(F.col("source").isin(sources) & key.isNotNull())
-        .select("source", key.alias(name), "catalog_id", _meta().alias("meta"))
-        .groupBy("source", name)
-        .agg(F.min_by("meta", "catalog_id").alias("meta"))
-    )
+def _tagged(kind: str, value: Column) -> Column:
+    """Lookup key as ``kind:value``; NULL when there is no value."""
+    return F.concat(F.lit(f"{kind}:"), value)
 
 
-def _hits(keys: DataFrame, table: DataFrame, name: str, kind: str) -> DataFrame:
-    """Per distinct key: an array of (source_rank, key_rank, source, meta), at most one per source."""
-    rank = F.create_map(*[F.lit(x) for kv in P.SOURCE_RANKS.items() for x in kv])
-    hit = F.struct(
-        F.try_element_at(rank, F.col("source")).alias("source_rank"),
-        F.lit(KEY_RANK[kind]).alias("key_rank"),
-        F.col("source").alias("source"),
-        F.col("meta").alias("meta"),
-    )
-    return (
-        keys.join(table, name)
-        .groupBy(name)
-        .agg(F.collect_list(hit).alias(f"{kind}_hits"), F.max("key_rows").alias("key_rows"))
+def title_key(title: Column) -> Column:
+    """Sorted distinct title words as one text; NULL when there are none."""
+    return T.let(
+        F.array_sort(T.title_words(title)),
+        lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")),
     )
 
 
-def doi_key(c: Column) -> Column:
-    return F.lower(c)
+def ref_keys(refs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(paper_id, ref_id, key): one row per lookup key of a reference.
 
+    DOIs are compared without case. The title search asks for the title, else the raw
+    entry. A reference without any key keeps one row with a NULL key.
+    """
+    wanted = kinds or list(KEY_RANK)
+    known = {
+        "doi": _tagged("doi", F.lower(F.col("doi"))),
+        "arxiv": _tagged("arxiv", F.lower(F.col("arxiv_id"))),
+        "title": _tagged(
+            "title", title_key(F.coalesce(T.blank_to_null(F.col("title")), F.col("raw")))
+        ),
+    }
+    keys = F.array_compact(F.array(*[known[k] for k in wanted]))
+    return settled(refs.select("paper_id", "ref_id", F.explode_outer(keys).alias("key")))
 
-def exact_lookup(
-    refs: DataFrame, catalog: DataFrame, kind: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Refs with ``{kind}_hits`` for an exact DOI (all sources) or arXiv id (one source)."""
-    if kind == "doi":
-        column, sources = doi_key(F.col("doi")), list(P.SOURCE_RANKS)
-    else:
-        column, sources = F.lower(F.col("arxiv_id")), ["semantic_scholar"]
-    name = f"{kind}_key"
-    keyed = refs.withColumn(name, column)
-    table = _best_per_key(catalog, column, name, sources)
-    keys = key_counts(keyed, name)
-    found = _hits(keys, table, name, kind)
-    return attach_by_key(
-        keyed, found, keys, name, ["paper_id", "ref_id"], hot_rows=hot_rows
-    ).drop(name)
+
+def catalog_keys(catalog: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(key, source, catalog_id): per source the row with the smallest id holds a key.
+
+    Only Semantic Scholar rows are found by arXiv id.
+    """
+    wanted = kinds or list(KEY_RANK)
+    known = {
+        "doi": _tagged("doi", F.lower(F.col("doi"))),
+        "arxiv": F.when(
+            F.col("source") == "semantic_scholar", _tagged("arxiv", F.lower(F.col("arxiv_id")))
+        ),
+        "title": _tagged("title", title_key(F.col("title"))),
+    }
+    keys = F.array_compact(F.array(*[known[k] for k in wanted]))
+    return (
+        each(catalog, ["source", "catalog_id"], keys, "key")
+        .groupBy("key", "source")
+        .agg(F.min("catalog_id").alias("catalog_id"))
+    )
 
 
 # --- title search -----------------------------------------------------------
@@ -120,120 +127,148 @@ def block_keys(tokens: Column, min_similarity: float) -> Column:
     return T.let(_rare_first(tokens), pairs)
 
 
-def title_search(
-    refs: DataFrame,
-    catalog: DataFrame,
-    min_similarity: float = 0.6,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Refs with ``title_hits``: per source the most similar catalog title above the floor.
+def similar_titles(asked: DataFrame, titles: DataFrame, floor: float) -> DataFrame:
+    """(key, source, catalog_id, similarity) of similar but unequal title sets.
 
-    Distinct token sets stand for all references that share them, so a title cited by a
-    third of the corpus is searched once. A set that a source holds verbatim needs no
-    similarity search in that source (nothing can beat 1.0). Ties: smallest catalog id.
+    ``asked`` has (key, below): only sources ranked before ``below`` are searched. Candidates
+    meet on a shared prefix key and must fit in size; the exact Jaccard decides. No
+    candidate is capped or sampled.
     """
-    if not 0.5 < min_similarity <= 1.0:
-        raise ValueError("min_similarity must be in (0.5, 1]")
-    sets = lambda c: F.array_sort(T.title_words(c))
-    asked = refs.withColumn("_words", sets(F.coalesce("title", "raw")))
-    asked = asked.withColumn(
-        "title_key",
-        F.when(F.size("_words") > 0, F.array_join("_words", " ")),
-    ).drop("_words")
-    keys = key_counts(asked, "title_key")
-    titles = (
-        catalog.withColumn("_words", sets(F.col("title")))
-        .filter(F.size("_words") > 0)
-        .select(
-            "source", "catalog_id", F.array_join("_words", " ").alias("title_key"), _meta().alias("meta")
-        )
-        .groupBy("source", "title_key")
-        .agg(F.min_by(F.struct("catalog_id", "meta"), "catalog_id").alias("row"))
-    )
-    sources = list(P.SOURCE_RANKS)
-    exact = keys.join(titles, "title_key").select(
-        "title_key", "source", F.lit(1.0).alias("similarity"), "row"
+    tokens = lambda c: F.split(F.substring_index(c, ":", -1), " ")
+    q = asked.select("key", "below", tokens(F.col("key")).alias("q_words"))
+    q = each(q, ["key", "below", "q_words"], block_keys(F.col("q_words"), floor), "block")
+    c = titles.select(
+        "source", "catalog_id", _rank_of(F.col("source")).alias("rank"), F.col("key").alias("c_key"),
+        tokens(F.col("key")).alias("c_words"),
     )
-    covered = exact.groupBy("title_key").agg(F.collect_set("source").alias("covered"))
-    open_keys = keys.join(covered, "title_key", "left").select(
-        "title_key",
-        F.coalesce("covered", F.array().cast("array<string>")).alias("covered"),
-    ).filter(F.size("covered") < len(sources))
-    fuzzy = _similar(open_keys, titles, min_similarity)
-    best = (
-        exact.unionByName(fuzzy)
-        .groupBy("title_key", "source")
-        .agg(F.min_by("row", F.struct(-F.col("similarity"), F.col("row.catalog_id"))).alias("row"))
-        .select("title_key", "source", F.col("row.meta").alias("meta"))
+    c = each(
+        c, ["source", "catalog_id", "rank", "c_key", "c_words"], block_keys(F.col("c_words"), floor),
+        "block",
     )
-    found = _hits(keys, best, "title_key", "title")
-    return attach_by_key(
-        asked, found, keys, "title_key", ["paper_id", "ref_id"], hot_rows=hot_rows
-    ).drop("title_key")
-
-
-def _similar(open_keys: DataFrame, titles: DataFrame, floor: float) -> DataFrame:
-    """Similar (title_key, source) pairs; candidates share a prefix key and a fitting size."""
-    q = open_keys.select(
-        "title_key", "covered", F.split("title_key", " ").alias("q_words")
-    ).select("*", F.explode(block_keys(F.col("q_words"), floor)).alias("block"))
-    c = titles.select(
-        "source", F.col("title_key").alias("c_key"), F.split("title_key", " ").alias("c_words")
-    ).select("*", F.explode(block_keys(F.col("c_words"), floor)).alias("block"))
     fits = (
-        (F.col("title_key") != F.col("c_key"))
-        & ~F.array_contains("covered", F.col("source"))
+        (F.col("key") != F.col("c_key"))
+        & (F.col("rank") < F.col("below"))
         & (F.size("q_words") * floor <= F.size("c_words") + 1e-9)
         & (F.size("c_words") * floor <= F.size("q_words") + 1e-9)
     )
-    similarity = T.jaccard(F.col("q_words"), F.col("c_words"))
-    pairs = (
+    return (
         q.join(c, "block")
         .filter(fits)
-        .select("title_key", "source", "c_key", similarity.alias("similarity"))
+        .select(
+            "key", "source", "catalog_id",
+            T.jaccard(F.col("q_words"), F.col("c_words")).alias("similarity"),
+        )
         .filter(F.col("similarity") >= floor)
         .distinct()
     )
-    rows = titles.select("source", F.col("title_key").alias("c_key"), "row")
-    return pairs.join(rows, ["source", "c_key"]).select("title_key", "source", "similarity", "row")
+
+
+def resolve_keys(
+    keys: DataFrame,
+    catalog: DataFrame,
+    kinds: list[str] | None = None,
+    min_similarity: float = 0.6,
+    prune: bool = False,
+) -> DataFrame:
+    """(key, hits, key_rows) for every distinct key some source can answer.
+
+    A title set that a source holds verbatim is a perfect hit there. With ``prune``, sources
+    after the first perfect one are not searched for it: the cascade would not get to them.
+    """
+    if not 0.5 < min_similarity <= 1.0:
+        raise ValueError("min_similarity must be in (0.5, 1]")
+    wanted = kinds or list(KEY_RANK)
+    held = catalog_keys(catalog, wanted)
+    exact = keys.join(held, "key").select(
+        "key", "key_rows", "source", "catalog_id", F.lit(1.0).alias("similarity")
+    )
+    hits = exact
+    if "title" in wanted:
+        is_title = F.startswith("key", F.lit("title:"))
+        n_sources = len(P.SOURCE_RANKS)
+        first = exact.filter(is_title).groupBy("key").agg(
+            F.min(_rank_of(F.col("source"))).alias("first_rank"),
+            F.collect_set("source").alias("covered"),
+        )
+        asked = keys.filter(is_title).join(first, "key", "left").withColumn(
+            "below", F.coalesce("first_rank", F.lit(n_sources)) if prune else F.lit(n_sources)
+        )
+        open_keys = asked.filter(F.col("below") > 0)
+        found = similar_titles(
+            open_keys.select("key", "below"), held.filter(is_title), min_similarity
+        )
+        best = found.groupBy("key", "source").agg(
+            F.min_by(
+                F.struct("catalog_id", "similarity"),
+                F.struct((-F.col("similarity")).alias("s"), F.col("catalog_id")),
+            ).alias("b")
+        )
+        fuzzy = best.join(
+            open_keys.select("key", "key_rows", "covered"), "key"
+        ).filter(
+            ~F.coalesce(F.array_contains("covered", F.col("source")), F.lit(False))
+        ).select("key", "key_rows", "source", "b.catalog_id", "b.similarity")
+        hits = exact.unionByName(fuzzy)
+    rows = catalog.select("source", "catalog_id", _meta().alias("meta"))
+    kind = F.substring_index("key", ":", 1)
+    key_rank = F.when(kind == "doi", 0).when(kind == "arxiv", 1).otherwise(2)
+    hit = F.struct(
+        _rank_of(F.col("source")).alias("source_rank"), key_rank.alias("key_rank"), F.col("source"),
+        F.col("catalog_id"), F.col("similarity"), F.col("meta"),
+    )
+    return (
+        hits.join(rows, ["source", "catalog_id"])
+        .groupBy("key")
+        .agg(F.collect_list(hit).alias("hits"), F.max("key_rows").alias("key_rows"))
+    )
+
+
+def hits_by_key(
+    refs: DataFrame,
+    catalog: DataFrame,
+    kinds: list[str] | None = None,
+    min_similarity: float = 0.6,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """References with the hits of each of their keys (paper_id, ref_id, key, hits)."""
+    keyed = ref_keys(refs, kinds)
+    keys = key_counts(keyed, "key")
+    found = resolve_keys(keys, catalog, kinds, min_similarity)
+    return attach_by_key(keyed, found, keys, "key", ["paper_id", "ref_id"], hot_rows=hot_rows)
+
+
+def exact_lookup(refs: DataFrame, catalog: DataFrame, kind: str, **opts) -> DataFrame:
+    """Hits under an exact DOI (all sources) or arXiv id: one row per hit."""
+    return _hit_rows(hits_by_key(refs, catalog, [kind], **opts))
+
+
+def title_search(refs: DataFrame, catalog: DataFrame, **opts) -> DataFrame:
+    """Per source the most similar title above the floor: one row per hit.
+
+    Distinct token sets stand for all references that share them, so a title cited by a
+    third of the corpus is searched once. Ties: smallest catalog id.
+    """
+    return _hit_rows(hits_by_key(refs, catalog, ["title"], **opts))
+
+
+def _hit_rows(df: DataFrame) -> DataFrame:
+    return each(df, ["paper_id", "ref_id"], "hits", "h").select("paper_id", "ref_id", "h.*")
 
 
 # --- cascade ----------------------------------------------------------------
 
 
-def _failures(refs: DataFrame, errors: DataFrame, hot_rows: int) -> DataFrame:
-    """Refs with ``failed``: (source_rank, key_rank) pairs whose lookup was an error."""
-    rank = F.create_map(*[F.lit(x) for kv in P.SOURCE_RANKS.items() for x in kv])
-    out = refs
-    for kind, column in (
-        ("doi", doi_key(F.col("doi"))),
-        ("arxiv", F.lower(F.col("arxiv_id"))),
-        ("title", search_text(F.col("title"), F.col("authors"), F.col("raw"))),
-    ):
-        name = f"_{kind}_fail_key"
-        keyed = out.withColumn(name, column)
-        lowered = F.col("key") if kind == "title" else F.lower(F.col("key"))
-        fails = (
-            errors.filter(F.col("key_kind") == kind)
-            .select(
-                lowered.alias(name),
-                F.struct(
-                    F.try_element_at(rank, F.col("source")).alias("source_rank"),
-                    F.lit(KEY_RANK[kind]).alias("key_rank"),
-                ).alias("f"),
-            )
-            .groupBy(name)
-            .agg(F.collect_set("f").alias(f"_{kind}_failed"))
-        )
-        keys = key_counts(keyed, name)
-        out = attach_by_key(
-            keyed, keys.join(fails, name), keys, name, ["paper_id", "ref_id"], hot_rows=hot_rows
-        ).drop(name)
-    empty = F.array().cast("array<struct<source_rank:int,key_rank:int>>")
-    cols = ["_doi_failed", "_arxiv_failed", "_title_failed"]
-    return out.withColumn(
-        "failed", F.concat(*[F.coalesce(F.col(c), empty) for c in cols])
-    ).drop(*cols)
+def failed_keys(errors: DataFrame) -> DataFrame:
+    """(key, failed) from (source, key_kind, key) lookups that were errors."""
+    kind = F.col("key_kind")
+    key = F.when(kind == "title", title_key(F.col("key"))).otherwise(F.lower("key"))
+    rank = F.when(kind == "doi", 0).when(kind == "arxiv", 1).otherwise(2)
+    row = F.struct(_rank_of(F.col("source")).alias("source_rank"), rank.alias("key_rank"))
+    return (
+        errors.select(F.concat(kind, F.lit(":"), key).alias("key"), row.alias("f"))
+        .groupBy("key")
+        .agg(F.collect_set("f").alias("failed"))
+    )
 
 
 def lookup_refs(
@@ -250,38 +285,26 @@ def lookup_refs(
     DOI beats arXiv id beats title. ``key_major`` prefers the key kind over the source. A
     source whose lookup errors before it hits counts as errored; only three errored
     sources make the reference an ERROR.
+
+    References are read twice (distinct keys, join back) and exchanged twice (by key, by
+    reference); pass a stored table when they are costly to compute.
     """
-    # Metadata travels without abstracts; they are looked up again by DOI where needed.
-    slim = catalog.withColumn("abstract", F.lit(None).cast("string"))
-    step = exact_lookup(refs, slim, "doi", hot_rows)
-    step = exact_lookup(step, slim, "arxiv", hot_rows)
-    # A hit in the first source under the first key is final: no title search for it.
-    final = F.exists(
-        F.coalesce("doi_hits", F.array().cast(step.schema["doi_hits"].dataType)),
-        lambda h: h["source_rank"] == 0,
-    )
-    done = F.coalesce(final, F.lit(False))
-    if key_major:
-        done = F.col("doi_hits").isNotNull() | F.col("arxiv_hits").isNotNull()
+    keyed = ref_keys(refs)
+    keys = key_counts(keyed, "key")
+    found = resolve_keys(keys, catalog, None, min_similarity, prune=errors is None)
     if errors is None:
-        # Masking title and raw keeps one narrow pass: masked rows have no search key.
-        masked = step.select(
-            *[c for c in step.columns if c not in ("title", "raw")],
-            F.struct("title", "raw").alias("_kept"),
-            F.when(~done, F.col("title")).alias("title"),
-            F.when(~done, F.col("raw")).alias("raw"),
-        )
-        step = title_search(masked, slim, min_similarity, hot_rows)
-        step = step.drop("title", "raw").select("*", "_kept.title", "_kept.raw").drop("_kept")
-        failed = F.array().cast("array<struct<source_rank:int,key_rank:int>>")
+        found = found.withColumn("failed", F.array().cast(FAILED))
     else:
-        step = _failures(title_search(step, slim, min_similarity, hot_rows), errors, hot_rows)
-        failed = F.col("failed")
-    kind = step.schema["title_hits"].dataType
-    hits = F.concat(
-        *[F.coalesce(F.col(f"{k}_hits"), F.array().cast(kind)) for k in ("doi", "arxiv", "title")]
+        bad = keys.join(failed_keys(errors), "key")
+        found = found.join(bad.withColumnRenamed("key_rows", "bad_rows"), "key", "full").select(
+            "key", "hits", "failed", F.coalesce("key_rows", "bad_rows").alias("key_rows")
+        )
+    joined = attach_by_key(keyed, found, keys, "key", ["paper_id", "ref_id"], hot_rows=hot_rows)
+    # At most three keys with at most three hits each.
+    gathered = joined.groupBy("paper_id", "ref_id").agg(
+        F.flatten(F.collect_list(F.coalesce("hits", F.array().cast(HIT)))).alias("hits"),
+        F.flatten(F.collect_list(F.coalesce("failed", F.array().cast(FAILED)))).alias("failed"),
     )
-    gathered = step.select("paper_id", "ref_id", hits.alias("hits"), failed.alias("failed"))
     # An error under an earlier key hides later hits of the same source.
     valid = F.filter(
         "hits",
@@ -295,31 +318,31 @@ def lookup_refs(
         if key_major
         else (lambda h: h["source_rank"] * 10 + h["key_rank"])
     )
-    ranked = gathered.select("paper_id", "ref_id", valid.alias("valid"), "failed").select(
-        "paper_id",
-        "ref_id",
-        F.array_min(F.transform("valid", order)).alias("best"),
-        "valid",
-        F.size(F.array_distinct(F.transform("failed", lambda f: f["source_rank"]))).alias("n_failed"),
-    )
-    picked = ranked.select(
-        "paper_id",
-        "ref_id",
-        F.get(F.filter("valid", lambda h: order(h) == F.col("best")), F.lit(0)).alias("hit"),
-        "n_failed",
+    best = T.let(
+        valid,
+        lambda v: F.get(
+            F.array_sort(
+                F.transform(v, lambda h: F.struct(order(h).alias("k"), h.alias("h")))
+            ),
+            F.lit(0),
+        )["h"],
     )
+    n_failed = F.size(F.array_distinct(F.transform("failed", lambda f: f["source_rank"])))
+    picked = gathered.select("paper_id", "ref_id", best.alias("hit"), n_failed.alias("n_failed"))
     status = (
         F.when(F.col("hit").isNotNull(), F.lit("FOUND"))
         .when(F.col("n_failed") == len(P.SOURCE_RANKS), F.lit("ERROR"))
         .otherwise(F.lit("NOT_FOUND"))
     )
-    return picked.select(
-        "paper_id",
-        "ref_id",
-        status.alias("status"),
-        F.coalesce("hit.source", F.lit("none")).alias("source"),
-        F.col("hit.meta").dropFields("abstract").alias("meta"),
-        F.when(status == "ERROR", F.lit("all sources errored")).alias("error"),
+    return settled(
+        picked.select(
+            "paper_id",
+            "ref_id",
+            status.alias("status"),
+            F.coalesce("hit.source", F.lit("none")).alias("source"),
+            F.col("hit.meta").alias("meta"),
+            F.when(status == "ERROR", F.lit("all sources errored")).alias("error"),
+        )
     )
 
 
@@ -460,7 +483,7 @@ def abstracts_by_id(refs: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROW
         & (F.coalesce(T.strip(F.col("abstract")), F.lit("")) != "")
     )
     out = refs.select("paper_id", "ref_id", "doi", "arxiv_id")
-    for kind, column in (("doi", doi_key(F.col("doi"))), ("arxiv", F.lower(F.col("arxiv_id")))):
+    for kind, column in (("doi", F.lower(F.col("doi"))), ("arxiv", F.lower(F.col("arxiv_id")))):
         name = f"_{kind}_key"
         keyed = out.withColumn(name, column)
         table = (

@@ -28,6 +28,16 @@ def build_session(app: str = "peerlight", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a source over the cores when it came in fewer partitions than there are.
+
+    Parsing is the costliest step and narrow, so a source of a few large row groups would
+    keep most cores idle. A real corpus has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's checkpoint folder, else a local one (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
