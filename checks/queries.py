@@ -918,7 +918,7 @@ def _(spark, sf_dir):
 
 
 @query("j16_match_authors", f"""
-SELECT a.paper_id, a.queried_name, CASE WHEN k % 3 <> 0 THEN '0000-0002-1825-009' || CASE WHEN k % 2 = 0 THEN 'X' ELSE '7' END END AS orcid_id,
+SELECT paper_id, queried_name, CASE WHEN k % 3 <> 0 THEN '0000-0002-1825-009' || CASE WHEN k % 2 = 0 THEN 'X' ELSE '7' END END AS orcid_id,
   queried_name AS matched_name, CASE WHEN k % 4 = 0 THEN 'MIT' WHEN k % 4 = 1 THEN 'ETH' END AS institution, {dbl(1)} AS confidence
 FROM (SELECT 'p-' || p_partkey AS paper_id, p_partkey % 26 AS r FROM part) a
 JOIN (SELECT name AS queried_name, k, k % 26 AS r, row_number() OVER (PARTITION BY name ORDER BY k) AS rn FROM {PEOPLE}) n USING (r)
@@ -1045,7 +1045,7 @@ def _(spark, sf_dir):
     stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream.createOrReplaceTempView("event_stream")
     usage = spark.sql(
-        f"SELECT ts AS timestamp, {_NAMED} AS model, event_id % 977 AS prompt_tokens, event_id % 313 AS completion_tokens, value AS cost_usd FROM event_stream"
+        f"SELECT CAST(ts AS TIMESTAMP) AS timestamp, {_NAMED} AS model, event_id % 977 AS prompt_tokens, event_id % 313 AS completion_tokens, value AS cost_usd FROM event_stream"
     )
     name = "costs_" + uuid.uuid4().hex[:8]
     run = (
@@ -1056,3 +1056,504 @@ def _(spark, sf_dir):
     return spark.table(name).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "model", "cost_usd", "tokens", "n_calls"
     )
+
+
+@query("r39_name_similarity", f"""
+SELECT p_partkey, k, CASE WHEN len(a) = 0 OR len(b) = 0 THEN {dbl(0)} ELSE greatest(len(list_intersect(a, b)) / {dbl('len(a)')},
+  len(list_intersect(a, b)) / {dbl('len(list_distinct(list_concat(a, b)))')}) END AS score
+FROM (SELECT p_partkey, k, list_distinct(regexp_extract_all(lower(p_name), '[A-Za-z][A-Za-z\\-'']+')) AS a,
+  list_distinct(regexp_extract_all(lower(name || ' ' || p_name2), '[A-Za-z][A-Za-z\\-'']+')) AS b
+  FROM (SELECT p.p_partkey, n.k, p.p_name, n.name, r.p_name AS p_name2 FROM part p JOIN {PEOPLE} n ON n.k = p.p_partkey % 100 JOIN part r ON r.p_partkey = n.k))
+""")
+def _(spark, sf_dir):
+    for name in ("part", "supplier"):
+        corpus.table(spark, sf_dir, name).createOrReplaceTempView(name)
+    pairs = spark.sql(
+        f"SELECT p.p_partkey, n.k, p.p_name, concat(n.name, ' ', r.p_name) AS other FROM part p JOIN {PEOPLE} n ON n.k = p.p_partkey % 100 JOIN part r ON r.p_partkey = n.k"
+    )
+    return pairs.select(
+        "p_partkey", "k", AU.name_similarity(T.name_words(F.col("p_name")), T.name_words(F.col("other"))).alias("score")
+    )
+
+
+# --- fairness ---------------------------------------------------------------------
+
+
+def _scored(spark, sf_dir):
+    """Documents as records: quality is the adjusted total, language the group."""
+    d = _docs(spark, sf_dir).select("doc_id", "lang", "source", T.word_count(F.col("text")).alias("word_count"))
+    lab = corpus.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("rubric_adjusted_total"))
+    return d.join(lab, "doc_id")
+
+
+_RATES = "SELECT lang AS label, count(*) AS n, count(*) FILTER (WHERE quality >= 0.55) AS positive FROM scored GROUP BY 1"
+_DI = f"""SELECT n_groups, reference_group, {rx(f"CASE WHEN hi > 0 THEN lo / hi ELSE {dbl(1)} END")} AS di_ratio,
+  (CASE WHEN hi > 0 THEN lo / hi ELSE {dbl(1)} END) < 0.8 AS flagged_4_5ths_rule, '' AS notes, rates
+FROM (SELECT count(*) AS n_groups, arg_min(label, {{'a': -r, 'b': label}}) AS reference_group, max(r) AS hi, min(r) AS lo,
+  string_agg(label || ':' || positive || '/' || n, ',' ORDER BY label) AS rates FROM (SELECT *, positive / {dbl('n')} AS r FROM ({{src}})))"""
+
+
+def _rates_text(c):
+    return F.array_join(
+        F.transform(c, lambda g: F.concat(g["label"], F.lit(":"), g["positive"].cast("string"), F.lit("/"), g["n"].cast("string"))), ","
+    )
+
+
+@query("a11_disparate_impact", _DI.replace("{src}", _RATES))
+def _(spark, sf_dir):
+    out = fairness.disparate_impact(_scored(spark, sf_dir), F.col("lang"), F.col("rubric_adjusted_total"), 0.55)
+    return out.withColumn("rates", _rates_text(F.col("group_rates"))).drop("group_rates")
+
+
+_PEARSON = """
+SELECT count(*) AS n, CASE WHEN stddev_pop(word_count) = 0 OR stddev_pop(quality) = 0 THEN 0 ELSE round(corr(word_count, quality), 3) END AS r FROM scored
+"""
+
+
+@query("a12_length_score_corr", """
+SELECT abs(p - want) < 0.0001 AS close, note FROM (SELECT want, want AS p, 'Pearson over ' || n || ' records.' AS note
+  FROM (SELECT corr(word_count, quality) AS want, count(*) AS n FROM scored))
+""")
+def _(spark, sf_dir):
+    # The rounded value is held against Spark's own corr; the twin pins the note.
+    rec = _scored(spark, sf_dir)
+    out = fairness.length_score_corr(rec)
+    want = rec.agg(F.corr("word_count", "rubric_adjusted_total").alias("w"))
+    return out.select(
+        (F.abs(F.col("length_score_pearson") - want.scalar()) < 0.0001).alias("close"),
+        F.col("length_score_rationale").alias("note"),
+    )
+
+
+_MEDIAN = "(SELECT wcs[n // 2 + 1] AS median FROM (SELECT list(word_count ORDER BY word_count) AS wcs, count(*) AS n FROM scored))"
+
+
+@query("a13_length_groups", f"SELECT doc_id, word_count, CASE WHEN word_count > median THEN 'long' ELSE 'short' END AS length_group FROM scored, {_MEDIAN}")
+def _(spark, sf_dir):
+    return fairness.length_groups(_scored(spark, sf_dir)).select("doc_id", "word_count", "length_group")
+
+
+_LRATES = f"SELECT CASE WHEN word_count > median THEN 'long' ELSE 'short' END AS label, count(*) AS n, count(*) FILTER (WHERE quality >= 0.55) AS positive FROM scored, {_MEDIAN} GROUP BY 1"
+
+
+@query("a14_fairness_report", f"""
+SELECT s.n AS n_records, 'Pearson over ' || s.n || ' records.' AS length_score_rationale, d.reference_group, d.di_ratio, d.flagged_4_5ths_rule, d.rates, {dbl(0.55)} AS accept_threshold
+FROM (SELECT count(*) AS n FROM scored) s, ({_DI.replace('{src}', _LRATES)}) d
+""")
+def _(spark, sf_dir):
+    d = lambda n: F.col(f"length_disparate_impact.{n}")
+    return fairness.fairness_report(_scored(spark, sf_dir)).select(
+        "n_records", "length_score_rationale", d("reference_group").alias("reference_group"),
+        d("di_ratio").alias("di_ratio"), d("flagged_4_5ths_rule").alias("flagged_4_5ths_rule"),
+        _rates_text(d("group_rates")).alias("rates"), "accept_threshold",
+    )
+
+
+# --- quality ----------------------------------------------------------------------
+
+
+@query("a17_reference_recall", f"""
+SELECT count(*) AS n_gold, count(k.key) AS n_found, count(k.key) / {dbl('count(*)')} AS recall
+FROM (SELECT 'doc-' || d AS paper_id, CASE WHEN abs(c) % 5 = 1 THEN {corpus.work_arxiv('c')} ELSE '10.5555/work.' || c END AS key
+  FROM (SELECT d, unnest(list_transform(range(1, d % 13 + 1), lambda i: {corpus.CITED})) AS c FROM (SELECT doc_id AS d FROM documents))
+  WHERE abs(c) % 5 IN (0, 1, 4)) g
+LEFT JOIN (SELECT DISTINCT paper_id, unnest([lower(doi), lower(arxiv_id)]) AS key FROM refs) k USING (paper_id, key)
+""")
+def _(spark, sf_dir):
+    corpus.register(spark, sf_dir)
+    gold = spark.sql(f"""
+      SELECT concat('doc-', d) AS paper_id, CASE WHEN abs(c) % 5 <> 1 THEN concat('10.5555/work.', c) END AS doi,
+        CASE WHEN abs(c) % 5 = 1 THEN {corpus.work_arxiv('c')} END AS arxiv_id
+      FROM (SELECT doc_id AS d, explode(transform(sequence(1, CAST(doc_id % 13 AS INT)), i -> {corpus.CITED.replace('d ', 'doc_id ')})) AS c
+            FROM documents WHERE doc_id % 13 > 0)
+      WHERE abs(c) % 5 IN (0, 1, 4)""")
+    return quality.keyed_reference_recall(_refs(spark, sf_dir), gold)
+
+
+@query("a17_entailment_accuracy", f"""
+SELECT count(*) AS n_pairs, count(*) FILTER (WHERE (verdict = 'SUPPORTED') = supported) AS n_right,
+  count(*) FILTER (WHERE (verdict = 'SUPPORTED') = supported) / {dbl('count(*)')} AS accuracy
+FROM (SELECT verdict, doc_id % 2 = 0 AS supported FROM ({ORACLES['r38_keyword_entailment']}))
+""")
+def _(spark, sf_dir):
+    verdicts = QUERIES["r38_keyword_entailment"](spark, sf_dir)
+    return quality.entailment_accuracy(verdicts.withColumn("supported", F.col("doc_id") % 2 == 0))
+
+
+@query("a17_fabrication_catch", """
+SELECT count(*) FILTER (WHERE fake) AS n_fake, count(*) FILTER (WHERE fake AND status = 'NOT_FOUND') AS n_caught,
+  count(*) FILTER (WHERE NOT fake) AS n_real, count(*) FILTER (WHERE NOT fake AND status = 'NOT_FOUND') AS n_false_alarms
+FROM (SELECT l.status, NOT EXISTS (SELECT 1 FROM cat c WHERE lower(c.doi) = lower(r.doi)) AS fake FROM refs r JOIN look l USING (paper_id, ref_id) WHERE r.doi IS NOT NULL)
+""")
+def _(spark, sf_dir):
+    refs, cat = _ref_catalog(spark, sf_dir)
+    real = cat.filter("doi is not null").select(F.lower("doi").alias("k")).distinct()
+    gold = refs.filter("doi is not null").withColumn("k", F.lower("doi")).join(
+        real.withColumn("real", F.lit(True)), "k", "left"
+    ).select("paper_id", "ref_id", F.col("real").isNull().alias("fake"))
+    return quality.catch_rate(C.lookup_refs(refs, cat), gold)
+
+
+# --- contracts --------------------------------------------------------------------
+
+
+@query("r34_contract_violations", """
+SELECT doc_id, unnest(list_filter([CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence_in_unit_range' END,
+  CASE WHEN severity NOT IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN 'severity_domain' END, CASE WHEN char_start < 0 THEN 'span_start_non_negative' END,
+  CASE WHEN char_end < char_start THEN 'span_ordered' END], lambda x: x IS NOT NULL)) AS rule
+FROM (SELECT doc_id, (doc_id % 13) / 10.0 AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'SEVERE' ELSE 'HIGH' END AS severity,
+  doc_id % 4 - 1 AS char_start, n_chars % 3 AS char_end FROM documents)
+""")
+def _(spark, sf_dir):
+    c = F.col
+    rows = _docs(spark, sf_dir).select(
+        "doc_id", ((c("doc_id") % 13) / 10.0).alias("confidence"),
+        F.when(c("doc_id") % 5 == 0, F.lit("SEVERE")).otherwise(F.lit("HIGH")).alias("severity"),
+        (c("doc_id") % 4 - 1).alias("char_start"), (c("n_chars") % 3).alias("char_end"),
+    )
+    return contracts.contract_violations(rows).select("doc_id", "rule")
+
+
+# --- evaluation and what-if ---------------------------------------------------------
+
+
+@query("v14_evaluate_papers", f"""
+SELECT c.paper_id, c.config_id, h.config_hash, f.title, f.word_count, f.n_refs, c.triage, c.n_passed, c.n_checks, c.issues,
+  d.methodology, d.limitations, d.reproducibility, d.logical_soundness, r.raw_total, r.bias_adjusted_total, o.composite, o.recommendation, 0 AS total_claims
+FROM comp c JOIN facts f USING (paper_id) JOIN dep d USING (paper_id) JOIN rub r USING (paper_id, config_id)
+JOIN hashes h USING (config_id) JOIN compo o USING (paper_id, config_id)
+""")
+def _(spark, sf_dir):
+    review = R.evaluate_papers(_papers(spark, sf_dir), metadata=corpus.metadata(spark, sf_dir))
+    return review.evaluations.select(
+        "paper_id", "config_id", "config_hash", "title", "word_count", "n_refs", "triage", "n_passed", "n_checks",
+        _joined("issues").alias("issues"), "methodology", "limitations", "reproducibility", "logical_soundness",
+        "raw_total", "bias_adjusted_total", "composite", "recommendation", "total_claims",
+    )
+
+
+def _full(spark, sf_dir):
+    return R.evaluate_papers(
+        _papers(spark, sf_dir), catalog=corpus.catalog(spark, sf_dir), infer=model.replies,
+        metadata=corpus.metadata(spark, sf_dir),
+        options=R.Options(
+            current_year=2020, max_age=20, provider="check", run_id="check-" + uuid.uuid4().hex[:12],
+            created_at="2024-01-01 00:00:00",
+        ),
+    )
+
+
+_FULL_COLS = "paper_id, config_id, triage, total_claims, verified_count, hallucination_count, mean_confidence, raw_total, bias_adjusted_total, composite, recommendation"
+
+
+@query("v14_full_review", f"""
+SELECT {_FULL_COLS} FROM led_cfg JOIN rub_full USING (paper_id, config_id) JOIN compo_full USING (paper_id, config_id)
+""")
+def _(spark, sf_dir):
+    return _full(spark, sf_dir).evaluations.select(*_FULL_COLS.split(", "))
+
+
+@query("j17_scored_dims", "SELECT paper_id, config_id, dim_pos, name, score, max_score, weight, rationale FROM dims_full")
+def _(spark, sf_dir):
+    return RU.rubric_dims(_full(spark, sf_dir).evaluations)
+
+
+@query("r21b_parse_entailment", f"""
+SELECT conv_id, turn, CASE WHEN r = 2 THEN NULL WHEN r = 1 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS verdict,
+  CASE r WHEN 0 THEN {dbl(0.9)} WHEN 1 THEN {dbl(0.5)} WHEN 3 THEN {dbl(1)} WHEN 4 THEN {dbl(0.65)} END AS confidence,
+  CASE r WHEN 0 THEN 'it says no' WHEN 4 THEN 'weak' WHEN 2 THEN NULL ELSE '' END AS rationale
+FROM (SELECT conv_id, turn, length(text) % 5 AS r FROM conversations)
+""")
+def _(spark, sf_dir):
+    turns = corpus.table(spark, sf_dir, "conversations")
+    prompt = F.concat(F.lit("Claim: "), F.col("text"), F.lit("\n\nAbstract of cited paper:"))
+    said = turns.select("conv_id", "turn", model.entailment_reply(prompt).alias("text"))
+    return EN.parse_entailment(said).select("conv_id", "turn", "parsed.verdict", "parsed.confidence", "parsed.rationale")
+
+
+@query("r20_rubric_prompts", f"""
+SELECT c.paper_id, c.config_id, sha256('Paper title: ' || f.title || chr(10) || chr(10) || 'Abstract:' || chr(10) || substr(coalesce(f.abstract, ''), 1, 1500)
+  || chr(10) || chr(10) || 'Key signals (from earlier pipeline stages):' || chr(10) || '- Total claims extracted: 0' || chr(10) || '- Verified claim fraction: 0.00'
+  || chr(10) || '- Hallucination flag count: 0' || chr(10) || '- Mean verification confidence: 0.00' || chr(10) || '- Methodology score: ' || {fx('d.methodology', 2)}
+  || chr(10) || '- Limitations score: ' || {fx('d.limitations', 2)} || chr(10) || '- Reproducibility score: ' || {fx('d.reproducibility', 2)} || chr(10) || chr(10)
+  || 'Section excerpts (each truncated to 500 chars):' || chr(10) || coalesce(e.ex, '(no key sections found)') || chr(10) || chr(10) || 'Dimensions to score:' || chr(10)
+  || CASE c.config_id {' '.join('WHEN ' + q(n) + ' THEN ' + q(chr(10).join('- "' + x['name'] + '" (max ' + str(x['max_score']) + '): ' + x['description'] for x in O.SHIPPED[n]['rubric']['dimensions'])) for n in O.VENUES)} END
+  || chr(10) || chr(10) || 'Return the JSON now.') AS prompt_hash
+FROM comp c JOIN facts f USING (paper_id) JOIN dep d USING (paper_id)
+LEFT JOIN (SELECT paper_id, string_agg('### ' || title || chr(10) || replace(substr(text, 1, 500), chr(10), ' '), chr(10) || chr(10) ORDER BY ord) AS ex
+  FROM secs WHERE {O.has_any('tl', RR.KEY_SECTIONS)} GROUP BY 1) e USING (paper_id)
+""")
+def _(spark, sf_dir):
+    parsed = _parsed_meta(spark, sf_dir)
+    rows = R.with_ledger(R.triaged(parsed), None).drop("title", "abstract")
+    return RR.rubric_requests(parsed, rows).select("paper_id", "config_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query("r20_entailment_prompts", """
+SELECT paper_id, claim_id, ref_pos, sha256('Claim: ' || claim_text || chr(10) || chr(10) || 'Abstract of cited paper:' || chr(10) || '---' || chr(10) || abstract
+  || chr(10) || '---' || chr(10) || chr(10) || 'Return JSON now.') AS prompt_hash FROM pairs WHERE abstract IS NOT NULL
+""")
+def _(spark, sf_dir):
+    return EN.entailment_requests(_pairs(spark, sf_dir)).select(
+        "paper_id", "claim_id", "ref_pos", F.sha2("prompt", 256).alias("prompt_hash")
+    )
+
+
+def _scores(spark, sf_dir):
+    return _sub(_heuristic(spark, sf_dir))
+
+
+def _w(weights: dict) -> dict:
+    return {k: dbl(v) for k, v in weights.items()}
+
+
+_PRE = whatif.preset_sets()
+
+
+@query("v6_reweight", " UNION ALL ".join(
+    f"""SELECT *, {rx('new_composite - original_composite')} AS delta, {O.recommendation('original_composite')} AS recommendation_before,
+    {O.recommendation('new_composite')} AS recommendation_after FROM (SELECT paper_id, config_id, '{n}' AS weight_set, composite AS original_composite,
+    {rx(O.composite(O.V, _w(w)))} AS new_composite FROM compo)"""
+    for n, w in [("heavy", {**P.DEFAULT_WEIGHTS, "depth": 0.9}), ("content-only", _PRE["content-only"])]
+))
+def _(spark, sf_dir):
+    out = whatif.reweight(_scores(spark, sf_dir), {"heavy": {"depth": 0.9}, "content-only": _PRE["content-only"]})
+    return out.drop("set_ord", "breakdown", "weights")
+
+
+@query("v8_sweep", f"""
+SELECT paper_id, config_id, step, weight, composite, recommendation,
+  coalesce(recommendation <> lag(recommendation) OVER (PARTITION BY paper_id, config_id ORDER BY step), FALSE) AS flips
+FROM (SELECT *, {O.recommendation('composite')} AS recommendation FROM (
+  SELECT paper_id, config_id, step, {dbl(0)} + step * {dbl(0.1)} AS weight,
+    {rx(O.composite(O.V, {**O.W, 'compliance': f'({dbl(0)} + step * {dbl(0.1)})'}))} AS composite
+  FROM sub, (SELECT unnest(range(0, 5)) AS step)))
+""")
+def _(spark, sf_dir):
+    return whatif.sweep(_scores(spark, sf_dir), "compliance", 0.0, 0.4, 0.1)
+
+
+_TRY = ", ".join(f"{rx(O.composite(O.V, _w(_PRE[n])))} AS t{i}" for i, n in enumerate(P.TIPPING_ORDER))
+_FIRST = " ".join(f"WHEN t{i} >= {dbl(0.55)} THEN {i}" for i in range(5))
+_BEST = " ".join(f"WHEN t{i} = greatest(t0, t1, t2, t3, t4) THEN {i}" for i in range(5))
+
+
+@query("v9_tipping_point", f"""
+SELECT paper_id, config_id, reached, [{', '.join(q(n) for n in P.TIPPING_ORDER)}][pick + 1] AS preset, [t0, t1, t2, t3, t4][pick + 1] AS composite,
+  {O.recommendation('[t0, t1, t2, t3, t4][pick + 1]')} AS recommendation
+FROM (SELECT *, greatest(t0, t1, t2, t3, t4) >= {dbl(0.55)} AS reached, CASE {_FIRST} ELSE CASE {_BEST} END END AS pick FROM (SELECT paper_id, config_id, {_TRY} FROM sub))
+""")
+def _(spark, sf_dir):
+    return whatif.tipping_point(_scores(spark, sf_dir), "WEAK_ACCEPT")
+
+
+_EXPL = " UNION ALL ".join(
+    f"""SELECT paper_id, config_id, {i} AS stage_pos, '{k}' AS stage, {rx(k)} AS value, {O.W[k]} AS weight, {rx(f'{k} * {O.W[k]}')} AS weighted,
+    coalesce(repeat('█', CAST(floor({k} * 10 + {dbl(1e-9)}) AS INT)) || repeat('░', 10 - CAST(floor({k} * 10 + {dbl(1e-9)}) AS INT)), '──────────') AS bar,
+    weakest = '{k}' AS is_weakest, composite FROM expl"""
+    for i, k in enumerate(P.SCORING_KEYS)
+)
+
+
+@query("v10_explain", f"""
+SELECT * FROM ({_EXPL.replace('FROM expl', '''FROM (SELECT *, CASE WHEN compliance = least(compliance, depth, rubric) THEN 'compliance'
+  WHEN depth = least(compliance, depth, rubric) THEN 'depth' ELSE 'rubric' END AS weakest FROM compo)''')})
+""")
+def _(spark, sf_dir):
+    return whatif.explain(_scores(spark, sf_dir))
+
+
+_SIDE = " UNION ALL ".join(
+    [f"SELECT paper_id, config_id, {i} AS row_ord, '{k}' AS stage, coalesce({fx(k, 2)}, '_skipped_') AS value_a, coalesce({fx(k, 2)}, '_skipped_') AS value_b FROM sub" for i, k in enumerate(P.SCORING_KEYS)]
+    + [f"SELECT paper_id, config_id, 4, 'composite', {fx(rx(O.composite(O.V, O.W)), 2)}, {fx(rx(O.composite(O.V, _w(_PRE['rubric-heavy']))), 2)} FROM sub",
+       f"SELECT paper_id, config_id, 5, 'recommendation', {O.recommendation('a')}, {O.recommendation('b')} FROM (SELECT paper_id, config_id, {rx(O.composite(O.V, O.W))} AS a, {rx(O.composite(O.V, _w(_PRE['rubric-heavy'])))} AS b FROM sub)"]
+)
+
+
+@query("v11_side_by_side", _SIDE)
+def _(spark, sf_dir):
+    return whatif.side_by_side(_scores(spark, sf_dir), "defaults", "rubric-heavy")
+
+
+_CONF = rx(f"greatest({dbl(0)}, least({dbl(1)}, {dbl(0.35)} * coalesce((l.verified_count + l.hallucination_count) / {dbl('nullif(l.total_claims, 0)')}, {dbl(0)}) + {dbl(0.35)} * ((d.methodology + d.limitations + d.reproducibility + d.logical_soundness) / {dbl(4)}) + {dbl(0.3)} * (CASE WHEN l.triage = 'PASS' THEN {dbl(1)} ELSE {dbl(0.5)} END)))")
+
+
+@query("a16_reviewer_confidence", f"SELECT l.paper_id, l.config_id, {_CONF} AS reviewer_confidence FROM led_cfg l JOIN dep d USING (paper_id)")
+def _(spark, sf_dir):
+    return drafts.review_drafts(_full(spark, sf_dir).evaluations).select("paper_id", "config_id", "reviewer_confidence")
+
+
+def _dim_line(label):
+    return f"'{label} ' || name || ': ' || {fx('score', 2)} || '/' || CAST(max_score AS VARCHAR) || CASE WHEN rationale <> '' THEN ' — ' || rationale ELSE '' END"
+
+
+_DRAFT = f"""
+SELECT l.paper_id, l.config_id,
+  f.title || '. ' || CASE WHEN coalesce(f.abstract, '') = '' THEN 'Abstract not available.' WHEN length(f.abstract) < 600 THEN f.abstract
+    ELSE regexp_replace(substr(f.abstract, 1, 600), ' [^ ]*$', '') || '...' END AS summary,
+  concat_ws(' ## ', top.t, CASE WHEN d.reproducibility >= 0.75 THEN 'Reproducibility signals are strong (code/data/hyperparameter references present).' END,
+    CASE WHEN l.triage = 'PASS' THEN 'All compliance checks pass (sections, references, ethics).' END) AS strengths,
+  concat_ws(' ## ', c.weak_issues, CASE WHEN l.hallucination_count > 0 THEN l.hallucination_count || ' claim(s) reference citations that could not be verified or were found to contradict the cited abstract.' END,
+    low.t, CASE WHEN d.limitations < 0.3 THEN 'Limitations / broader-impact discussion is thin or missing.' END) AS weaknesses,
+  CASE WHEN l.triage = 'FAIL' THEN '' ELSE coalesce(qs.q, '') END AS questions,
+  CASE WHEN l.triage = 'FAIL' THEN '' ELSE coalesce(fl.ids, '') END AS flagged_citations
+FROM led_cfg l JOIN facts f USING (paper_id) JOIN dep d USING (paper_id)
+JOIN (SELECT paper_id, config_id, string_agg('Compliance: ' || issue, ' ## ' ORDER BY check_seq) AS weak_issues FROM checks GROUP BY 1, 2) c USING (paper_id, config_id)
+LEFT JOIN (SELECT paper_id, config_id, string_agg({_dim_line('Strong')}, ' ## ' ORDER BY rn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, config_id ORDER BY score / max_score DESC, dim_pos) AS rn FROM dims_full) WHERE rn <= 2 AND score / max_score >= 0.6 GROUP BY 1, 2) top USING (paper_id, config_id)
+LEFT JOIN (SELECT paper_id, config_id, {_dim_line('Weak')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, config_id ORDER BY score / max_score, dim_pos) AS rn FROM dims_full) WHERE rn = 1 AND score / max_score < 0.4) low USING (paper_id, config_id)
+LEFT JOIN (SELECT paper_id, string_agg(q, ' ## ' ORDER BY kind, rn) AS q FROM (
+  SELECT *, row_number() OVER (PARTITION BY paper_id, kind ORDER BY claim_seq) AS rn FROM (
+    SELECT paper_id, claim_seq, 0 AS kind, 3 AS most, 'Claim ' || claim_id || ': can the authors point to concrete evidence supporting "' || text || '"?' AS q FROM claims JOIN merged USING (paper_id, claim_id) WHERE severity = 'CRITICAL' AND NOT verified
+    UNION ALL SELECT paper_id, claim_seq, 1, 2, 'How was "' || text || '" measured? (confidence interval / variance over runs?)' FROM claims JOIN merged USING (paper_id, claim_id) WHERE claim_type = 'STATISTICAL' AND confidence < 0.3
+  )) WHERE rn <= most GROUP BY 1) qs USING (paper_id)
+LEFT JOIN (SELECT paper_id, array_to_string(list_sort(list(DISTINCT ref_id)), ',') AS ids FROM (SELECT c.paper_id, unnest(c.ref_ids) AS ref_id FROM claims c JOIN merged m USING (paper_id, claim_id) WHERE m.hallucination_flag) GROUP BY 1) fl USING (paper_id)
+"""
+
+
+def _drafts(spark, sf_dir):
+    rev = _full(spark, sf_dir)
+    flagged = verification.flagged_citations(rev.claims, rev.results)
+    return rev, drafts.review_drafts(rev.evaluations, rev.claims, rev.results, flagged)
+
+
+@query("v2_review_drafts", _DRAFT)
+def _(spark, sf_dir):
+    return _drafts(spark, sf_dir)[1].select(
+        "paper_id", "config_id", "summary", _joined("strengths").alias("strengths"), _joined("weaknesses").alias("weaknesses"),
+        _joined("questions").alias("questions"), _joined("flagged_citations", ",").alias("flagged_citations"),
+    )
+
+
+_BUL = lambda c, none: f"CASE WHEN {c} = '' THEN '- {none}' ELSE '- ' || replace({c}, ' ## ', chr(10) || '- ') END"
+_STAGE_MD = " || chr(10) || ".join(f"'| {k} | ' || coalesce({fx('s.' + k, 2)}, '_skipped_') || ' |'" for k in P.SCORING_KEYS)
+_BANNER = "CASE WHEN c.triage <> 'PASS' THEN '⚠️  Compliance ' || c.triage || ': ' || c.banner_issues || '. The composite score below does not force a recommendation — review these issues manually before accepting or rejecting.' END"
+_MD = f"""
+SELECT s.paper_id, s.config_id, coalesce('> ' || {_BANNER} || chr(10) || chr(10), '') || '## Summary' || chr(10) || v.summary || chr(10) || chr(10)
+  || '## Composite breakdown' || chr(10) || '| Stage | Subscore |' || chr(10) || '|---|---|' || chr(10) || {_STAGE_MD} || chr(10) || chr(10)
+  || '## Strengths' || chr(10) || {_BUL('v.strengths', '_None identified._')} || chr(10) || chr(10) || '## Weaknesses' || chr(10) || {_BUL('v.weaknesses', '_None identified._')}
+  || chr(10) || chr(10) || '## Questions for the authors' || chr(10) || {_BUL('v.questions', '_No questions._')} || chr(10) || chr(10)
+  || '## Overall score' || chr(10) || '- Score: **' || {fx('s.composite', 2)} || '** (0..1 scale)' || chr(10) || '- Reviewer confidence: ' || {fx('k.reviewer_confidence', 2)}
+  || chr(10) || '- Recommendation: **' || s.recommendation || '**' || CASE WHEN v.flagged_citations <> '' THEN chr(10) || chr(10) || '## Flagged citations' || chr(10)
+    || '- ' || replace(v.flagged_citations, ',', chr(10) || '- ') ELSE '' END || chr(10) AS markdown
+FROM compo_full s JOIN comp c USING (paper_id, config_id) JOIN ({_DRAFT}) v USING (paper_id, config_id)
+JOIN (SELECT l.paper_id, l.config_id, {_CONF} AS reviewer_confidence FROM led_cfg l JOIN dep d USING (paper_id)) k USING (paper_id, config_id)
+"""
+
+
+@query("v3_draft_markdown", _MD)
+def _(spark, sf_dir):
+    return drafts.render_markdown(_drafts(spark, sf_dir)[1])
+
+
+_VIEW = f"""
+SELECT s.paper_id, s.config_id, 0 AS seq, 'Score card' AS section_title, '- **Paper**: ' || f.title || chr(10) || '- **Recommendation**: **' || s.recommendation || '**' || chr(10)
+  || '- **Composite score** (0..1): ' || {fx('s.composite', 2)} || chr(10) || '- **Reviewer confidence** (0..1): ' || {fx('k.reviewer_confidence', 2)} || chr(10)
+  || '- **Hallucination flags**: ' || l.hallucination_count || ' / ' || l.total_claims || ' claims' || coalesce(chr(10) || chr(10) || '> ' || {_BANNER} || chr(10), '') AS body_md
+FROM compo_full s JOIN comp c USING (paper_id, config_id) JOIN facts f USING (paper_id) JOIN led_cfg l USING (paper_id, config_id)
+JOIN (SELECT l.paper_id, l.config_id, {_CONF} AS reviewer_confidence FROM led_cfg l JOIN dep d USING (paper_id)) k USING (paper_id, config_id)
+UNION ALL SELECT paper_id, config_id, 1, 'Composite breakdown', '| Stage | Subscore |' || chr(10) || '|---|---|' || chr(10) || {_STAGE_MD.replace('s.', '')} || chr(10) || chr(10)
+  || '**Composite (weighted): ' || {fx('composite', 3)} || '**' FROM compo_full
+UNION ALL SELECT paper_id, config_id, 2, 'Compliance', '**Triage**: ' || r.triage || CASE WHEN r.n_issues > 0 THEN chr(10) || chr(10) || '**Issues:**' || chr(10) || '- ' || replace(r.issues, ' ## ', chr(10) || '- ') ELSE '' END
+  || chr(10) || chr(10) || '**Section checks:**' || chr(10) || k.sec || chr(10) || chr(10) || '**Format checks:**' || chr(10) || k.fmt
+  FROM comp r JOIN (SELECT paper_id, config_id, string_agg(ln, chr(10) ORDER BY check_seq) FILTER (WHERE block = 'section') AS sec, string_agg(ln, chr(10) ORDER BY check_seq) FILTER (WHERE block = 'format') AS fmt
+    FROM (SELECT *, '- ' || CASE WHEN passed THEN '✓' ELSE '✗' END || ' ' || name || coalesce(' — ' || detail, '') AS ln FROM checks) GROUP BY 1, 2) k USING (paper_id, config_id)
+UNION ALL SELECT l.paper_id, l.config_id, 3, 'Flagged citations', CASE WHEN l.triage = 'FAIL' OR x.md IS NULL THEN '_No flagged citations._' ELSE x.md END
+  FROM led_cfg l LEFT JOIN (SELECT paper_id, string_agg('### Claim `' || claim_id || '` — severity ' || severity || chr(10) || '> ' || text || chr(10)
+    || CASE WHEN len(ref_ids) > 0 THEN '- **Cited refs**: ' || array_to_string(ref_ids, ', ') || chr(10) ELSE '' END
+    || coalesce('- **Evidence**: ' || nullif(m.evidence, '') || chr(10), '') || coalesce('- **Notes**: ' || nullif(m.notes, '') || chr(10), ''), chr(10) ORDER BY claim_seq) AS md
+    FROM claims JOIN merged m USING (paper_id, claim_id) WHERE m.hallucination_flag GROUP BY 1) x USING (paper_id)
+UNION ALL SELECT c.paper_id, c.config_id, 4, 'Depth scores', '| Dimension | Score | Rationale |' || chr(10) || '|---|---|---|'
+  || chr(10) || '| Methodology | ' || {fx('methodology', 2)} || ' | ' || why_methodology || ' |' || chr(10) || '| Limitations | ' || {fx('limitations', 2)} || ' | ' || why_limitations || ' |'
+  || chr(10) || '| Reproducibility | ' || {fx('reproducibility', 2)} || ' | ' || why_reproducibility || ' |' || chr(10) || '| Logical soundness | ' || {fx('logical_soundness', 2)} || ' | ' || why_logical || ' |'
+  FROM comp c JOIN dep USING (paper_id)
+UNION ALL SELECT r.paper_id, r.config_id, 5, 'Rubric scores', '**Rubric**: `' || CASE r.config_id WHEN 'neurips' THEN 'neurips-reviewer-v1' WHEN 'ieee' THEN 'ieee-tpc-v1' ELSE 'arxiv-generic-v1' END || '`' || chr(10)
+  || '- Raw total (0..1): ' || {fx('r.raw_total', 3)} || chr(10) || '- Bias-adjusted total (0..1): ' || {fx('r.bias_adjusted_total', 3)} || CASE WHEN r.note <> '' THEN chr(10) || '- ' || r.note ELSE '' END
+  || chr(10) || chr(10) || '| Dimension | Score | Max | Rationale |' || chr(10) || '|---|---|---|---|' || d.t
+  FROM rub_full r JOIN (SELECT paper_id, config_id, string_agg(chr(10) || '| ' || name || ' | ' || {fx('score', 2)} || ' | ' || CAST(max_score AS VARCHAR) || ' | ' || coalesce(nullif(rationale, ''), '—') || ' |', '' ORDER BY dim_pos) AS t FROM dims_full GROUP BY 1, 2) d USING (paper_id, config_id)
+UNION ALL SELECT paper_id, config_id, 6, 'Review draft (copy-paste)', '```markdown' || chr(10) || markdown || '```' || chr(10) FROM ({_MD})
+"""
+
+
+@query("v4_report_sections", _VIEW)
+def _(spark, sf_dir):
+    rev, d = _drafts(spark, sf_dir)
+    return drafts.report_sections(rev.evaluations, d, drafts.flagged_sections(rev.claims, rev.results))
+
+
+_CMP = [
+    ("Compliance triage", "triage"), ("Total claims", "'0'"), ("Hallucinations", "'0'"), ("Rubric bias-adjusted", fx("bias_adjusted_total", 3)),
+    ("Composite (recomputed)", fx("composite", 3)), ("Recommendation", "recommendation"),
+    *[(k, fx(k, 2)) for k in ("methodology", "limitations", "reproducibility", "logical_soundness")],
+]
+_CMP_SQL = " UNION ALL ".join(
+    f"SELECT paper_id, {i} AS metric_ord, '{m}' AS metric, " + ", ".join(f"max(CASE WHEN config_id = '{v}' THEN {e} END) AS {v}" for v in ("ieee", "arxiv", "neurips"))
+    + " FROM compo JOIN comp USING (paper_id, config_id) JOIN rub USING (paper_id, config_id) JOIN dep USING (paper_id) GROUP BY 1"
+    for i, (m, e) in enumerate(_CMP)
+)
+
+
+@query("v5_compare_configs", _CMP_SQL)
+def _(spark, sf_dir):
+    return drafts.compare_configs(_heuristic(spark, sf_dir), ["ieee", "arxiv", "neurips"])
+
+
+@query("v13_provenance", "SELECT paper_id, config_id, '0.1.0' AS engine_version, config_hash, 'decompose=m' AS llm_models, 'decompose=0,entailment=0,rubric=0' AS seeds, CAST(0 AS DOUBLE) AS cost_usd FROM papers, hashes")
+def _(spark, sf_dir):
+    p = R.provenance(_heuristic(spark, sf_dir), {"decompose": "m"})
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return p.select(
+        "paper_id", "config_id", "provenance.engine_version", "provenance.config_hash",
+        flat(F.col("provenance.llm_models")).alias("llm_models"), flat(F.col("provenance.seeds")).alias("seeds"), "provenance.cost_usd",
+    )
+
+
+# --- audit log ---------------------------------------------------------------------
+
+
+def _log(spark, sf_dir):
+    return auditlog.log_rows(_heuristic(spark, sf_dir), "run-1")
+
+
+_LOG_ID = "sha256(paper_id || '|' || config_hash || '|run-1')"
+
+
+@query("s10_query_scores", f"""
+SELECT {_LOG_ID} AS evaluation_id, paper_id, '2024-01-01 00:00:00' AS created, raw_total AS rubric_raw_total, bias_adjusted_total AS rubric_adjusted_total,
+  triage AS compliance_triage, 0 AS total_claims, 0 AS hallucination_count, CAST(0 AS DOUBLE) AS cost_usd FROM comp JOIN rub USING (paper_id, config_id) JOIN hashes USING (config_id)
+""")
+def _(spark, sf_dir):
+    return auditlog.query_scores(_log(spark, sf_dir)).withColumn(
+        "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
+    ).withColumnRenamed("created_at", "created")
+
+
+@query("s8_scan_records", f"""
+SELECT {_LOG_ID} AS evaluation_id, paper_id, config_id, title, abstract, triage, issues, composite, recommendation, methodology, {dbl('n_passed')} AS passed
+FROM comp JOIN facts f USING (paper_id) JOIN dep USING (paper_id) JOIN compo USING (paper_id, config_id) JOIN hashes USING (config_id)
+""")
+def _(spark, sf_dir):
+    # Appended to a log, read back and restored from the JSON text of the whole record.
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex[:12]}"
+    auditlog.append_log(_log(spark, sf_dir), path)
+    return auditlog.scan_records(auditlog.read_log(spark, path)).select(
+        "evaluation_id", "paper_id", "config_id", "title", "abstract", "triage", _joined("issues").alias("issues"), "composite",
+        "recommendation", "methodology", F.col("n_passed").cast("double").alias("passed"),
+    )
+
+
+@query("s9_count_records", "SELECT count(*) AS n_records FROM papers, hashes")
+def _(spark, sf_dir):
+    return auditlog.count_records(auditlog.once(_log(spark, sf_dir)))
+
+
+@query("w8_latest_records", "SELECT c.c_custkey AS paper, max(o_orderdate) AS newest, arg_max(o_orderkey, {'a': o_orderdate, 'b': sha256(CAST(o_orderkey AS VARCHAR))}) AS total_claims FROM customer c JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(spark, sf_dir):
+    # Orders stand for log rows: the customer is the paper, the order date the creation time.
+    c = F.col
+    rows = corpus.table(spark, sf_dir, "orders").select(
+        c("o_custkey").cast("string").alias("paper_id"), F.lit("h").alias("config_hash"), c("o_orderdate").alias("created_at"),
+        F.sha2(c("o_orderkey").cast("string"), 256).alias("evaluation_id"), c("o_orderkey").alias("total_claims"),
+    )
+    return auditlog.latest_records(rows).select(
+        c("paper_id").cast("bigint").alias("paper"), c("created_at").alias("newest"), "total_claims"
+    )
