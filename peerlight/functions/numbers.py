@@ -33,8 +33,8 @@ def round_exact(c: Column, digits: int = 4) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Number as text with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", round_exact(c, digits))
+    """Number as text with a fixed count of decimals; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", round_exact(c, digits)))
 
 
 def clamp(c: Column, low: float | Column, high: float | Column) -> Column:

@@ -15,9 +15,8 @@ from peerlight.sources.papers import TEXT_SUFFIXES, from_text
 def paper_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
     """Papers arriving under ``path``; copies of one text within the watermark come once."""
     files = (
-        spark.readStream.option("wholetext", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}")
-        .text(path)
+        spark.readStream.option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}")
+        .text(path, wholetext=True)
         .select(
             F.col("value").alias("md"),
             F.regexp_extract("_metadata.file_name", r"^(.*?)\.[^.]+$", 1).alias("source_name"),
