@@ -40,6 +40,8 @@ def review_stream(
     is retried, so a lost batch never leaves duplicates in the log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # a batch that only moves the watermark
+            return
         parsed = parse_papers(batch.drop("arrived"))
         rows = log_rows(heuristic_review(parsed, configs, options), f"batch-{batch_id}")
         (
