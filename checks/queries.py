@@ -1497,7 +1497,7 @@ def _(spark, sf_dir):
     return drafts.compare_configs(_heuristic(spark, sf_dir), ["ieee", "arxiv", "neurips"])
 
 
-@query("v13_provenance", "SELECT paper_id, config_id, '0.1.0' AS engine_version, config_hash, 'decompose=m' AS llm_models, 'decompose=0,entailment=0,rubric=0' AS seeds, CAST(0 AS DOUBLE) AS cost_usd FROM papers, hashes")
+@query("v13_provenance", "SELECT paper_id, config_id, '0.1.0' AS engine_version, config_hash, 'decompose=m' AS llm_models, 'decompose=0,entailment=0,rubric=0' AS seeds, CAST(0 AS DOUBLE) AS cost_usd FROM papers CROSS JOIN hashes")
 def _(spark, sf_dir):
     p = R.provenance(_heuristic(spark, sf_dir), {"decompose": "m"})
     flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -1541,7 +1541,7 @@ def _(spark, sf_dir):
     )
 
 
-@query("s9_count_records", "SELECT count(*) AS n_records FROM papers, hashes")
+@query("s9_count_records", "SELECT count(*) AS n_records FROM papers CROSS JOIN hashes")
 def _(spark, sf_dir):
     return auditlog.count_records(auditlog.once(_log(spark, sf_dir)))
 
