@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from peerlight.llm import mixing, sharding, simhash
+from peerlight.llm import mixing, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op9_simhash": simhash.op9_simhash,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {"op1_mixing": mixing.OP1_SQL}
