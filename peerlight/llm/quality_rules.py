@@ -22,10 +22,10 @@ LEAST_ROWS = 200
 WIDTHS = 6.0
 _RULES = {
     # measure: (limits above, limits below, slack above, slack below)
-    "mean_word": (True, True, 1.5, 1.5),
+    "mean_word": (True, True, 3.0, 2.0),
     "symbol_share": (True, False, 0.05, 0.0),
-    "dup_line_share": (True, False, 0.3, 0.0),
-    "repeat_share": (True, False, 0.1, 0.0),
+    "dup_line_share": (True, False, 0.03, 0.0),
+    "repeat_share": (True, False, 0.18, 0.0),
 }
 _TEXTS = 256
 

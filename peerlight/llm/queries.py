@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from peerlight.llm import langid, mixing, quality_qda, quality_rules, sharding, simhash, suffix_dedup
+from peerlight.llm import bpe, langid, mixing, quality_qda, quality_rules, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_bpe": bpe.op3_bpe,
     "op6_quality": quality_qda.op6_quality,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_langid": langid.op8_langid,
