@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from peerlight.llm import bpe, langid, mixing, quality_qda, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from peerlight.llm import ann, bpe, langid, mixing, quality_qda, quality_rules, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_bpe": bpe.op3_bpe,
+    "op4_ann": ann.op4_ann,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality_qda.op6_quality,
     "op7_quality_rules": quality_rules.op7_quality_rules,
