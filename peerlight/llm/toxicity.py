@@ -17,7 +17,7 @@ from peerlight.llm.common import documents, fold, settle
 ORDERS, BITS, TEXTS = (4, 5), 18, 64
 #: The classifier learns from at most this many labelled rows of each class, taken in the
 #: order of a hash of their ids.
-ROWS_PER_CLASS = 8_000
+ROWS_PER_CLASS = 5_000
 #: Places with the clearest log-count ratios (in standard errors) become features.
 FEATURES, CLEAR, SMOOTHING = 8_192, 4.0, 0.5
 STEPS, RATE, PENALTY = 200, 0.1, 1e-4
