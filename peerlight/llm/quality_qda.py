@@ -39,7 +39,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
             np.log(c["n_dup_lines"] / c["n_lines"] + 0.1),
             np.log(c["n_repeat_words"] / words + 0.05),
             np.log1p(words / c["n_lines"]),
-            np.log(c["n_distinct"] / words) / np.log(words + 2),
+            np.log(np.maximum(c["n_distinct"], 1) / words) / np.log(words + 2),
             np.log(c["n_same_next"] / words + 0.02),
             logit(c["n_upper"], letters),
             np.log(c["n_digits"] / chars + 0.01),
