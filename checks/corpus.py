@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peerlight.session import spread
-
 NL = "chr(10)"
 
 
@@ -90,6 +88,10 @@ def paper_markdown(dialect: str) -> str:
         "CASE WHEN d % 8 = 7 THEN "
         f"{_head(2, 'II', 'Background')} ELSE {_head(2, 'II', 'Introduction')} END",
         "substr(t, 1, q)",
+        # A quarter whose section is absent stays in the paper.
+        _when("d % 5 = 4", "' ' || substr(t, q + 1, q)"),
+        _when("d % 13 = 12", "' ' || substr(t, q * 2 + 1, q)"),
+        _when("d % 17 = 16", "' ' || substr(t, q * 3 + 1)"),
         _when("d % 6 = 1", "' This work, arXiv:2001.04567, extends [3].'"),
         _when("d % 14 = 5", "' Broader impact is discussed below.'"),
         f"{NL} || {NL}",
@@ -192,7 +194,7 @@ WORKS_SQL = "SELECT doc_id AS c, text AS t FROM documents"
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    spread(table(spark, sf_dir, "documents")).createOrReplaceTempView("documents")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -631,7 +631,7 @@ CTE["hashes"] = " UNION ALL ".join(
 )
 CTE["scored"] = f"""
 SELECT d.doc_id, d.lang, d.source, {words('d.text')} AS word_count, {dbl('l.quality')} AS quality
-FROM documents d JOIN labels l USING (doc_id)
+FROM documents d LEFT JOIN labels l USING (doc_id)
 """
 
 

@@ -262,6 +262,10 @@ def _(spark, sf_dir):
 PEOPLE = "(SELECT s_suppkey AS k, 'Ann Lee ' || chr(CAST(97 + s_suppkey % 26 AS INT)) || 'son' AS name FROM supplier)"
 
 
+# A name of its own for every supplier.
+SUPPLIERS = "(SELECT s_suppkey AS k, 'Ann Lee ' || translate(CAST(s_suppkey AS VARCHAR(20)), '0123456789', 'abcdefghij') || 'son' AS name FROM supplier)"
+
+
 @query(
     "s18_author_candidates",
     f"""SELECT name AS queried_name, h AS hit_rank,
@@ -274,11 +278,11 @@ def _(spark, sf_dir):
     return responses.normalize_orcid(_orcid_bodies(spark, sf_dir)).drop("k")
 
 
-def _orcid_bodies(spark, sf_dir, where=""):
+def _orcid_bodies(spark, sf_dir, named=PEOPLE):
     """A search result of three hits per supplier name."""
     c = F.col
     corpus.table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    people = spark.sql(f"SELECT k, name FROM {PEOPLE} {where}")
+    people = spark.sql(f"SELECT k, name FROM {named}")
     orcid = F.when(
         c("k") % 3 != 0,
         F.concat(F.lit("0000-0002-1825-009"), F.when(c("k") % 2 == 0, F.lit("X")).otherwise(F.lit("7"))),
@@ -843,7 +847,7 @@ def _(spark, sf_dir):
 
 
 # Benchmark passages as claims against every document that carries the same item number.
-_BENCH = "(SELECT b.item_id, d.doc_id, b.text AS claim_text, d.text AS abstract FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)"
+_BENCH = "(SELECT b.item_id, d.doc_id, b.text AS claim_text, d.text AS abstract FROM benchmark b JOIN (SELECT doc_id, text, doc_id % (SELECT count(*) FROM benchmark) AS item FROM documents) d ON d.item = b.item_id)"
 
 
 @query(
@@ -920,16 +924,16 @@ def _(spark, sf_dir):
 @query("j16_match_authors", f"""
 SELECT paper_id, queried_name, CASE WHEN k % 3 <> 0 THEN '0000-0002-1825-009' || CASE WHEN k % 2 = 0 THEN 'X' ELSE '7' END END AS orcid_id,
   queried_name AS matched_name, CASE WHEN k % 4 = 0 THEN 'MIT' WHEN k % 4 = 1 THEN 'ETH' END AS institution, {dbl(1)} AS confidence
-FROM (SELECT 'p-' || p_partkey AS paper_id, p_partkey % 26 AS r FROM part) a
-JOIN (SELECT name AS queried_name, k, k % 26 AS r, row_number() OVER (PARTITION BY name ORDER BY k) AS rn FROM {PEOPLE}) n USING (r)
-WHERE rn = 1
+FROM (SELECT 'p-' || p_partkey AS paper_id, p_partkey % (SELECT count(*) FROM supplier) AS r FROM part) a
+JOIN (SELECT name AS queried_name, k, k % (SELECT count(*) FROM supplier) AS r FROM {SUPPLIERS}) n USING (r)
 """)
 def _(spark, sf_dir):
-    # One name per residue class; suppliers that share a name are one author.
-    candidates = responses.normalize_orcid(_orcid_bodies(spark, sf_dir, "WHERE k < 26"))
+    candidates = responses.normalize_orcid(_orcid_bodies(spark, sf_dir, SUPPLIERS))
     corpus.table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    n = "(SELECT count(*) AS n FROM supplier)"
     asked = spark.sql(
-        f"SELECT 'p-' || p_partkey AS paper_id, name AS queried_name FROM part JOIN {PEOPLE} ON p_partkey % 26 = k WHERE k < 26"
+        f"""SELECT a.paper_id, b.name AS queried_name FROM (SELECT concat('p-', p_partkey) AS paper_id, p_partkey % {n} AS r FROM part) a
+        JOIN (SELECT name, k % {n} AS r FROM {SUPPLIERS}) b ON a.r = b.r"""
     )
     return AU.match_authors(asked, candidates, hot_rows=10)
 
@@ -1083,7 +1087,7 @@ def _scored(spark, sf_dir):
     """Documents as records: quality is the adjusted total, language the group."""
     d = _docs(spark, sf_dir).select("doc_id", "lang", "source", T.word_count(F.col("text")).alias("word_count"))
     lab = corpus.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("rubric_adjusted_total"))
-    return d.join(lab, "doc_id")
+    return d.join(lab, "doc_id", "left")
 
 
 _RATES = "SELECT lang AS label, count(*) AS n, count(*) FILTER (WHERE quality >= 0.55) AS positive FROM scored GROUP BY 1"
@@ -1101,28 +1105,44 @@ def _rates_text(c):
 
 @query("a11_disparate_impact", _DI.replace("{src}", _RATES))
 def _(spark, sf_dir):
-    out = fairness.disparate_impact(_scored(spark, sf_dir), F.col("lang"), F.col("rubric_adjusted_total"), 0.55)
+    out = fairness.disparate_impact(
+        _scored(spark, sf_dir), F.col("lang"), F.col("rubric_adjusted_total"), 0.55, list_rates=True
+    )
     return out.withColumn("rates", _rates_text(F.col("group_rates"))).drop("group_rates")
 
 
-_PEARSON = """
-SELECT count(*) AS n, CASE WHEN stddev_pop(word_count) = 0 OR stddev_pop(quality) = 0 THEN 0 ELSE round(corr(word_count, quality), 3) END AS r FROM scored
-"""
+_PEARSON = f"SELECT {rx('corr(word_count, quality)')} AS length_score_pearson, 'Pearson over ' || count(quality) || ' records.' AS length_score_rationale FROM scored"
 
 
-@query("a12_length_score_corr", """
-SELECT abs(p - want) < 0.0001 AS close, note FROM (SELECT want, want AS p, 'Pearson over ' || n || ' records.' AS note
-  FROM (SELECT corr(word_count, quality) AS want, count(*) AS n FROM scored))
-""")
+@query("a12_length_score_corr", _PEARSON)
 def _(spark, sf_dir):
-    # The rounded value is held against Spark's own corr; the twin pins the note.
-    rec = _scored(spark, sf_dir)
-    out = fairness.length_score_corr(rec)
-    want = rec.agg(F.corr("word_count", "rubric_adjusted_total").alias("w"))
-    return out.select(
-        (F.abs(F.col("length_score_pearson") - want.scalar()) < 0.0001).alias("close"),
-        F.col("length_score_rationale").alias("note"),
+    return fairness.length_score_corr(_scored(spark, sf_dir))
+
+
+_LANGS = """SELECT lang, count(quality) AS n, CASE WHEN min(quality) = max(quality) THEN 0 ELSE corr(word_count, quality) END AS cor FROM
+  (SELECT lang, word_count, CASE WHEN lang = 'es' THEN 0.5 WHEN lang = 'fr' AND doc_id <> first THEN NULL ELSE quality END AS quality
+   FROM scored, (SELECT min(doc_id) AS first FROM scored WHERE lang = 'fr' AND quality IS NOT NULL) x) GROUP BY 1"""
+
+
+@query(
+    "a12_length_score_corr_edges",
+    f"""SELECT lang, CASE WHEN n >= 3 THEN {rx('cor')} END AS length_score_pearson,
+      CASE WHEN n >= 3 THEN 'Pearson over ' || n || ' records.' ELSE 'Too few records with rubric scores for correlation.' END AS length_score_rationale
+    FROM ({_LANGS})""",
+)
+def _(spark, sf_dir):
+    """Each language alone: one with a constant score, one with a single scored record."""
+    rec, score = _scored(spark, sf_dir), F.col("rubric_adjusted_total")
+    first = rec.filter("lang = 'fr' AND rubric_adjusted_total IS NOT NULL").agg(F.min("doc_id").alias("f"))
+    rec = rec.withColumn(
+        "rubric_adjusted_total",
+        F.when(F.col("lang") == "es", 0.5).when((F.col("lang") == "fr") & (F.col("doc_id") != first.scalar()), None).otherwise(score),
     )
+    parts = [
+        fairness.length_score_corr(rec.filter(F.col("lang") == lang)).withColumn("lang", F.lit(lang))
+        for lang in ("de", "en", "es", "fr")
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 _MEDIAN = "(SELECT wcs[n // 2 + 1] AS median FROM (SELECT list(word_count ORDER BY word_count) AS wcs, count(*) AS n FROM scored))"
@@ -1137,13 +1157,13 @@ _LRATES = f"SELECT CASE WHEN word_count > median THEN 'long' ELSE 'short' END AS
 
 
 @query("a14_fairness_report", f"""
-SELECT s.n AS n_records, 'Pearson over ' || s.n || ' records.' AS length_score_rationale, d.reference_group, d.di_ratio, d.flagged_4_5ths_rule, d.rates, {dbl(0.55)} AS accept_threshold
-FROM (SELECT count(*) AS n FROM scored) s, ({_DI.replace('{src}', _LRATES)}) d
+SELECT s.n AS n_records, p.length_score_pearson, p.length_score_rationale, d.reference_group, d.di_ratio, d.flagged_4_5ths_rule, d.rates, {dbl(0.55)} AS accept_threshold
+FROM (SELECT count(*) AS n FROM scored) s, ({_PEARSON}) p, ({_DI.replace('{src}', _LRATES)}) d
 """)
 def _(spark, sf_dir):
     d = lambda n: F.col(f"length_disparate_impact.{n}")
     return fairness.fairness_report(_scored(spark, sf_dir)).select(
-        "n_records", "length_score_rationale", d("reference_group").alias("reference_group"),
+        "n_records", "length_score_pearson", "length_score_rationale", d("reference_group").alias("reference_group"),
         d("di_ratio").alias("di_ratio"), d("flagged_4_5ths_rule").alias("flagged_4_5ths_rule"),
         _rates_text(d("group_rates")).alias("rates"), "accept_threshold",
     )
@@ -1425,11 +1445,15 @@ def _(spark, sf_dir):
 
 
 _BUL = lambda c, none: f"CASE WHEN {c} = '' THEN '- {none}' ELSE '- ' || replace({c}, ' ## ', chr(10) || '- ') END"
-_STAGE_MD = " || chr(10) || ".join(f"'| {k} | ' || coalesce({fx('s.' + k, 2)}, '_skipped_') || ' |'" for k in P.SCORING_KEYS)
+def _stage_md(table: str) -> str:
+    """Subscores as the record holds them, to four places, printed to two."""
+    return " || chr(10) || ".join(f"'| {k} | ' || coalesce({fx(rx(table + k), 2)}, '_skipped_') || ' |'" for k in P.SCORING_KEYS)
+
+
 _BANNER = "CASE WHEN c.triage <> 'PASS' THEN '⚠️  Compliance ' || c.triage || ': ' || c.banner_issues || '. The composite score below does not force a recommendation — review these issues manually before accepting or rejecting.' END"
 _MD = f"""
 SELECT s.paper_id, s.config_id, coalesce('> ' || {_BANNER} || chr(10) || chr(10), '') || '## Summary' || chr(10) || v.summary || chr(10) || chr(10)
-  || '## Composite breakdown' || chr(10) || '| Stage | Subscore |' || chr(10) || '|---|---|' || chr(10) || {_STAGE_MD} || chr(10) || chr(10)
+  || '## Composite breakdown' || chr(10) || '| Stage | Subscore |' || chr(10) || '|---|---|' || chr(10) || {_stage_md('s.')} || chr(10) || chr(10)
   || '## Strengths' || chr(10) || {_BUL('v.strengths', '_None identified._')} || chr(10) || chr(10) || '## Weaknesses' || chr(10) || {_BUL('v.weaknesses', '_None identified._')}
   || chr(10) || chr(10) || '## Questions for the authors' || chr(10) || {_BUL('v.questions', '_No questions._')} || chr(10) || chr(10)
   || '## Overall score' || chr(10) || '- Score: **' || {fx('s.composite', 2)} || '** (0..1 scale)' || chr(10) || '- Reviewer confidence: ' || {fx('k.reviewer_confidence', 2)}
@@ -1451,7 +1475,7 @@ SELECT s.paper_id, s.config_id, 0 AS seq, 'Score card' AS section_title, '- **Pa
   || '- **Hallucination flags**: ' || l.hallucination_count || ' / ' || l.total_claims || ' claims' || coalesce(chr(10) || chr(10) || '> ' || {_BANNER} || chr(10), '') AS body_md
 FROM compo_full s JOIN comp c USING (paper_id, config_id) JOIN facts f USING (paper_id) JOIN led_cfg l USING (paper_id, config_id)
 JOIN (SELECT l.paper_id, l.config_id, {_CONF} AS reviewer_confidence FROM led_cfg l JOIN dep d USING (paper_id)) k USING (paper_id, config_id)
-UNION ALL SELECT paper_id, config_id, 1, 'Composite breakdown', '| Stage | Subscore |' || chr(10) || '|---|---|' || chr(10) || {_STAGE_MD.replace('s.', '')} || chr(10) || chr(10)
+UNION ALL SELECT paper_id, config_id, 1, 'Composite breakdown', '| Stage | Subscore |' || chr(10) || '|---|---|' || chr(10) || {_stage_md('')} || chr(10) || chr(10)
   || '**Composite (weighted): ' || {fx('composite', 3)} || '**' FROM compo_full
 UNION ALL SELECT paper_id, config_id, 2, 'Compliance', '**Triage**: ' || r.triage || CASE WHEN r.n_issues > 0 THEN chr(10) || chr(10) || '**Issues:**' || chr(10) || '- ' || replace(r.issues, ' ## ', chr(10) || '- ') ELSE '' END
   || chr(10) || chr(10) || '**Section checks:**' || chr(10) || k.sec || chr(10) || chr(10) || '**Format checks:**' || chr(10) || k.fmt

@@ -24,17 +24,20 @@ def group_rates(df: DataFrame, group: Column, score: Column, threshold: float) -
     )
 
 
-def disparate_impact(df: DataFrame, group: Column, score: Column, threshold: float) -> DataFrame:
+def disparate_impact(
+    df: DataFrame, group: Column, score: Column, threshold: float, list_rates: bool = False
+) -> DataFrame:
     """One row: reference group (highest rate, first label on ties), ratio, 4/5 flag, notes.
 
-    ``group`` and ``score`` are column expressions. The per-group rates are listed in label
-    order; group labels are categories, so the list is small.
+    ``group`` and ``score`` are column expressions. ``group_rates`` gives the rates as rows;
+    with ``list_rates`` the row also lists them in label order, for groups known to be few.
     """
-    return impact_of(group_rates(df, group, score, threshold))
+    return impact_of(group_rates(df, group, score, threshold), list_rates)
 
 
-def impact_of(rates: DataFrame) -> DataFrame:
+def impact_of(rates: DataFrame, list_rates: bool = False) -> DataFrame:
     row = F.struct("label", "n", "positive", "positive_rate")
+    listed = [F.array_sort(F.collect_list(row)).alias("group_rates")] if list_rates else []
     summary = rates.agg(
         F.count(F.lit(1)).alias("n_groups"),
         F.min_by("label", F.struct((-F.col("positive_rate")).alias("r"), F.col("label"))).alias(
@@ -42,12 +45,12 @@ def impact_of(rates: DataFrame) -> DataFrame:
         ),
         F.max("positive_rate").alias("hi"),
         F.min("positive_rate").alias("lo"),
-        F.array_sort(F.collect_list(row)).alias("group_rates"),
+        *listed,
     )
     ratio = F.when(F.col("hi") > 0, F.try_divide("lo", "hi")).otherwise(F.lit(1.0))
     several = F.col("n_groups") >= 2
     return summary.select(
-        "group_rates",
+        *(["group_rates"] if list_rates else []),
         "n_groups",
         "reference_group",
         F.when(several, round_exact(ratio)).alias("di_ratio"),
@@ -115,7 +118,10 @@ def length_groups(records: DataFrame) -> DataFrame:
 def fairness_report(records: DataFrame, threshold: float = P.ACCEPT_THRESHOLD) -> DataFrame:
     """One row over the log's flat columns (word_count, rubric_adjusted_total)."""
     score = F.coalesce("rubric_adjusted_total", F.lit(0.0))
-    impact = disparate_impact(length_groups(records), F.col("length_group"), score, threshold)
+    # Two groups: long and short.
+    impact = disparate_impact(
+        length_groups(records), F.col("length_group"), score, threshold, list_rates=True
+    )
     row = F.struct("group_rates", "reference_group", "di_ratio", "flagged_4_5ths_rule", "notes")
     corr = length_score_corr(records).select(F.struct("*").alias("c"))
     # One-row aggregates meet as scalar subqueries.

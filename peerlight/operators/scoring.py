@@ -141,7 +141,7 @@ def triage_queue(composites: DataFrame) -> DataFrame:
     A ranking window over a config would pull the whole corpus into one task. Composites
     carry four decimals, so a config has at most 2 x 10001 distinct queue places: their
     counts are aggregated map-side, the running count over that small table gives the
-    exact rank, and it is broadcast back (bounded by the number of configs, not papers).
+    exact rank, which joins back by place; the adaptive plan picks the join by its size.
     """
     placed = settled(composites).withColumn("urgency", F.when(F.col("triage") == "FAIL", 0).otherwise(1))
     keys = ["config_id", "urgency", "composite"]
@@ -155,6 +155,6 @@ def triage_queue(composites: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, (F.coalesce(F.sum("n").over(ahead), F.lit(0)) + 1).alias("queue_rank"))
     )
-    return placed.join(F.broadcast(ranks), keys).select(
+    return placed.join(ranks, keys).select(
         "config_id", "queue_rank", "paper_id", "triage", "composite", "recommendation"
     )

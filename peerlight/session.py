@@ -28,21 +28,17 @@ def build_session(app: str = "peerlight", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a source over the cores when it came in fewer partitions than there are.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for staged tables that driver and executors share (``spark.checkpoint.dir``).
 
-    Parsing is the costliest step and narrow, so a source of a few large row groups would
-    keep most cores idle. A real corpus has more splits than cores and is left alone.
+    Where the setting is missing, a session in one process (tests) gets a folder of its own.
+    Any other session is refused: on a cluster each machine would write to its own disk.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for staged tables: the cluster's checkpoint folder, else a local one (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="peerlight-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -390,4 +390,4 @@ def model_prices(spark: SparkSession, overrides: DataFrame | None = None) -> Dat
     if overrides is None:
         return base
     fresh = overrides.select("model", "input_per_mtok", "output_per_mtok")
-    return base.join(F.broadcast(fresh), "model", "left_anti").unionByName(fresh)
+    return base.join(fresh, "model", "left_anti").unionByName(fresh)

@@ -32,7 +32,7 @@ def estimate_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFram
         "completion_tokens"
     ) * F.col("output_per_mtok") / F.lit(1000000.0)
     return (
-        usage.join(F.broadcast(table), "model", "left")
+        usage.join(table, "model", "left")
         .withColumn("cost_usd", F.coalesce(cost, F.lit(0.0)))
         .drop("input_per_mtok", "output_per_mtok")
     )
