@@ -65,9 +65,15 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
 
 
 def missing_requests(requests: DataFrame, cache: DataFrame | None) -> DataFrame:
-    """Distinct requests the cache cannot answer."""
-    todo = distinct_requests(requests)
-    return todo if cache is None else todo.join(cache.select("cache_key"), "cache_key", "left_anti")
+    """Distinct requests the cache cannot answer.
+
+    What is missing is settled on keys alone; prompts of answered requests are not moved.
+    """
+    if cache is not None:
+        keys = requests.select("cache_key").distinct()
+        missing = keys.join(cache.select("cache_key"), "cache_key", "left_anti")
+        requests = requests.join(missing, "cache_key", "left_semi")
+    return distinct_requests(requests)
 
 
 def run_model(

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerlight import __version__
+from peerlight import __version__, schemas
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
 from peerlight.functions.rows import settled
@@ -24,8 +24,9 @@ from peerlight.operators.depth import add_depth
 from peerlight.operators.rubric import add_rubric
 from peerlight.operators.rubric_requests import rubric_requests
 from peerlight.operators.scoring import add_composite, add_subscores, banner
-from peerlight.session import stage
+from peerlight.session import append_stage, appended, stage
 from peerlight.sources.configs import Configs, times_configs
+from peerlight.sources.papers import distinct_papers
 
 LEDGER = {
     "total_claims": "int", "verified_count": "int", "hallucination_count": "int",
@@ -45,8 +46,11 @@ class Options:
     """Switches of a run that are not part of a venue config.
 
     With ``run_id`` set, parsed papers and model answers are staged as tables in the shared
-    folder, so they are computed once however many later joins read them; always set it
-    when the model costs money.
+    folder, so they are computed once however many later joins read them; a model needs it.
+    Answers are kept under the id: a rerun asks only for what is missing.
+
+    ``distinct_ids`` says that no two rows of the input share a ``paper_id``, which saves
+    the exchange that makes it so.
     """
 
     model: str = P.DEFAULT_MODEL
@@ -61,6 +65,7 @@ class Options:
     max_age: int | None = None
     created_at: str | None = None
     run_id: str | None = None
+    distinct_ids: bool = False
     hot_rows: int = 1_000_000
 
 
@@ -148,7 +153,7 @@ def evaluate_papers(
     errors: DataFrame | None = None,
     options: Options | None = None,
 ) -> Review:
-    """Review every paper under every config.
+    """Review every paper under every config; rows that repeat a ``paper_id`` count once.
 
     ``infer`` maps request rows to response rows (see ``operators.inference``). Without it
     the run is heuristic. Pairs with FAIL triage get no model calls and an empty ledger.
@@ -156,13 +161,19 @@ def evaluate_papers(
     ``strict_parity`` instead counts every cited claim as unresolved.
     """
     opt = options or Options()
+    if infer is not None and not opt.run_id:
+        raise ValueError("a model needs Options(run_id=...), or its answers are paid for twice")
+    if not opt.distinct_ids:
+        papers = distinct_papers(papers)
 
     def staged(df: DataFrame, name: str) -> DataFrame:
         return stage(df, name, opt.run_id) if opt.run_id else df
 
     def ask(requests: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         requests = staged(requests, f"{name}_requests")
-        fresh = staged(infer(inference.missing_requests(requests, cache)), f"{name}_responses")
+        before = appended(requests.sparkSession, f"{name}_responses", opt.run_id, schemas.RESPONSES)
+        todo = inference.missing_requests(inference.missing_requests(requests, cache), before)
+        fresh = append_stage(infer(todo), f"{name}_responses", opt.run_id, schemas.RESPONSES)
         return inference.answer(requests, cache, fresh, opt.hot_rows), fresh
 
     parsed = staged(with_metadata(parsing.parse_papers(papers), metadata), "parsed")

@@ -4,7 +4,7 @@ AUDIT_LOG = (
     "evaluation_id string, paper_id string, config_id string, created_at timestamp, "
     "engine_version string, cost_usd double, word_count int, rubric_raw_total double, "
     "rubric_adjusted_total double, compliance_triage string, total_claims int, "
-    "hallucination_count int, record_json string, config_hash string"
+    "hallucination_count int, record_json string, config_hash string, run_id string"
 )
 COST_LOG = (
     "timestamp timestamp, provider string, model string, prompt_tokens bigint, "

@@ -57,3 +57,19 @@ def stage(df: DataFrame, name: str, run_id: str, partition_by: list[str] | None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def appended(spark: SparkSession, name: str, run_id: str, schema: str) -> DataFrame:
+    """Rows that earlier runs with this id have appended to a staged table (none: no rows)."""
+    path = os.path.join(shared_folder(spark), run_id, name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def append_stage(df: DataFrame, name: str, run_id: str, schema: str) -> DataFrame:
+    """Append ``df`` to a staged table and return the whole table."""
+    path = os.path.join(shared_folder(df.sparkSession), run_id, name)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

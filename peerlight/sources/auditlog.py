@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from peerlight import schemas
 
 
+LOG_FOLDERS = ["config_hash", "run_id"]
+
+
 def record_json(df: DataFrame) -> DataFrame:
     """Adds ``record_json``: all columns of the row as one JSON text, nulls kept."""
     return df.withColumn(
@@ -40,24 +43,36 @@ def log_rows(records: DataFrame, run_id: str, cost: DataFrame | None = None) ->
         F.col("hallucination_count").cast("int").alias("hallucination_count"),
         "record_json",
         "config_hash",
+        F.lit(run_id).alias("run_id"),
     )
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append log rows, one directory per config.
+    """Append log rows, one directory per config and run.
 
     Rows are spread by (config, paper) so that the one config that holds most rows still
     writes from many tasks, and sorted so that Parquet statistics prune by paper.
     """
+    _spread(rows).write.mode("append").partitionBy(*LOG_FOLDERS).parquet(path)
+
+
+def replace_run(rows: DataFrame, path: str) -> None:
+    """Write the rows of a run in place of what the log holds of it (a retried batch)."""
     (
-        rows.repartition("config_hash", "paper_id")
-        .sortWithinPartitions("config_hash", "paper_id")
-        .write.mode("append")
-        .partitionBy("config_hash")
+        _spread(rows)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*LOG_FOLDERS)
         .parquet(path)
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.repartition("config_hash", "paper_id").sortWithinPartitions(
+        *LOG_FOLDERS, "paper_id"
+    )
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AUDIT_LOG).parquet(path)
 
@@ -67,12 +82,22 @@ def once(log: DataFrame) -> DataFrame:
     return log.dropDuplicates(["evaluation_id"])
 
 
-def load_record(log: DataFrame, evaluation_id: str) -> DataFrame:
-    """One record by id; the filter reaches the Parquet scan. Missing ids are an error."""
-    row = log.filter(F.col("evaluation_id") == evaluation_id).limit(1)
-    if row.isEmpty():
+def load_record(
+    log: DataFrame, evaluation_id: str, paper_id: str | None = None, config_hash: str | None = None
+) -> DataFrame:
+    """One record by id, read once. Missing ids are an error.
+
+    Ids are hashes, so alone they prune nothing; ``config_hash`` prunes folders and
+    ``paper_id`` row groups, as the files are sorted by paper.
+    """
+    row = log.filter(F.col("evaluation_id") == evaluation_id)
+    for name, value in (("paper_id", paper_id), ("config_hash", config_hash)):
+        if value is not None:
+            row = row.filter(F.col(name) == value)
+    found = row.limit(1).collect()
+    if not found:
         raise KeyError(f"no evaluation with id {evaluation_id}")
-    return parse_records(row)
+    return parse_records(log.sparkSession.createDataFrame(found, log.schema))
 
 
 def parse_records(log: DataFrame) -> DataFrame:
@@ -117,11 +142,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_records(log: DataFrame) -> DataFrame:
-    """Newest record per paper x config (a max over structs: partial aggregation, no window)."""
-    cols = [c for c in log.columns if c not in ("paper_id", "config_hash")]
-    newest = F.max(F.struct("created_at", "evaluation_id", *[
-        c for c in cols if c not in ("created_at", "evaluation_id")
-    ]))
-    return log.groupBy("paper_id", "config_hash").agg(newest.alias("r")).select(
-        "paper_id", "config_hash", "r.*"
+    """Newest record per paper x config.
+
+    The newest (time, id) is found on narrow columns; only the rows that win carry their
+    record, and no record text is compared.
+    """
+    keys = ["paper_id", "config_hash"]
+    newest = log.groupBy(*keys).agg(
+        F.max(F.struct("created_at", "evaluation_id")).alias("newest")
+    )
+    winners = newest.select(*keys, "newest.created_at", "newest.evaluation_id")
+    return once(log.join(winners, [*keys, "created_at", "evaluation_id"], "left_semi")).select(
+        *keys, *[c for c in log.columns if c not in keys]
     )

@@ -11,7 +11,7 @@ from peerlight.functions import text as T
 TEXT_SUFFIXES = ["md", "markdown", "txt"]
 
 
-def _file_parts(df: DataFrame) -> DataFrame:
+def file_parts(df: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return df.select(
         "*",
@@ -27,14 +27,13 @@ def from_text(df: DataFrame) -> DataFrame:
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     """Text papers under ``path``: (paper_id, md, source_name, path). Other suffixes are left
-    to ``rejected_files``."""
+    to ``rejected_files``. Files with one text share an id; see ``distinct_papers``."""
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
         .select(F.col("value").alias("md"), F.col("_metadata.file_path").alias("path"))
     )
-    kept = _file_parts(files).filter(F.col("suffix").isin(TEXT_SUFFIXES))
-    return from_text(kept).select("paper_id", "md", "source_name", "path")
+    return from_text(file_parts(files).filter(is_text())).select("paper_id", "md", "source_name", "path")
 
 
 def rejected_files(spark: SparkSession, path: str) -> DataFrame:
@@ -45,17 +44,40 @@ def rejected_files(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("path", "length")
     )
-    return (
-        _file_parts(files)
-        .filter(~F.col("suffix").isin(TEXT_SUFFIXES))
-        .select(
-            "path",
-            "suffix",
-            F.concat(F.lit("Unsupported input format: ."), "suffix").alias("reason"),
-        )
+    return reject_rows(file_parts(files))
+
+
+def is_text() -> Column:
+    return F.col("suffix").isin(TEXT_SUFFIXES)
+
+
+def reject_rows(files: DataFrame) -> DataFrame:
+    return files.filter(~is_text()).select(
+        "path",
+        "suffix",
+        F.concat(F.lit("Unsupported input format: ."), "suffix").alias("reason"),
     )
 
 
+def distinct_papers(papers: DataFrame) -> DataFrame:
+    """One row per ``paper_id``. Rows with one id hold one text; where ``path`` is known, the
+    row with the first path stays, so that a rerun keeps the same one.
+
+    The first path per id is found on narrow columns; texts cross one exchange at most.
+    """
+    if "path" not in papers.columns:
+        return papers.dropDuplicates(["paper_id"])
+    first = papers.groupBy("paper_id").agg(F.min("path").alias("path"))
+    return papers.join(first, ["paper_id", "path"], "left_semi").dropDuplicates(["paper_id", "path"]).select(
+        *papers.columns
+    )
+
+
+def paper_paths(papers: DataFrame) -> DataFrame:
+    """All source paths of every paper: (paper_id, path)."""
+    return papers.select("paper_id", "path").distinct()
+
+
 def promote_header(line: Column) -> Column:
     """``## line`` when the line looks like a section header, else NULL."""
     looks = None

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlight.operators.parsing import parse_papers
 from peerlight.plans.review import Options, heuristic_review
-from peerlight.sources.auditlog import log_rows
+from peerlight.sources import auditlog
 from peerlight.sources.configs import Configs
-from peerlight.sources.papers import TEXT_SUFFIXES, from_text
+from peerlight.sources.papers import file_parts, from_text, is_text, reject_rows
 
 
-def paper_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
-    """Papers arriving under ``path``; copies of one text within the watermark come once."""
+def file_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Files arriving anywhere under ``path``, listed as the batch reader lists them."""
     files = (
-        spark.readStream.option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}")
+        spark.readStream.option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
         .select(
             F.col("value").alias("md"),
-            F.regexp_extract("_metadata.file_name", r"^(.*?)\.[^.]+$", 1).alias("source_name"),
+            F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_modification_time").alias("arrived"),
         )
     )
-    return from_text(files).withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(
-        ["paper_id"]
+    return file_parts(files)
+
+
+def paper_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
+    """Papers arriving under ``path``; copies of one text within the watermark come once."""
+    papers = from_text(file_stream(spark, path).filter(is_text())).select(
+        "paper_id", "md", "source_name", "arrived"
     )
+    return papers.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(["paper_id"])
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that a checkpoint belongs to; a new checkpoint has a new id."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
 
 
 def review_stream(
@@ -36,20 +49,17 @@ def review_stream(
     checkpoint: str,
     options: Options | None = None,
 ):
-    """Start the review stream. A batch writes to its own run folder and replaces it when it
-    is retried, so a lost batch never leaves duplicates in the log."""
+    """Start the review stream. A batch writes to a run folder of its own and replaces it when
+    it is retried, so a lost batch leaves no duplicates in the log. The folder carries the id
+    that lives with the checkpoint, so other streams and batch runs can share the log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():  # a batch that only moves the watermark
             return
+        run_id = f"{stream_id(spark, checkpoint)}-{batch_id}"
         parsed = parse_papers(batch.drop("arrived"))
-        rows = log_rows(heuristic_review(parsed, configs, options), f"batch-{batch_id}")
-        (
-            rows.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("config_hash", "batch_id")
-            .parquet(log_path)
+        auditlog.replace_run(
+            auditlog.log_rows(heuristic_review(parsed, configs, options), run_id), log_path
         )
 
     return (
@@ -59,3 +69,15 @@ def review_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def reject_stream(spark: SparkSession, path: str, out: str, checkpoint: str):
+    """Start a stream that writes every file no reader takes, with the reason."""
+    return (
+        reject_rows(file_stream(spark, path))
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

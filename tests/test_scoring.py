@@ -119,7 +119,7 @@ def _groups(spark, rows):
 
 def test_disparate_impact(spark):
     def run(rows):
-        return fairness.disparate_impact(_groups(spark, rows), F.col("grp"), F.col("score"), 0.5).first()
+        return fairness.disparate_impact(_groups(spark, rows), F.col("grp"), F.col("score"), 0.5, list_rates=True).first()
 
     a = [("a", 1.0)] * 5
     r = run(a + [("b", 1.0)] * 3 + [("b", 0.0)] * 2)

@@ -1,13 +1,15 @@
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from peerlight import schemas
 from peerlight.operators import drafts
 from peerlight.operators.parsing import parse_papers
 from peerlight.plans.review import Options, evaluate_papers, heuristic_review
 from peerlight.sources import auditlog, costs, papers
-from peerlight.streaming.intake import review_stream
+from peerlight.streaming.intake import reject_stream, review_stream
 
 MD = "# T\n## Abstract\nabs\n## Introduction\nx\n## Method\ny\n## Results\nz\n## Conclusion\nw\n## References\n" + "\n".join(
     f"[{i}] A. (2001). Work {i}. V." for i in range(1, 12)
@@ -64,7 +66,7 @@ def test_cost_log(spark, tmp_path):
 def test_artifacts(spark, tmp_path):
     ev = _evaluations(spark)
     drafts.write_artifacts(ev, drafts.review_drafts(ev), str(tmp_path), "2024-05-01")
-    back = spark.read.text(str(tmp_path / "reviews"), wholetext=True)
+    back = spark.read.parquet(str(tmp_path / "reviews"))
     assert back.filter("config_id = 'ieee' and slug = 't'").count() == 1
     assert "## Summary" in back.first().value
     text = drafts.comparison_markdown(ev, ["ieee", "arxiv"]).filter("paper_id = 'p1'").first().comparison_md
@@ -85,6 +87,68 @@ def test_review_stream(spark, tmp_path):
     assert rows.count() == 2 and rows.filter(F.col("compliance_triage") == "FAIL").count() == 1
 
 
+def test_streams_share_a_log_with_batches(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for n, name in enumerate(("one/a.MD", "two/deep/er/b.markdown")):
+        source = tmp_path / f"in{n}"
+        file = source / name
+        os.makedirs(file.parent)
+        file.write_text(f"## Intro\npaper {n}")
+        (source / "c.bin").write_text("x")
+        # Two streams with checkpoints of their own, both at batch 0.
+        review_stream(spark, str(source), ["arxiv"], log, str(tmp_path / f"chk{n}")).awaitTermination()
+        reject_stream(spark, str(source), str(tmp_path / "bad"), str(tmp_path / f"bad{n}")).awaitTermination()
+    auditlog.append_log(auditlog.log_rows(_evaluations(spark), "batch run"), log)
+    rows = auditlog.read_log(spark, log)
+    assert rows.count() == 2 + 6 and rows.select("evaluation_id").distinct().count() == 8
+    assert rows.select("run_id").distinct().count() == 3
+    assert spark.read.parquet(str(tmp_path / "bad")).select("suffix").distinct().first().suffix == "bin"
+
+
+def test_copies_of_a_paper_count_once(spark, tmp_path):
+    for name in ("a.md", "sub/b.md"):
+        file = tmp_path / "in" / name
+        os.makedirs(file.parent, exist_ok=True)
+        file.write_text(MD)
+    two = papers.read_papers(spark, str(tmp_path / "in"))
+    assert two.count() == 2 and papers.distinct_papers(two).first().source_name == "a"
+    assert papers.paper_paths(two).count() == 2
+    got = evaluate_papers(two, ["arxiv"], infer=_claims_model, options=Options(strict_parity=True, run_id=f"t-{uuid.uuid4().hex}"))
+    assert got.evaluations.count() == 1 and got.claims.count() == 5
+    assert got.evaluations.first().total_claims == 5
+
+
+def test_answers_are_paid_for_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(requests):
+        def answer(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch[["cache_key", "model"]].assign(
+                    text="[]", provider="t", prompt_tokens=1, completion_tokens=1, cost_usd=0.0, finish_reason="stop"
+                )[["cache_key", "text", "model", "provider", "prompt_tokens", "completion_tokens", "cost_usd", "finish_reason"]]
+
+        return requests.mapInPandas(answer, schemas.RESPONSES)
+
+    df = spark.createDataFrame([("p1", MD), ("p2", MD.replace("abs", "other"))], "paper_id string, md string")
+    options = Options(run_id=f"t-{uuid.uuid4().hex}")
+    first = evaluate_papers(df, ["arxiv"], infer=model, options=options)
+    assert first.evaluations.count() == 2 and first.claims.count() == 0
+    once = asked.value
+    assert once > 0
+    again = evaluate_papers(df, ["arxiv"], infer=model, options=options)
+    assert again.evaluations.count() == 2 and asked.value == once
+
+
+def _claims_model(requests):
+    return requests.select(
+        "cache_key", F.lit('[{"text": "We can do it", "ref_ids": ["ref-1"]}]').alias("text"), "model", F.lit("t").alias("provider"),
+        F.lit(1).cast("bigint").alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens"),
+        F.lit(0.0).alias("cost_usd"), F.lit("stop").alias("finish_reason"),
+    )
+
+
 def test_model_without_catalog_leaves_verification_open(spark):
     def model(requests):
         return requests.select(
@@ -94,9 +158,11 @@ def test_model_without_catalog_leaves_verification_open(spark):
         )
 
     df = spark.createDataFrame([("p1", MD)], "paper_id string, md string")
-    open_ = evaluate_papers(df, ["arxiv"], infer=model)
+    with pytest.raises(ValueError):
+        evaluate_papers(df, ["arxiv"], infer=model)
+    open_ = evaluate_papers(df, ["arxiv"], infer=model, options=Options(run_id=f"t-{uuid.uuid4().hex}"))
     assert open_.claims.count() == 5
     assert open_.evaluations.first().breakdown["verification"] is None
-    strict = evaluate_papers(df, ["arxiv"], infer=model, options=Options(strict_parity=True, run_id="t-strict"))
+    strict = evaluate_papers(df, ["arxiv"], infer=model, options=Options(strict_parity=True, run_id=f"t-{uuid.uuid4().hex}"))
     row = strict.evaluations.first()
     assert (row.total_claims, row.hallucination_count, row.breakdown["verification"]) == (5, 5, 0.0)
