@@ -1581,3 +1581,265 @@ def _(spark, sf_dir):
     return auditlog.latest_records(rows).select(
         c("paper_id").cast("bigint").alias("paper"), c("created_at").alias("newest"), "total_claims"
     )
+
+
+# --- files, sinks and hooks -----------------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _paper_files(spark, rows, key):
+    """One text file per row, as a folder of papers; the writer ends each with a line feed."""
+    path = _folder(spark, "papers")
+    rows.repartition(8, key).write.partitionBy(key).text(path)
+    return path
+
+
+@query(
+    "s1_read_papers",
+    "SELECT 'md:' || substr(sha256(text || chr(10)), 1, 16) AS paper_id, count(*) AS n_paths, 1 AS n_rows FROM documents GROUP BY 1",
+)
+def _(spark, sf_dir):
+    path = _paper_files(spark, _docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    read = sources.read_papers(spark, path)
+    paths = sources.paper_paths(read).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_paths"))
+    rows = sources.distinct_papers(read).groupBy("paper_id").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+    return paths.join(rows, "paper_id")
+
+
+@query(
+    "t1_review_stream",
+    """SELECT DISTINCT 'md:' || substr(sha256(md || chr(10)), 1, 16) AS paper_id, config_id, c.triage, f.word_count
+    FROM comp c JOIN papers p USING (paper_id) JOIN facts f USING (paper_id) WHERE config_id IN ('ieee', 'arxiv')""",
+)
+def _(spark, sf_dir):
+    """Every paper as a file, reviewed by a stream into a log, and the log read as a table."""
+    from peerlight.streaming.intake import review_stream
+
+    path = _paper_files(spark, _papers(spark, sf_dir).select("paper_id", "md"), "paper_id")
+    log = _folder(spark, "log")
+    review_stream(spark, path, ["ieee", "arxiv"], log, _folder(spark, "stream")).awaitTermination()
+    return auditlog.read_log(spark, log).select(
+        "paper_id", "config_id", F.col("compliance_triage").alias("triage"), "word_count"
+    )
+
+
+_SAVED = f"""
+SELECT {_LOG_ID} AS evaluation_id, paper_id, config_id, triage, issues, composite, recommendation
+FROM comp JOIN compo USING (paper_id, config_id) JOIN hashes USING (config_id)
+"""
+
+
+def _stored_log(spark, sf_dir):
+    path = _folder(spark, "log")
+    auditlog.append_log(_log(spark, sf_dir), path)
+    return auditlog.read_log(spark, path)
+
+
+@query("s5_saved_records", f"SELECT * EXCLUDE (evaluation_id) FROM ({_SAVED})")
+def _(spark, sf_dir):
+    out = _folder(spark, "records")
+    auditlog.export_jsonl(_stored_log(spark, sf_dir), out)
+    return auditlog.read_records(spark, out).select(
+        "paper_id", "config_id", "triage", _joined("issues").alias("issues"), "composite", "recommendation"
+    )
+
+
+@query("s7_load_record", f"SELECT * FROM ({_SAVED}) ORDER BY evaluation_id LIMIT 1")
+def _(spark, sf_dir):
+    log = _stored_log(spark, sf_dir)
+    asked = log.select("evaluation_id", "paper_id", "config_hash").orderBy("evaluation_id").first()
+    return auditlog.load_record(log, asked.evaluation_id, asked.paper_id, asked.config_hash).select(
+        "evaluation_id", "paper_id", "config_id", "triage", _joined("issues").alias("issues"), "composite", "recommendation"
+    )
+
+
+@query("s11_export_jsonl", "SELECT paper_id, count(*) AS n_lines FROM papers CROSS JOIN hashes GROUP BY 1")
+def _(spark, sf_dir):
+    out = _folder(spark, "jsonl")
+    auditlog.export_jsonl(_stored_log(spark, sf_dir), out)
+    lines = spark.read.text(out)
+    return lines.groupBy(F.get_json_object("value", "$.paper_id").alias("paper_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(
+    "s13_artifacts",
+    """SELECT paper_id, config_id, '2024-01-01' AS day,
+      coalesce(nullif(substr(trim(regexp_replace(lower(f.title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), ''), 'untitled') AS slug, composite
+    FROM compo JOIN facts f USING (paper_id)""",
+)
+def _(spark, sf_dir):
+    ev, out = _heuristic(spark, sf_dir), _folder(spark, "artifacts")
+    drafts.write_artifacts(ev, drafts.review_drafts(ev), out, "2024-01-01")
+    reviews = spark.read.parquet(f"{out}/reviews").filter("value LIKE '%## Summary%'").select("paper_id", "config_id", "slug")
+    saved = spark.read.parquet(f"{out}/records")
+    return saved.join(reviews, ["paper_id", "config_id", "slug"]).select(
+        "paper_id", "config_id", F.col("day").cast("string").alias("day"), "slug",
+        F.get_json_object("value", "$.composite").cast("double").alias("composite"),
+    )
+
+
+@query("s14_cost_log", ORACLES["a10_cost_totals"])
+def _(spark, sf_dir):
+    path = _folder(spark, "costs")
+    costs.append_costs(_usage(spark, sf_dir), path)
+    return costs.cost_totals(costs.read_costs(spark, path))
+
+
+@query(
+    "u4_build_catalog",
+    f"""SELECT 'crossref' AS source, 0 AS source_rank, sha256('c-' || d) AS catalog_id, text AS title, 'Ann ' || src AS authors, '10.1/' || d AS doi FROM {_D} WHERE d % 7 <> 3
+    UNION ALL SELECT 'semantic_scholar', 1, sha256('s-' || d), text, 'Ann ' || src, '10.1/' || d FROM {_D} WHERE d % 7 <> 3
+    UNION ALL SELECT 'openalex', 2, sha256('o-' || d), text, 'Ann ' || src, '10.1/' || d FROM {_D} WHERE d % 7 <> 3""",
+)
+def _(spark, sf_dir):
+    """Raw answers of three sources, a seventh of them misses or errors, to one catalog."""
+    c = F.col
+    d = _docs(spark, sf_dir).select(c("doc_id").alias("d"), "text", "source")
+    doi, ann = F.concat(F.lit("10.1/"), c("d").cast("string")), F.lit("Ann")
+    full = F.concat(F.lit("Ann "), c("source"))
+    bodies = {
+        "crossref": F.struct(F.struct(doi.alias("DOI"), F.array("text").alias("title"), F.array(F.struct(ann.alias("given"), c("source").alias("family"))).alias("author")).alias("message")),
+        "semantic_scholar": F.struct(c("text").alias("title"), F.array(F.struct(full.alias("name"))).alias("authors"), F.struct(doi.alias("DOI")).alias("externalIds")),
+        "openalex": F.struct(c("text").alias("title"), F.array(F.struct(F.struct(full.alias("display_name")).alias("author"))).alias("authorships"), doi.alias("doi")),
+    }
+    parts = [
+        d.select(
+            F.lit(name).alias("source"), F.lit("doi").alias("key_kind"), doi.alias("key"),
+            F.concat(F.lit(f"{name[0]}-"), c("d").cast("string")).alias("url"),
+            F.when(c("d") % 7 != 3, 200).when(c("d") % 2 == 0, 404).otherwise(500).alias("status"), F.to_json(body).alias("body"),
+        )
+        for name, body in bodies.items()
+    ]
+    built = responses.build_catalog(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return built.select("source", "source_rank", "catalog_id", "title", _joined("authors").alias("authors"), "doi")
+
+
+def _prompts(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("cache_key"), F.col("text").alias("prompt"), F.lit("m").alias("model"))
+
+
+def _joiner():
+    """A caller's model: one function per task, from a batch of requests to answers."""
+
+    def answer(batch):
+        size = batch["prompt"].str.len().astype("int64")
+        return batch[["cache_key"]].assign(
+            text=batch["prompt"].str.replace(" ", "_"), model=batch["model"], provider="mine", prompt_tokens=size,
+            completion_tokens=size, cost_usd=0.5, finish_reason="stop",
+        )
+
+    return answer
+
+
+@query("x1_run_model", "SELECT doc_id, replace(text, ' ', '_') AS text, 'mine' AS provider, length(text) AS prompt_tokens FROM documents")
+def _(spark, sf_dir):
+    return inference.run_model(_prompts(spark, sf_dir), _joiner).select(
+        F.col("cache_key").cast("bigint").alias("doc_id"), "text", "provider", "prompt_tokens"
+    )
+
+
+@query(
+    "x2_run_embedder",
+    "SELECT doc_id, length(text) AS letters, length(text) - length(replace(text, ' ', '')) AS blanks, 1 AS n_vectors FROM documents",
+)
+def _(spark, sf_dir):
+    def factory():
+        def embed(batch):
+            vectors = [[[float(len(t)), float(t.count(" "))] for t in texts] for texts in batch["texts"]]
+            return batch[["cache_key", "model"]].assign(vectors=vectors, provider="mine", prompt_tokens=0, cost_usd=0.0)
+
+        return embed
+
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("cache_key"), F.array("text").alias("texts"), F.lit("m").alias("model"))
+    v = F.col("vectors")[0]
+    return inference.run_embedder(rows, factory).select(
+        F.col("cache_key").cast("bigint").alias("doc_id"), v[0].cast("bigint").alias("letters"), v[1].cast("bigint").alias("blanks"),
+        F.size("vectors").alias("n_vectors"),
+    )
+
+
+@query(
+    "x7_run_chain",
+    "SELECT doc_id, replace(text, ' ', '_') AS text, 'mine' AS provider, 'downgraded: first: RuntimeError' AS finish_reason FROM documents",
+)
+def _(spark, sf_dir):
+    def broken():
+        raise RuntimeError("no key")
+
+    return inference.run_chain(_prompts(spark, sf_dir), [("first", broken), ("mine", _joiner)]).select(
+        F.col("cache_key").cast("bigint").alias("doc_id"), "text", "provider", "finish_reason"
+    )
+
+
+@query("x4_custom_config", "SELECT paper_id, 'mine' AS config_id, triage, composite FROM comp JOIN compo USING (paper_id, config_id) WHERE config_id = 'neurips'")
+def _(spark, sf_dir):
+    """A config saved as a JSON file under another name, read back and used."""
+    import json
+
+    from peerlight.sources.configs import SHIPPED, complete_config, read_configs
+
+    path, mine = _folder(spark, "configs"), {**complete_config(SHIPPED["neurips"]), "venue": "mine"}
+    spark.createDataFrame([(json.dumps(mine),)], "value string").coalesce(1).write.text(path)
+    review = R.evaluate_papers(
+        _papers(spark, sf_dir), read_configs(spark, path), metadata=corpus.metadata(spark, sf_dir), options=R.Options(distinct_ids=True)
+    )
+    return review.evaluations.select("paper_id", "config_id", "triage", "composite")
+
+
+@query("x5_price_overrides", f"""
+SELECT event_id, (event_id % 977) * pin / {dbl(1000000)} + (event_id % 313) * pout / {dbl(1000000)} AS cost_usd FROM (
+  SELECT event_id, CASE event_type WHEN 'click' THEN {dbl(1)} WHEN 'view' THEN {dbl(0.15)} WHEN 'purchase' THEN {dbl(15)} ELSE {dbl(7)} END AS pin,
+    CASE event_type WHEN 'click' THEN {dbl(2)} WHEN 'view' THEN {dbl(0.6)} WHEN 'purchase' THEN {dbl(75)} ELSE {dbl(9)} END AS pout FROM events)
+""")
+def _(spark, sf_dir):
+    """A caller's price table: one model repriced, and every other event type priced."""
+    from peerlight.sources.configs import model_prices
+
+    usage = _usage(spark, sf_dir).drop("cost_usd")
+    known = ("claude-sonnet-4-6", "gpt-4o-mini", "claude-opus-4-6")
+    other = usage.filter(~F.col("model").isin(*known)).select("model").distinct().select(
+        "model", F.lit(7.0).alias("input_per_mtok"), F.lit(9.0).alias("output_per_mtok")
+    )
+    mine = spark.createDataFrame([("claude-sonnet-4-6", 1.0, 2.0)], "model string, input_per_mtok double, output_per_mtok double")
+    return costs.estimate_cost(usage, model_prices(spark, mine.unionByName(other))).select("event_id", "cost_usd")
+
+
+ORACLES["v14_copies_count_once"] = ORACLES["v14_evaluate_papers"]
+
+
+@query("v14_copies_count_once")
+def _(spark, sf_dir):
+    """Every paper given twice gives what it gives once."""
+    papers = _papers(spark, sf_dir)
+    review = R.evaluate_papers(papers.unionByName(papers), metadata=corpus.metadata(spark, sf_dir))
+    return review.evaluations.select(
+        "paper_id", "config_id", "config_hash", "title", "word_count", "n_refs", "triage", "n_passed", "n_checks",
+        _joined("issues").alias("issues"), "methodology", "limitations", "reproducibility", "logical_soundness",
+        "raw_total", "bias_adjusted_total", "composite", "recommendation", "total_claims",
+    )
+
+
+@query("a5_verification_subscores", f"""
+SELECT paper_id, config_id, {rx('verification')} AS verification, {rx('compliance')} AS compliance, {rx('rubric')} AS rubric FROM sub_full
+""")
+def _(spark, sf_dir):
+    """Subscores of a review with claims: supported, refuted and absent ones."""
+    b = lambda n: F.col("breakdown")[n].alias(n)
+    return _full(spark, sf_dir).evaluations.select("paper_id", "config_id", b("verification"), b("compliance"), b("rubric"))
+
+
+@query(
+    "s0_whole_texts",
+    "SELECT doc_id, TRUE AS whole FROM documents",
+)
+def _(spark, sf_dir):
+    """The check papers hold every quarter of their document, so no query reads cut texts."""
+    d = _docs(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("paper_id"))
+    both = d.join(_papers(spark, sf_dir), "paper_id")
+    q = F.floor(F.length("text") / 4).cast("int")
+    quarters = [F.substr("text", q * i + 1, q if i < 3 else F.length("text")) for i in range(4)]
+    held = [F.contains("md", x) for x in quarters]
+    return both.select("doc_id", (held[0] & held[1] & held[2] & held[3]).alias("whole"))

@@ -84,12 +84,21 @@ def run_model(
 
     def apply(batches: Iterator) -> Iterator:
         model = factory()
+        names = [field.split()[0] for field in schema.replace("array<array<double>>", "v").split(", ")]
         for batch in batches:
-            yield model(batch)
+            yield model(batch)[names]
 
     return requests.mapInPandas(apply, schema)
 
 
+def run_embedder(
+    requests: DataFrame, factory: Callable[[], Callable], schema: str = schemas.EMBEDDINGS
+) -> DataFrame:
+    """Apply a user embedder: as ``run_model``, from batches of (cache_key, texts, model) to
+    batches with one vector per text."""
+    return run_model(requests, factory, schema)
+
+
 def stub_completions(requests: DataFrame) -> DataFrame:
     """Deterministic completions without any model: a template keyed by the prompt hash."""
     digest = F.substring(
