@@ -41,10 +41,15 @@ def _tagged(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), value)
 
 
+def search_words(title: Column) -> Column:
+    """Distinct words of a title in any script, for the search (scores keep ASCII words)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
 def title_key(title: Column) -> Column:
     """Sorted distinct title words as one text; NULL when there are none."""
     return T.let(
-        F.array_sort(T.title_words(title)),
+        F.array_sort(search_words(title)),
         lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")),
     )
 
@@ -91,75 +96,121 @@ def catalog_keys(catalog: DataFrame, kinds: list[str] | None = None) -> DataFram
 # --- title search -----------------------------------------------------------
 
 
-def _rare_first(tokens: Column) -> Column:
-    """Tokens in one global order that puts long (rare) ones first.
+#: A block whose pairs of query and title exceed this is split into groups of its root squared.
+BLOCK_PAIRS = 1_000_000
+
 
-    Any fixed order keeps the prefix filter exact; length stands in for rarity, so no
-    token-frequency pass over the data is needed.
+def rare_first(keys: DataFrame, titles: DataFrame) -> DataFrame:
+    """(key, words): the words of every title key, those in fewest catalog titles first.
+
+    Frequencies are counted once over the distinct catalog keys and joined to the words, with
+    words that are in many titles split over salts.
     """
-    keyed = F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t")))
-    return F.transform(F.array_sort(keyed), lambda x: x["t"])
+    words = F.explode(F.split(F.substring_index("key", ":", -1), " ")).alias("word")
+    rows = keys.select("key").distinct().select("key", words)
+    counts = key_counts(rows, "word")
+    known = titles.select("key").distinct().select(words).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n_titles")
+    )
+    found = counts.join(known, "word", "left").select(
+        "word", "key_rows", F.coalesce("n_titles", F.lit(0)).alias("n_titles")
+    )
+    placed = attach_by_key(rows, found, counts, "word", ["key"], how="inner")
+    ordered = F.array_sort(F.collect_list(F.struct("n_titles", "word")))
+    return placed.groupBy("key").agg(F.transform(ordered, lambda x: x["word"]).alias("words"))
 
 
-def block_keys(tokens: Column, min_similarity: float) -> Column:
-    """Keys two token sets must share to reach the Jaccard floor.
+def prefix_of(words: Column, min_similarity: float) -> Column:
+    """The rarest words, of which two sets that reach the Jaccard floor share two.
 
-    With floor s > 0.5, sets of two or more tokens overlap in at least ceil(s * size) >= 2
-    tokens, so the prefixes of size - ceil(s * size) + 2 tokens share two of them: the keys
-    are the token pairs of that prefix. One-token sets can only match themselves.
+    With floor s > 0.5, sets of two or more words overlap in ceil(s * size) >= 2 words at
+    least, so prefixes of size - ceil(s * size) + 2 words share two of them.
     """
+    n = F.size(words)
+    return F.slice(words, F.lit(1), n - F.ceil(n * F.lit(min_similarity) - F.lit(1e-9)).cast("int") + 2)
 
-    def pairs(ordered: Column) -> Column:
-        n = F.size(ordered)
-        prefix = F.slice(
-            ordered, F.lit(1), n - F.ceil(n * F.lit(min_similarity) - F.lit(1e-9)).cast("int") + 2
-        )
-        combos = F.flatten(
-            F.transform(
-                prefix,
-                lambda a, i: F.transform(
-                    F.slice(prefix, i + 2, F.size(prefix)), lambda b: F.concat(a, F.lit(" "), b)
-                ),
-            )
-        )
-        return F.when(n == 1, ordered).otherwise(combos)
 
-    return T.let(_rare_first(tokens), pairs)
+def _pair(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
+
+
+def block_keys(prefix: Column) -> Column:
+    """All pairs of the prefix words, in their order."""
+    return F.flatten(
+        F.transform(
+            prefix,
+            lambda a, i: F.transform(
+                F.slice(prefix, i + 2, F.size(prefix)), lambda b: _pair(a, b)
+            ),
+        )
+    )
 
 
 def similar_titles(asked: DataFrame, titles: DataFrame, floor: float) -> DataFrame:
     """(key, source, catalog_id, similarity) of similar but unequal title sets.
 
-    ``asked`` has (key, below): only sources ranked before ``below`` are searched. Candidates
-    meet on a shared prefix key and must fit in size; the exact Jaccard decides. No
-    candidate is capped or sampled.
+    ``asked`` has (key, below): only sources ranked before ``below`` are searched. Sets meet on
+    a shared pair of rare words and must fit in size; the exact Jaccard decides. A pair of
+    sets is compared once, at its first shared block; a block with many sets on both sides is
+    split into bounded groups. No candidate is capped or sampled. Sets of one word can only
+    equal each other and take no part.
     """
-    tokens = lambda c: F.split(F.substring_index(c, ":", -1), " ")
-    q = asked.select("key", "below", tokens(F.col("key")).alias("q_words"))
-    q = each(q, ["key", "below", "q_words"], block_keys(F.col("q_words"), floor), "block")
-    c = titles.select(
+    several = F.contains("key", F.lit(" "))
+    queries = asked.select("key", "below").filter(several)
+    held = titles.select("source", "catalog_id", "key").filter(several)
+    order = rare_first(queries.select("key").union(held.select("key")), held)
+    # A query longer than any title allows cannot match; it would make many blocks.
+    size = lambda c: F.size(F.split(F.substring_index(c, ":", -1), " "))
+    longest = held.agg(F.coalesce(F.max(size(F.col("key"))), F.lit(0)).alias("n"))
+    q = (
+        queries.filter(size(F.col("key")) * floor <= longest.scalar() + 1e-9)
+        .join(order, "key")
+        .select("key", "below", F.col("words").alias("q_words"), prefix_of(F.col("words"), floor).alias("q_prefix"))
+    )
+    c = held.join(order, "key").select(
         "source", "catalog_id", _rank_of(F.col("source")).alias("rank"), F.col("key").alias("c_key"),
-        tokens(F.col("key")).alias("c_words"),
+        F.col("words").alias("c_words"), prefix_of(F.col("words"), floor).alias("c_prefix"),
     )
-    c = each(
-        c, ["source", "catalog_id", "rank", "c_key", "c_words"], block_keys(F.col("c_words"), floor),
-        "block",
+    q = each(q, q.columns, block_keys(F.col("q_prefix")), "block")
+    c = each(c, c.columns, block_keys(F.col("c_prefix")), "block")
+    # Blocks on both sides, and into how many groups each side is dealt.
+    side = BLOCK_PAIRS**0.5
+    sizes = (
+        q.groupBy("block").agg(F.count(F.lit(1)).alias("nq"))
+        .join(c.groupBy("block").agg(F.count(F.lit(1)).alias("nc")), "block")
+        .withColumn("large", F.col("nq") * F.col("nc") > BLOCK_PAIRS)
+        .select(
+            "block",
+            *[
+                F.when(F.col("large"), F.ceil(F.col(n) / side)).otherwise(1).cast("int").alias(k)
+                for n, k in (("nq", "kq"), ("nc", "kc"))
+            ],
+        )
     )
+
+    def dealt(rows: DataFrame, own: str, other: str, name: str, copies: str, by: list[str]):
+        own_group = F.pmod(F.xxhash64(*by), F.col(own)).cast("int").alias(name)
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(copies)
+        return rows.join(sizes, "block").select(*rows.columns, own_group, every)
+
+    q = dealt(q, "kq", "kc", "gq", "gc", ["key"])
+    c = dealt(c, "kc", "kq", "gc", "gq", ["source", "catalog_id"])
+    shared = F.array_intersect("q_prefix", "c_prefix")
     fits = (
-        (F.col("key") != F.col("c_key"))
+        (F.col("block") == _pair(F.get(shared, F.lit(0)), F.get(shared, F.lit(1))))
+        & (F.col("key") != F.col("c_key"))
         & (F.col("rank") < F.col("below"))
         & (F.size("q_words") * floor <= F.size("c_words") + 1e-9)
         & (F.size("c_words") * floor <= F.size("q_words") + 1e-9)
     )
     return (
-        q.join(c, "block")
+        q.join(c, ["block", "gq", "gc"])
         .filter(fits)
         .select(
             "key", "source", "catalog_id",
             T.jaccard(F.col("q_words"), F.col("c_words")).alias("similarity"),
         )
         .filter(F.col("similarity") >= floor)
-        .distinct()
     )
 
 

@@ -86,6 +86,25 @@ def test_title_search_equals_brute_force(spark, floor):
     assert got == want
 
 
+def test_titles_of_any_script_are_found(spark):
+    cat = _cat(spark, ("crossref", "c1", "Глубокие сети для графов", None, None, None), ("openalex", "o1", "深層学習 グラフ", None, None, None))
+    refs = _refs(spark, ("Глубокие сети для графов", None, None), ("Глубокие сети больших графов", None, None), ("深層学習 グラフ", None, None))
+    out = {r.ref_id: r.status for r in citations.lookup_refs(refs, cat).collect()}
+    assert out == {"ref-1": "FOUND", "ref-2": "FOUND", "ref-3": "FOUND"}
+
+
+def test_blocks_of_common_words_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(citations, "BLOCK_PAIRS", 16)
+    base = ["common", "model", "title", "words"]
+    cat = [("crossref", f"c{i:03d}", " ".join([*base, f"x{i}"]), None, None, None) for i in range(40)]
+    asked = spark.createDataFrame([("title:" + " ".join(sorted([*base, f"y{i}"])), 3) for i in range(30)], "key string, below int")
+    held = citations.catalog_keys(_cat(spark, *cat), ["title"])
+    got = citations.similar_titles(asked, held, 0.6)
+    rows = [(r.key, r.catalog_id) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == 30 * 40
+    assert all(abs(r.similarity - 4 / 6) < 1e-9 for r in got.collect())
+
+
 def test_metadata_match(spark):
     cat = _cat(spark, ("crossref", "c", "A Fine Title", "10.1/a", None, None))
     refs = _refs(spark, ("A fine title", "10.1/a", None))
