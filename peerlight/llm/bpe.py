@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import documents
+from peerlight.llm.common import bounded_batches, documents
 
 #: Fixed values of the byte-level format: how text splits into words, and the printable
 #: characters that stand for themselves in the vocabulary file.
@@ -20,7 +20,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PRINTED = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
 #: Words whose tokens a task remembers before it starts anew; texts handled at a time.
-CACHE_WORDS, TEXTS = 400_000, 128
+CACHE_WORDS, TEXTS = 200_000, 128
 _NONE = np.iinfo(np.int32).max
 
 
@@ -206,6 +206,7 @@ def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", ids: str = "ids"
     like ``ids`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tok)
+    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

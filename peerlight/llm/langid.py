@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import documents, fold, settle
+from peerlight.llm.common import bounded_batches, documents, fold, settle
 
 #: Byte trigrams are hashed to this many places; a unit is this many consecutive trigrams.
 BITS, UNIT = 15, 24
@@ -55,6 +55,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(docs: DataFrame) -> Languages:
     """Trigram counts per language over all rows of (text, lang), summed on the cluster."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -157,6 +158,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
     get ``und`` and score 0. Input columns of these names are replaced; others pass through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, lang_set array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import documents, fold, settle
+from peerlight.llm.common import bounded_batches, documents, fold, settle
 from peerlight.llm.text_stats import text_counts
 
 _TEXTS = 256
@@ -103,6 +103,7 @@ def features(docs: DataFrame) -> DataFrame:
                 parts.append(statistics(texts.iloc[at : at + _TEXTS].tolist()))
             yield pd.DataFrame(np.concatenate(parts), columns=FEATURES)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", run("text").alias("f")).select("doc_id", "f.*")
 
 

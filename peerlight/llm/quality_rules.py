@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import documents, settle
+from peerlight.llm.common import bounded_batches, documents, settle
 from peerlight.llm.text_stats import COUNTS, text_counts
 
 #: Relative error of the sketch: bucket i holds values up to GAMMA ** i.
@@ -43,6 +43,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             yield pd.concat(parts, ignore_index=True)
 
     docs = docs.drop(*COUNTS)
+    bounded_batches(docs.sparkSession)
     kept = docs.columns
     return docs.withColumn("_counts", run("text")).select(*kept, "_counts.*")
 

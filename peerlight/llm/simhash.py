@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from peerlight.llm.common import documents, settle
+from peerlight.llm.common import bounded_batches, documents, settle
 
 #: A fingerprint has 32 segments of two bits; its embedding is the bit count of each.
 SEGMENTS = 32
@@ -220,6 +220,7 @@ def near_duplicates(
     without an id get the smallest id of their group, or null if no row of it has one; rows
     that repeat an id stay rows of their own. Further columns do not enter.
     """
+    bounded_batches(docs.sparkSession)
     prints = settle(docs.select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("fingerprint")))
     groups = fingerprint_groups(prints, distance, blocks)
     # A fingerprint may hold a third of all rows; the adaptive join splits its partition.
@@ -234,6 +235,7 @@ def drop_near_duplicates(
     Of rows that repeat that id, one stays; of a group without ids, one row stays. Columns
     pass through.
     """
+    bounded_batches(docs.sparkSession)
     marked = docs.withColumn("_print", fingerprint(F.col("text"), shingle, seed))
     marked = marked.withColumn("_key", F.struct("doc_id", "_print"))
     prints = settle(marked.select("doc_id", F.col("_print").alias("fingerprint")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import documents, fold, settle
+from peerlight.llm.common import bounded_batches, documents, fold, settle
 
 #: Lengths of the n-grams and places they are hashed to; texts handled at a time.
 ORDERS, BITS, TEXTS = (4, 5), 18, 64
@@ -78,6 +78,7 @@ def _sample(labels: DataFrame, label: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity | None:
     """Fit on a bounded sample of labelled rows; None if a class has no row."""
     sample = _sample(labels, label)
+    bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded above
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if any(not sizes.get(c) for c in (0, 1)):
@@ -169,6 +170,7 @@ def score(docs: DataFrame, model: Toxicity | None) -> DataFrame:
     Null and empty texts have no n-grams and get the score of the bias.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
