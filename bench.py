@@ -33,17 +33,29 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     run = f"bench-{int(time.time())}"
-    papers = stage(corpus.papers(spark, sf_dir), "papers", run)
+    # One file per core, as a corpus of many splits would have.
+    papers = stage(corpus.papers(spark, sf_dir).repartition(int(cpus)), "papers", run)
     n_papers = papers.count()
     # Inputs of the later jobs are stored tables, as they are between the stages of a run.
     parsed = stage(parsing.parse_papers(papers), "parsed", run)
     refs = stage(references.refs(parsed), "refs", run)
     catalog = stage(corpus.catalog(spark, sf_dir), "catalog", run)
-    log = auditlog.log_rows(review.heuristic_review(parsed), "run")
+    log = stage(auditlog.log_rows(review.heuristic_review(parsed), "run"), "log", run)
+    unique = review.Options(distinct_ids=True)
+
+    def full_review():
+        options = review.Options(
+            distinct_ids=True, provider="bench", run_id=f"{run}-full", current_year=2020, max_age=20
+        )
+        return review.evaluate_papers(
+            papers, catalog=catalog, infer=model.replies, options=options
+        ).evaluations
 
     jobs = {
         "parse": lambda: parsing.parse_papers(papers),
-        "evaluate_papers": lambda: review.evaluate_papers(papers).evaluations,
+        "evaluate_papers": lambda: review.evaluate_papers(papers, options=unique).evaluations,
+        "evaluate_papers_with_copies": lambda: review.evaluate_papers(papers).evaluations,
+        "full_review": full_review,
         "references": lambda: references.refs(parsed),
         "lookup_refs": lambda: citations.lookup_refs(refs, catalog),
         "claims": lambda: claims.build_claims(
@@ -61,9 +73,12 @@ def main() -> None:
         "content_ids": lambda: registered.QUERIES["s2_content_ids"](spark, sf_dir),
     }
     times: dict[str, float] = {}
+    planning: dict[str, float] = {}
     for name, job in jobs.items():
         start = time.time()
-        job().write.format("noop").mode("overwrite").save()
+        result = job()
+        planning[name] = round(time.time() - start, 3)
+        result.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
     print(
         json.dumps(
@@ -72,6 +87,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "building_plans": planning,
                 "sf": sf_dir.rsplit("sf", 1)[-1].strip("/"),
                 "papers": n_papers,
                 "papers_per_sec": round(n_papers / times["evaluate_papers"], 1),

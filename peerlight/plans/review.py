@@ -224,7 +224,7 @@ def evaluate_papers(
         )
         review.responses.append(fresh)
         model_dims = entailment.parse_rubric(answers.select("paper_id", "config_id", "text"), configs)
-    review.evaluations = finish(rows, model_dims, opt)
+    review.evaluations = staged(finish(rows, model_dims, opt), "evaluations")
     return review
 
 
