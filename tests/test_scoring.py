@@ -7,7 +7,7 @@ from peerlight.functions.numbers import fixed, recommendation, round_exact
 from peerlight.operators import depth, fairness, parsing, scoring, whatif
 from peerlight.operators.compliance import compliance, detect_venue
 from peerlight.operators.rubric import rubric
-from peerlight.plans.review import evaluate_papers, heuristic_review
+from peerlight.plans.review import Options, evaluate_papers, heuristic_review
 from peerlight.sources.configs import ConfigError, complete_config, merge_weights, SHIPPED
 
 
@@ -165,6 +165,16 @@ def test_tipping_point_and_bar(spark):
 
 def test_heuristic_plan_is_narrow(spark):
     df = spark.createDataFrame([("p", "## Intro\none two")], "paper_id string, md string")
-    plan = evaluate_papers(df).evaluations._jdf.queryExecution().executedPlan().toString()
+
+    def plan_of(options):
+        review = evaluate_papers(df, options=options)
+        return review.evaluations._jdf.queryExecution().executedPlan().toString()
+
+    plan = plan_of(Options(distinct_ids=True))
     for word in ("Exchange", "Join", "CartesianProduct", "Python", "Window"):
         assert word not in plan
+    # Making ids distinct is the one exchange of the default.
+    plan = plan_of(Options())
+    assert plan.count("Exchange") == 1
+    for word in ("Join", "CartesianProduct", "Python", "Window"):
+        assert word not in plan
