@@ -17,7 +17,7 @@ from peerlight.llm.common import settle, shuffle_partitions
 SAMPLE = 16_384
 TREES, LEAF = 4, 64
 #: Leaves visited by a query: this share of all leaves, and this many at least.
-VISIT_SHARE, VISIT_LEAST = 0.25, 32
+VISIT_SHARE, VISIT_LEAST = 0.3, 64
 #: Vectors of one leaf that meet in one task; larger leaves are split in blocks.
 BLOCK = 50_000
 #: Queries merged in one task.
