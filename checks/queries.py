@@ -1051,13 +1051,18 @@ def _(spark, sf_dir):
     usage = spark.sql(
         f"SELECT CAST(ts AS TIMESTAMP) AS timestamp, {_NAMED} AS model, event_id % 977 AS prompt_tokens, event_id % 313 AS completion_tokens, value AS cost_usd FROM event_stream"
     )
-    name = "costs_" + uuid.uuid4().hex[:8]
+    out = _folder(spark, "costs")
+
+    def keep(batch, batch_id):
+        # The whole result of the last batch replaces the one before.
+        batch.write.mode("overwrite").parquet(out)
+
     run = (
-        windowed_costs(usage).writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+        windowed_costs(usage).writeStream.foreachBatch(keep).outputMode("complete")
+        .option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.table(name).select(
+    return spark.read.parquet(out).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "model", "cost_usd", "tokens", "n_calls"
     )
 
@@ -1234,6 +1239,45 @@ def _(spark, sf_dir):
     return contracts.contract_violations(rows).select("doc_id", "rule")
 
 
+_UNITS = [
+    "confidence", "overall", "mean_confidence", "methodology", "limitations", "reproducibility", "logical_soundness",
+    "raw_total", "bias_adjusted_total", "composite", "overall_score", "reviewer_confidence", "max_penalty",
+]
+_DOMAINS = ["claim_type", "severity", "source", "triage", "recommendation", "status", "verdict"]
+_SIGNED = ["compliance", "verification", "depth", "rubric", "cost_usd"]
+# Columns of one wide table that every rule applies to, by residues of the id; SQL of both dialects.
+_ALL_COLS = ", ".join(
+    [f"((d + {i}) % 13) / CAST(10.0 AS DOUBLE) AS {n}" for i, n in enumerate(_UNITS)]
+    + [f"CASE WHEN d % {i + 5} = 0 THEN 'other' ELSE '{P.ENUMS[n][0]}' END AS {n}" for i, n in enumerate(_DOMAINS)]
+    + [f"CAST(d % {i + 7} AS DOUBLE) - 1 AS {n}" for i, n in enumerate(_SIGNED)]
+    + [
+        "'w' AS weight_set", "d % 4 - 1 AS char_start", "d % 3 AS char_end", "d % 5 AS score", "d % 7 - 1 AS max_score",
+        "d % 6 AS total_claims", "d % 7 AS verified_count", "d % 5 AS hallucination_count", "d % 9 AS penalty_start", "d % 8 AS penalty_full",
+    ]
+)
+_ALL_RULES = [f"CASE WHEN {n} < 0 OR {n} > 1 THEN '{n}_in_unit_range' END" for n in _UNITS]
+_ALL_RULES += [f"CASE WHEN {n} NOT IN ({', '.join(q(x) for x in P.ENUMS[n])}) THEN '{n}_domain' END" for n in _DOMAINS]
+_ALL_RULES += [f"CASE WHEN {n} < 0 THEN 'weight_{n}_non_negative' END" for n in _SIGNED[:4]]
+_ALL_RULES += [
+    "CASE WHEN cost_usd < 0 THEN 'cost_non_negative' END", "CASE WHEN char_start < 0 THEN 'span_start_non_negative' END",
+    "CASE WHEN char_end < char_start THEN 'span_ordered' END", "CASE WHEN max_score <= 0 THEN 'max_score_positive' END",
+    "CASE WHEN score < 0 OR score > max_score THEN 'score_in_range' END",
+    "CASE WHEN verified_count > total_claims OR hallucination_count > total_claims THEN 'claim_counts_consistent' END",
+    "CASE WHEN penalty_full <= penalty_start THEN 'penalty_bounds_ordered' END",
+]
+
+
+@query(
+    "r34_all_rules",
+    f"""SELECT d AS doc_id, unnest(list_filter([{', '.join(_ALL_RULES)}], lambda x: x IS NOT NULL)) AS rule
+    FROM (SELECT d, {_ALL_COLS} FROM (SELECT doc_id AS d FROM documents))""",
+)
+def _(spark, sf_dir):
+    corpus.register(spark, sf_dir)
+    rows = spark.sql(f"SELECT d AS doc_id, {_ALL_COLS} FROM (SELECT doc_id AS d FROM documents)")
+    return contracts.contract_violations(rows).select("doc_id", "rule")
+
+
 # --- evaluation and what-if ---------------------------------------------------------
 
 

@@ -20,19 +20,19 @@ def name_similarity(query: Column, candidate: Column) -> Column:
 
 
 def match_authors(
-    authors: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS
+    authors: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS, hits: int = 3
 ) -> DataFrame:
     """(paper_id, queried_name) rows with their best candidate.
 
     ``candidates`` are search hits per queried name (queried_name, hit_rank, orcid_id,
-    candidate, institution), at most three per name. Each distinct name is matched once;
+    candidate, institution), of which the first ``hits`` per name are read. Each distinct name is matched once;
     a name on a third of all papers is joined back with its key split.
     """
     asked = authors.withColumn("name_key", T.blank_to_null(T.strip(F.col("queried_name"))))
     keys = key_counts(asked, "name_key")
-    hits = (
+    found = (
         candidates.filter(
-            (F.coalesce("candidate", F.lit("")) != "") & (F.col("hit_rank") < 3)
+            (F.coalesce("candidate", F.lit("")) != "") & (F.col("hit_rank") < hits)
         )
         .withColumn("name_key", T.strip(F.col("queried_name")))
         .withColumn(
@@ -41,7 +41,7 @@ def match_authors(
         )
         .filter(F.col("score") >= P.AUTHOR_MATCH_FLOOR)
     )
-    best = hits.groupBy("name_key").agg(
+    best = found.groupBy("name_key").agg(
         F.min_by(
             F.struct("orcid_id", F.col("candidate").alias("matched_name"), "institution", "score"),
             F.struct((-F.col("score")).alias("s"), F.col("hit_rank")),

@@ -116,6 +116,15 @@ def _item_type(item: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), path, "variant"))
 
 
+def left_out_items(responses: DataFrame, limit: int = P.MAX_CLAIMS_PER_SECTION) -> DataFrame:
+    """(paper_id, ord, n_left_out) of responses with more items than ``limit`` lets through."""
+    body = strip_fences(F.col("text"))
+    items = F.coalesce(json_array(body), json_array(embedded(body, "[", "]")))
+    return responses.select(
+        "paper_id", "ord", (F.size(items) - limit).alias("n_left_out")
+    ).filter(F.col("n_left_out") > 0)
+
+
 def parse_claims(
     responses: DataFrame, limit: int = P.MAX_CLAIMS_PER_SECTION
 ) -> DataFrame:

@@ -367,7 +367,8 @@ def times_configs(df: DataFrame, configs: Configs = None) -> DataFrame:
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Venue configs from JSON files (one config per file)."""
+    """Venue configs from JSON files (one config per file); more than ``MAX_CONFIGS`` are an
+    error, as every paper meets every config."""
     files = spark.read.text(path, wholetext=True).limit(MAX_CONFIGS + 1).collect()
     return venue_configs(spark, [json.loads(r.value) for r in files])
 

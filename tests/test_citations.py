@@ -126,6 +126,7 @@ def test_claim_response_shapes(spark):
     df = spark.createDataFrame([("p", i, t) for i, t in enumerate(replies)], "paper_id string, ord int, text string")
     out = claims.parse_claims(df).groupBy("ord").count().collect()
     assert {r["ord"]: r["count"] for r in out} == {0: 1, 1: 1, 2: 1, 4: 1, 5: 10}
+    assert [tuple(r) for r in claims.left_out_items(df).collect()] == [("p", 5, 5)]
 
 
 def test_claim_types_and_severity(spark):
