@@ -240,6 +240,33 @@ def decode(rows: DataFrame, tok: Tokenizer, ids: str = "ids", text: str = "decod
     return rows.withColumn(text, run(ids))
 
 
+def round_trip(
+    docs: DataFrame, tok: Tokenizer, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so ids need not go to Python a second time."""
+    sent = docs.sparkSession.sparkContext.broadcast(tok)
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(sent.value)
+        for texts in batches:
+            parts = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
+            back: list[str] = []
+            for at in range(0, len(texts), TEXTS):
+                tokens, counts = encoder.encode(texts.slice(at, TEXTS).to_pylist())
+                parts.append((tokens, counts))
+                back.extend(decode_tokens(sent.value, tokens.astype(np.int64), counts))
+            tokens, counts = (np.concatenate(x) for x in zip(*parts))
+            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
+            yield pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["ids", "decoded"])
+
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    both = docs.withColumn("_both", run(text))
+    return both.select(*kept, F.col("_both.ids").alias(ids), F.col("_both.decoded").alias(decoded))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -249,7 +276,7 @@ def default_path() -> str:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every row."""
     tok = load(path or default_path())
-    rows = decode(encode(docs.select("doc_id", "text"), tok), tok)
+    rows = round_trip(docs.select("doc_id", "text"), tok)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select(
         "doc_id",

@@ -64,6 +64,13 @@ def test_digests(spark, odd_docs, no_docs, theirs):
     assert bpe.digests(no_docs).count() == 0
 
 
+def test_one_pass_equals_two(spark, odd_docs, tok):
+    one = bpe.round_trip(odd_docs, tok)
+    two = bpe.decode(bpe.encode(odd_docs, tok), tok)
+    assert one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def brute_nearest(rows, every, k):
     usable = [
         (i, np.array(v, dtype=np.float64))
