@@ -21,7 +21,7 @@ VISIT_SHARE, VISIT_LEAST = 0.3, 64
 #: Vectors of one leaf that meet in one task; larger leaves are split in blocks.
 BLOCK = 50_000
 #: Queries merged in one task.
-MERGED = 2_000
+MERGED = 100
 
 
 @dataclass
