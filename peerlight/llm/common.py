@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         known = tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", known)
