@@ -13,23 +13,34 @@ from peerlight.sources import auditlog
 from peerlight.sources.configs import Configs
 from peerlight.sources.papers import file_parts, from_text, is_text, reject_rows
 
+#: The file source skips files this much older than the newest one it has seen (default: 7d).
+MAX_FILE_AGE = "36500d"
+
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Files arriving anywhere under ``path``, listed as the batch reader lists them."""
+    """Files arriving anywhere under ``path``, listed as the batch reader lists them.
+
+    ``arrived`` is the time of the batch that reads a file. A file's own time says nothing
+    about its arrival (archives keep theirs), so no file is too old to be read.
+    """
     files = (
         spark.readStream.option("recursiveFileLookup", "true")
+        .option("maxFileAge", MAX_FILE_AGE)
         .text(path, wholetext=True)
         .select(
             F.col("value").alias("md"),
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_modification_time").alias("arrived"),
+            F.current_timestamp().alias("arrived"),
         )
     )
     return file_parts(files)
 
 
 def paper_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
-    """Papers arriving under ``path``; copies of one text within the watermark come once."""
+    """Papers arriving under ``path``; copies of one text within the watermark come once.
+
+    Batch times only rise, so no paper is ever behind the watermark.
+    """
     papers = from_text(file_stream(spark, path).filter(is_text())).select(
         "paper_id", "md", "source_name", "arrived"
     )

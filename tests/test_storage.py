@@ -87,6 +87,22 @@ def test_review_stream(spark, tmp_path):
     assert rows.count() == 2 and rows.filter(F.col("compliance_triage") == "FAIL").count() == 1
 
 
+def test_a_stream_reviews_files_that_carry_old_times(spark, tmp_path):
+    src = tmp_path / "in"
+    os.makedirs(src)
+    (src / "a.md").write_text(MD)
+    log, chk = str(tmp_path / "log"), str(tmp_path / "chk")
+    review_stream(spark, str(src), ["arxiv"], log, chk).awaitTermination()
+    now = (src / "a.md").stat().st_mtime
+    for days in (2, 30):
+        (src / f"{days}.md").write_text(f"## Intro\nfrom {days} days ago")
+        os.utime(src / f"{days}.md", (now - days * 86400,) * 2)
+    (src / "copy.md").write_text(MD)
+    os.utime(src / "copy.md", (now - 2 * 86400,) * 2)
+    review_stream(spark, str(src), ["arxiv"], log, chk).awaitTermination()
+    assert spark.read.parquet(log).count() == 3
+
+
 def test_streams_share_a_log_with_batches(spark, tmp_path):
     log = str(tmp_path / "log")
     for n, name in enumerate(("one/a.MD", "two/deep/er/b.markdown")):
