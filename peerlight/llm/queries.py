@@ -1,6 +1,18 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from peerlight.llm import ann, bpe, langid, mixing, quality_qda, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from peerlight.llm import (
+    ann,
+    bpe,
+    langid,
+    mixing,
+    quality_qda,
+    quality_rules,
+    resampling,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +25,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_resampling": resampling.op11_resampling,
 }
 
-ORACLES = {"op1_mixing": mixing.OP1_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op11_resampling": resampling.OP11_SQL}
