@@ -5,6 +5,7 @@ from peerlight.llm import (
     bpe,
     langid,
     mixing,
+    periodic_runs,
     quality_qda,
     quality_rules,
     resampling,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_resampling": resampling.op11_resampling,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES = {"op1_mixing": mixing.OP1_SQL, "op11_resampling": resampling.OP11_SQL}
