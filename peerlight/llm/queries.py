@@ -4,6 +4,7 @@ from peerlight.llm import (
     ann,
     bpe,
     langid,
+    license_scan,
     mixing,
     periodic_runs,
     quality_qda,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_resampling": resampling.op11_resampling,
+    "op12_license_scan": license_scan.op12_license_scan,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
