@@ -316,7 +316,7 @@ HAND_WRITTEN = [
     ("proprietary", NAME, "end user license agreement", r"end user license agreement"),
     ("non-commercial", NAME, "non commercial", r"for (?:academic |personal |educational )?(?:and )?non commercial (?:use|purposes)(?: only)?"),
     ("non-commercial", NAME, "noncommercial", r"for noncommercial (?:use|purposes)(?: only)?"),
-    ("unknown-license", HINT, "licensed under", r"licensed under (?:the )?(?:terms of (?:the )?)?(?:[^ ]+ ){1,4}licen[cs]e"),
+    ("unknown-license", HINT, "licensed under", r"licensed under (?:the )?(?:terms of (?:the )?)?(?:[^ ]+ ){1,4}licen[cs]e(?: (?:version |v ?)?[0-9]+(?: [0-9]+)?)?(?: or later)?"),
     ("unknown-license", HINT, "see the license", r"see the license (?:file )?for (?:the specific language|details|more information)"),
     ("unknown-license", HINT, "see the licence", r"see the licence (?:file )?for (?:the specific language|details|more information)"),
     ("unknown-license", HINT, "spdx license identifier", r"spdx license identifier"),

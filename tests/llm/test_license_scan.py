@@ -19,6 +19,7 @@ KNOWN = [
     ("the GNU Lesser General Public License", {"lgpl"}),
     ("the GNU Affero General Public License v3", {"agpl-3.0-only"}),
     ("the GNU General Public License, version 3", {"gpl", "gpl-3.0-only"}),
+    ("This work is licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0-only"}),
     ("CC BY-SA 4.0", {"cc-by", "cc-by-sa-4.0"}),
     ("Creative Commons Attribution-NonCommercial 4.0 International License", {"cc-by-nc-4.0"}),
     ("https://creativecommons.org/licenses/by/4.0/", {"cc-by-4.0"}),
@@ -111,6 +112,7 @@ def pieces():
                     take = rng.choice(["", take])
                 text = text[: m.start()] + take + text[m.end() :]
             text = text.replace("[^ ]+", "acme").replace(r"\d+", "7")
+            text = text.replace("[0-9]+", "4")
             text = re.sub(r"\[([^\]]+)\]", lambda m: rng.choice(m.group(1)), text)
             yield rule, re.sub(r"(.)\?", lambda m: rng.choice(["", m.group(1)]), text)
 
