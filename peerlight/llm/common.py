@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,36 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stores tables as ``stored`` does and removes them at the end of the block.
+
+    Only for tables that nothing reads any more by then: what leaves the block is stored outside.
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores in front if ``df`` has such a column already."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 #: Rows that Spark hands to Python at a time. Texts are long; the default of ten thousand
 #: would hold tens of megabytes of them several times over in every worker.
 BATCH_ROWS = 1_000

@@ -1,84 +1,124 @@
-"""Near copies by Jaccard similarity of five-word shingles: SimHash groups and a prefix join."""
+"""Near copies by Jaccard similarity of five-word shingles: SimHash groups, then a prefix join.
+
+Texts with equal shingle sets are one node. A first round links nodes of a SimHash group (the
+grid of segment bit counts) and nodes that share one of their smallest shingles, one link a
+node. The second round is exact: of two near copies, the first shingle they share (in one order
+for all texts) stands among the first fifth of both, so all nodes meet by those shingles in one
+exchange, and only nodes that are not connected yet are paired. Every link is verified on the
+whole sets.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from peerlight.llm.common import bounded_batches, settle, stored
-from peerlight.llm.simhash import components, fingerprint_groups, fingerprint_words, majority
+from peerlight.llm.common import bounded_batches, free_name, scratch, settle, stored
+from peerlight.llm.simhash import components, fingerprint_groups, majority
+from peerlight.llm.word_arrays import UNBROKEN, folded, pieces, shingle_hashes
 
 #: Texts are near copies if 4 of 5 of their joint five-word shingles are in both.
 SHINGLE = 5
 #: Longs of a text's parity bitmap.
 LANES = 8
-#: Shingles of more texts than this are compared in bounded groups, not in a join.
+#: Smallest shingles by which the first round links nodes.
+FIRST = 3
+#: Shingles of more nodes than this are compared in blocks, not in one task's groups.
 CELL_ROWS = 64
-GROUP_ROWS = 512
+BLOCK_ROWS = 512
 #: One text in so many is counted to learn which shingles are frequent; at most so many are
 #: put last. Both only steer the order of shingles: any order finds the same pairs.
 SAMPLE = 16
 FREQUENT = 50_000
-
-_SIGNS = "node long, size int, fingerprint long, bits array<long>, prefix array<long>"
+#: Rows that a task pairs up at a time.
+ROWS = 65_536
 
 
-def _prefix_length(n: int) -> int:
+def _prefix_length(n: np.ndarray) -> np.ndarray:
     """A text shares 4/5 of its shingles with any near copy, so one of its first so many."""
-    return n - (4 * n + 4) // 5 + 1 if n else 0
-
-
-def signs(text: Column, frequent: np.ndarray, seed: int = 42) -> Column:
-    """Digest of the shingle set, its size, SimHash, parity bitmap and first shingles.
-
-    Shingles are ordered by hash, those in ``frequent`` (sorted) after all others.
+    return np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of folded texts, sorted per text; their numbers; fingerprints."""
+    hashes, sizes = shingle_hashes(texts, SHINGLE)
+    prints = majority(hashes, sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[fresh], np.bincount(owner[fresh], minlength=len(texts)), prints
+
+
+def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array]:
+    own, sizes, prints = shingle_sets(texts)
+    n, owner = len(texts), np.repeat(np.arange(len(texts)), sizes)
+    ends = np.cumsum(sizes)
+    node = np.array(
+        [xxh64_intdigest(own[e - s : e].tobytes(), seed) for s, e in zip(sizes.tolist(), ends.tolist())],
+        dtype=np.uint64,
+    )
+    width = 64 * LANES
+    place = owner * width + (own % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * width) & 1).astype(np.uint8)
+    bits = np.packbits(odd).view(np.int64)
+    last = np.zeros(len(own), dtype=bool)
+    if len(frequent):
+        last = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+    order = np.lexsort((last, owner))  # stable: by hash among frequent ones and others
+    at = np.arange(len(own)) - np.repeat(ends - sizes, sizes)
+    wanted = _prefix_length(sizes)
+    chosen = order[at < np.repeat(wanted, sizes)]
+    rare = np.bincount(owner[~last], minlength=n)
+
+    def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+        offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+    return [
+        pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(rare.astype(np.int32)),
+        pa.array(prints.view(np.int64)), lists(bits, np.full(n, LANES)), lists(own[chosen], wanted),
+    ]
+
+
+def signs(rows: DataFrame, frequent: np.ndarray, seed: int = 42) -> DataFrame:
+    """``rows`` (best, text) with the text's sign in place of the text.
+
+    The digest of its shingle set (node), its size, how many of it are not ``frequent`` (sorted),
+    its SimHash, the parity bitmap of the set and the first shingles: frequent ones come last,
+    else the order is that of the hashes.
     """
+    added = StructType.fromDDL(
+        "node long, size int, rare int, fingerprint long, bits array<long>, prefix array<long>"
+    )
 
-    @F.pandas_udf(_SIGNS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                hashes = np.array(fingerprint_words(t, SHINGLE, seed), dtype=np.uint64)
-                print_ = majority(hashes, np.array([len(hashes)])).view(np.int64)[0]
-                own = np.unique(hashes)
-                odd = np.bincount((own % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
-                bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                at = np.searchsorted(frequent, own)
-                last = frequent[np.minimum(at, len(frequent) - 1)] == own if len(frequent) else own != own
-                first = np.r_[own[~last], own[last]][: _prefix_length(len(own))]
-                node = np.uint64(xxh64_intdigest(own.tobytes(), seed)).view(np.int64)
-                rows.append((node, len(own), print_, bits, first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "size", "fingerprint", "bits", "prefix"])
-
-    return run(text)
-
-
-def shingle_set(text: Column, seed: int = 42) -> Column:
-    """The distinct shingle hashes of a text."""
-
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(
-                [np.unique(np.array(fingerprint_words(t, SHINGLE, seed), np.uint64)).view(np.int64) for t in texts],
-                dtype=object,
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in pieces(batch.column("text").to_pylist(), UNBROKEN):
+                best = batch.column("best").slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([best, *_signs(part, frequent, seed)], names=["best", *added.names])
 
-    return run(text)
+    return rows.select("best", "text").mapInArrow(run, StructType([rows.schema["best"], *added]))
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles that many texts hold, as far as a sample shows them."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(
-        F.explode(shingle_set(F.col("text"))).alias("token")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in pieces(batch.column("text").to_pylist(), UNBROKEN):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part)[0].view(np.int64))], names=["token"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "token long")
     counts = some.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     many = counts.where(F.col("n") > 2).orderBy(F.desc("n"), "token")
     found = np.array([r.token for r in many.limit(FREQUENT).collect()], dtype=np.int64)
@@ -104,136 +144,271 @@ def _alike(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where(sizes_fit & (9 * apart <= F.col("sa") + F.col("sb"))).select("a", "b")
 
 
-def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) of Jaccard similarity 0.8 or more, by the whole shingle sets."""
+def _packed(text: Column) -> Column:
+    """Folded text, compressed: a third of its shingle set."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for texts in batches:
+            yield pd.Series([packer.compress(folded(t, UNBROKEN)) for t in texts], dtype=object)
+
+    return run(text)
+
+
+def _near(left: Column, right: Column) -> Column:
+    """Whether two packed texts have a Jaccard similarity of 0.8 or more on their whole sets."""
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        packer = zstandard.ZstdDecompressor()
+        for a, b in batches:
+            # Batches come sorted by the left text, so each is taken apart once.
+            known, sets, out = None, None, []
+            for x, y in zip(a, b):
+                if x != known:
+                    known, sets = x, shingle_sets([packer.decompress(x)])[0]
+                other = shingle_sets([packer.decompress(y)])[0]
+                common = len(np.intersect1d(sets, other, assume_unique=True))
+                out.append(9 * common >= 4 * (len(sets) + len(other)))
+            yield pd.Series(out, dtype=bool)
+
+    return run(left, right)
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, edges: DataFrame, keep: Callable) -> DataFrame:
+    """Edges (a, b) of Jaccard similarity 0.8 or more, by the whole texts of both nodes."""
+    used = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # A stored table has a known size: Spark sends a small one to the texts, not them to it.
+    keys = keep(nodes.join(used, "node").select("node", "best.doc_id", "best.text_key"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    same = texts["doc_id"].eqNullSafe(keys["doc_id"]) & (texts["text_key"] == keys["text_key"])
+    held = keep(
+        texts.join(keys, same).select("node", _packed(F.col("text")).alias("text")).dropDuplicates(["node"])
+    )
     for side in "ab":
-        edges = edges.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return edges.where(9 * common >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+        edges = edges.join(held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    edges = edges.sortWithinPartitions("a")
+    return keep(edges.where(_near(F.col("text_a"), F.col("text_b"))).select("a", "b"))
+
+
+def _first_links(nodes: DataFrame) -> DataFrame:
+    """At most one edge (a, b) of every node: to the smallest node of its SimHash group or of those
+    that share one of its smallest shingles, where sizes and bitmaps allow."""
+    simhash = fingerprint_groups(nodes.select(F.col("node").alias("doc_id"), "fingerprint"))
+    close = (
+        nodes.select("node", "fingerprint")
+        .join(simhash, "fingerprint")
+        .select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+    )
+    low = nodes.select("node", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
+    heads = low.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = low.join(heads, "token").select("a", F.col("node").alias("b"))
+    edges = close.union(stars).where("a != b").distinct()
+    return _alike(edges, nodes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+_PAIRS = "a long, b long, token long, size int, at int"
+
+
+def _fits(size_a: np.ndarray, size_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Whether two nodes may be near copies whose first common shingle is the one at these places."""
+    least = np.minimum(size_a - at_a, size_b - at_b)
+    close = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
+    return close & (9 * least >= 4 * (size_a + size_b))
+
 
+def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different roots that share a token and fit; rows come sorted by token.
 
-def _grouped(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of crowded cells in different components that sizes and bitmaps allow.
+    Rows of a token of more than ``CELL_ROWS`` nodes are handed on instead (token not null).
+    Pairs have a < b, and each comes once a call at most.
+    """
+    fields = ["token", "node", "root", "size", "at"]
+
+    def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        token = rows["token"]
+        head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        count = np.diff(np.r_[head, len(token)])
+        place = np.arange(len(token)) - np.repeat(head, count)
+        found = []
+        for step in range(1, int(count.max(initial=1))):
+            i = np.flatnonzero(place + step < np.repeat(count, count))
+            j = i + step
+            fit = rows["root"][i] != rows["root"][j]
+            fit &= _fits(rows["size"][i], rows["size"][j], rows["at"][i], rows["at"][j])
+            a, b = rows["node"][i[fit]], rows["node"][j[fit]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        none = pa.nulls(len(both))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both[:, 0]), pa.array(both[:, 1]), none.cast("int64"), none.cast("int32"), none.cast("int32")],
+            names=["a", "b", "token", "size", "at"],
+        )
+
+    def crowd(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[f]) for f in ("node", "root", "token", "size", "at")],
+            names=["a", "b", "token", "size", "at"],
+        )
 
-    ``crowded`` has token, n, node and root. A cell is dealt into groups of about
-    ``GROUP_ROWS``; every two groups meet in one task.
+    def split(rows: dict[str, np.ndarray], over: int | None, final: bool):
+        """Batches of the rows whose tokens are complete, the rest, and its token if crowded."""
+        token = rows["token"]
+        head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        count = np.diff(np.r_[head, len(token)])
+        crowded = np.repeat((count > CELL_ROWS) | (token[head] == over if over is not None else False), count)
+        open_ = np.zeros(len(token), dtype=bool)
+        if not final:
+            open_[head[-1] :] = True
+        last = int(token[-1]) if open_.any() and crowded[-1] else None
+        out = []
+        if crowded.any():
+            out.append(crowd({f: rows[f][crowded] for f in fields}))
+        ready = ~crowded & ~open_
+        if ready.any():
+            out.append(pairs({f: rows[f][ready] for f in fields}))
+        return out, {f: rows[f][~crowded & open_] for f in fields}, last
+
+    rest: dict[str, np.ndarray] | None = None
+    held: list[dict[str, np.ndarray]] = []
+    size, over = 0, None
+
+    def merged() -> dict[str, np.ndarray]:
+        parts = ([rest] if rest is not None else []) + held
+        return {f: np.concatenate([p[f] for p in parts]) for f in fields}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({f: batch.column(f).to_numpy() for f in fields})
+        size += batch.num_rows
+        if size >= ROWS:
+            out, rest, over = split(merged(), over, False)
+            held, size = [], 0
+            yield from out
+    if held or (rest is not None and len(rest["token"])):
+        yield from split(merged(), over, True)[0]
+
+
+def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, keep: Callable) -> DataFrame:
+    """Pairs of crowded tokens, of different roots, that sizes, places and bitmaps allow.
+
+    ``crowded`` has token, node, root, size and at. A token's nodes are dealt into blocks of about
+    ``BLOCK_ROWS``: the nodes of a root of more than that have blocks of their own, which are not
+    compared with each other. Every other two blocks meet in one task.
     """
-    parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = crowded.join(nodes.select("node", "size", "bits"), "node").select(
-        "token", "node", "root", "size", "bits", mine.alias("mine"),
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"),
+    per_root = crowded.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = per_root.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("n")).where("roots > 1")
+    sized = keep(per_root.join(mixed.drop("roots"), "token"))
+    large = F.col("k") > BLOCK_ROWS
+    parts = F.ceil(F.when(large, F.col("k")).otherwise(F.col("n")) / BLOCK_ROWS).cast("int")
+    part = F.pmod(F.when(large, F.xxhash64("node")).otherwise(F.xxhash64("root")), parts).cast("int")
+    block = F.struct(
+        large.alias("large"), F.when(large, F.col("root")).otherwise(0).alias("own"), part.alias("part")
     )
-    dealt = dealt.select(
-        "*", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
+    dealt = keep(
+        crowded.join(sized, ["token", "root"])
+        .join(nodes.select("node", "bits"), "node")
+        .select("token", "node", "root", "size", "at", "bits", block.alias("mine"))
+    )
+    blocks = dealt.select("token", "mine").distinct()
+    other = blocks.select("token", F.col("mine").alias("other"))
+    # Blocks against blocks, not rows against rows; two of one large root have nothing to compare.
+    meet = blocks.join(other, "token").where(
+        "NOT (mine.large AND other.large AND mine.own = other.own)"
+    )
+    sent = dealt.join(meet, ["token", "mine"]).select(
+        "token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+        (F.col("mine") <= F.col("other")).alias("left"), "node", "root", "size", "at", "bits",
     )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        left, right = rows[rows["mine"] == low], rows[rows["mine"] == high]
-        out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})]
-        if len(left) and len(right):
-            bits = np.array(right["bits"].tolist(), dtype=np.int64)
-            node, root, size = (right[c].to_numpy() for c in ("node", "root", "size"))
-            for r in left.itertuples():
-                apart = np.bitwise_count(bits ^ np.array(r.bits, dtype=np.int64)).sum(axis=1, dtype=np.int64)
-                fits = (9 * apart <= size + r.size) & (root != r.root)
-                fits &= 5 * np.minimum(size, r.size) >= 4 * np.maximum(size, r.size)
-                near = node[fits]
-                out.append(pd.DataFrame({"a": np.minimum(near, r.node), "b": np.maximum(near, r.node)}))
-        return pd.concat(out, ignore_index=True).drop_duplicates()
-
-    return dealt.groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
-
-
-def near_copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = rows[rows["left"]]
+        right = rows[~rows["left"]] if not rows["left"].all() else left
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        # Unsigned: numpy counts the bits of a signed number's absolute value.
+        bits = np.array(right["bits"].tolist(), dtype=np.int64).reshape(-1, LANES).view(np.uint64)
+        node, root, size, at = (right[c].to_numpy() for c in ("node", "root", "size", "at"))
+        for r in left.itertuples():
+            fit = np.flatnonzero((root != r.root) & _fits(size, np.int64(r.size), at, np.int64(r.at)))
+            apart = np.bitwise_count(bits[fit] ^ np.array(r.bits, np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = node[fit[9 * apart <= size[fit] + r.size]]
+            out.append(np.stack([np.minimum(near, r.node), np.maximum(near, r.node)], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    return sent.groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
+
+
+def _missing_links(nodes: DataFrame, roots: DataFrame, keep: Callable) -> DataFrame:
+    """All edges (a, b) between nodes of different roots that may be near copies."""
+    rooted = nodes.join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "size", "rare", F.posexplode("prefix").alias("at", "token")
+    )
+    often = F.col("at") >= F.col("rare")  # frequent shingles: nearly all are crowded
+    met = keep(
+        rooted.where(~often)
+        .select("token", "node", "root", "size", "at")
+        .repartition("token")
+        .sortWithinPartitions("token")
+        .mapInArrow(_pair_up, _PAIRS)
+    )
+    pairs = met.where("token IS NULL").select("a", "b").distinct()
+    crowded = met.where("token IS NOT NULL").select(
+        "token", F.col("a").alias("node"), F.col("b").alias("root"), "size", "at"
+    )
+    crowded = crowded.union(rooted.where(often).select(*crowded.columns))
+    return keep(_alike(pairs, nodes).union(_crowded_pairs(crowded, nodes, keep)).distinct())
+
+
+def near_copy_groups(docs: DataFrame, keep: Callable = stored) -> tuple[DataFrame, DataFrame]:
     """Node and representative of every distinct shingle set, and the root of linked nodes.
 
     Texts with equal shingle sets are one node (by a 64-bit digest). Two nodes are linked
-    exactly if the Jaccard similarity of their sets is 0.8 or more. Candidates are the nodes of
-    a SimHash group (2 bits, the grid of segment bit counts) with its smallest one, and all pairs that share
-    one of their first shingles: near copies always do, whatever the order of shingles. Every
-    candidate is verified on the whole sets.
+    exactly if the Jaccard similarity of their sets is 0.8 or more; nodes that the first round
+    connects need no further links. ``keep`` stores a table.
     """
     bounded_batches(docs.sparkSession)
-    s = signs(F.col("text"), frequent_shingles(docs))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text_key"))
-    rows = docs.select(order.alias("best"), s.alias("s")).select("best", "s.*")
-    nodes = settle(
+    rows = signs(docs.select(order.alias("best"), "text"), frequent_shingles(docs))
+    nodes = keep(
         rows.groupBy("node").agg(
             F.min("best").alias("best"),
-            *[F.first(c).alias(c) for c in ("size", "fingerprint", "bits", "prefix")],
+            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix")],
         )
     )
-    placed = nodes.select("node", "size", F.explode("prefix").alias("token"))
-    cells = settle(
-        placed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    )
-    members = settle(placed.join(cells, "token"))
-    # Half the bitmap, folded: most pairs end here, inside the join.
-    half = LANES // 2
-    folded = [F.col("bits")[i].bitwiseXOR(F.col("bits")[i + half]).alias(f"f{i}") for i in range(half)]
-    few = (
-        members.where(F.col("n") <= CELL_ROWS)
-        .select("token", "node", "size")
-        .join(nodes.select("node", *folded), "node")
-    )
-    other = few.select(
-        "token", F.col("node").alias("b"), F.col("size").alias("sb"),
-        *[F.col(f"f{i}").alias(f"g{i}") for i in range(half)],
-    )
-    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(half)), F.lit(0))
-    pairs = few.join(other, "token").where(
-        (F.col("node") < F.col("b"))
-        & (5 * F.least("size", "sb") >= 4 * F.greatest("size", "sb"))
-        & (9 * apart <= F.col("size") + F.col("sb"))
-    )
-    many = members.where(F.col("n") > CELL_ROWS)
-    stars = many.where("least != node").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    simhash = fingerprint_groups(nodes.select(F.col("node").alias("doc_id"), "fingerprint"))
-    close = (
-        nodes.select("node", "fingerprint")
-        .join(simhash, "fingerprint")
-        .where("component_id != node")
-        .select(F.col("component_id").alias("a"), F.col("node").alias("b"))
-    )
-    edges = pairs.select(F.col("node").alias("a"), "b").union(stars).union(close).distinct()
-    edges = settle(_alike(edges, nodes))
-
-    def checked(edges: DataFrame) -> DataFrame:
-        used = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # A stored table has a known size: Spark sends a small one to the texts, not them to it.
-        keys = stored(nodes.join(used, "node").select("node", "best.doc_id", "best.text_key"))
-        texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-        same = texts["doc_id"].eqNullSafe(keys["doc_id"]) & (texts["text_key"] == keys["text_key"])
-        held = texts.join(keys, same).select("node", "text").dropDuplicates(["node"])
-        sets = settle(held.select("node", shingle_set(F.col("text")).alias("set")))
-        return settle(_verified(edges, sets))
-
-    linked = checked(edges)
-    roots = components(linked)
-    rooted = many.join(roots, "node", "left").select(
-        "token", "n", "node", F.coalesce("root", "node").alias("root")
-    )
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    rest = settle(_grouped(rooted.join(mixed.select("token"), "token"), nodes))
+    linked = _verified(docs, nodes, keep(_first_links(nodes)), keep)
+    rest = _missing_links(nodes, components(linked), keep)
     if not rest.isEmpty():
-        roots = components(linked.union(checked(rest)))
-    return nodes.select("node", "best"), roots
+        linked = linked.union(_verified(docs, nodes, rest, keep))
+    return nodes.select("node", "best"), components(linked)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row per group of near copies: the row with the group's smallest id.
 
     Null and empty texts are one group. Of rows that repeat the smallest id, one stays; of a
-    group without ids, one row stays. Columns pass through.
+    group without ids, one row stays. Columns pass through, whatever their names.
     """
-    nodes, roots = near_copy_groups(docs)
-    best = (
-        nodes.join(roots, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min("best").alias("best"))
-    )
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_key")))
-    keep = stored(best.select(F.struct("best.doc_id", "best.text_key").alias("_key")))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        nodes, roots = near_copy_groups(docs, keep)
+        best = (
+            nodes.join(roots, "node", "left")
+            .groupBy(F.coalesce("root", "node").alias("root"))
+            .agg(F.min("best").alias("best"))
+        )
+        # What leaves: keys of the rows that stay, and whether such a row is there twice.
+        wanted = keep(best.select(F.struct("best.doc_id", "best.text_key").alias("key")))
+        keys = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_key")).alias("key"))
+        times = keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+        found = stored(times)
+    key, row = free_name(docs, "key"), free_name(docs, "row")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_key")))
+    once = found.where("times = 1").select(F.col("key").alias(key))
+    twice = found.where("times > 1").select(F.col("key").alias(key))
+    kept = keyed.join(once, key, "left_semi").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    again = keyed.join(twice, key, "left_semi").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return kept.union(again.select(F.col(row + ".*")))

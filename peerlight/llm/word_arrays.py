@@ -11,12 +11,16 @@ from xxhash import xxh64_intdigest
 #: Bytes of text handled at a time (one text at least).
 PIECE_BYTES = 1 << 21
 
-# A-Z become lower case; bytes outside 0-9, a-z and UTF-8 sequences part words. A line feed
-# parts texts.
-_FOLD = bytes(
+# A-Z become lower case; what parts words becomes a blank. A line feed parts texts.
+#: Words of digits, letters and all beyond ASCII.
+ALPHANUMERIC = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 0x20
     for c in range(256)
 )
+#: Words of all but ASCII white space.
+UNBROKEN = bytes(
+    c + 32 if 65 <= c <= 90 else 0x20 if c == 0x20 or 9 <= c <= 13 else c for c in range(256)
+)
 
 # The five primes of XXH64.
 _P1 = np.uint64(0x9E3779B185EBCA87)
@@ -26,16 +30,16 @@ _P4 = np.uint64(0x85EBCA77C2B2AE63)
 _P5 = np.uint64(0x27D4EB2F165667C5)
 
 
-def folded(text: str | None) -> bytes:
+def folded(text: str | None, table: bytes = ALPHANUMERIC) -> bytes:
     """UTF-8 bytes of a text with A-Z lowered and a blank for every byte outside words."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+    return (text or "").encode("utf-8", "surrogatepass").translate(table)
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def pieces(texts: list[str | None], table: bytes = ALPHANUMERIC) -> Iterator[tuple[int, list[bytes]]]:
     """Folded texts in consecutive lists of about ``PIECE_BYTES``, with the first one's place."""
     first, held, size = 0, [], 0
     for at, text in enumerate(texts):
-        own = folded(text)
+        own = folded(text, table)
         if held and size + len(own) > PIECE_BYTES:
             yield first, held
             first, held, size = at, [], 0
@@ -121,7 +125,7 @@ def _turn(x: np.ndarray, bits: int) -> np.ndarray:
 def word_runs(texts: list[bytes], least: int = 1, most: int = 1) -> tuple[Slices, np.ndarray]:
     """All runs of ``least`` to ``most`` words of folded texts, and each text's word count."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    word = raw > 0x20
+    word = (raw != 0x20) & (raw != 0x0A)
     # The first byte behind a word stays as the blank between two words.
     kept = word.copy()
     kept[1:] |= word[:-1]
@@ -141,3 +145,33 @@ def word_runs(texts: list[bytes], least: int = 1, most: int = 1) -> tuple[Slices
     flat = np.concatenate([flat, np.full(8, 0x20, dtype=np.uint8)])
     slices = Slices(flat, np.concatenate(starts), np.concatenate(lengths), np.concatenate(owners))
     return slices, np.bincount(text, minlength=len(texts))
+
+
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of ``shingle`` words of folded texts, and how many each text has.
+
+    A text of fewer words has one, of all its words; one without words has none.
+    """
+    slices, n_words = word_runs(texts)
+    word, text = slices.hashes(), slices.text
+    count = max(0, len(word) - shingle + 1)
+    whole = np.flatnonzero(text[:count] == text[shingle - 1 : shingle - 1 + count])
+    hashes, owners = [_mixed(word, whole, shingle)], [text[whole]]
+    first = np.r_[0, np.cumsum(n_words)[:-1]] if len(n_words) else n_words
+    for few in range(1, shingle):
+        mine = np.flatnonzero(n_words == few)
+        hashes.append(_mixed(word, first[mine], few))
+        owners.append(mine)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(hashes)[order], np.bincount(owner, minlength=len(texts))
+
+
+def _mixed(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    acc = np.full(len(at), _P5 + np.uint64(size))
+    for i in range(size):
+        acc ^= _turn(word[at + i] * _P2, 31) * _P1
+        acc = _turn(acc, 27) * _P1 + _P4
+    acc = (acc ^ (acc >> np.uint64(33))) * _P2
+    acc = (acc ^ (acc >> np.uint64(29))) * _P3
+    return acc ^ (acc >> np.uint64(32))

@@ -38,7 +38,7 @@ def changed(words, share, rng):
 @pytest.mark.parametrize("crowded,group", [(128, 512), (3, 4)])
 def test_stage_drops_copies_of_one_to_five_percent_changed_words(spark, monkeypatch, crowded, group):
     monkeypatch.setattr(near_copies, "CELL_ROWS", crowded)
-    monkeypatch.setattr(near_copies, "GROUP_ROWS", group)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", group)
     rng = np.random.default_rng(9)
     line = "a common line of some ten words stands in here".split()
     rows, at = [], 0
@@ -70,3 +70,27 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert near_copies.drop_near_copies(no_docs).count() == 0
     lost = spark.createDataFrame([(None, "alpha beta gamma")] * 3 + [(None, "quite another text")], "doc_id long, text string")
     assert near_copies.drop_near_copies(lost).count() == 2
+
+
+def test_large_groups_and_clashing_names(spark, monkeypatch):
+    """Two families of near copies that share one short frame: blocks of a root and shared ones."""
+    monkeypatch.setattr(near_copies, "CELL_ROWS", 3)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_copies, "FIRST", 1)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    rng = np.random.default_rng(2)
+    frame = [f"f{x}" for x in range(60)]
+    rows = []
+    for family in range(6):
+        own = [f"{family}x{x}" for x in range(8 + family)]
+        for i in range(14):
+            rows.append((100 * family + i, " ".join(frame + own[: len(own) - i % 3] + [f"e{rng.integers(4)}"])))
+    rows += [(900 + i, "alpha beta gamma " * 3) for i in range(20)]
+    want, _ = brute_kept(rows)
+    docs = spark.createDataFrame(
+        [(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, `key` int, `row` int, _key int, node int, best int"
+    )
+    got = near_copies.drop_near_copies(docs)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
+    twice = near_copies.drop_near_copies(docs.union(docs))
+    assert sorted(r.doc_id for r in twice.collect()) == sorted(want)
