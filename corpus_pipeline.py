@@ -11,24 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlight.llm import bpe, langid, mixing, near_copies, simhash, suffix_dedup
+from peerlight.llm import bpe, langid, mixing, near_copies, suffix_dedup
 from peerlight.llm.common import documents, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of one language for the most part; those without letters go."""
+    """Documents of one language for the most part; those without letters go.
+
+    Null, empty and letterless texts go; repeated rows stay rows of their own; no rows give none.
+    """
     return langid.keep_identified(docs, langid.learn(langid.training_rows(docs)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group within op9's bounds (three words, two bits); not a stage."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def near_copy_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Near copies share 0.8 or more of their five-word shingles.
+    Near copies share 0.8 or more of their five-word shingles; SimHash groups come first, what
+    they leave is found by the shingles themselves.
     """
     return near_copies.drop_near_copies(docs)
 
@@ -51,7 +50,10 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and whether they decode to its text (null: empty)."""
+    """Token ids of every row, and whether they decode to its text.
+
+    Null and empty texts have no ids; repeated rows are encoded one by one; no rows give none.
+    """
     tok = bpe.load(bpe.default_path())
     rows = bpe.round_trip(docs, tok)
     return rows.select(
@@ -66,7 +68,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
-    ("simhash_dedup", near_copy_dedup),
+    ("simhash_dedup", simhash_dedup),
     ("suffix_array_dedup", suffix_array_dedup),
     ("mixing", mixing_to_weights),
     ("bpe", bpe_tokens),
