@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import settle, shuffle_partitions
+from peerlight.llm.common import Shipped, settle, shuffle_partitions
 
 #: The trees are fit on at most this many distinct vectors; every vector is indexed.
 SAMPLE = 16_384
@@ -180,7 +180,7 @@ def nearest(
     drawn = classes.select("v", "point").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
     sample = np.frombuffer(b"".join(drawn["v"]), dtype=np.float64).reshape(-1, dimension)
     forest = grow(sample, float(np.sqrt(square)))
-    sent = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE
+    sent = Shipped(spark, forest)  # bounded by SAMPLE
     visits = max(VISIT_LEAST, int(np.ceil(VISIT_SHARE * forest.leaves)))
     blocks = int(np.ceil(TREES * count / max(1, forest.leaves) / BLOCK))
     blob = pa.schema(

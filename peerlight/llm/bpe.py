@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import bounded_batches, documents
+from peerlight.llm.common import Shipped, bounded_batches, documents
 
 #: Fixed values of the byte-level format: how text splits into words, and the printable
 #: characters that stand for themselves in the vocabulary file.
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", ids: str = "ids"
     Texts of special tokens become these tokens. Other columns pass through, a column named
     like ``ids`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tok)
+    sent = Shipped(docs.sparkSession, tok)
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, tok: Tokenizer, text: str = "text", ids: str = "ids"
 
 def decode(rows: DataFrame, tok: Tokenizer, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids`` (null: empty), special tokens included."""
-    sent = rows.sparkSession.sparkContext.broadcast(tok)
+    sent = Shipped(rows.sparkSession, tok)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -244,7 +244,7 @@ def round_trip(
     docs: DataFrame, tok: Tokenizer, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
     """``encode`` and ``decode`` in one pass, so ids need not go to Python a second time."""
-    sent = docs.sparkSession.sparkContext.broadcast(tok)
+    sent = Shipped(docs.sparkSession, tok)
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("ids array<int>, decoded string")

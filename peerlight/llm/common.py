@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+class Shipped:
+    """A broadcast value that carries its own classes, so executors need no copy of the package.
+
+    A plain broadcast pickles classes by name; this one sends them by value and builds the value
+    once a task.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"_sent": self._sent}
+
+    @property
+    def value(self) -> Any:
+        if "_built" not in self.__dict__:
+            self._built = cloudpickle.loads(self._sent.value)
+        return self._built
+
+
 #: Rows that Spark hands to Python at a time. Texts are long; the default of ten thousand
 #: would hold tens of megabytes of them several times over in every worker.
 BATCH_ROWS = 1_000

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import bounded_batches, documents, fold, settle
+from peerlight.llm.common import Shipped, bounded_batches, documents, fold, settle
 
 #: Byte trigrams are hashed to this many places; a unit is this many consecutive trigrams.
 BITS, UNIT = 15, 24
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
     proportion. Texts that are null or have no letter, and all texts if nothing was learned,
     get ``und`` and score 0. Input columns of these names are replaced; others pass through.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession, model)
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, lang_set array<string>")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import bounded_batches, documents, fold, settle
+from peerlight.llm.common import Shipped, bounded_batches, documents, fold, settle
 
 #: Lengths of the n-grams and places they are hashed to; texts handled at a time.
 ORDERS, BITS, TEXTS = (4, 5), 18, 64
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Toxicity | None) -> DataFrame:
 
     Null and empty texts have no n-grams and get the score of the bias.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession, model)
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -122,18 +122,7 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()}
     unique = corpus_pipeline.simhash_dedup(spark, kept, sf_dir)
-    texts = {r.doc_id: r.text for r in kept.collect()}
-    prints = {i: brute_print(t) for i, t in texts.items()}
-    want, ids = set(), sorted(prints)
-    label = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for i in ids:
-            near = min(label[j] for j in ids if (prints[i] ^ prints[j]).bit_count() <= 2)
-            if near < label[i]:
-                label[i], changed = near, True
-    want = set(label.values())
+    want, _ = brute_kept([(r.doc_id, r.text) for r in kept.collect()])
     rows = sorted((r.doc_id, r.text) for r in unique.collect())
     assert {i for i, _ in rows} == want
     left = corpus_pipeline.suffix_array_dedup(spark, unique, sf_dir).collect()
