@@ -28,6 +28,7 @@ from peerlight.operators import entailment as EN
 from peerlight.operators import rubric as RU
 from peerlight.operators import rubric_requests as RR
 from peerlight.operators import scoring, verification, whatif
+from peerlight.operators import title_index as TI
 from peerlight.plans import review as R
 from peerlight.session import shared_folder, stage
 from peerlight.sources import auditlog, costs, papers as sources, responses
@@ -674,6 +675,41 @@ def _(spark, sf_dir):
     )
 
 
+@query("j3_titles_in_entries", "SELECT paper_id, ref_id, source, catalog_id, sim AS similarity FROM entry_hits")
+def _(spark, sf_dir):
+    return C.contained_title_search(*_ref_catalog(spark, sf_dir)).select(
+        "paper_id", "ref_id", "source", "catalog_id", "similarity"
+    )
+
+
+@query("j3_undated_entries", "SELECT paper_id, ref_id, source, catalog_id, sim AS similarity FROM undated_hits")
+def _(spark, sf_dir):
+    refs, cat = _ref_catalog(spark, sf_dir)
+    title = F.when(
+        F.col("ref_pos") % 3 == 0, F.regexp_replace("title", "^[A-Za-z]+", "Otherwise")
+    ).otherwise(F.col("title"))
+    raw = F.concat(
+        F.lit("Miller, A., Okafor, B. and Lee, C. "), title, F.lit(". Journal of Tests, volume 3, pages 4-9, Springer")
+    )
+    undated = refs.filter("year IS NOT NULL").select(
+        "paper_id", "ref_id", F.lit(None).cast("int").alias("year"), raw.alias("raw"), F.substring(raw, 1, 200).alias("title"),
+        "doi", "arxiv_id",
+    )
+    keyed = _stored(C.ref_keys(undated, ["entry"]), "undated")
+    keys = C.key_counts(keyed, "key")
+    return keyed.join(C.entry_hits(keys, cat, min_share=0.8), "key").select(
+        "paper_id", "ref_id", "source", "catalog_id", "similarity"
+    )
+
+
+@query("j3_top_hits", "SELECT paper_id, ref_id, source, catalog_id, score FROM bm_hits")
+def _(spark, sf_dir):
+    refs, cat = _ref_catalog(spark, sf_dir)
+    titles = cat.select("source", "catalog_id", TI.words_in_order(F.col("title")).alias("title_words"))
+    index = TI.stored_index(TI.index_titles(titles), "titles", "check-" + uuid.uuid4().hex[:12])
+    return C.top_hits(refs, cat, index)
+
+
 @query("j4_lookup_errors", f"""
 SELECT r.paper_id, r.ref_id, CASE WHEN h.source IS NOT NULL THEN 'FOUND' WHEN e.n = 3 THEN 'ERROR' ELSE 'NOT_FOUND' END AS status,
   coalesce(h.source, 'none') AS source

@@ -17,8 +17,16 @@ from peerlight.functions import text as T
 from peerlight.functions.numbers import year_closeness
 from peerlight.functions.rows import each, settled
 from peerlight.operators.joins import HOT_ROWS, attach_by_key, key_counts
+from peerlight.operators.title_index import (
+    TitleIndex,
+    contained_titles,
+    index_titles,
+    meet,
+    top_titles,
+    words_in_order,
+)
 
-KEY_RANK = {"doi": 0, "arxiv": 1, "title": 2}
+KEY_RANK = {"doi": 0, "arxiv": 1, "title": 2, "entry": 3}
 META = ["title", "authors", "year", "venue", "doi"]
 HIT = (
     "array<struct<source_rank:int,key_rank:int,source:string,catalog_id:string,similarity:double,"
@@ -43,7 +51,7 @@ def _tagged(kind: str, value: Column) -> Column:
 
 def search_words(title: Column) -> Column:
     """Distinct words of a title in any script, for the search (scores keep ASCII words)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return F.array_distinct(words_in_order(title))
 
 
 def title_key(title: Column) -> Column:
@@ -57,16 +65,25 @@ def title_key(title: Column) -> Column:
 def ref_keys(refs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """(paper_id, ref_id, key): one row per lookup key of a reference.
 
-    DOIs are compared without case. The title search asks for the title, else the raw
-    entry. A reference without any key keeps one row with a NULL key.
+    DOIs are compared without case. The title search asks for the title. An entry without a
+    year has no title of its own: its whole raw text, never a prefix of it, is searched as a set
+    of words like a title, and as an entry that may hold a title between authors and venue. A
+    reference without any key keeps one row with a NULL key.
     """
     wanted = kinds or list(KEY_RANK)
+    undated = F.col("year").isNull()
+    title = F.when(undated, F.coalesce(T.blank_to_null(F.col("raw")), F.col("title"))).otherwise(
+        F.coalesce(T.blank_to_null(F.col("title")), F.col("raw"))
+    )
+    entry = T.let(
+        words_in_order(F.when(undated, F.coalesce("raw", "title"))),
+        lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")),
+    )
     known = {
         "doi": _tagged("doi", F.lower(F.col("doi"))),
         "arxiv": _tagged("arxiv", F.lower(F.col("arxiv_id"))),
-        "title": _tagged(
-            "title", title_key(F.coalesce(T.blank_to_null(F.col("title")), F.col("raw")))
-        ),
+        "title": _tagged("title", title_key(title)),
+        "entry": _tagged("entry", entry),
     }
     keys = F.array_compact(F.array(*[known[k] for k in wanted]))
     return settled(refs.select("paper_id", "ref_id", F.explode_outer(keys).alias("key")))
@@ -85,6 +102,8 @@ def catalog_keys(catalog: DataFrame, kinds: list[str] | None = None) -> DataFram
         ),
         "title": _tagged("title", title_key(F.col("title"))),
     }
+    # An entry is no key of a title: it is searched for titles inside it.
+    known["entry"] = F.lit(None).cast("string")
     keys = F.array_compact(F.array(*[known[k] for k in wanted]))
     return (
         each(catalog, ["source", "catalog_id"], keys, "key")
@@ -173,28 +192,6 @@ def similar_titles(asked: DataFrame, titles: DataFrame, floor: float) -> DataFra
     )
     q = each(q, q.columns, block_keys(F.col("q_prefix")), "block")
     c = each(c, c.columns, block_keys(F.col("c_prefix")), "block")
-    # Blocks on both sides, and into how many groups each side is dealt.
-    side = BLOCK_PAIRS**0.5
-    sizes = (
-        q.groupBy("block").agg(F.count(F.lit(1)).alias("nq"))
-        .join(c.groupBy("block").agg(F.count(F.lit(1)).alias("nc")), "block")
-        .withColumn("large", F.col("nq") * F.col("nc") > BLOCK_PAIRS)
-        .select(
-            "block",
-            *[
-                F.when(F.col("large"), F.ceil(F.col(n) / side)).otherwise(1).cast("int").alias(k)
-                for n, k in (("nq", "kq"), ("nc", "kc"))
-            ],
-        )
-    )
-
-    def dealt(rows: DataFrame, own: str, other: str, name: str, copies: str, by: list[str]):
-        own_group = F.pmod(F.xxhash64(*by), F.col(own)).cast("int").alias(name)
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(copies)
-        return rows.join(sizes, "block").select(*rows.columns, own_group, every)
-
-    q = dealt(q, "kq", "kc", "gq", "gc", ["key"])
-    c = dealt(c, "kc", "kq", "gc", "gq", ["source", "catalog_id"])
     shared = F.array_intersect("q_prefix", "c_prefix")
     fits = (
         (F.col("block") == _pair(F.get(shared, F.lit(0)), F.get(shared, F.lit(1))))
@@ -204,7 +201,7 @@ def similar_titles(asked: DataFrame, titles: DataFrame, floor: float) -> DataFra
         & (F.size("c_words") * floor <= F.size("q_words") + 1e-9)
     )
     return (
-        q.join(c, ["block", "gq", "gc"])
+        meet(q, c, "block", ["key"], ["source", "catalog_id"], BLOCK_PAIRS)
         .filter(fits)
         .select(
             "key", "source", "catalog_id",
@@ -260,9 +257,13 @@ def resolve_keys(
             ~F.coalesce(F.array_contains("covered", F.col("source")), F.lit(False))
         ).select("key", "key_rows", "source", "b.catalog_id", "b.similarity")
         hits = exact.unionByName(fuzzy)
+    if "entry" in wanted:
+        hits = hits.unionByName(entry_hits(keys, catalog))
     rows = catalog.select("source", "catalog_id", _meta().alias("meta"))
     kind = F.substring_index("key", ":", 1)
-    key_rank = F.when(kind == "doi", 0).when(kind == "arxiv", 1).otherwise(2)
+    key_rank = F.try_element_at(
+        F.create_map(*[F.lit(x) for kv in KEY_RANK.items() for x in kv]), kind
+    )
     hit = F.struct(
         _rank_of(F.col("source")).alias("source_rank"), key_rank.alias("key_rank"), F.col("source"),
         F.col("catalog_id"), F.col("similarity"), F.col("meta"),
@@ -274,6 +275,51 @@ def resolve_keys(
     )
 
 
+def entry_hits(keys: DataFrame, catalog: DataFrame, min_share: float = 0.9) -> DataFrame:
+    """(key, key_rows, source, catalog_id, similarity): per entry key and source the catalog title
+    that stands in the entry, most complete and then longest first; ties: smallest catalog id."""
+    entries = keys.filter(F.startswith("key", F.lit("entry:")))
+    words = F.split(F.substring_index("key", ":", -1), " ")
+    titles = catalog.select("source", "catalog_id", words_in_order(F.col("title")).alias("title_words"))
+    found = contained_titles(entries.select("key", words.alias("entry_words")), titles, min_share)
+    order = F.struct(
+        (-F.col("similarity")).alias("s"), (-F.col("n_words")).alias("n"), F.col("catalog_id")
+    )
+    best = found.groupBy("key", "source").agg(
+        F.min_by(F.struct("catalog_id", "similarity"), order).alias("b")
+    )
+    return best.join(entries, "key").select("key", "key_rows", "source", "b.catalog_id", "b.similarity")
+
+
+def top_hits(
+    refs: DataFrame, catalog: DataFrame, index: TitleIndex | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Per reference and source the title of highest BM25 score, whatever its similarity.
+
+    That is what a search service answers first: (paper_id, ref_id, source, catalog_id, score).
+    Query words are those of the title and the first author, or of a whole undated entry;
+    references with equal words are searched once. ``index`` is the stored index of the catalog's
+    titles; without it one is built within the plan.
+    """
+    titles = catalog.select("source", "catalog_id", words_in_order(F.col("title")).alias("title_words"))
+    first_author = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
+    asked = F.when(F.col("year").isNull(), F.coalesce("raw", "title")).otherwise(
+        F.when(T.blank_to_null(F.col("title")).isNull(), F.col("raw")).otherwise(
+            F.concat_ws(" ", F.col("title"), first_author)
+        )
+    )
+    keyed = settled(refs.select("paper_id", "ref_id", title_key(asked).alias("key")))
+    keys = key_counts(keyed, "key")
+    found = top_titles(
+        keys.select("key", F.split("key", " ").alias("words")), index or index_titles(titles), hot_rows
+    )
+    per_key = found.groupBy("key").agg(F.collect_list(F.struct("source", "catalog_id", "score")).alias("hits"))
+    joined = attach_by_key(
+        keyed, keys.join(per_key, "key"), keys, "key", ["paper_id", "ref_id"], hot_rows=hot_rows
+    )
+    return _hit_rows(joined)
+
+
 def hits_by_key(
     refs: DataFrame,
     catalog: DataFrame,
@@ -302,6 +348,11 @@ def title_search(refs: DataFrame, catalog: DataFrame, **opts) -> DataFrame:
     return _hit_rows(hits_by_key(refs, catalog, ["title"], **opts))
 
 
+def contained_title_search(refs: DataFrame, catalog: DataFrame, **opts) -> DataFrame:
+    """Per source the title that stands in an undated entry: one row per hit."""
+    return _hit_rows(hits_by_key(refs, catalog, ["entry"], **opts))
+
+
 def _hit_rows(df: DataFrame) -> DataFrame:
     return each(df, ["paper_id", "ref_id"], "hits", "h").select("paper_id", "ref_id", "h.*")
 
@@ -333,7 +384,7 @@ def lookup_refs(
     """One lookup row per reference: status, source and the metadata found.
 
     The cascade is source-major: the first source with any hit wins, and inside a source
-    DOI beats arXiv id beats title. ``key_major`` prefers the key kind over the source. A
+    DOI beats arXiv id beats title beats a title inside an undated entry. ``key_major`` prefers the key kind over the source. A
     source whose lookup errors before it hits counts as errored; only three errored
     sources make the reference an ERROR.
 
@@ -351,7 +402,7 @@ def lookup_refs(
             "key", "hits", "failed", F.coalesce("key_rows", "bad_rows").alias("key_rows")
         )
     joined = attach_by_key(keyed, found, keys, "key", ["paper_id", "ref_id"], hot_rows=hot_rows)
-    # At most three keys with at most three hits each.
+    # At most four keys with at most three hits each.
     gathered = joined.groupBy("paper_id", "ref_id").agg(
         F.flatten(F.collect_list(F.coalesce("hits", F.array().cast(HIT)))).alias("hits"),
         F.flatten(F.collect_list(F.coalesce("failed", F.array().cast(FAILED)))).alias("failed"),

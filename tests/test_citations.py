@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlight.functions import text as T
-from peerlight.operators import authors, citations, claims, entailment, inference, verification
+from peerlight.operators import authors, citations, claims, entailment, inference, title_index, verification
 
 CATALOG = (
     "source string, source_rank int, catalog_id string, title string, authors array<string>, year int, "
@@ -213,3 +213,74 @@ def test_provider_chain_downgrades(spark):
     none = inference.run_chain(rows, [("a", broken)])
     assert none.first().provider == "heuristic" and none.first().text is None
     assert inference.downgrades(none).first().n_responses == 1
+
+
+def _brute_contained(entry, title, share, least=3):
+    """Largest share of a title's words in place at one offset of an entry, if it reaches ``share``."""
+    k = len(title)
+    best = max(
+        (sum(entry[o + i : o + i + 1] == [w] for i, w in enumerate(title) if o + i >= 0)
+         for o in range(-k + 1, len(entry))),
+        default=0,
+    )
+    return best / k if k >= least and best >= -(-k * share // 1) - 1e-9 and best >= k * share - 1e-9 else None
+
+
+@pytest.mark.parametrize("share,pairs", [(0.9, 1_000_000), (0.7, 4), (1.0, 1)])
+def test_titles_in_entries_equal_brute_force(spark, monkeypatch, share, pairs):
+    monkeypatch.setattr(title_index, "BLOCK_PAIRS", pairs)
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(12)] + ["the"] * 6
+    titles = [[rng.choice(vocabulary) for _ in range(rng.randrange(0, 13))] for _ in range(60)]
+    entries = []
+    for _ in range(80):
+        inner = list(rng.choice(titles))
+        for _ in range(rng.randrange(3)):
+            if inner:
+                inner[rng.randrange(len(inner))] = rng.choice(vocabulary)
+        entries.append([rng.choice(vocabulary) for _ in range(rng.randrange(5))] + inner + ["press"] * rng.randrange(3))
+    left = spark.createDataFrame([(f"e{i}", e) for i, e in enumerate(entries)], "key string, entry_words array<string>")
+    right = spark.createDataFrame(
+        [("crossref", f"t{i:02}", t) for i, t in enumerate(titles)], "source string, catalog_id string, title_words array<string>"
+    )
+    got = title_index.contained_titles(left, right, share).collect()
+    found = {(r.key, r.catalog_id): (r.similarity, r.n_words) for r in got}
+    want = {}
+    for i, e in enumerate(entries):
+        for j, t in enumerate(titles):
+            sim = _brute_contained(e, t, share)
+            if sim is not None:
+                want[f"e{i}", f"t{j:02}"] = (sim, len(t))
+    assert found == want and len(got) == len(found) and len(want) > 15
+
+
+def test_undated_entries_are_found(spark):
+    cat = _cat(spark, ("openalex", "o1", "Attention over sparse graphs", None, None, None), ("crossref", "c1", "Sparse graphs", None, None, None))
+    long = "A. Miller, B. Okafor, " * 12 + "Attention over sparse graphs. Proceedings of Tests, pp. 1-9."
+    rows = [("p", "r1", 0, long, long[:200], [], None, None, None, None), ("p", "r2", 1, "nothing of it", None, [], None, None, None, None)]
+    refs = spark.createDataFrame(rows, REFS)
+    out = {r.ref_id: (r.status, r.source) for r in citations.lookup_refs(refs, cat).collect()}
+    assert out == {"r1": ("FOUND", "openalex"), "r2": ("NOT_FOUND", "none")}
+
+
+@pytest.mark.parametrize("postings,hot", [(128, 1_000_000), (2, 3)])
+def test_top_titles_equal_brute_force_scores(spark, postings, hot):
+    rng = random.Random(2)
+    vocabulary = ["the"] * 8 + [f"w{i}" for i in range(40)]
+    titles = [[rng.choice(vocabulary) for _ in range(rng.randrange(0, 9))] for _ in range(150)]
+    queries = [[rng.choice(vocabulary) for _ in range(rng.randrange(0, 7))] for _ in range(60)] + [["unknown"]]
+    right = spark.createDataFrame(
+        [(("crossref", "openalex")[i % 2], f"t{i:03}", t) for i, t in enumerate(titles)],
+        "source string, catalog_id string, title_words array<string>",
+    )
+    left = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "key string, words array<string>")
+    index = title_index.index_titles(right, postings, hot)
+    vectors = {(r.source, r.catalog_id): r.vector for r in index.vectors.collect()}
+    want = {}
+    for i, q in enumerate(queries):
+        for (source, c), vector in vectors.items():
+            score = sum(vector.get(w, 0) for w in set(q))
+            if score:
+                want[f"q{i}", source] = min(want.get((f"q{i}", source), (0, "")), (-score, c))
+    got = title_index.top_titles(left, index, hot).collect()
+    assert {(r.key, r.source): (-r.score, r.catalog_id) for r in got} == want and len(want) > 80
