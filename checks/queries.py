@@ -6,6 +6,7 @@ on both sides. Nested results are flattened to text so that values compare exact
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -30,7 +31,7 @@ from peerlight.operators import rubric_requests as RR
 from peerlight.operators import scoring, verification, whatif
 from peerlight.operators import title_index as TI
 from peerlight.plans import review as R
-from peerlight.session import shared_folder, stage
+from peerlight.session import shared_folder, stage, stage_buckets
 from peerlight.sources import auditlog, costs, papers as sources, responses
 from peerlight.sources.configs import times_configs
 
@@ -1814,6 +1815,56 @@ def _joiner():
     return answer
 
 
+def _again():
+    """A model that must not be asked: all answers are in the journal."""
+
+    def answer(batch):
+        raise RuntimeError(f"asked again for {len(batch)} requests")
+
+    return answer
+
+
+@query("x1_journaled_model", "SELECT doc_id, replace(text, ' ', '_') AS text, 'mine' AS provider, length(text) AS prompt_tokens FROM documents")
+def _(spark, sf_dir):
+    # A first run leaves its answers in the journal; the second one, as after a lost executor,
+    # reads them, and a third takes them for its cache.
+    journal = os.path.join(shared_folder(spark), "journal-" + uuid.uuid4().hex[:12])
+    asked = _prompts(spark, sf_dir)
+    inference.run_model(asked, _joiner, journal=journal).count()
+    second = inference.run_model(asked, _again, journal=journal)
+    kept = inference.journal_responses(spark, journal)
+    left = asked.join(kept.select("cache_key"), "cache_key", "left_anti")
+    second = second.unionByName(inference.run_model(left, _again))  # nothing is left to ask
+    return second.select(F.col("cache_key").cast("bigint").alias("doc_id"), "text", "provider", "prompt_tokens")
+
+
+@query("j14_missing_requests", """
+SELECT unit_id AS doc_id, prompt FROM (SELECT min(doc_id) AS unit_id, text AS prompt, bool_or(doc_id % 4 = 0) AS hit FROM documents GROUP BY 2) WHERE NOT hit
+""")
+def _(spark, sf_dir):
+    # Prompts that no fourth document holds: what a Bloom filter of missing keys lets through.
+    asked = inference.request_rows(
+        _docs(spark, sf_dir).select(
+            F.col("doc_id").cast("string").alias("unit_id"), F.lit("p").alias("paper_id"), F.col("text").alias("prompt")
+        ),
+        kind="check", system="sys", model="m", max_tokens=10,
+    )
+    cache = asked.filter(F.col("unit_id").cast("bigint") % 4 == 0).select("cache_key")
+    missing = inference.missing_requests(asked, cache.limit(0), cache)
+    first = asked.groupBy("cache_key").agg(F.min(F.col("unit_id").cast("bigint")).alias("doc_id"))
+    return missing.join(first, "cache_key").select("doc_id", "prompt")
+
+
+@query("r23_bucketed_claims", """
+SELECT paper_id, claim_id, claim_seq, text, claim_type, severity, section_id, char_start, char_end, array_to_string(ref_ids, ',') AS ref_ids FROM claims
+""")
+def _(spark, sf_dir):
+    # Parsed papers in buckets: section texts are read where they lie.
+    parsed = stage_buckets(_parsed(spark, sf_dir), "parsed", "check-" + uuid.uuid4().hex[:12], "paper_id")
+    claims = CL.build_claims(CL.parse_claims(_replies(spark, sf_dir)), parsed)
+    return claims.withColumn("ref_ids", F.array_join("ref_ids", ","))
+
+
 @query("x1_run_model", "SELECT doc_id, replace(text, ' ', '_') AS text, 'mine' AS provider, length(text) AS prompt_tokens FROM documents")
 def _(spark, sf_dir):
     return inference.run_model(_prompts(spark, sf_dir), _joiner).select(

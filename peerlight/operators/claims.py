@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions import text as T
-from peerlight.functions.rows import each
+from peerlight.functions.rows import each, settled
 from peerlight.operators.inference import request_rows
 from peerlight.operators.parsing import clean_entry
 from peerlight.operators.parsing import sections as sections_of
@@ -261,10 +261,28 @@ def number_claims(claims: DataFrame) -> DataFrame:
     )
 
 
+def place_claims(claims: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Numbered claims with the section they are in, their span there and their known references.
+
+    One join by paper: section texts stay in the parsed row, so a table of parsed papers that is
+    stored in buckets of ``paper_id`` (``session.stage_buckets``) is read in place and only claims
+    are exchanged. Claims of sections that the paper does not have are left out.
+    """
+    papers = parsed.select("paper_id", "sections", known_ids().alias("known_ids"))
+    joined = claims.join(papers, "paper_id")
+    home = F.get(F.filter("sections", lambda s: s["ord"] == F.col("ord")), F.lit(0))
+    found = joined.select(*claims.columns, "known_ids", home.alias("home")).filter("home IS NOT NULL")
+    span = span_of(F.col("text"), F.col("home.text"))
+    known = F.filter("ref_ids", lambda r: F.coalesce(F.array_contains("known_ids", r), F.lit(False)))
+    kept = [c for c in claims.columns if c != "ref_ids"]
+    return settled(
+        found.select(*kept, known.alias("ref_ids"), F.col("home.section_id").alias("section_id"), span.alias("span"))
+    ).select(*kept, "ref_ids", "section_id", "span.char_start", "span.char_end")
+
+
 def build_claims(raw: DataFrame, parsed: DataFrame) -> DataFrame:
     """Raw parsed claims to finished claims."""
-    placed = locate_span(known_refs(number_claims(raw), parsed), sections_of(parsed))
-    rows = severity(categorize(placed))
+    rows = severity(categorize(place_claims(number_claims(raw), parsed)))
     return rows.select(
         "paper_id", "claim_id", "claim_seq", T.strip(F.col("text")).alias("text"), "claim_type",
         "severity", "section_id", "char_start", "char_end", "ref_ids",

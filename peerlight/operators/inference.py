@@ -8,12 +8,14 @@ sent through the user's function inside ``mapInPandas``; answers should be writt
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlight import schemas
 from peerlight.functions.numbers import token_estimate
+from peerlight.operators.bloom import key_filter, may_hold
 from peerlight.operators.joins import attach_by_key, key_counts
 
 KEY_FIELDS = ["max_tokens", "model", "prompt", "provider", "seed", "stop", "system", "temperature"]
@@ -64,33 +66,105 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("cache_key").agg(one).select("cache_key", "r.*")
 
 
-def missing_requests(requests: DataFrame, cache: DataFrame | None) -> DataFrame:
-    """Distinct requests the cache cannot answer.
+def missing_requests(requests: DataFrame, *caches: DataFrame | None) -> DataFrame:
+    """Distinct requests that none of the caches can answer.
 
-    What is missing is settled on keys alone; prompts of answered requests are not moved.
+    What is missing is settled on keys alone. A Bloom filter of the missing keys (built at once,
+    as it is broadcast) drops answered requests before anything is exchanged, so of their prompts
+    only the filter's few errors move; the join with the keys drops those.
     """
-    if cache is not None:
-        keys = requests.select("cache_key").distinct()
-        missing = keys.join(cache.select("cache_key"), "cache_key", "left_anti")
-        requests = requests.join(missing, "cache_key", "left_semi")
-    return distinct_requests(requests)
+    held = [c.select("cache_key") for c in caches if c is not None]
+    if not held:
+        return distinct_requests(requests)
+    missing = requests.select("cache_key").distinct().join(
+        reduce(DataFrame.union, held), "cache_key", "left_anti"
+    )
+    asked = requests.filter(may_hold(requests, "cache_key", key_filter(missing, "cache_key")))
+    return distinct_requests(asked).join(missing, "cache_key", "left_semi")
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.replace("array<array<double>>", "v").split(", ")]
 
 
 def run_model(
-    requests: DataFrame, factory: Callable[[], Callable], schema: str = schemas.RESPONSES
+    requests: DataFrame,
+    factory: Callable[[], Callable],
+    schema: str = schemas.RESPONSES,
+    journal: str | None = None,
+    chunk: int = 16,
 ) -> DataFrame:
     """Apply a user model: ``factory()`` runs once per task and returns a function from a
-    pandas batch of requests to a pandas batch of responses."""
+    pandas batch of requests to a pandas batch of responses.
+
+    With ``journal``, a folder that all machines share, the answers of every ``chunk`` requests
+    are written there as they arrive, and a task that is run again reads them instead of asking:
+    a lost executor costs the chunk it was at. A later run passes ``journal_responses`` as cache.
+    """
+    names = _names(schema)
+    if journal is not None:
+        factory = journaled(factory, journal, names, chunk)
+        # The same rows in the same order for every attempt, so chunks keep their names.
+        requests = requests.repartition("cache_key").sortWithinPartitions("cache_key")
 
     def apply(batches: Iterator) -> Iterator:
         model = factory()
-        names = [field.split()[0] for field in schema.replace("array<array<double>>", "v").split(", ")]
         for batch in batches:
             yield model(batch)[names]
 
     return requests.mapInPandas(apply, schema)
 
 
+def journaled(factory: Callable[[], Callable], journal: str, names: list[str], chunk: int) -> Callable:
+    """A factory whose model keeps the answers of every chunk in a Parquet file of its own.
+
+    A file is named by the keys of its requests and moved into place when whole, so it is there
+    in full or not at all; two attempts at one chunk write the same file.
+    """
+
+    def start() -> Callable:
+        import hashlib
+        import uuid
+
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(journal if "://" in journal else f"file://{journal}")
+        files.create_dir(base, recursive=True)
+        model: list[Callable] = []
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            digest = hashlib.sha256("\n".join(part["cache_key"]).encode()).hexdigest()
+            path = f"{base}/{digest}.parquet"
+            if files.get_file_info(path).type == fs.FileType.File:
+                return pq.ParquetFile(files.open_input_file(path)).read().to_pandas()[names]
+            if not model:  # a task whose answers are all there starts no model
+                model.append(factory())
+            answers = model[0](part)[names]
+            fresh = f"{base}/_{digest}-{uuid.uuid4().hex}"
+            pq.write_table(pa.Table.from_pandas(answers, preserve_index=False), fresh, filesystem=files)
+            files.move(fresh, path)
+            return answers
+
+        def answer(batch: pd.DataFrame) -> pd.DataFrame:
+            parts = [one(batch.iloc[at : at + chunk]) for at in range(0, len(batch), chunk)]
+            return pd.concat(parts, ignore_index=True) if parts else batch
+
+        return answer
+
+    return start
+
+
+def journal_responses(spark: SparkSession, journal: str, schema: str = schemas.RESPONSES) -> DataFrame:
+    """All answers a journal holds, one row a key; none if the folder does not exist yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(journal).dropDuplicates(["cache_key"])
+
+
 def run_embedder(
     requests: DataFrame, factory: Callable[[], Callable], schema: str = schemas.EMBEDDINGS
 ) -> DataFrame:

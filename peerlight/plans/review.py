@@ -24,7 +24,7 @@ from peerlight.operators.depth import add_depth
 from peerlight.operators.rubric import add_rubric
 from peerlight.operators.rubric_requests import rubric_requests
 from peerlight.operators.scoring import add_composite, add_subscores, banner
-from peerlight.session import append_stage, appended, stage
+from peerlight.session import append_stage, appended, stage, stage_buckets
 from peerlight.sources.configs import Configs, times_configs
 from peerlight.sources.papers import distinct_papers
 
@@ -49,6 +49,9 @@ class Options:
     folder, so they are computed once however many later joins read them; a model needs it.
     Answers are kept under the id: a rerun asks only for what is missing.
 
+    ``journal`` is the folder to which the model keeps its answers as they arrive
+    (``inference.run_model``): what a run that died had paid for is taken from there.
+
     ``distinct_ids`` says that no two rows of the input share a ``paper_id``, which saves
     the exchange that makes it so.
     """
@@ -67,6 +70,7 @@ class Options:
     run_id: str | None = None
     distinct_ids: bool = False
     hot_rows: int = 1_000_000
+    journal: str | None = None
 
 
 @dataclass
@@ -172,11 +176,19 @@ def evaluate_papers(
     def ask(requests: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         requests = staged(requests, f"{name}_requests")
         before = appended(requests.sparkSession, f"{name}_responses", opt.run_id, schemas.RESPONSES)
-        todo = inference.missing_requests(inference.missing_requests(requests, cache), before)
+        kept = inference.journal_responses(requests.sparkSession, opt.journal) if opt.journal else None
+        if kept is not None:  # answers of a run that died belong to this run now
+            asked = requests.select("cache_key").distinct().join(before, "cache_key", "left_anti")
+            before = append_stage(
+                kept.join(asked, "cache_key", "left_semi"), f"{name}_responses", opt.run_id, schemas.RESPONSES
+            )
+        todo = inference.missing_requests(requests, cache, before)
         fresh = append_stage(infer(todo), f"{name}_responses", opt.run_id, schemas.RESPONSES)
         return inference.answer(requests, cache, fresh, opt.hot_rows), fresh
 
-    parsed = staged(with_metadata(parsing.parse_papers(papers), metadata), "parsed")
+    parsed = with_metadata(parsing.parse_papers(papers), metadata)
+    if opt.run_id:  # texts are read where they lie by every join on papers
+        parsed = stage_buckets(parsed, "parsed", opt.run_id, "paper_id")
     review = Review(parsed, parsed, parsing.rejected_papers(papers))
     live = live_papers(parsed, configs) if (infer or catalog is not None) else None
 

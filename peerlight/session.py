@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,24 @@ def stage(df: DataFrame, name: str, run_id: str, partition_by: list[str] | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, run_id: str, key: str, buckets: int | None = None) -> DataFrame:
+    """As ``stage``, but stored in buckets of ``key`` (as many as shuffle partitions, if not said).
+
+    Joins and groups by the key then read the table where it lies: only the other side is
+    exchanged. Spark knows buckets of catalog tables only, so the table is registered in the
+    session's catalog with its files in the shared folder.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = os.path.join(shared_folder(spark), run_id, name)
+    table = re.sub(r"\W", "_", f"{name}_{run_id}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    # One file a bucket, not one for each task and bucket.
+    dealt = df.repartition(count, key)
+    dealt.write.mode("overwrite").bucketBy(count, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def appended(spark: SparkSession, name: str, run_id: str, schema: str) -> DataFrame:
     """Rows that earlier runs with this id have appended to a staged table (none: no rows)."""
     path = os.path.join(shared_folder(spark), run_id, name)
