@@ -32,7 +32,7 @@ from peerlight.operators import scoring, verification, whatif
 from peerlight.operators import title_index as TI
 from peerlight.plans import review as R
 from peerlight.session import shared_folder, stage, stage_buckets
-from peerlight.sources import auditlog, costs, papers as sources, responses
+from peerlight.sources import auditlog, compaction, costs, papers as sources, responses
 from peerlight.sources.configs import times_configs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -948,7 +948,7 @@ def _(spark, sf_dir):
 
 @query("v12_unverified_claims", """
 SELECT paper_id, claim_id, CASE WHEN m.hallucination_flag THEN 'hallucination' ELSE 'unverified' END AS label, claim_type, severity, confidence, source,
-  CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS claim_text, notes
+  CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS claim_text, text AS full_text, notes
 FROM claims c JOIN merged m USING (paper_id, claim_id) WHERE NOT m.verified OR m.hallucination_flag
 """)
 def _(spark, sf_dir):
@@ -1737,6 +1737,46 @@ def _(spark, sf_dir):
     )
 
 
+@query("s7_load_record_by_id", f"SELECT * FROM ({_SAVED}) ORDER BY evaluation_id DESC LIMIT 1")
+def _(spark, sf_dir):
+    # By the id alone, from a compacted log: Bloom filters of the ids skip row groups.
+    log = _compacted_log(spark, sf_dir)
+    asked = log.agg(F.max("evaluation_id").alias("id")).first().id
+    return auditlog.load_record(log, asked).select(
+        "evaluation_id", "paper_id", "config_id", "triage", _joined("issues").alias("issues"), "composite", "recommendation"
+    )
+
+
+def _compacted_log(spark, sf_dir):
+    """The log written by runs of ten parts of the papers, compacted between them."""
+    path = _folder(spark, "log")
+    rows = _stored(_log(spark, sf_dir), "log")
+    part = F.split_part("paper_id", F.lit("-"), F.lit(2)).cast("bigint") % 10
+    for k in range(10):
+        # The id says nothing of the folder: rows keep the id of the run that made them.
+        auditlog.append_log(rows.filter(part == k).withColumn("run_id", F.lit(f"run-{k}")), path)
+        if k in (3, 4, 8):
+            compaction.compact(spark, path, most_folders=2)
+    compaction.remove_replaced(spark, path)
+    return auditlog.read_log(spark, path)
+
+
+@query("s6_compacted_log", f"SELECT evaluation_id, paper_id, config_id, triage, 'run-' || CAST(split_part(paper_id, '-', 2) AS BIGINT) % 10 AS run_id FROM ({_SAVED})")
+def _(spark, sf_dir):
+    return _compacted_log(spark, sf_dir).select(
+        "evaluation_id", "paper_id", "config_id", F.col("compliance_triage").alias("triage"), "run_id"
+    )
+
+
+@query("s12_record_fields", f"SELECT evaluation_id, paper_id, composite, recommendation, CAST(NULL AS BIGINT) AS later FROM ({_SAVED})")
+def _(spark, sf_dir):
+    fields = {
+        "paper_id": "$.paper_id string", "composite": "$.composite double", "recommendation": "$.recommendation string",
+        "later": "$.field_of_a_later_version bigint",
+    }
+    return auditlog.record_fields(_stored_log(spark, sf_dir), fields)
+
+
 @query("s11_export_jsonl", "SELECT paper_id, count(*) AS n_lines FROM papers CROSS JOIN hashes GROUP BY 1")
 def _(spark, sf_dir):
     out = _folder(spark, "jsonl")

@@ -74,8 +74,12 @@ def _has(category: str) -> Column:
     return F.exists("marked", lambda s: s[category])
 
 
-def _long_words(text: Column) -> Column:
-    start = F.substring(text, 1, 2000)
+#: Characters of results and conclusion whose words are compared.
+COMPARED_CHARS = 2000
+
+
+def _long_words(text: Column, chars: int) -> Column:
+    start = F.substring(text, 1, chars)
     return F.array_distinct(F.regexp_extract_all(start, F.lit("[a-z]{5,}"), F.lit(0)))
 
 
@@ -88,12 +92,14 @@ def _named(pairs: list[tuple[str, Column]], negate: bool = False) -> Column:
     return T.optional_list([((~f if negate else f), F.lit(n)) for n, f in pairs])
 
 
-def depth(parsed: DataFrame) -> DataFrame:
+def depth(parsed: DataFrame, compared_chars: int = COMPARED_CHARS) -> DataFrame:
     """(paper_id, methodology, limitations, reproducibility, logical_soundness, rationales)."""
-    return add_depth(parsed, ["paper_id"])
+    return add_depth(parsed, ["paper_id"], compared_chars)
 
 
-def add_depth(parsed: DataFrame, carry: list[str]) -> DataFrame:
+def add_depth(
+    parsed: DataFrame, carry: list[str], compared_chars: int = COMPARED_CHARS
+) -> DataFrame:
     """The depth columns of every row beside the ``carry`` columns; text is dropped."""
     texts = parsed.select(*carry, _marked().alias("marked")).select(
         *carry,
@@ -130,7 +136,7 @@ def add_depth(parsed: DataFrame, carry: list[str]) -> DataFrame:
         F.rlike("full_text", F.lit(P.DATASET_CUE)).alias("r_dataset"),
         F.size(
             F.array_intersect(
-                _long_words(F.col("results_text")), _long_words(F.col("conclusion_text"))
+                _long_words(F.col("results_text"), compared_chars), _long_words(F.col("conclusion_text"), compared_chars)
             )
         ).alias("shared_words"),
     )

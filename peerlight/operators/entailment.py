@@ -107,8 +107,15 @@ def _truthy(c: Column) -> Column:
     return ~F.coalesce(c.isin("false", "null", "", "0", "0.0", "[]", "{}"), F.lit(True))
 
 
-def parse_entailment(responses: DataFrame) -> DataFrame:
-    """Adds ``parsed`` (verdict, confidence, rationale) to response rows; NULL if unusable."""
+#: Characters of a model's rationale that are kept for a verdict and for a rubric dimension.
+VERDICT_CHARS, DIMENSION_CHARS = 500, 1000
+
+
+def parse_entailment(responses: DataFrame, rationale_chars: int = VERDICT_CHARS) -> DataFrame:
+    """Adds ``parsed`` (verdict, confidence, rationale) to response rows; NULL if unusable.
+
+    The response's own text stays in the row, with the whole rationale.
+    """
     obj = F.col("_o")
     number = F.when(
         F.map_contains_key(obj, "confidence"), F.try_element_at(obj, F.lit("confidence")).try_cast("double")
@@ -119,7 +126,7 @@ def parse_entailment(responses: DataFrame) -> DataFrame:
         .otherwise(F.lit("NOT_SUPPORTED"))
         .alias("verdict"),
         clamp(number, 0.0, 1.0).alias("confidence"),
-        F.substring(F.coalesce(F.try_element_at(obj, F.lit("rationale")), F.lit("")), 1, 500).alias(
+        F.substring(F.coalesce(F.try_element_at(obj, F.lit("rationale")), F.lit("")), 1, rationale_chars).alias(
             "rationale"
         ),
     )
@@ -155,7 +162,9 @@ def entailment(pairs: DataFrame, responses: DataFrame | None = None) -> DataFram
     return base.select(*keys, chosen.alias("c"), method.alias("method")).select(*keys, "c.*", "method")
 
 
-def parse_rubric(responses: DataFrame, configs: Configs = None) -> DataFrame:
+def parse_rubric(
+    responses: DataFrame, configs: Configs = None, rationale_chars: int = DIMENSION_CHARS
+) -> DataFrame:
     """Rubric responses (paper_id, config_id, text) to ``model_dims`` maps.
 
     A dimension with a missing or malformed entry is left out.
@@ -176,7 +185,7 @@ def parse_rubric(responses: DataFrame, configs: Configs = None) -> DataFrame:
                 F.struct(
                     F.try_element_at(e, F.lit("score")).try_cast("double").alias("score"),
                     F.substring(
-                        F.coalesce(F.try_element_at(e, F.lit("rationale")), F.lit("")), 1, 1000
+                        F.coalesce(F.try_element_at(e, F.lit("rationale")), F.lit("")), 1, rationale_chars
                     ).alias("rationale"),
                 ).alias("v"),
             ),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlight.functions import patterns as P
 from peerlight.functions.numbers import recommendation, round_exact
-from peerlight.functions.rows import each, settled
+from peerlight.functions.rows import each
+from peerlight.session import stage
 
 
 def compliance_subscore(n_passed: Column, n_checks: Column) -> Column:
@@ -142,8 +145,13 @@ def triage_queue(composites: DataFrame) -> DataFrame:
     carry four decimals, so a config has at most 2 x 10001 distinct queue places: their
     counts are aggregated map-side, the running count over that small table gives the
     exact rank, which joins back by place; the adaptive plan picks the join by its size.
+
+    Counting and joining read the places twice. They are stored first, without texts or records,
+    so that the review below is evaluated once, whether or not it was staged itself.
     """
-    placed = settled(composites).withColumn("urgency", F.when(F.col("triage") == "FAIL", 0).otherwise(1))
+    needed = ["config_id", "paper_id", "triage", "composite", "recommendation"]
+    places = stage(composites.select(*needed), "places", f"queue-{uuid.uuid4().hex}")
+    placed = places.withColumn("urgency", F.when(F.col("triage") == "FAIL", 0).otherwise(1))
     keys = ["config_id", "urgency", "composite"]
     ahead = (
         Window.partitionBy("config_id")

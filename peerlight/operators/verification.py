@@ -184,8 +184,17 @@ def ledger(results: DataFrame, papers: DataFrame) -> DataFrame:
     )
 
 
-def unverified_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
-    """Claims a reader must look at: not verified or flagged."""
+#: Characters of a claim in the list of claims to look at; the full text stands beside it.
+CLAIM_TEXT_CHARS = 120
+
+
+def unverified_claims(
+    claims: DataFrame, results: DataFrame, text_chars: int = CLAIM_TEXT_CHARS
+) -> DataFrame:
+    """Claims a reader must look at: not verified or flagged.
+
+    ``claim_text`` is cut at ``text_chars``; ``full_text`` is the whole claim.
+    """
     listed = results.filter(~F.col("verified") | F.col("hallucination_flag"))
     return claims.join(listed, CLAIM_KEY).select(
         *CLAIM_KEY,
@@ -196,9 +205,10 @@ def unverified_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
         "severity",
         "confidence",
         "source",
-        F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("...")))
+        F.when(F.length("text") > text_chars, F.concat(F.substring("text", 1, text_chars), F.lit("...")))
         .otherwise(F.col("text"))
         .alias("claim_text"),
+        F.col("text").alias("full_text"),
         "notes",
     )
 

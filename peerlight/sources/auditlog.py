@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlight import schemas
-
+from peerlight.sources.compaction import bloom_writer, log_of
 
 LOG_FOLDERS = ["config_hash", "run_id"]
 
@@ -53,18 +53,13 @@ def append_log(rows: DataFrame, path: str) -> None:
     Rows are spread by (config, paper) so that the one config that holds most rows still
     writes from many tasks, and sorted so that Parquet statistics prune by paper.
     """
-    _spread(rows).write.mode("append").partitionBy(*LOG_FOLDERS).parquet(path)
+    bloom_writer(_spread(rows).write.mode("append")).partitionBy(*LOG_FOLDERS).parquet(path)
 
 
 def replace_run(rows: DataFrame, path: str) -> None:
     """Write the rows of a run in place of what the log holds of it (a retried batch)."""
-    (
-        _spread(rows)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*LOG_FOLDERS)
-        .parquet(path)
-    )
+    writer = _spread(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    bloom_writer(writer).partitionBy(*LOG_FOLDERS).parquet(path)
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -74,12 +69,20 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.AUDIT_LOG).parquet(path)
+    """The rows of a log: compacted ones and those of runs since (``sources.compaction``)."""
+    return log_of(spark, path)
 
 
 def once(log: DataFrame) -> DataFrame:
-    """Log without the duplicates a retried append may have left."""
-    return log.dropDuplicates(["evaluation_id"])
+    """Log without the duplicates a retried append may have left.
+
+    Ids that are there twice are found on ids alone; only their rows are gathered, the others,
+    with their records, stay where they are.
+    """
+    ids = log.groupBy("evaluation_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("evaluation_id")
+    single = log.join(ids, "evaluation_id", "left_anti").select(*log.columns)
+    double = log.join(ids, "evaluation_id", "left_semi").select(*log.columns)
+    return single.unionByName(double.dropDuplicates(["evaluation_id"]))
 
 
 def load_record(
@@ -87,8 +90,8 @@ def load_record(
 ) -> DataFrame:
     """One record by id, read once. Missing ids are an error.
 
-    Ids are hashes, so alone they prune nothing; ``config_hash`` prunes folders and
-    ``paper_id`` row groups, as the files are sorted by paper.
+    The Bloom filter of each row group's ids skips those that do not hold it; ``config_hash``
+    also prunes folders and ``paper_id`` row groups, as the files are sorted by paper.
     """
     row = log.filter(F.col("evaluation_id") == evaluation_id)
     for name, value in (("paper_id", paper_id), ("config_hash", config_hash)):
@@ -106,6 +109,22 @@ def parse_records(log: DataFrame) -> DataFrame:
     return log.select("evaluation_id", parsed.alias("r")).select("evaluation_id", "r.*")
 
 
+def record_fields(log: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """evaluation_id and single fields of the records: name to (JSON path, type) as "path type".
+
+    The record becomes a VARIANT, of which only the named paths are read and typed. Records of
+    other versions of the schema stay readable: a field that one lacks, or holds in another
+    type, is NULL there, and fields it has besides do no harm. A record that is no JSON is NULL
+    in every field.
+    """
+    known = log.select("evaluation_id", F.try_parse_json("record_json").alias("r"))
+    typed = []
+    for name, field in fields.items():
+        path, kind = field.split(" ", 1)
+        typed.append(F.try_variant_get(F.col("r"), path, kind).alias(name))
+    return known.select("evaluation_id", *typed)
+
+
 def scan_records(log: DataFrame) -> DataFrame:
     """All records in id order."""
     return parse_records(log).orderBy("evaluation_id")
