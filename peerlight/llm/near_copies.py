@@ -1,11 +1,12 @@
 """Near copies by Jaccard similarity of five-word shingles: SimHash groups, then a prefix join.
 
-Texts with equal shingle sets are one node. A first round links nodes of a SimHash group (the
-grid of segment bit counts) and nodes that share one of their smallest shingles, one link a
-node. The second round is exact: of two near copies, the first shingle they share (in one order
-for all texts) stands among the first fifth of both, so all nodes meet by those shingles in one
-exchange, and only nodes that are not connected yet are paired. Every link is verified on the
-whole sets.
+Texts with equal shingle sets are one node. First rounds link nodes of a SimHash group (the grid
+of segment bit counts) and nodes that share one of their smallest shingles, a few links a node.
+What follows is exact: of two near copies, the first shingle they share (in one order for all
+texts) stands among the first fifth of both, so all nodes meet by those shingles in one exchange;
+shingles that only one node brings end there. Of the others, only those that nodes of different
+components share are looked at: first one pair of every two components, the most alike, then all
+pairs that are left. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from peerlight.llm.word_arrays import UNBROKEN, folded, pieces, shingle_hashes
 #: Texts are near copies if 4 of 5 of their joint five-word shingles are in both.
 SHINGLE = 5
 #: Longs of a text's parity bitmap.
-LANES = 8
-#: Smallest shingles by which the first round links nodes.
-FIRST = 3
+LANES = 32
+#: Smallest shingles by which the first rounds link nodes, and how many rounds there are.
+FIRST, ROUNDS = 3, 2
 #: Shingles of more nodes than this are compared in blocks, not in one task's groups.
 CELL_ROWS = 64
 BLOCK_ROWS = 512
@@ -79,6 +80,7 @@ def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array
     wanted = _prefix_length(sizes)
     chosen = order[at < np.repeat(wanted, sizes)]
     rare = np.bincount(owner[~last], minlength=n)
+    few = at < FIRST
 
     def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
         offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
@@ -87,6 +89,7 @@ def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array
     return [
         pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(rare.astype(np.int32)),
         pa.array(prints.view(np.int64)), lists(bits, np.full(n, LANES)), lists(own[chosen], wanted),
+        lists(own[few], np.minimum(sizes, FIRST)),
     ]
 
 
@@ -94,11 +97,12 @@ def signs(rows: DataFrame, frequent: np.ndarray, seed: int = 42) -> DataFrame:
     """``rows`` (best, text) with the text's sign in place of the text.
 
     The digest of its shingle set (node), its size, how many of it are not ``frequent`` (sorted),
-    its SimHash, the parity bitmap of the set and the first shingles: frequent ones come last,
-    else the order is that of the hashes.
+    its SimHash, the parity bitmap of the set, the first shingles (frequent ones come last, else
+    the order is that of the hashes) and the smallest ones.
     """
     added = StructType.fromDDL(
-        "node long, size int, rare int, fingerprint long, bits array<long>, prefix array<long>"
+        "node long, size int, rare int, fingerprint long, bits array<long>, prefix array<long>, "
+        "least array<long>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,22 +130,25 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _alike(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) whose sizes and parity bitmaps allow a Jaccard similarity of 0.8.
+    """Edges (a, b, ...) whose sizes and parity bitmaps allow a Jaccard similarity of 0.8, with the
+    bits that differ (``apart``).
 
     Each shingle that one text has alone flips one bit at most, and near copies have at most a
     ninth of their joint sizes of those.
     """
+    kept = edges.columns
     signed = nodes.select("node", "size", "bits")
     for side in "ab":
         signed_side = signed.select(
             F.col("node").alias(side), F.col("size").alias(f"s{side}"), F.col("bits").alias(f"b{side}")
         )
         edges = edges.join(signed_side, side)
-    apart = sum(
-        (F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(LANES)), F.lit(0)
+    apart = F.aggregate(
+        F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x
     )
     sizes_fit = 5 * F.least("sa", "sb") >= 4 * F.greatest("sa", "sb")
-    return edges.where(sizes_fit & (9 * apart <= F.col("sa") + F.col("sb"))).select("a", "b")
+    told = edges.where(sizes_fit).select(*kept, "sa", "sb", apart.alias("apart"))
+    return told.where(9 * F.col("apart") <= F.col("sa") + F.col("sb")).select(*kept, "apart")
 
 
 def _packed(text: Column) -> Column:
@@ -192,23 +199,31 @@ def _verified(docs: DataFrame, nodes: DataFrame, edges: DataFrame, keep: Callabl
     return keep(edges.where(_near(F.col("text_a"), F.col("text_b"))).select("a", "b"))
 
 
-def _first_links(nodes: DataFrame) -> DataFrame:
-    """At most one edge (a, b) of every node: to the smallest node of its SimHash group or of those
-    that share one of its smallest shingles, where sizes and bitmaps allow."""
-    simhash = fingerprint_groups(nodes.select(F.col("node").alias("doc_id"), "fingerprint"))
-    close = (
-        nodes.select("node", "fingerprint")
-        .join(simhash, "fingerprint")
-        .select(F.col("component_id").alias("a"), F.col("node").alias("b"))
-    )
-    low = nodes.select("node", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
-    heads = low.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = low.join(heads, "token").select("a", F.col("node").alias("b"))
-    edges = close.union(stars).where("a != b").distinct()
-    return _alike(edges, nodes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``nodes`` with the root of their component; a node without links is its own."""
+    if roots is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-_PAIRS = "a long, b long, token long, size int, at int"
+def _first_links(nodes: DataFrame, roots: DataFrame | None, round_: int) -> DataFrame:
+    """At most ``FIRST`` edges (a, b) of every node, to nodes of other components: to one node for
+    all that share one of its smallest shingles, another one in every round; in the first round
+    also to the smallest node of its SimHash group. Sizes and bitmaps must allow a link."""
+    rooted = _rooted(nodes, roots)
+    low = rooted.select("node", "root", F.explode("least").alias("token"))
+    centre = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(round_))).alias("c")
+    heads = low.groupBy("token").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = low.join(heads, "token").where("root != c.root").select(
+        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
+    )
+    if not round_:
+        simhash = fingerprint_groups(nodes.select(F.col("node").alias("doc_id"), "fingerprint"))
+        close = nodes.select("node", "fingerprint").join(simhash, "fingerprint").select(
+            F.col("component_id").alias("a"), F.col("node").alias("b")
+        )
+        edges = edges.union(close.where("a != b"))
+    return _alike(edges.distinct(), nodes).select("a", "b")
 
 
 def _fits(size_a: np.ndarray, size_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
@@ -218,89 +233,91 @@ def _fits(size_a: np.ndarray, size_b: np.ndarray, at_a: np.ndarray, at_b: np.nda
     return close & (9 * least >= 4 * (size_a + size_b))
 
 
-def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different roots that share a token and fit; rows come sorted by token.
+def _cut_at_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by token, in pieces of about ``ROWS`` that part at tokens.
+
+    A token of more rows than that parts as well, with one row of it on both sides.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append({n: batch.column(n).to_numpy() for n in batch.schema.names})
+            size += batch.num_rows
+        if size >= ROWS:
+            rows = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+            cut = int(np.searchsorted(rows["token"], rows["token"][-1]))
+            cut = cut or size - 1
+            yield {n: x[:cut] for n, x in rows.items()} if cut < size - 1 else rows
+            held, size = [{n: x[cut:] for n, x in rows.items()}], size - cut
+    if size:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
 
-    Rows of a token of more than ``CELL_ROWS`` nodes are handed on instead (token not null).
-    Pairs have a < b, and each comes once a call at most.
+def _shared_cells(nodes: DataFrame, keep: Callable) -> DataFrame:
+    """(token, node, size, at) of the first shingles that more than one node brings.
+
+    All first shingles meet here, and only here, by their hash; nearly all belong to one node and
+    end in this task. Frequent ones are shared anyway and are not sent, so no task gets the rows
+    of a shingle that a large part of all texts holds.
     """
-    fields = ["token", "node", "root", "size", "at"]
+    placed = nodes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "token"))
+    often = F.col("at") >= F.col("rare")
+    columns = ["token", "node", "size", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cut_at_tokens(batches):
+            same = rows["token"][1:] == rows["token"][:-1]
+            met = np.r_[False, same] | np.r_[same, False]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][met]) for c in columns], names=columns)
+
+    met = (
+        placed.where(~often)
+        .select(*columns)
+        .repartition("token")
+        .sortWithinPartitions("token")
+        .mapInArrow(run, "token long, node long, size int, at int")
+    )
+    # A row on both sides of a cut is there twice; pairs are made distinct later.
+    return keep(met.unionByName(placed.where(often).select(*columns)))
+
+
+_PAIRS = "a long, b long, low long, high long"
+
+
+def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b of nodes of different roots (low < high) that share a token and fit.
 
-    def pairs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    Rows come sorted by token, a token has at most about ``CELL_ROWS``; a pair comes once a piece.
+    """
+    for rows in _cut_at_tokens(batches):
         token = rows["token"]
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         count = np.diff(np.r_[head, len(token)])
-        place = np.arange(len(token)) - np.repeat(head, count)
-        found = []
+        left = np.repeat(head + count, count) - np.arange(len(token))  # rows of the token from here on
+        found = [np.zeros((0, 4), dtype=np.int64)]
         for step in range(1, int(count.max(initial=1))):
-            i = np.flatnonzero(place + step < np.repeat(count, count))
+            i = np.flatnonzero(left > step)
             j = i + step
             fit = rows["root"][i] != rows["root"][j]
             fit &= _fits(rows["size"][i], rows["size"][j], rows["at"][i], rows["at"][j])
             a, b = rows["node"][i[fit]], rows["node"][j[fit]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        none = pa.nulls(len(both))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(both[:, 0]), pa.array(both[:, 1]), none.cast("int64"), none.cast("int32"), none.cast("int32")],
-            names=["a", "b", "token", "size", "at"],
-        )
-
-    def crowd(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows[f]) for f in ("node", "root", "token", "size", "at")],
-            names=["a", "b", "token", "size", "at"],
-        )
-
-    def split(rows: dict[str, np.ndarray], over: int | None, final: bool):
-        """Batches of the rows whose tokens are complete, the rest, and its token if crowded."""
-        token = rows["token"]
-        head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        count = np.diff(np.r_[head, len(token)])
-        crowded = np.repeat((count > CELL_ROWS) | (token[head] == over if over is not None else False), count)
-        open_ = np.zeros(len(token), dtype=bool)
-        if not final:
-            open_[head[-1] :] = True
-        last = int(token[-1]) if open_.any() and crowded[-1] else None
-        out = []
-        if crowded.any():
-            out.append(crowd({f: rows[f][crowded] for f in fields}))
-        ready = ~crowded & ~open_
-        if ready.any():
-            out.append(pairs({f: rows[f][ready] for f in fields}))
-        return out, {f: rows[f][~crowded & open_] for f in fields}, last
-
-    rest: dict[str, np.ndarray] | None = None
-    held: list[dict[str, np.ndarray]] = []
-    size, over = 0, None
+            x, y = rows["root"][i[fit]], rows["root"][j[fit]]
+            sides = [np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y)]
+            found.append(np.stack(sides, axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in both.T], names=["a", "b", "low", "high"])
 
-    def merged() -> dict[str, np.ndarray]:
-        parts = ([rest] if rest is not None else []) + held
-        return {f: np.concatenate([p[f] for p in parts]) for f in fields}
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append({f: batch.column(f).to_numpy() for f in fields})
-        size += batch.num_rows
-        if size >= ROWS:
-            out, rest, over = split(merged(), over, False)
-            held, size = [], 0
-            yield from out
-    if held or (rest is not None and len(rest["token"])):
-        yield from split(merged(), over, True)[0]
 
+def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, best: bool, keep: Callable) -> DataFrame:
+    """Pairs (a, b, low, high, apart) of crowded tokens that sizes, places and bitmaps allow.
 
-def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, keep: Callable) -> DataFrame:
-    """Pairs of crowded tokens, of different roots, that sizes, places and bitmaps allow.
-
-    ``crowded`` has token, node, root, size and at. A token's nodes are dealt into blocks of about
-    ``BLOCK_ROWS``: the nodes of a root of more than that have blocks of their own, which are not
-    compared with each other. Every other two blocks meet in one task.
+    ``crowded`` has token, n, node, root, size and at. A token's nodes are dealt into blocks of
+    about ``BLOCK_ROWS``: the nodes of a root of more than that have blocks of their own, which
+    are not compared with each other. Every other two blocks meet in one task. With ``best``, a
+    task gives one pair of every two roots, the one of fewest different bits.
     """
     per_root = crowded.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per_root.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("n")).where("roots > 1")
-    sized = keep(per_root.join(mixed.drop("roots"), "token"))
     large = F.col("k") > BLOCK_ROWS
     parts = F.ceil(F.when(large, F.col("k")).otherwise(F.col("n")) / BLOCK_ROWS).cast("int")
     part = F.pmod(F.when(large, F.xxhash64("node")).otherwise(F.xxhash64("root")), parts).cast("int")
@@ -308,7 +325,7 @@ def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, keep: Callable) -> Data
         large.alias("large"), F.when(large, F.col("root")).otherwise(0).alias("own"), part.alias("part")
     )
     dealt = keep(
-        crowded.join(sized, ["token", "root"])
+        crowded.join(per_root, ["token", "root"])
         .join(nodes.select("node", "bits"), "node")
         .select("token", "node", "root", "size", "at", "bits", block.alias("mine"))
     )
@@ -319,46 +336,61 @@ def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, keep: Callable) -> Data
         "NOT (mine.large AND other.large AND mine.own = other.own)"
     )
     sent = dealt.join(meet, ["token", "mine"]).select(
-        "token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+        "token", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"),
         (F.col("mine") <= F.col("other")).alias("left"), "node", "root", "size", "at", "bits",
     )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["left"]]
         right = rows[~rows["left"]] if not rows["left"].all() else left
-        out = [np.zeros((0, 2), dtype=np.int64)]
+        out = [np.zeros((0, 5), dtype=np.int64)]
         # Unsigned: numpy counts the bits of a signed number's absolute value.
         bits = np.array(right["bits"].tolist(), dtype=np.int64).reshape(-1, LANES).view(np.uint64)
         node, root, size, at = (right[c].to_numpy() for c in ("node", "root", "size", "at"))
         for r in left.itertuples():
             fit = np.flatnonzero((root != r.root) & _fits(size, np.int64(r.size), at, np.int64(r.at)))
             apart = np.bitwise_count(bits[fit] ^ np.array(r.bits, np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            near = node[fit[9 * apart <= size[fit] + r.size]]
-            out.append(np.stack([np.minimum(near, r.node), np.maximum(near, r.node)], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
-
-    return sent.groupBy("token", "low", "high").applyInPandas(run, "a long, b long").distinct()
-
-
-def _missing_links(nodes: DataFrame, roots: DataFrame, keep: Callable) -> DataFrame:
-    """All edges (a, b) between nodes of different roots that may be near copies."""
-    rooted = nodes.join(roots, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root"), "size", "rare", F.posexplode("prefix").alias("at", "token")
-    )
-    often = F.col("at") >= F.col("rare")  # frequent shingles: nearly all are crowded
-    met = keep(
-        rooted.where(~often)
-        .select("token", "node", "root", "size", "at")
-        .repartition("token")
-        .sortWithinPartitions("token")
-        .mapInArrow(_pair_up, _PAIRS)
+            near = 9 * apart <= size[fit] + r.size
+            fit, apart = fit[near], apart[near]
+            if best and len(fit):  # the closest of every other root
+                order = np.lexsort((apart, root[fit]))
+                fit, apart = fit[order], apart[order]
+                first = np.r_[True, root[fit][1:] != root[fit][:-1]]
+                fit, apart = fit[first], apart[first]
+            a, x = np.full(len(fit), r.node), np.full(len(fit), r.root)
+            b, y = node[fit], root[fit]
+            sides = [np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y), apart]
+            out.append(np.stack(sides, axis=1))
+        found = pd.DataFrame(np.concatenate(out), columns=["a", "b", "low", "high", "apart"])
+        if best:
+            return found.sort_values(["apart", "a", "b"]).drop_duplicates(["low", "high"])
+        return found.drop_duplicates()
+
+    return sent.groupBy("token", "first", "second").applyInPandas(run, _PAIRS + ", apart long")
+
+
+def _missing_links(
+    cells: DataFrame, nodes: DataFrame, roots: DataFrame, best: bool, keep: Callable
+) -> DataFrame:
+    """Edges (a, b) between nodes of different components that may be near copies: one of every
+    two components (``best``: the pair of fewest different bits), or all."""
+    rooted = _rooted(cells, roots)
+    mixed = (
+        rooted.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+        .where("x != y")
+        .select("token", "n")
     )
-    pairs = met.where("token IS NULL").select("a", "b").distinct()
-    crowded = met.where("token IS NOT NULL").select(
-        "token", F.col("a").alias("node"), F.col("b").alias("root"), "size", "at"
+    open_ = keep(rooted.join(mixed, "token").select("token", "n", "node", "root", "size", "at"))
+    few = open_.where(F.col("n") <= CELL_ROWS).drop("n")
+    pairs = few.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_up, _PAIRS)
+    found = _alike(pairs.distinct(), nodes).unionByName(
+        _crowded_pairs(open_.where(F.col("n") > CELL_ROWS), nodes, best, keep)
     )
-    crowded = crowded.union(rooted.where(often).select(*crowded.columns))
-    return keep(_alike(pairs, nodes).union(_crowded_pairs(crowded, nodes, keep)).distinct())
+    if best:
+        least = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("e")
+        return keep(found.groupBy("low", "high").agg(least).select("e.a", "e.b"))
+    return keep(found.select("a", "b").distinct())
 
 
 def near_copy_groups(docs: DataFrame, keep: Callable = stored) -> tuple[DataFrame, DataFrame]:
@@ -374,14 +406,26 @@ def near_copy_groups(docs: DataFrame, keep: Callable = stored) -> tuple[DataFram
     nodes = keep(
         rows.groupBy("node").agg(
             F.min("best").alias("best"),
-            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix")],
+            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix", "least")],
         )
     )
-    linked = _verified(docs, nodes, keep(_first_links(nodes)), keep)
-    rest = _missing_links(nodes, components(linked), keep)
-    if not rest.isEmpty():
-        linked = linked.union(_verified(docs, nodes, rest, keep))
-    return nodes.select("node", "best"), components(linked)
+    linked, roots = None, None
+    for round_ in range(ROUNDS):
+        edges = keep(_first_links(nodes, roots, round_))
+        fresh = _verified(docs, nodes, edges, keep)
+        linked = fresh if linked is None else linked.union(fresh)
+        roots = keep(components(linked))
+    cells = _shared_cells(nodes, keep)
+    tested = _missing_links(cells, nodes, roots, True, keep)
+    if not tested.isEmpty():
+        linked = linked.union(_verified(docs, nodes, tested, keep))
+        roots = keep(components(linked))
+        rest = _missing_links(cells, nodes, roots, False, keep).join(tested, ["a", "b"], "left_anti")
+        rest = keep(rest)
+        if not rest.isEmpty():
+            linked = linked.union(_verified(docs, nodes, rest, keep))
+            roots = components(linked)
+    return nodes.select("node", "best"), roots
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -77,6 +78,8 @@ def test_large_groups_and_clashing_names(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "CELL_ROWS", 3)
     monkeypatch.setattr(near_copies, "BLOCK_ROWS", 4)
     monkeypatch.setattr(near_copies, "FIRST", 1)
+    monkeypatch.setattr(near_copies, "ROUNDS", 1)
+    monkeypatch.setattr(near_copies, "ROWS", 20)
     monkeypatch.setattr(near_copies, "SAMPLE", 1)
     rng = np.random.default_rng(2)
     frame = [f"f{x}" for x in range(60)]
@@ -92,5 +95,21 @@ def test_large_groups_and_clashing_names(spark, monkeypatch):
     )
     got = near_copies.drop_near_copies(docs)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
-    twice = near_copies.drop_near_copies(docs.union(docs))
-    assert sorted(r.doc_id for r in twice.collect()) == sorted(want)
+
+
+def test_rows_that_repeat_the_smallest_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "a b c d e f"), (3, "other words here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_pieces_part_at_tokens(monkeypatch, rows):
+    monkeypatch.setattr(near_copies, "ROWS", rows)
+    tokens = np.sort(np.random.default_rng(rows).integers(0, 12, 60))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(tokens[i : i + 4])], names=["token"]) for i in range(0, 60, 4)
+    ]
+    pieces = [p["token"] for p in near_copies._cut_at_tokens(iter(batches))]
+    shared = [t for p in pieces for t in set(p[(np.r_[False, p[1:] == p[:-1]]) | np.r_[p[1:] == p[:-1], False]].tolist())]
+    assert set(shared) == {t for t in tokens.tolist() if (tokens == t).sum() > 1}
+    assert set(np.concatenate(pieces).tolist()) == set(tokens.tolist())
