@@ -8,24 +8,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import bounded_batches, documents, settle
+from peerlight.llm.common import bounded_batches, documents, free_name, settle
 from peerlight.llm.text_stats import COUNTS, text_counts
 
 #: Relative error of the sketch: bucket i holds values up to GAMMA ** i.
 GAMMA = 1.02
 #: Values below this share the lowest bucket.
 TINY = 1e-4
-#: Groups of fewer rows than this use the sketch of their language, then that of all rows.
-LEAST_ROWS = 200
-#: Upper limits lie this many widths (90th percentile less median) above the median, lower
-#: limits as many below it, and never inside the slack a measure always has.
-WIDTHS = 6.0
+#: Weight of a group's language, in rows, beside its own quantiles; and that of all rows beside
+#: a language's. A group of so many rows counts half.
+PRIOR_ROWS = 200
+#: Limits lie this many widths of the group's own tail (90th percentile less median) beyond the
+#: 90th percentile, lower limits as many (median less 10th) below the 10th.
+WIDTHS = 4.0
+#: Counts that no share is held against: that many symbols, duplicate lines or repeated windows
+#: (of ten words, both times) are a handful in a text of any length.
+FREE = 3
 _RULES = {
-    # measure: (limits above, limits below, slack above, slack below)
-    "mean_word": (True, True, 3.0, 2.0),
-    "symbol_share": (True, False, 0.05, 0.0),
-    "dup_line_share": (True, False, 0.03, 0.0),
-    "repeat_share": (True, False, 0.18, 0.0),
+    # measure: (count, what it is a share of, words or characters of one count, limit below too)
+    "mean_word": ("word_chars", "n_words", 0, True),
+    "symbol_share": ("n_symbols", "word_chars", 1, False),
+    "dup_line_share": ("n_dup_lines", "n_words", 1, False),
+    "repeat_share": ("n_repeat_words", "n_words", 10, False),
 }
 _TEXTS = 256
 
@@ -44,18 +48,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
     docs = docs.drop(*COUNTS)
     bounded_batches(docs.sparkSession)
-    kept = docs.columns
-    return docs.withColumn("_counts", run("text")).select(*kept, "_counts.*")
+    kept, found = docs.columns, free_name(docs, "counts")
+    return docs.withColumn(found, run("text")).select(*kept, F.col(found + ".*"))
 
 
-def measures() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    chars = F.greatest(F.col("word_chars"), F.lit(1))
+def measures(free: int = 0) -> dict[str, Column]:
+    """The measures of a row, without ``free`` counts of each."""
     return {
-        "mean_word": F.col("word_chars") / words,
-        "symbol_share": F.col("n_symbols") / chars,
-        "dup_line_share": F.col("n_dup_lines") / words,
-        "repeat_share": F.col("n_repeat_words") / words,
+        name: (F.col(count) - free * unit) / F.greatest(F.col(whole), F.lit(1))
+        for name, (count, whole, unit, _) in _RULES.items()
     }
 
 
@@ -88,8 +89,12 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, lower and upper limit per group and measure."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and the 10th, 50th and 90th percentile per group and measure: low, mid, high.
+
+    A percentile is the middle of the first bucket at which so many rows are reached, zero for
+    the lowest bucket.
+    """
     by = [*keys, "measure"]
     upto = Window.partitionBy(*by).orderBy("bucket")  # at most a few hundred buckets a group
     whole = Window.partitionBy(*by)
@@ -102,49 +107,46 @@ def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
         value = F.pow(F.lit(GAMMA), reached + 0.5)
         return F.when(value <= TINY * GAMMA, 0.0).otherwise(value)
 
-    q = ranked.groupBy(*by, "rows").agg(
+    return ranked.groupBy(*by, "rows").agg(
         quantile(0.1).alias("low"), quantile(0.5).alias("mid"), quantile(0.9).alias("high")
     )
-    upper, lower = F.lit(float("inf")), F.lit(float("-inf"))
-    for name, (above, below, slack_up, slack_down) in _RULES.items():
-        mine = F.col("measure") == name
-        reach_up = F.greatest(WIDTHS * (F.col("high") - F.col("mid")), F.lit(slack_up))
-        reach_down = F.greatest(WIDTHS * (F.col("mid") - F.col("low")), F.lit(slack_down))
-        if above:
-            upper = F.when(mine, F.col("mid") + reach_up).otherwise(upper)
-        if below:
-            lower = F.when(mine, F.col("mid") - reach_down).otherwise(lower)
-    return q.select(*by, "rows", lower.alias("lower"), upper.alias("upper"))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """One row per (lang, source) with the limits of every measure.
 
-    A group of fewer than ``LEAST_ROWS`` rows takes the limits of its language, a language of
-    fewer those of all rows. Sketches are taken over all rows that pass the fixed rules.
+    Sketches are taken over all rows that pass the fixed rules. A group's quantiles are blended
+    with those of its language, and these with those of all rows, by ``PRIOR_ROWS``. An upper
+    limit is the 90th percentile and ``WIDTHS`` widths of the tail, and the sketch's error: if no
+    row in ten has symbols, symbols beyond a handful are out of place, however many the rest has.
     """
     fine = settle(sketch(rows.where(~base_failed()), ["lang", "source"]))
     mid = merge(fine, ["lang"])
-    by_source = limits(fine, ["lang", "source"])
-    by_lang = limits(mid, ["lang"]).select(
-        F.col("lang").alias("l"), F.col("measure").alias("lm"), F.struct("rows", "lower", "upper").alias("by_lang")
+    values = ["low", "mid", "high"]
+    by_lang = quantiles(mid, ["lang"]).select(
+        F.col("lang").alias("l"), F.col("measure").alias("lm"), F.struct("rows", *values).alias("by_lang")
     )
-    by_all = limits(merge(mid, []), []).select(
-        F.col("measure").alias("am"), F.struct("lower", "upper").alias("by_all")
+    by_all = quantiles(merge(mid, []), []).select(
+        F.col("measure").alias("am"), F.struct(*values).alias("by_all")
     )
-    joined = by_source.join(
-        by_lang, by_source["lang"].eqNullSafe(F.col("l")) & (by_source["measure"] == F.col("lm"))
+    own = quantiles(fine, ["lang", "source"])
+    joined = own.join(
+        by_lang, own["lang"].eqNullSafe(F.col("l")) & (own["measure"] == F.col("lm"))
     ).join(F.broadcast(by_all), F.col("measure") == F.col("am"))  # one row per measure
 
-    def chosen(side: str) -> Column:
-        return (
-            F.when(F.col("rows") >= LEAST_ROWS, F.col(side))
-            .when(F.col("by_lang.rows") >= LEAST_ROWS, F.col(f"by_lang.{side}"))
-            .otherwise(F.col(f"by_all.{side}"))
-        )
-
-    sides = joined.select(
-        "lang", "source", "measure", chosen("lower").alias("lower"), chosen("upper").alias("upper")
+    def blended(name: str) -> Column:
+        of_lang = F.col("by_lang.rows") / (F.col("by_lang.rows") + PRIOR_ROWS)
+        lang = of_lang * F.col(f"by_lang.{name}") + (1 - of_lang) * F.col(f"by_all.{name}")
+        share = F.col("rows") / (F.col("rows") + PRIOR_ROWS)
+        return (share * F.col(name) + (1 - share) * lang).alias(name)
+
+    found = joined.select("lang", "source", "measure", *[blended(n) for n in values])
+    below = F.col("measure").isin([m for m, rule in _RULES.items() if rule[3]])
+    lower = (F.col("low") - WIDTHS * (F.col("mid") - F.col("low"))) / GAMMA
+    upper = (F.col("high") + WIDTHS * (F.col("high") - F.col("mid"))) * GAMMA
+    sides = found.select(
+        "lang", "source", "measure", upper.alias("upper"),
+        F.when(below, lower).otherwise(F.lit(float("-inf"))).alias("lower"),
     )
     return sides.groupBy("lang", "source").agg(
         *[
@@ -158,23 +160,29 @@ def thresholds(rows: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with counts, ``base_failed`` and ``kept``.
 
-    A row is kept if it passes the fixed rules and every measure lies within the limits of its
-    (lang, source). Null languages and sources are groups of their own; null texts count as
-    empty and fail; an empty table gives none. Input columns named like the results are
-    replaced; others but ``text`` pass through.
+    A row is kept if it passes the fixed rules and every measure, less a handful of counts, lies
+    within the limits of its (lang, source). Null languages and sources are groups of their own;
+    null texts count as empty and fail; repeated rows count one by one; an empty table gives
+    none. Input columns named like the results are replaced; others but ``text`` pass through,
+    whatever their names.
     """
     rows = settle(
         base_counts(docs.drop("base_failed", "kept")).drop("text")
         .withColumn("base_failed", base_failed())
     )
-    found = thresholds(rows).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    found = thresholds(rows.select("lang", "source", *COUNTS))
+    lang, source, limits = (free_name(rows, n) for n in ("group_lang", "group_source", "limits"))
+    sides = [c for c in found.columns if c not in ("lang", "source")]
+    found = found.select(
+        F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*sides).alias(limits)
+    )
     # One row per language and source; the adaptive join broadcasts or splits by size.
     joined = rows.join(
-        found, rows["lang"].eqNullSafe(found["_lang"]) & rows["source"].eqNullSafe(found["_source"]), "left"
+        found, rows["lang"].eqNullSafe(found[lang]) & rows["source"].eqNullSafe(found[source]), "left"
     )
     inside = F.lit(True)
-    for name, value in measures().items():
-        inside = inside & value.between(F.col(f"{name}_lower"), F.col(f"{name}_upper"))
+    for name, value in measures(FREE).items():
+        inside = inside & value.between(F.col(f"{limits}.{name}_lower"), F.col(f"{limits}.{name}_upper"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return joined.select(*rows.columns, kept.alias("kept"))
 
