@@ -15,12 +15,12 @@ from peerlight.llm.common import Shipped, bounded_batches, documents, fold, sett
 
 #: Lengths of the n-grams and places they are hashed to; texts handled at a time.
 ORDERS, BITS, TEXTS = (4, 5), 18, 64
-#: The classifier learns from at most this many labelled rows of each class, taken in the
-#: order of a hash of their ids.
+#: The ratios count all labelled rows; the weights are learned from at most this many of each
+#: class, taken in the order of a hash of their ids.
 ROWS_PER_CLASS = 5_000
 #: Places with the clearest log-count ratios (in standard errors) become features.
 FEATURES, CLEAR, SMOOTHING = 8_192, 4.0, 0.5
-STEPS, RATE, PENALTY = 200, 0.1, 1e-4
+STEPS, RATE, PENALTY = 200, 0.1, 5e-4
 
 
 @dataclass
@@ -63,11 +63,15 @@ def ngrams(texts: list[str | None], wanted: np.ndarray | None = None):
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _sample(labels: DataFrame, label: str) -> DataFrame:
-    """Up to ``ROWS_PER_CLASS`` ids of each class, in hash order."""
+def _labelled(labels: DataFrame, label: str) -> DataFrame:
+    """One row per id: doc_id and label (the larger one, where an id has both)."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def _sample(rows: DataFrame) -> DataFrame:
+    """Up to ``ROWS_PER_CLASS`` ids of each class, in hash order."""
     sides = [
         rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS)
         for c in (0, 1)
@@ -76,10 +80,14 @@ def _sample(labels: DataFrame, label: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity | None:
-    """Fit on a bounded sample of labelled rows; None if a class has no row."""
-    sample = _sample(labels, label)
+    """Ratios of all labelled rows, weights from a bounded sample; None if a class has no row.
+
+    Rows that repeat an id count one by one in the ratios; the sample has one text of each id,
+    the smallest.
+    """
+    told = settle(_labelled(labels, label))
     bounded_batches(docs.sparkSession)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded above
+    known = docs.select("doc_id", "text").join(told, "doc_id")
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if any(not sizes.get(c) for c in (0, 1)):
         return None
@@ -129,16 +137,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity
                 yield pa.RecordBatch.from_arrays([part.column("label"), lists], names=["label", "places"])
 
     # At most 2 x ROWS_PER_CLASS rows of at most FEATURES places.
-    rows = known.select("text", "label").mapInArrow(present, "label int, places array<int>").toArrow()
-    weight, bias = _fit(rows, ratios)
-    # The sample's classes are not in the proportion of the labelled rows.
-    whole = {r[0]: r[1] for r in labels.groupBy(label).count().collect() if r[0] in (0, 1)}
-    bias += float(np.log(whole[1] / whole[0]) - np.log(sizes[1] / sizes[0]))
-    return Toxicity(weight, bias)
+    drawn = docs.select("doc_id", "text").join(F.broadcast(_sample(told)), "doc_id")  # bounded above
+    texts = drawn.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    rows = texts.mapInArrow(present, "label int, places array<int>").toArrow()
+    return Toxicity(*_fit(rows, ratios))
 
 
 def _fit(rows: pa.Table, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge penalty on features valued at their ratios."""
+    """Logistic regression with a ridge penalty on features valued at their ratios.
+
+    Classes weigh the same whatever their sizes, so a score is the chance of label 1 where both
+    are equally common: rare labels are not held to a stricter threshold.
+    """
     target = rows.column("label").to_numpy().astype(np.float64)
     lists = rows.column("places").combine_chunks()
     owner = np.repeat(np.arange(len(target)), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -159,9 +169,7 @@ def _fit(rows: pa.Table, ratios: np.ndarray) -> tuple[np.ndarray, float]:
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     weight = np.zeros(len(ratios))
     weight[used] = theta[:-1] * ratios[used]
-    # Balanced weights stand for equal classes; move to the sample's own proportion.
-    bias = theta[-1] + np.log(target.sum() / (len(target) - target.sum()))
-    return weight, float(bias)
+    return weight, float(theta[-1])
 
 
 def score(docs: DataFrame, model: Toxicity | None) -> DataFrame:
@@ -191,7 +199,12 @@ def score(docs: DataFrame, model: Toxicity | None) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", least: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row; learns outside the held-out third."""
+    """doc_id, held_out, score and predicted for every row; learns outside the held-out third.
+
+    Null and empty texts get the score of a text without features; without labels of both classes
+    all scores are 0.5; repeated rows are scored one by one, an empty table gives none. Other
+    columns of ``docs``, whatever their names, are left out.
+    """
     held_out = fold(F.col("doc_id"), 3) == 1
     model = learn(docs, labels.where(~held_out), label)
     return score(docs.select("doc_id", "text"), model).select(
