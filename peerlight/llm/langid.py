@@ -17,7 +17,7 @@ from peerlight.llm.common import Shipped, bounded_batches, documents, fold, sett
 #: Byte trigrams are hashed to this many places; a unit is this many consecutive trigrams.
 BITS, UNIT = 15, 24
 #: More languages than this are refused: the model is sent to every executor.
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 256
 #: Expectation-maximisation rounds per language set, smoothing count, texts held at a time.
 ROUNDS, SMOOTHING, TEXTS = 12, 0.5, 256
 
@@ -87,11 +87,12 @@ def learn(docs: DataFrame) -> Languages:
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names.sort()
-    total = np.zeros((1 << BITS, len(names)))
-    # At most MAX_LANGUAGES x 2**BITS rows.
-    told = counts.toPandas()
-    total[told["place"], [names.index(x) for x in told["lang"]]] = told["n"]
-    total += SMOOTHING
+    total = np.full((1 << BITS, len(names)), SMOOTHING)
+    # One row for each language, with one entry for each of 2**BITS places at most.
+    lists = counts.groupBy("lang").agg(F.collect_list("place").alias("place"), F.collect_list("n").alias("n"))
+    column = {name: i for i, name in enumerate(names)}
+    for r in lists.toLocalIterator():
+        total[r.place, column[r.lang]] += r.n
     return Languages(names, np.log(total / total.sum(axis=0)).astype(np.float32))
 
 
