@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerlight.llm.common import documents, settle
+from peerlight.llm.common import documents, free_name, settle
 
 #: Rate above which a Poisson draw is the sum of several, so that exp(-rate) stays above zero.
 PIECE = 256.0
@@ -94,45 +94,47 @@ def mix(
 
     Null ids and texts hash as a marker of their own; rows that repeat id and text repeat the
     draw; an empty table gives an empty one; other columns pass through. Input columns named
-    ``copy`` or ``shuffle_key`` are replaced.
+    ``copy`` or ``shuffle_key`` are replaced; others pass through, whatever their names.
     """
     docs = docs.drop("copy", "shuffle_key")
+    kept = docs.columns
+    text, times, source, parts, cdf = (free_name(docs, n) for n in ("text_md5", "times", "own_source", "parts", "cdf"))
     rates = source_rates(docs, weights, temperature, epochs).withColumn(
         "parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")
     )
     rates = settle(
         rates.select(
-            F.col("source").alias("_source"),
-            F.col("parts").alias("_parts"),
-            poisson_cdf(F.col("rate") / F.col("parts")).alias("_cdf"),
+            F.col("source").alias(source),
+            F.col("parts").alias(parts),
+            poisson_cdf(F.col("rate") / F.col("parts")).alias(cdf),
         )
     )
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # The text enters by its own digest, so that one long text is hashed once, not per piece.
-    docs = docs.withColumn("_text", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
+    docs = docs.withColumn(text, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")))
+    joined = docs.join(rates, docs["source"].eqNullSafe(rates[source]))
 
     numbers = F.transform(
-        F.sequence(F.lit(1), F.col("_parts")),
-        lambda piece: unit(F.lit(str(seed)), name, F.col("_text"), piece.cast("string")),
+        F.sequence(F.lit(1), F.col(parts)),
+        lambda piece: unit(F.lit(str(seed)), name, F.col(text), piece.cast("string")),
     )
-    draws = F.transform(numbers, lambda u: F.size(F.filter("_cdf", lambda c: c < u)))
-    times = F.aggregate(draws, F.lit(0), lambda acc, k: acc + k)
+    draws = F.transform(numbers, lambda u: F.size(F.filter(cdf, lambda c: c < u)))
+    count = F.aggregate(draws, F.lit(0), lambda acc, k: acc + k)
     copies = (
-        joined.withColumn("_times", times)
-        .where(F.col("_times") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        joined.withColumn(times, count)
+        .where(F.col(times) > 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
         .withColumn(
             "shuffle_key",
             F.md5(
                 F.concat_ws(
-                    "|", F.lit(f"{seed} order"), name, F.col("_text"), F.col("copy").cast("string")
+                    "|", F.lit(f"{seed} order"), name, F.col(text), F.col("copy").cast("string")
                 ).cast("binary")
             ),
         )
-        .drop("_times", "_text", "_source", "_parts", "_cdf")
+        .select(*kept, "copy", "shuffle_key")
     )
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from peerlight.llm.common import bounded_batches, documents, settle
+from peerlight.llm.common import bounded_batches, documents, free_name, settle
 
 #: A fingerprint has 32 segments of two bits; its embedding is the bit count of each.
 SEGMENTS = 32
@@ -236,20 +236,21 @@ def drop_near_duplicates(
     pass through.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.withColumn("_print", fingerprint(F.col("text"), shingle, seed))
-    marked = marked.withColumn("_key", F.struct("doc_id", "_print"))
-    prints = settle(marked.select("doc_id", F.col("_print").alias("fingerprint")))
+    own, key = (free_name(docs, n) for n in ("own_print", "key"))
+    marked = docs.withColumn(own, fingerprint(F.col("text"), shingle, seed))
+    marked = marked.withColumn(key, F.struct(F.col("doc_id"), F.col(own).alias("print")))
+    prints = settle(marked.select("doc_id", F.col(own).alias("fingerprint")))
     groups = fingerprint_groups(prints, distance, blocks)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
     firsts = prints.groupBy("fingerprint").agg(F.min(order).alias("best"))
     best = firsts.join(groups, "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
     keep = best.select(
         F.struct(
-            F.col("best.doc_id").alias("doc_id"), F.col("best.fingerprint").alias("_print")
-        ).alias("_key")
+            F.col("best.doc_id").alias("doc_id"), F.col("best.fingerprint").alias("print")
+        ).alias(key)
     )
-    kept = marked.join(keep, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    kept = marked.join(keep, key, "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir):
