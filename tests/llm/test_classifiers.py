@@ -131,6 +131,147 @@ def test_toxicity_held_out_accuracy(spark):
     got = toxicity.op5_toxicity(spark, sf_dir).join(labels, "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.94
     assert got[got.toxic == 0].predicted.mean() < 0.02
+    assert got[got.toxic == 1].predicted.mean() > 0.85  # 305 toxic texts to learn from
+
+
+def brute_places(text):
+    """Places of all lower-cased character 4- and 5-grams, by the hash written out."""
+    t, out, mask = (text or "").lower().replace("\0", " "), set(), 0xFFFFFFFF
+    for n in toxicity.ORDERS:
+        for i in range(len(t) - n + 1):
+            code = n
+            for c in t[i : i + n]:
+                code = (((code ^ (code >> 15)) * 2654435761 & mask) + ord(c)) & mask
+            code = (code ^ (code >> 13)) * 2246822519 & mask
+            out.add(code >> (32 - toxicity.BITS))
+    return out
+
+
+def test_ngrams_match_brute_force(odd_docs):
+    texts = [r.text[:300] if r.text else r.text for r in odd_docs.collect()] + ["a\0b\0cdef", "ABCDE abcde", "é" * 9]
+    owner, place = toxicity.ngrams(texts)
+    for i, text in enumerate(texts):
+        assert set(place[owner == i].tolist()) == brute_places(text)
+    wanted = np.zeros(1 << toxicity.BITS, dtype=bool)
+    wanted[list(brute_places("abcde"))] = True
+    owner, place = toxicity.ngrams(texts, wanted)
+    assert sorted(zip(owner.tolist(), place.tolist())) == sorted(
+        (i, p) for i, t in enumerate(texts) for p in brute_places(t) & brute_places("abcde")
+    )
+
+
+def test_ratios_count_all_rows_and_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS_PER_CLASS", 30)
+    monkeypatch.setattr(toxicity, "CLEAR", 0.0)
+    seen = {}
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, ratios: seen.update(rows=rows, ratios=ratios) or fit(rows, ratios))
+    docs = [(i, ("vile " if i % 4 == 0 else "kind ") + f"words {i % 7}") for i in range(200)]
+    docs += [(0, "vile words again")] * 50  # rows that repeat a sampled id
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert seen["rows"].num_rows == 60
+    side = {0: [t for i, t in docs if i % 4], 1: [t for i, t in docs if i % 4 == 0]}
+    counts = {c: Counter(p for t in texts for p in brute_places(t)) for c, texts in side.items()}
+    want = np.zeros(1 << toxicity.BITS)
+    for p in {*counts[0], *counts[1]}:
+        own = [(counts[c][p] + toxicity.SMOOTHING) / (len(side[c]) + 2 * toxicity.SMOOTHING) for c in (0, 1)]
+        want[p] = np.log(own[1]) - np.log(own[0])
+    chosen = seen["ratios"] != 0
+    assert chosen.any() and np.allclose(seen["ratios"][chosen], want[chosen])
+
+
+def test_language_counts_match_brute_force(spark):
+    texts = [("x", "abcabc"), ("y", "Zoë zoe"), ("x", "abd"), ("x", None), (None, "abc"), ("z", "ab")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    total = np.full((1 << langid.BITS, len(model.names)), langid.SMOOTHING)
+    for lang, text in texts:
+        if lang and text:
+            grams, _ = langid.trigrams([text])
+            np.add.at(total[:, model.names.index(lang)], grams, 1)
+    assert model.names == ["x", "y", "z"]
+    assert np.allclose(model.log_p, np.log(total / total.sum(axis=0)), atol=1e-5)
+
+
+def brute_limits(rows):
+    """Limits per (lang, source) and measure from sorted values: rows are (lang, source, counts)."""
+
+    def bucket(v):
+        return int(np.floor(np.log(max(v, quality_rules.TINY)) / np.log(quality_rules.GAMMA)))
+
+    def quantiles(values):
+        buckets, out = sorted(map(bucket, values)), []
+        for q in (0.1, 0.5, 0.9):
+            b = next(b for k, b in enumerate(buckets, 1) if k >= q * len(buckets))
+            value = quality_rules.GAMMA ** (b + 0.5)
+            out.append(0.0 if value <= quality_rules.TINY * quality_rules.GAMMA else value)
+        return np.array(out)
+
+    good = [r for r in rows if not failed(r[2])]
+    out = {}
+    for name, (count, whole, _, below) in quality_rules._RULES.items():
+        value = [c[COUNTS.index(count)] / max(1, c[COUNTS.index(whole)]) for _, _, c in good]
+        every = quantiles(value)
+        for group in {r[:2] for r in good}:
+            own = [v for v, r in zip(value, good) if r[:2] == group]
+            lang = [v for v, r in zip(value, good) if r[0] == group[0]]
+            a, b = (len(x) / (len(x) + quality_rules.PRIOR_ROWS) for x in (own, lang))
+            low, mid, high = a * quantiles(own) + (1 - a) * (b * quantiles(lang) + (1 - b) * every)
+            upper = (high + quality_rules.WIDTHS * (high - mid)) * quality_rules.GAMMA
+            lower = (low - quality_rules.WIDTHS * (mid - low)) / quality_rules.GAMMA
+            out[(*group, name)] = (lower if below else -np.inf, upper)
+    return out
+
+
+def failed(c):
+    return c[0] < 10 or 100 * c[4] > 20 * c[0]
+
+
+def test_limits_and_verdicts_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [(r.doc_id, r.lang, r.source, brute_counts(r.text)) for r in docs.collect()]
+    limits = brute_limits([r[1:] for r in rows])
+    counted = quality_rules.base_counts(docs)
+    got = quality_rules.thresholds(counted).collect()
+    assert len(got) == len({k[:2] for k in limits})
+    for r in got:
+        for name in quality_rules._RULES:
+            assert np.allclose((r[f"{name}_lower"], r[f"{name}_upper"]), limits[r.lang, r.source, name], rtol=1e-9)
+    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs).collect()}
+    for i, lang, source, c in rows:
+        inside = not failed(c)
+        for name, (count, whole, unit, _) in quality_rules._RULES.items():
+            value = (c[COUNTS.index(count)] - quality_rules.FREE * unit) / max(1, c[COUNTS.index(whole)])
+            low, high = limits.get((lang, source, name), (np.inf, -np.inf))
+            inside = inside and low <= value <= high
+        assert kept[i] == inside
+
+
+def test_rules_leave_good_texts_alone(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    got = quality_rules.op7_quality_rules(spark, sf_dir).where("NOT base_failed").join(labels, "doc_id").toPandas()
+    assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.1
+
+
+def test_clashing_names_pass_through(spark, odd_docs):
+    from peerlight.llm import mixing, simhash
+
+    names = ["text_md5", "times", "own_source", "parts", "cdf", "own_print", "key", "row", "print", "_text", "_times",
+             "_source", "_parts", "_key", "_print", "_lang", "group_lang", "group_source", "limits", "counts", "measure",
+             "lower", "upper", "rate", "weight"]
+    clash = odd_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    mixed = mixing.mix(clash, {"a": 1.0, "b": 1.0, "": 1.0, "c": 1.0}, epochs=3.0)
+    assert mixed.columns == [*(c for c in clash.columns if c != "copy"), "copy", "shuffle_key"]
+    plain = mixing.mix(odd_docs, {"a": 1.0, "b": 1.0, "": 1.0, "c": 1.0}, epochs=3.0)
+    assert sorted(r.shuffle_key for r in mixed.collect()) == sorted(r.shuffle_key for r in plain.collect())
+    kept = simhash.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns
+    assert kept.count() == simhash.drop_near_duplicates(odd_docs).count()
+    rules = quality_rules.apply_rules(clash)
+    assert [c for c in rules.columns if c in names] == names
+    assert sorted(r.kept for r in rules.collect()) == sorted(r.kept for r in quality_rules.apply_rules(odd_docs).collect())
 
 
 def test_mixture_finds_the_proportions():
