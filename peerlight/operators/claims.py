@@ -65,6 +65,7 @@ def decompose_requests(
     )
     listed = claim_sections(rows.select("paper_id", "known_ids", "s.*"))
     ids = F.coalesce(T.blank_to_null(F.array_join("known_ids", ", ")), F.lit("(none)"))
+    # The wording of the prompt.
     prompt = F.concat(
         F.lit("Section title: "), F.col("title"),
         F.lit("\n\nReference ids available in this paper: "), ids,

@@ -82,6 +82,7 @@ def entailment_requests(
     pairs: DataFrame, model: str = P.DEFAULT_MODEL, provider: str = "stub"
 ) -> DataFrame:
     """One request per pair that has an abstract."""
+    # The wording of the prompt.
     prompt = F.concat(
         F.lit("Claim: "), F.col("claim_text"),
         F.lit("\n\nAbstract of cited paper:\n---\n"), F.col("abstract"),

@@ -31,17 +31,6 @@ CONFIG_SCHEMA = (
 )
 
 # The shipped venues.
-_CORE_DIMS = ["soundness", "presentation", "contribution", "significance"]
-_CORE_WEIGHTS = [0.30, 0.20, 0.25, 0.25]
-
-
-def _dims(names, weights, max_score, descriptions):
-    return [
-        {"name": n, "weight": w, "max_score": max_score, "description": d}
-        for n, w, d in zip(names, weights, descriptions, strict=True)
-    ]
-
-
 NEURIPS = {
     "venue": "neurips",
     "compliance": {
@@ -64,16 +53,35 @@ NEURIPS = {
     },
     "rubric": {
         "id": "neurips-reviewer-v1",
-        "dimensions": _dims(
-            _CORE_DIMS, _CORE_WEIGHTS, 4.0,
-            [
-                "Technical correctness, appropriate experimental design, and the extent to which "
-                "claims are supported by evidence.\n",
-                "Clarity of exposition, figures, tables, and writing.\n",
-                "Originality and the size of the step taken beyond prior work.\n",
-                "Expected impact on the research community.\n",
-            ],
-        ),
+        "dimensions": [
+            {
+                "name": "soundness",
+                "weight": 0.3,
+                "max_score": 4.0,
+                "description": (
+                    "Technical correctness, appropriate experimental design, and the extent to which "
+                    "claims are supported by evidence.\n"
+                ),
+            },
+            {
+                "name": "presentation",
+                "weight": 0.2,
+                "max_score": 4.0,
+                "description": "Clarity of exposition, figures, tables, and writing.\n",
+            },
+            {
+                "name": "contribution",
+                "weight": 0.25,
+                "max_score": 4.0,
+                "description": "Originality and the size of the step taken beyond prior work.\n",
+            },
+            {
+                "name": "significance",
+                "weight": 0.25,
+                "max_score": 4.0,
+                "description": "Expected impact on the research community.\n",
+            },
+        ],
         "bias_adjustment": {
             "enable_length_adjustment": True,
             "length_penalty_start": 10000,
@@ -104,20 +112,44 @@ IEEE = {
     },
     "rubric": {
         "id": "ieee-tpc-v1",
-        "dimensions": _dims(
-            ["novelty", "technical_quality", "clarity", "significance"],
-            [0.30, 0.30, 0.20, 0.20], 5.0,
-            [
-                "Originality of the contribution relative to prior work. Does the paper introduce "
-                "a new technique, insight, or combination that hasn't appeared before?\n",
-                "Rigor of the methodology, soundness of claims, completeness of experiments, and "
-                "correctness of analysis.\n",
-                "Quality of writing, organization, figures, and tables. Would a practitioner be "
-                "able to understand and reproduce the work?\n",
-                "Likely impact on the community. Does this paper address an important problem, "
-                "and do the results materially advance the field?\n",
-            ],
-        ),
+        "dimensions": [
+            {
+                "name": "novelty",
+                "weight": 0.3,
+                "max_score": 5.0,
+                "description": (
+                    "Originality of the contribution relative to prior work. Does the paper introduce a "
+                    "new technique, insight, or combination that hasn't appeared before?\n"
+                ),
+            },
+            {
+                "name": "technical_quality",
+                "weight": 0.3,
+                "max_score": 5.0,
+                "description": (
+                    "Rigor of the methodology, soundness of claims, completeness of experiments, and "
+                    "correctness of analysis.\n"
+                ),
+            },
+            {
+                "name": "clarity",
+                "weight": 0.2,
+                "max_score": 5.0,
+                "description": (
+                    "Quality of writing, organization, figures, and tables. Would a practitioner be able "
+                    "to understand and reproduce the work?\n"
+                ),
+            },
+            {
+                "name": "significance",
+                "weight": 0.2,
+                "max_score": 5.0,
+                "description": (
+                    "Likely impact on the community. Does this paper address an important problem, and do"
+                    " the results materially advance the field?\n"
+                ),
+            },
+        ],
         "bias_adjustment": {
             "enable_length_adjustment": True,
             "length_penalty_start": 7000,
@@ -153,16 +185,35 @@ ARXIV = {
     },
     "rubric": {
         "id": "arxiv-generic-v1",
-        "dimensions": _dims(
-            _CORE_DIMS, _CORE_WEIGHTS, 4.0,
-            [
-                "Technical correctness, appropriate experimental design, and the extent to which "
-                "claims are supported by evidence.\n",
-                "Clarity of exposition, figures, tables, and writing.",
-                "Originality and the size of the step beyond prior work.",
-                "Expected impact on the field.",
-            ],
-        ),
+        "dimensions": [
+            {
+                "name": "soundness",
+                "weight": 0.3,
+                "max_score": 4.0,
+                "description": (
+                    "Technical correctness, appropriate experimental design, and the extent to which "
+                    "claims are supported by evidence.\n"
+                ),
+            },
+            {
+                "name": "presentation",
+                "weight": 0.2,
+                "max_score": 4.0,
+                "description": "Clarity of exposition, figures, tables, and writing.",
+            },
+            {
+                "name": "contribution",
+                "weight": 0.25,
+                "max_score": 4.0,
+                "description": "Originality and the size of the step beyond prior work.",
+            },
+            {
+                "name": "significance",
+                "weight": 0.25,
+                "max_score": 4.0,
+                "description": "Expected impact on the field.",
+            },
+        ],
         "bias_adjustment": {
             "enable_length_adjustment": True,
             "length_penalty_start": 15000,
@@ -190,15 +241,32 @@ TEMPLATE = {
     },
     "rubric": {
         "id": "my-venue-rubric-v1",
-        "dimensions": _dims(
-            _CORE_DIMS, _CORE_WEIGHTS, 4.0,
-            [
-                "Is the technical content correct? Are claims supported by evidence?\n",
-                "Clarity of writing, figures, and exposition.",
-                "Originality and significance of the contribution.",
-                "Expected impact on the field.",
-            ],
-        ),
+        "dimensions": [
+            {
+                "name": "soundness",
+                "weight": 0.3,
+                "max_score": 4.0,
+                "description": "Is the technical content correct? Are claims supported by evidence?\n",
+            },
+            {
+                "name": "presentation",
+                "weight": 0.2,
+                "max_score": 4.0,
+                "description": "Clarity of writing, figures, and exposition.",
+            },
+            {
+                "name": "contribution",
+                "weight": 0.25,
+                "max_score": 4.0,
+                "description": "Originality and significance of the contribution.",
+            },
+            {
+                "name": "significance",
+                "weight": 0.25,
+                "max_score": 4.0,
+                "description": "Expected impact on the field.",
+            },
+        ],
         "bias_adjustment": {
             "enable_length_adjustment": True,
             "length_penalty_start": 10000,
