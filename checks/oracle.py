@@ -677,6 +677,12 @@ CTE["compo_full"] = (
     f"SELECT *, {recommendation('composite')} AS recommendation FROM "
     f"(SELECT *, {rx(composite(V, W))} AS composite FROM sub_full)"
 )
+# The same review without entailment: the ledger counts plain verdicts.
+_PLAIN = ["ledger", "led_cfg", "sig_full", "dims_full", "rub_full", "sub_full", "compo_full"]
+for _name in _PLAIN:
+    CTE[f"{_name}_plain"] = re.sub(
+        r"\b(FROM|JOIN) (" + "|".join(_PLAIN) + r")\b", r"\1 \2_plain", CTE[_name]
+    ).replace("FROM merged", "FROM verdicts")
 CTE["hashes"] = " UNION ALL ".join(
     f"SELECT '{n}' AS config_id, {i} AS config_ord, '{config_hash(complete_config(SHIPPED[n]))}' AS config_hash"
     for i, n in enumerate(VENUES)

@@ -1333,13 +1333,13 @@ def _(spark, sf_dir):
     )
 
 
-def _full(spark, sf_dir):
+def _full(spark, sf_dir, **switches):
     return R.evaluate_papers(
         _papers(spark, sf_dir), catalog=corpus.catalog(spark, sf_dir), infer=model.replies,
         metadata=corpus.metadata(spark, sf_dir),
         options=R.Options(
             current_year=2020, max_age=20, provider="check", run_id="check-" + uuid.uuid4().hex[:12],
-            created_at="2024-01-01 00:00:00",
+            created_at="2024-01-01 00:00:00", **switches,
         ),
     )
 
@@ -1354,6 +1354,13 @@ def _(spark, sf_dir):
     return _full(spark, sf_dir).evaluations.select(*_FULL_COLS.split(", "))
 
 
+@query("x6_review_without_entailment", f"""
+SELECT {_FULL_COLS} FROM led_cfg_plain JOIN rub_full_plain USING (paper_id, config_id) JOIN compo_full_plain USING (paper_id, config_id)
+""")
+def _(spark, sf_dir):
+    return _full(spark, sf_dir, include_entailment=False).evaluations.select(*_FULL_COLS.split(", "))
+
+
 @query("j17_scored_dims", "SELECT paper_id, config_id, dim_pos, name, score, max_score, weight, rationale FROM dims_full")
 def _(spark, sf_dir):
     return RU.rubric_dims(_full(spark, sf_dir).evaluations)
