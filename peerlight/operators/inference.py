@@ -7,6 +7,7 @@ sent through the user's function inside ``mapInPandas``; answers should be writt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,6 +18,7 @@ from peerlight import schemas
 from peerlight.functions.numbers import token_estimate
 from peerlight.operators.bloom import key_filter, may_hold
 from peerlight.operators.joins import attach_by_key, key_counts
+from peerlight.session import stage
 
 KEY_FIELDS = ["max_tokens", "model", "prompt", "provider", "seed", "stop", "system", "temperature"]
 
@@ -69,9 +71,9 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
 def missing_requests(requests: DataFrame, *caches: DataFrame | None) -> DataFrame:
     """Distinct requests that none of the caches can answer.
 
-    What is missing is settled on keys alone. A Bloom filter of the missing keys (built at once,
-    as it is broadcast) drops answered requests before anything is exchanged, so of their prompts
-    only the filter's few errors move; the join with the keys drops those.
+    What is missing is settled on keys alone and stored at once. A Bloom filter of the missing
+    keys drops answered requests before anything is exchanged, so of their prompts only the
+    filter's few errors move; the join with the keys drops those.
     """
     held = [c.select("cache_key") for c in caches if c is not None]
     if not held:
@@ -79,6 +81,7 @@ def missing_requests(requests: DataFrame, *caches: DataFrame | None) -> DataFram
     missing = requests.select("cache_key").distinct().join(
         reduce(DataFrame.union, held), "cache_key", "left_anti"
     )
+    missing = stage(missing, "keys", f"missing-{uuid.uuid4().hex}")
     asked = requests.filter(may_hold(requests, "cache_key", key_filter(missing, "cache_key")))
     return distinct_requests(asked).join(missing, "cache_key", "left_semi")
 
