@@ -5,8 +5,8 @@ of segment bit counts) and nodes that share one of their smallest shingles, a fe
 What follows is exact: of two near copies, the first shingle they share (in one order for all
 texts) stands among the first fifth of both, so all nodes meet by those shingles in one exchange;
 shingles that only one node brings end there. Of the others, only those that nodes of different
-components share are looked at: first one pair of every two components, the most alike, then all
-pairs that are left. Every link is verified on the whole sets.
+components share are looked at: first, for some rounds, the most alike other node of every
+component, then all pairs that are left. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ SHINGLE = 5
 LANES = 32
 #: Smallest shingles by which the first rounds link nodes, and how many rounds there are.
 FIRST, ROUNDS = 3, 2
+#: Rounds in which every component is linked to its closest other one, and the shared shingles of
+#: a node that these rounds look at.
+CLOSEST_ROUNDS, CLOSEST_CELLS = 3, 4
 #: Shingles of more nodes than this are compared in blocks, not in one task's groups.
 CELL_ROWS = 64
 BLOCK_ROWS = 512
@@ -315,7 +318,7 @@ def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, best: bool, keep: Calla
     ``crowded`` has token, n, node, root, size and at. A token's nodes are dealt into blocks of
     about ``BLOCK_ROWS``: the nodes of a root of more than that have blocks of their own, which
     are not compared with each other. Every other two blocks meet in one task. With ``best``, a
-    task gives one pair of every two roots, the one of fewest different bits.
+    task gives one pair of every root, the one of fewest different bits: no more than it has nodes.
     """
     per_root = crowded.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     large = F.col("k") > BLOCK_ROWS
@@ -352,7 +355,7 @@ def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, best: bool, keep: Calla
             apart = np.bitwise_count(bits[fit] ^ np.array(r.bits, np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
             near = 9 * apart <= size[fit] + r.size
             fit, apart = fit[near], apart[near]
-            if best and len(fit):  # the closest of every other root
+            if best and len(fit):  # the closest one, and for each other root its closest
                 order = np.lexsort((apart, root[fit]))
                 fit, apart = fit[order], apart[order]
                 first = np.r_[True, root[fit][1:] != root[fit][:-1]]
@@ -363,7 +366,9 @@ def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, best: bool, keep: Calla
             out.append(np.stack(sides, axis=1))
         found = pd.DataFrame(np.concatenate(out), columns=["a", "b", "low", "high", "apart"])
         if best:
-            return found.sort_values(["apart", "a", "b"]).drop_duplicates(["low", "high"])
+            found = found.sort_values(["apart", "a", "b"])
+            closest = ~found["low"].duplicated() | ~found["high"].duplicated()
+            return found[closest]
         return found.drop_duplicates()
 
     return sent.groupBy("token", "first", "second").applyInPandas(run, _PAIRS + ", apart long")
@@ -372,8 +377,9 @@ def _crowded_pairs(crowded: DataFrame, nodes: DataFrame, best: bool, keep: Calla
 def _missing_links(
     cells: DataFrame, nodes: DataFrame, roots: DataFrame, best: bool, keep: Callable
 ) -> DataFrame:
-    """Edges (a, b) between nodes of different components that may be near copies: one of every
-    two components (``best``: the pair of fewest different bits), or all."""
+    """Edges (a, b) between nodes of different components that may be near copies: all, or with
+    ``best`` for every component the one of fewest different bits, looking at the first cells of
+    every node that another component is in."""
     rooted = _rooted(cells, roots)
     mixed = (
         rooted.groupBy("token")
@@ -381,7 +387,13 @@ def _missing_links(
         .where("x != y")
         .select("token", "n")
     )
-    open_ = keep(rooted.join(mixed, "token").select("token", "n", "node", "root", "size", "at"))
+    open_ = rooted.join(mixed, "token").select("token", "n", "node", "root", "size", "at")
+    if best:
+        # At most ``CLOSEST_CELLS`` of a node's first shingles, themselves a fifth of a text.
+        first = F.slice(F.array_sort(F.collect_list(F.struct("at", "token", "n", "root", "size"))), 1, CLOSEST_CELLS)
+        listed = open_.groupBy("node").agg(first.alias("c")).select("node", F.explode("c").alias("c"))
+        open_ = listed.select("c.token", "c.n", "node", "c.root", "c.size", "c.at")
+    open_ = keep(open_)
     few = open_.where(F.col("n") <= CELL_ROWS).drop("n")
     pairs = few.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_up, _PAIRS)
     found = _alike(pairs.distinct(), nodes).unionByName(
@@ -389,7 +401,8 @@ def _missing_links(
     )
     if best:
         least = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("e")
-        return keep(found.groupBy("low", "high").agg(least).select("e.a", "e.b"))
+        sided = found.select("a", "b", "apart", F.explode(F.array("low", "high")).alias("root"))
+        return keep(sided.groupBy("root").agg(least).select("e.a", "e.b").distinct())
     return keep(found.select("a", "b").distinct())
 
 
@@ -416,15 +429,17 @@ def near_copy_groups(docs: DataFrame, keep: Callable = stored) -> tuple[DataFram
         linked = fresh if linked is None else linked.union(fresh)
         roots = keep(components(linked))
     cells = _shared_cells(nodes, keep)
-    tested = _missing_links(cells, nodes, roots, True, keep)
-    if not tested.isEmpty():
-        linked = linked.union(_verified(docs, nodes, tested, keep))
+    for _ in range(CLOSEST_ROUNDS):
+        edges = _missing_links(cells, nodes, roots, True, keep)
+        fresh = _verified(docs, nodes, edges, keep)
+        if fresh.isEmpty():
+            break
+        linked = linked.union(fresh)
         roots = keep(components(linked))
-        rest = _missing_links(cells, nodes, roots, False, keep).join(tested, ["a", "b"], "left_anti")
-        rest = keep(rest)
-        if not rest.isEmpty():
-            linked = linked.union(_verified(docs, nodes, rest, keep))
-            roots = components(linked)
+    rest = _missing_links(cells, nodes, roots, False, keep)
+    if not rest.isEmpty():
+        linked = linked.union(_verified(docs, nodes, rest, keep))
+        roots = components(linked)
     return nodes.select("node", "best"), roots
 
 
