@@ -15,9 +15,9 @@ from peerlight.llm.common import Shipped, bounded_batches, documents, fold, sett
 
 #: Lengths of the n-grams and places they are hashed to; texts handled at a time.
 ORDERS, BITS, TEXTS = (4, 5), 18, 64
-#: The ratios count all labelled rows; the weights are learned from at most this many of each
-#: class, taken in the order of a hash of their ids.
-ROWS_PER_CLASS = 5_000
+#: The ratios count at most so many labelled ids of each class, the weights are learned from at
+#: most so many of those; both are taken in the order of a hash of the ids.
+RATIO_ROWS, ROWS_PER_CLASS = 50_000, 5_000
 #: Places with the clearest log-count ratios (in standard errors) become features.
 FEATURES, CLEAR, SMOOTHING = 8_192, 4.0, 0.5
 STEPS, RATE, PENALTY = 200, 0.1, 5e-4
@@ -70,24 +70,25 @@ def _labelled(labels: DataFrame, label: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def _sample(rows: DataFrame) -> DataFrame:
-    """Up to ``ROWS_PER_CLASS`` ids of each class, in hash order."""
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` ids of each class, in hash order."""
     sides = [
-        rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS)
+        rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         for c in (0, 1)
     ]
     return settle(sides[0].union(sides[1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity | None:
-    """Ratios of all labelled rows, weights from a bounded sample; None if a class has no row.
+    """Ratios and weights from bounded samples of labelled rows; None if a class has no row.
 
     Rows that repeat an id count one by one in the ratios; the sample has one text of each id,
     the smallest.
     """
-    told = settle(_labelled(labels, label))
+    told = _sample(_labelled(labels, label), RATIO_ROWS)
     bounded_batches(docs.sparkSession)
-    known = docs.select("doc_id", "text").join(told, "doc_id")
+    # At most 2 x RATIO_ROWS ids go to the texts, not the texts to them.
+    known = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if any(not sizes.get(c) for c in (0, 1)):
         return None
@@ -137,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity
                 yield pa.RecordBatch.from_arrays([part.column("label"), lists], names=["label", "places"])
 
     # At most 2 x ROWS_PER_CLASS rows of at most FEATURES places.
-    drawn = docs.select("doc_id", "text").join(F.broadcast(_sample(told)), "doc_id")  # bounded above
+    drawn = docs.select("doc_id", "text").join(F.broadcast(_sample(told, ROWS_PER_CLASS)), "doc_id")  # bounded above
     texts = drawn.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
     rows = texts.mapInArrow(present, "label int, places array<int>").toArrow()
     return Toxicity(*_fit(rows, ratios))
