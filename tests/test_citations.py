@@ -284,3 +284,14 @@ def test_top_titles_equal_brute_force_scores(spark, postings, hot):
                 want[f"q{i}", source] = min(want.get((f"q{i}", source), (0, "")), (-score, c))
     got = title_index.top_titles(left, index, hot).collect()
     assert {(r.key, r.source): (-r.score, r.catalog_id) for r in got} == want and len(want) > 80
+
+
+def test_exploded_sides_of_a_block_join_are_never_broadcast(spark):
+    # Spark takes exploded rows for as few as they came from; the driver would gather them all.
+    left = spark.createDataFrame([(f"e{i}", [f"w{j}" for j in range(30)]) for i in range(20)], "key string, entry_words array<string>")
+    right = spark.createDataFrame([("crossref", "t", ["w1", "w2", "w3"])], "source string, catalog_id string, title_words array<string>")
+    asked = left.select("key", F.explode("entry_words").alias("word"))
+    held = right.select("catalog_id", F.explode("title_words").alias("word"))
+    met = title_index.meet(asked, held, "word", ["key"], ["catalog_id"])
+    assert met.count() == 60
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
