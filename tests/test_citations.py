@@ -295,3 +295,15 @@ def test_exploded_sides_of_a_block_join_are_never_broadcast(spark):
     met = title_index.meet(asked, held, "word", ["key"], ["catalog_id"])
     assert met.count() == 60
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_with_the_same_known_words_are_one_search(spark, monkeypatch):
+    titles = spark.createDataFrame(
+        [("crossref", f"t{i:02}", ["a", "model", "with", f"x{i}"]) for i in range(20)], "source string, catalog_id string, title_words array<string>"
+    )
+    queries = spark.createDataFrame([(f"q{i:02}", ["a", "model", "with", f"y{i}"]) for i in range(40)], "key string, words array<string>")
+    met, meet = [], title_index.meet
+    monkeypatch.setattr(title_index, "meet", lambda left, right, *by: met.append(left) or meet(left, right, *by))
+    got = title_index.top_titles(queries, title_index.index_titles(titles)).collect()
+    assert sorted((r.key, r.catalog_id) for r in got) == [(f"q{i:02}", "t00") for i in range(40)]
+    assert met[0].select("key").distinct().count() == 1
