@@ -139,3 +139,22 @@ def test_section_texts_are_not_exchanged(spark):
     placed = claims.locate_span(claims.known_refs(claims.number_claims(raw), parsed), claims.sections_of(parsed))
     spans = {(r.paper_id, r.claim_id): (r.char_start, r.char_end, r.section_id) for r in placed.collect()}
     assert {(r.paper_id, r.claim_id): (r.char_start, r.char_end, r.section_id) for r in rows} == spans
+
+
+def test_journal_answers_whatever_the_plan_and_the_batches(spark, tmp_path):
+    def model():
+        return lambda batch: batch[["cache_key", "model"]].assign(
+            text=batch["prompt"], provider="p", prompt_tokens=1, completion_tokens=1, cost_usd=0.0, finish_reason="stop"
+        )
+
+    def again():
+        raise RuntimeError("asked again")
+
+    journal = str(tmp_path / "journal")
+    asked = _requests(spark, 2000).dropDuplicates(["cache_key"])
+    with _setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        assert inference.run_model(asked, model, journal=journal).count() == 1000
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "100"):
+        with _setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            got = inference.run_model(asked, again, journal=journal)
+            assert got.select("cache_key").distinct().count() == 1000
