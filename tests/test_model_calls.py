@@ -158,3 +158,15 @@ def test_journal_answers_whatever_the_plan_and_the_batches(spark, tmp_path):
         with _setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
             got = inference.run_model(asked, again, journal=journal)
             assert got.select("cache_key").distinct().count() == 1000
+
+
+def test_models_get_bounded_batches(spark):
+    def model():
+        return lambda batch: batch[["cache_key", "model"]].assign(
+            text="", provider="p", prompt_tokens=len(batch), completion_tokens=1, cost_usd=0.0, finish_reason="stop"
+        )
+
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"):
+        asked = _requests(spark, 5000).coalesce(1)
+        for got in (inference.run_chain(asked, [("m", model)]), inference.run_model(asked, model)):
+            assert got.agg(F.max("prompt_tokens")).first()[0] <= 1000 and got.count() == 5000
