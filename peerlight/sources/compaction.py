@@ -23,6 +23,9 @@ from peerlight import schemas
 
 #: Rows of a rewritten file, and rewritten folders before they are merged into one.
 ROWS_PER_FILE, MOST_FOLDERS = 1_000_000, 8
+#: Bytes of records, as text, that a task sorts and writes to one file. Records are long: a
+#: million of them are gigabytes.
+BYTES_PER_FILE = 128 << 20
 
 
 @dataclass
@@ -95,7 +98,8 @@ def compact(
 
     The rows stay the same ones. Only new runs are read; when ``most_folders`` rewritten folders
     have gathered, they are merged as well. Files are sorted by config and paper; their number is
-    at most rows / ``rows_per_file`` plus the configs. If another compaction was faster, this one
+    at most rows / ``rows_per_file`` or their records' bytes / ``BYTES_PER_FILE``, whichever is more,
+    plus the configs. If another compaction was faster, this one
     is an error and changes nothing.
     """
     files, known = _Files(spark, path), manifest(spark, path)
@@ -107,7 +111,8 @@ def compact(
     live = spark.read.schema(schemas.AUDIT_LOG).parquet(path).filter(F.col("run_id").isin(fresh))
     rows = reduce(DataFrame.unionByName, [_folder(spark, path, n) for n in known.folders] if merge else [], live)
     name = f"{known.number + 1:08d}-{uuid.uuid4().hex[:8]}"
-    count = max(1, math.ceil(rows.count() / rows_per_file))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("record_json")), F.lit(0))).first()
+    count = max(1, math.ceil(n / rows_per_file), math.ceil(size / BYTES_PER_FILE))
     order = ["config_hash", "paper_id", "evaluation_id"]
     sorted_rows = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
     bloom_writer(sorted_rows.write).partitionBy("config_hash").parquet(f"{path}.compacted/{name}")

@@ -114,3 +114,14 @@ def test_the_queue_evaluates_the_review_once(spark):
     assert seen.value == 50 and len(got) == 50
     want = {r[1]: 1 + sum((q[2] != "FAIL", -q[3]) < (r[2] != "FAIL", -r[3]) for q in rows) for r in rows}
     assert {r.paper_id: r.queue_rank for r in got} == want
+
+
+def test_long_records_are_rewritten_by_several_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    auditlog.append_log(_rows(spark, [f"p{i}" for i in range(40)], "run-0"), path)
+    size = sum(len(r.record_json) for r in auditlog.read_log(spark, path).select("record_json").collect())
+    before = _ids(auditlog.read_log(spark, path))
+    monkeypatch.setattr(compaction, "BYTES_PER_FILE", size // 4, raising=False)
+    name = compaction.compact(spark, path).folders[0]
+    parts = spark.read.parquet(f"{path}.compacted/{name}").select(F.input_file_name()).distinct().count()
+    assert parts >= 4 and _ids(auditlog.read_log(spark, path)) == before
