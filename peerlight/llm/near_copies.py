@@ -30,6 +30,9 @@ from peerlight.llm.word_arrays import UNBROKEN, folded, pieces, shingle_hashes
 SHINGLE = 5
 #: Longs of a text's parity bitmap.
 LANES = 32
+#: Longs of the bitmap folded for pairing: the first number of them that is enough for so many
+#: shingles each. Fewer let more pairs through, which the whole bitmap and the texts still tell apart.
+MARK_LANES, MARK_SHINGLES = (4, 8, 16, 32), 100
 #: Smallest shingles by which the first rounds link nodes, and how many rounds there are.
 FIRST, ROUNDS = 3, 2
 #: Rounds in which every component is linked to its closest other one, and the shared shingles of
@@ -63,6 +66,11 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes[fresh], np.bincount(owner[fresh], minlength=len(texts)), prints
 
 
+def _folded_bits(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parity bitmaps of ``width`` longs from larger ones, row by row."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
 def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array]:
     own, sizes, prints = shingle_sets(texts)
     n, owner = len(texts), np.repeat(np.arange(len(texts)), sizes)
@@ -75,6 +83,12 @@ def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array
     place = owner * width + (own % np.uint64(width)).astype(np.int64)
     odd = (np.bincount(place, minlength=n * width) & 1).astype(np.uint8)
     bits = np.packbits(odd).view(np.int64)
+    whole, marks = bits.reshape(n, LANES), [b""] * n
+    lanes = np.array(MARK_LANES)[np.searchsorted(np.array(MARK_LANES[:-1]) * MARK_SHINGLES, sizes)]
+    for width in np.unique(lanes).tolist():
+        rows = np.flatnonzero(lanes == width)
+        for row, mark in zip(rows.tolist(), _folded_bits(whole[rows], width)):
+            marks[row] = mark.tobytes()
     last = np.zeros(len(own), dtype=bool)
     if len(frequent):
         last = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
@@ -92,7 +106,7 @@ def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array
     return [
         pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(rare.astype(np.int32)),
         pa.array(prints.view(np.int64)), lists(bits, np.full(n, LANES)), lists(own[chosen], wanted),
-        lists(own[few], np.minimum(sizes, FIRST)),
+        lists(own[few], np.minimum(sizes, FIRST)), pa.array(marks, pa.binary()),
     ]
 
 
@@ -101,11 +115,11 @@ def signs(rows: DataFrame, frequent: np.ndarray, seed: int = 42) -> DataFrame:
 
     The digest of its shingle set (node), its size, how many of it are not ``frequent`` (sorted),
     its SimHash, the parity bitmap of the set, the first shingles (frequent ones come last, else
-    the order is that of the hashes) and the smallest ones.
+    the order is that of the hashes), the smallest ones and the bitmap folded (mark).
     """
     added = StructType.fromDDL(
         "node long, size int, rare int, fingerprint long, bits array<long>, prefix array<long>, "
-        "least array<long>"
+        "least array<long>, mark binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +259,7 @@ def _cut_at_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.n
     size = 0
     for batch in batches:
         if batch.num_rows:
-            held.append({n: batch.column(n).to_numpy() for n in batch.schema.names})
+            held.append({n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names})
             size += batch.num_rows
         if size >= ROWS:
             rows = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
@@ -288,13 +302,39 @@ def _shared_cells(nodes: DataFrame, keep: Callable) -> DataFrame:
 _PAIRS = "a long, b long, low long, high long"
 
 
+class _Marks:
+    """Folded parity bitmaps of rows, which tell whether sizes allow what differs between two."""
+
+    def __init__(self, marks: np.ndarray, size: np.ndarray):
+        self.size, self.lanes, self.bits = size, np.array([len(m) // 8 for m in marks]), {}
+        for width in np.unique(self.lanes).tolist():
+            rows = np.flatnonzero(self.lanes >= width)
+            self.bits[width] = np.zeros((len(marks), width), dtype=np.uint64)
+            for own in np.unique(self.lanes[rows]).tolist():
+                mine = rows[self.lanes[rows] == own]
+                held = np.frombuffer(b"".join(marks[mine].tolist()), dtype=np.uint64).reshape(-1, own)
+                self.bits[width][mine] = _folded_bits(held, width)
+
+    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows ``i`` and ``j`` may be near copies, by the smaller bitmap of both."""
+        lanes, out = np.minimum(self.lanes[i], self.lanes[j]), np.zeros(len(i), dtype=bool)
+        for width, bits in self.bits.items():
+            mine = np.flatnonzero(lanes == width)
+            a, b = i[mine], j[mine]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            out[mine] = 9 * apart <= self.size[a].astype(np.int64) + self.size[b]
+        return out
+
+
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of nodes of different roots (low < high) that share a token and fit.
+    """Pairs a < b of nodes of different roots (low < high) that share a token, fit and whose
+    marks allow a link.
 
-    Rows come sorted by token, a token has at most about ``CELL_ROWS``; a pair comes once a piece.
+    Rows come sorted by token, a token has at most about ``CELL_ROWS``, so a row is held against
+    no more than that; texts that share a shingle by chance are no pairs. A pair comes once a piece.
     """
     for rows in _cut_at_tokens(batches):
-        token = rows["token"]
+        token, marks = rows["token"], _Marks(rows["mark"], rows["size"])
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         count = np.diff(np.r_[head, len(token)])
         left = np.repeat(head + count, count) - np.arange(len(token))  # rows of the token from here on
@@ -304,8 +344,11 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = i + step
             fit = rows["root"][i] != rows["root"][j]
             fit &= _fits(rows["size"][i], rows["size"][j], rows["at"][i], rows["at"][j])
-            a, b = rows["node"][i[fit]], rows["node"][j[fit]]
-            x, y = rows["root"][i[fit]], rows["root"][j[fit]]
+            i, j = i[fit], j[fit]
+            near = marks.allow(i, j)
+            i, j = i[near], j[near]
+            a, b = rows["node"][i], rows["node"][j]
+            x, y = rows["root"][i], rows["root"][j]
             sides = [np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y)]
             found.append(np.stack(sides, axis=1))
         both = np.unique(np.concatenate(found), axis=0)
@@ -394,7 +437,7 @@ def _missing_links(
         listed = open_.groupBy("node").agg(first.alias("c")).select("node", F.explode("c").alias("c"))
         open_ = listed.select("c.token", "c.n", "node", "c.root", "c.size", "c.at")
     open_ = keep(open_)
-    few = open_.where(F.col("n") <= CELL_ROWS).drop("n")
+    few = open_.where(F.col("n") <= CELL_ROWS).drop("n").join(nodes.select("node", "mark"), "node")
     pairs = few.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_up, _PAIRS)
     found = _alike(pairs.distinct(), nodes).unionByName(
         _crowded_pairs(open_.where(F.col("n") > CELL_ROWS), nodes, best, keep)
@@ -419,7 +462,7 @@ def near_copy_groups(docs: DataFrame, keep: Callable = stored) -> tuple[DataFram
     nodes = keep(
         rows.groupBy("node").agg(
             F.min("best").alias("best"),
-            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix", "least")],
+            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix", "least", "mark")],
         )
     )
     linked, roots = None, None

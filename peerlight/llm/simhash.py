@@ -7,6 +7,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -17,6 +18,8 @@ from peerlight.llm.common import bounded_batches, documents, free_name, settle
 SEGMENTS = 32
 #: Cells with more fingerprints than this are linked through shared neighbours, not in pairs.
 CELL_ROWS = 128
+#: Edges that a task contracts by itself.
+EDGE_ROWS = 50_000
 
 # Per byte value, its eight bits.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -161,10 +164,43 @@ def links(prints: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as stars: every node with the smallest one that the edges at hand reach.
+
+    Some ``EDGE_ROWS`` are taken together, so memory does not follow the size of the task.
+    """
+
+    def stars(held: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+        far = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"]
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in "uv"]))
+        size += batch.num_rows
+        if size >= 2 * EDGE_ROWS:
+            yield stars(held)
+            held, size = [], 0
+    if size:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node reachable from every node that has an edge: columns node, root.
 
-    Rounds of large-star and small-star contraction over (a, b) edges of longs. Every round is
+    Edges are longs (a, b). Tasks of some ``EDGE_ROWS`` edges contract what they have to stars;
+    rounds of large-star and small-star contraction join what several tasks have. Every round is
     checkpointed and holds one row per edge at most.
     """
     current = settle(
@@ -177,6 +213,12 @@ def components(edges: DataFrame) -> DataFrame:
         ).first()
         if state == before or not state[0]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # Few edges in many partitions cost more files than rows.
+        tasks = 1 + state[0] // EDGE_ROWS
+        if before is None:
+            current = settle(current.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
+            if tasks == 1:  # all edges were at hand
+                return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: neighbours above a node move to the smallest node around it.
@@ -195,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        current = settle(small)
+        current = settle(small.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
 
 
 def fingerprint_groups(prints: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:

@@ -233,3 +233,27 @@ def test_trimmed_stretches_keep_all_equal_windows(spark):
         rows.append((i, "".join(text)))
     check_removal(spark, rows)
     check_removal(spark, rows, 21)
+
+
+@pytest.mark.parametrize("edges_a_task", [50_000, 40])
+def test_components_of_chains_and_clouds(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(simhash, "EDGE_ROWS", edges_a_task)
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(300) if i % 60] + [(-5, 2**62), (2**62, 17)]
+    edges += [(1000 + int(x), 1000 + int(y)) for x, y in rng.integers(0, 200, (150, 2)) if x != y]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.node: r.root for r in simhash.components(frame).collect()}
+    assert got == {x: low for x, low in label.items() if x != low}
+
+
+def test_few_edges_take_no_rounds_of_stars(spark, monkeypatch):
+    kept = []
+    settle = simhash.settle
+    monkeypatch.setattr(simhash, "settle", lambda df: kept.append(df) or settle(df))
+    edges = spark.range(400).selectExpr("id as a", "id + 1 as b").where("a % 100 != 99")
+    assert {r.root for r in simhash.components(edges).collect()} == {0, 100, 200, 300}
+    assert len(kept) == 2  # a chain took a checkpoint for every doubling

@@ -113,3 +113,31 @@ def test_pieces_part_at_tokens(monkeypatch, rows):
     shared = [t for p in pieces for t in set(p[(np.r_[False, p[1:] == p[:-1]]) | np.r_[p[1:] == p[:-1], False]].tolist())]
     assert set(shared) == {t for t in tokens.tolist() if (tokens == t).sum() > 1}
     assert set(np.concatenate(pieces).tolist()) == set(tokens.tolist())
+
+
+def unlike_and_alike(sizes, rng):
+    """Texts of so many words, each with one near copy."""
+    texts = []
+    for n in sizes:
+        words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        texts += [" ".join(words).encode(), changed(words, 0.01, rng).encode()]
+    return texts
+
+
+def test_texts_that_share_a_shingle_by_chance_are_no_pairs():
+    rng = np.random.default_rng(5)
+    texts = unlike_and_alike([40, 300, 320, 330, 350, 390, 410, 500, 700, 790, 830, 900, 1500, 1700, 4000, 4200], rng)
+    own, sizes, _ = near_copies.shingle_sets(texts)
+    mark = near_copies._signs(texts, np.zeros(0, np.uint64), 42)[-1]
+    assert {len(m) // 8 for m in mark.to_pylist()} == {4, 8, 16, 32}
+    n = len(texts)
+    columns = {
+        "token": np.zeros(n, np.int64), "node": np.arange(n), "root": np.arange(n),
+        "size": sizes.astype(np.int32), "at": np.zeros(n, np.int32),
+    }
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), mark], names=[*columns, "mark"])
+    pairs = [(a, b) for out in near_copies._pair_up(iter([batch])) for a, b in zip(*(out.column(c).to_pylist() for c in "ab"))]
+    sets = [set(x.tolist()) for x in np.split(own, np.cumsum(sizes)[:-1])]
+    near = {(a, b) for a in range(n) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(near) > 10 and {(b, a) for a, b in near} <= set(pairs)
+    assert len(pairs) <= n // 2 + 2  # 130 pairs of sizes that fit came before
