@@ -4,9 +4,10 @@ Texts with equal shingle sets are one node. First rounds link nodes of a SimHash
 of segment bit counts) and nodes that share one of their smallest shingles, a few links a node.
 What follows is exact: of two near copies, the first shingle they share (in one order for all
 texts) stands among the first fifth of both, so all nodes meet by those shingles in one exchange;
-shingles that only one node brings end there. Of the others, only those that nodes of different
-components share are looked at: first, for some rounds, the most alike other node of every
-component, then all pairs that are left. Every link is verified on the whole sets.
+shingles that only one node brings, or only nodes that can't be near copies by their sizes and the
+shingle's places, end there. Of the others, only those that nodes of different components share are
+looked at: first, for some rounds, the most alike other node of every component, then all pairs that
+are left. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from xxhash import xxh64_intdigest
 from peerlight.llm.common import bounded_batches, free_name, scratch, settle, stored
 from peerlight.llm.simhash import components, fingerprint_groups, majority
 from peerlight.llm.word_arrays import UNBROKEN, folded, pieces, shingle_hashes
+from peerlight.operators.bloom import key_filter, may_hold
 
 #: Texts are near copies if 4 of 5 of their joint five-word shingles are in both.
 SHINGLE = 5
@@ -33,6 +35,9 @@ LANES = 32
 #: Longs of the bitmap folded for pairing: the first number of them that is enough for so many
 #: shingles each. Fewer let more pairs through, which the whole bitmap and the texts still tell apart.
 MARK_LANES, MARK_SHINGLES = (4, 8, 16, 32), 100
+#: A text of more shingles than this has a second, wider bitmap: about so many shingles fill one of
+#: ``LANES`` longs so far that it tells no texts apart. Its width doubles with the text's length.
+LONG = 4_200
 #: Smallest shingles by which the first rounds link nodes, and how many rounds there are.
 FIRST, ROUNDS = 3, 2
 #: Rounds in which every component is linked to its closest other one, and the shared shingles of
@@ -47,6 +52,8 @@ SAMPLE = 16
 FREQUENT = 50_000
 #: Rows that a task pairs up at a time.
 ROWS = 65_536
+#: Texts wanted by more keys than this pass a Bloom filter of the keys before they are exchanged.
+FEW_KEYS = 10_000
 
 
 def _prefix_length(n: np.ndarray) -> np.ndarray:
@@ -71,6 +78,15 @@ def _folded_bits(bits: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
 
 
+def _parity_bits(own: np.ndarray, sizes: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of sets of shingle hashes, each of its own number of longs, one after the other."""
+    width = 64 * lanes.astype(np.int64)
+    start = np.cumsum(width) - width
+    place = np.repeat(start, sizes) + (own % np.repeat(width, sizes).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(width.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array]:
     own, sizes, prints = shingle_sets(texts)
     n, owner = len(texts), np.repeat(np.arange(len(texts)), sizes)
@@ -79,10 +95,10 @@ def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array
         [xxh64_intdigest(own[e - s : e].tobytes(), seed) for s, e in zip(sizes.tolist(), ends.tolist())],
         dtype=np.uint64,
     )
-    width = 64 * LANES
-    place = owner * width + (own % np.uint64(width)).astype(np.int64)
-    odd = (np.bincount(place, minlength=n * width) & 1).astype(np.uint8)
-    bits = np.packbits(odd).view(np.int64)
+    bits = _parity_bits(own, sizes, np.full(n, LANES))
+    long = sizes > LONG
+    lanes_wide = np.where(long, LANES << np.ceil(np.log2(np.maximum(sizes, 1) / LONG)).clip(0).astype(np.int64), 0)
+    wide = _parity_bits(own[np.repeat(long, sizes)], sizes[long], lanes_wide[long])
     whole, marks = bits.reshape(n, LANES), [b""] * n
     lanes = np.array(MARK_LANES)[np.searchsorted(np.array(MARK_LANES[:-1]) * MARK_SHINGLES, sizes)]
     for width in np.unique(lanes).tolist():
@@ -106,7 +122,7 @@ def _signs(texts: list[bytes], frequent: np.ndarray, seed: int) -> list[pa.Array
     return [
         pa.array(node.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(rare.astype(np.int32)),
         pa.array(prints.view(np.int64)), lists(bits, np.full(n, LANES)), lists(own[chosen], wanted),
-        lists(own[few], np.minimum(sizes, FIRST)), pa.array(marks, pa.binary()),
+        lists(own[few], np.minimum(sizes, FIRST)), lists(wide, lanes_wide), pa.array(marks, pa.binary()),
     ]
 
 
@@ -115,11 +131,12 @@ def signs(rows: DataFrame, frequent: np.ndarray, seed: int = 42) -> DataFrame:
 
     The digest of its shingle set (node), its size, how many of it are not ``frequent`` (sorted),
     its SimHash, the parity bitmap of the set, the first shingles (frequent ones come last, else
-    the order is that of the hashes), the smallest ones and the bitmap folded (mark).
+    the order is that of the hashes), the smallest ones, the wider bitmap of a long text (else empty)
+    and the bitmap folded (mark).
     """
     added = StructType.fromDDL(
         "node long, size int, rare int, fingerprint long, bits array<long>, prefix array<long>, "
-        "least array<long>, mark binary"
+        "least array<long>, wide array<long>, mark binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,23 +163,35 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """Bits that differ between two bitmaps (arrays of longs); one twice as wide is folded."""
+
+    def halved(bits: Column, width: Column) -> Column:
+        half = F.shiftright(F.size(bits), 1)
+        both = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(bits) > width, both).otherwise(bits)
+
+    width = F.least(F.size(x), F.size(y))
+    bits = F.zip_with(halved(x, width), halved(y, width), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
+
+
 def _alike(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b, ...) whose sizes and parity bitmaps allow a Jaccard similarity of 0.8, with the
     bits that differ (``apart``).
 
     Each shingle that one text has alone flips one bit at most, and near copies have at most a
-    ninth of their joint sizes of those.
+    ninth of their joint sizes of those. Two long texts are told apart by their wider bitmaps.
     """
     kept = edges.columns
-    signed = nodes.select("node", "size", "bits")
+    # Sizes that fit differ by a quarter, so widths by one doubling.
+    signed = nodes.select("node", "size", F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("bits")).alias("bits"))
     for side in "ab":
         signed_side = signed.select(
             F.col("node").alias(side), F.col("size").alias(f"s{side}"), F.col("bits").alias(f"b{side}")
         )
         edges = edges.join(signed_side, side)
-    apart = F.aggregate(
-        F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x
-    )
+    apart = _differing(F.col("ba"), F.col("bb"))
     sizes_fit = 5 * F.least("sa", "sb") >= 4 * F.greatest("sa", "sb")
     told = edges.where(sizes_fit).select(*kept, "sa", "sb", apart.alias("apart"))
     return told.where(9 * F.col("apart") <= F.col("sa") + F.col("sb")).select(*kept, "apart")
@@ -206,6 +235,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, edges: DataFrame, keep: Callabl
     # A stored table has a known size: Spark sends a small one to the texts, not them to it.
     keys = keep(nodes.join(used, "node").select("node", "best.doc_id", "best.text_key"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    if keys.count() > FEW_KEYS:
+        texts = texts.where(may_hold(texts, "text_key", key_filter(keys, "text_key")))
     same = texts["doc_id"].eqNullSafe(keys["doc_id"]) & (texts["text_key"] == keys["text_key"])
     held = keep(
         texts.join(keys, same).select("node", _packed(F.col("text")).alias("text")).dropDuplicates(["node"])
@@ -271,12 +302,37 @@ def _cut_at_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.n
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
+def _row_pairs(token: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all two rows of a token, in steps; rows come sorted by token. Tokens of more than
+    ``most`` rows are left out."""
+    head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    count = np.diff(np.r_[head, len(token)])
+    left = np.repeat(head + count, count) - np.arange(len(token))  # rows of the token from here on
+    left[np.repeat(count > most, count)] = 0
+    for step in range(1, int(left.max(initial=1))):
+        i = np.flatnonzero(left > step)
+        yield i, i + step
+
+
+def _meeting(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether another row of its token fits a row, or its token has over ``CELL_ROWS`` rows."""
+    token, size, at = rows["token"], rows["size"], rows["at"]
+    _, place, count = np.unique(token, return_inverse=True, return_counts=True)
+    met = count[place] > CELL_ROWS
+    for i, j in _row_pairs(token, CELL_ROWS):
+        fit = _fits(size[i], size[j], at[i], at[j])
+        met[i[fit]] = met[j[fit]] = True
+    return met
+
+
 def _shared_cells(nodes: DataFrame, keep: Callable) -> DataFrame:
-    """(token, node, size, at) of the first shingles that more than one node brings.
+    """(token, node, size, at) of the first shingles that more than one node brings, if sizes and
+    places allow two of them to be near copies.
 
-    All first shingles meet here, and only here, by their hash; nearly all belong to one node and
-    end in this task. Frequent ones are shared anyway and are not sent, so no task gets the rows
-    of a shingle that a large part of all texts holds.
+    All first shingles meet here, and only here, by their hash; nearly all belong to one node, or
+    to nodes that share it by chance and don't fit, and end in this task. Frequent ones are shared
+    anyway and are not sent, so no task gets the rows of a shingle that a large part of all texts
+    holds.
     """
     placed = nodes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "token"))
     often = F.col("at") >= F.col("rare")
@@ -284,8 +340,7 @@ def _shared_cells(nodes: DataFrame, keep: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cut_at_tokens(batches):
-            same = rows["token"][1:] == rows["token"][:-1]
-            met = np.r_[False, same] | np.r_[same, False]
+            met = _meeting(rows)
             yield pa.RecordBatch.from_arrays([pa.array(rows[c][met]) for c in columns], names=columns)
 
     met = (
@@ -335,13 +390,8 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for rows in _cut_at_tokens(batches):
         token, marks = rows["token"], _Marks(rows["mark"], rows["size"])
-        head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        count = np.diff(np.r_[head, len(token)])
-        left = np.repeat(head + count, count) - np.arange(len(token))  # rows of the token from here on
         found = [np.zeros((0, 4), dtype=np.int64)]
-        for step in range(1, int(count.max(initial=1))):
-            i = np.flatnonzero(left > step)
-            j = i + step
+        for i, j in _row_pairs(token, len(token)):
             fit = rows["root"][i] != rows["root"][j]
             fit &= _fits(rows["size"][i], rows["size"][j], rows["at"][i], rows["at"][j])
             i, j = i[fit], j[fit]
@@ -439,9 +489,8 @@ def _missing_links(
     open_ = keep(open_)
     few = open_.where(F.col("n") <= CELL_ROWS).drop("n").join(nodes.select("node", "mark"), "node")
     pairs = few.repartition("token").sortWithinPartitions("token").mapInArrow(_pair_up, _PAIRS)
-    found = _alike(pairs.distinct(), nodes).unionByName(
-        _crowded_pairs(open_.where(F.col("n") > CELL_ROWS), nodes, best, keep)
-    )
+    crowded = _crowded_pairs(open_.where(F.col("n") > CELL_ROWS), nodes, best, keep)
+    found = _alike(pairs.unionByName(crowded.drop("apart")).distinct(), nodes)
     if best:
         least = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("e")
         sided = found.select("a", "b", "apart", F.explode(F.array("low", "high")).alias("root"))
@@ -462,7 +511,7 @@ def near_copy_groups(docs: DataFrame, keep: Callable = stored) -> tuple[DataFram
     nodes = keep(
         rows.groupBy("node").agg(
             F.min("best").alias("best"),
-            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix", "least", "mark")],
+            *[F.first(c).alias(c) for c in ("size", "rare", "fingerprint", "bits", "prefix", "least", "wide", "mark")],
         )
     )
     linked, roots = None, None
@@ -503,13 +552,21 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         # What leaves: keys of the rows that stay, and whether such a row is there twice.
         wanted = keep(best.select(F.struct("best.doc_id", "best.text_key").alias("key")))
         keys = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_key")).alias("key"))
-        times = keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-        found = stored(times)
-    key, row = free_name(docs, "key"), free_name(docs, "row")
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_key")))
-    once = found.where("times = 1").select(F.col("key").alias(key))
-    twice = found.where("times > 1").select(F.col("key").alias(key))
-    kept = keyed.join(once, key, "left_semi").select(*docs.columns)
+        times = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+        found = stored(times.join(wanted.withColumn("stays", F.lit(True)), "key", "left"))
+    key, row, print_ = (free_name(docs, n) for n in ("key", "row", "text_key"))
+    # Rows of a text that no row to drop has stay where they are; only the others are exchanged.
+    doubtful = found.where("stays IS NULL OR times > 1").select(F.col("key.text_key").alias("text_key"))
+    printed = docs.withColumn(print_, F.xxhash64("text"))
+    doubt = may_hold(printed, print_, key_filter(doubtful, "text_key"))
+    marked = printed.withColumn(row, doubt)
+    alone = marked.where(~F.col(row)).select(*docs.columns)
+    keyed = marked.where(F.col(row)).select(
+        *docs.columns, F.struct(F.col("doc_id"), F.col(print_).alias("text_key")).alias(key)
+    )
+    once = found.where("stays AND times = 1").select(F.col("key").alias(key))
+    twice = found.where("stays AND times > 1").select(F.col("key").alias(key))
+    kept = alone.union(keyed.join(once, key, "left_semi").select(*docs.columns))
     if twice.isEmpty():
         return kept
     again = keyed.join(twice, key, "left_semi").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(row))

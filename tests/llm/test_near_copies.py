@@ -141,3 +141,43 @@ def test_texts_that_share_a_shingle_by_chance_are_no_pairs():
     near = {(a, b) for a in range(n) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert len(near) > 10 and {(b, a) for a, b in near} <= set(pairs)
     assert len(pairs) <= n // 2 + 2  # 130 pairs of sizes that fit came before
+
+
+def test_shingles_shared_by_chance_end_where_they_meet(spark):
+    """Rows of a shingle that sizes and places rule out are not stored; those of near copies are."""
+    rows = [
+        (1, 100, [11, 12, 13]), (2, 300, [11]),  # sizes too far apart
+        (3, 100, [21, *range(1000, 1018), 22]), (4, 100, [31, *range(2000, 2018), 22]),  # place 19 of 100 in both
+        (5, 100, [41, 42]), (6, 101, [41, 43]),
+    ]
+    nodes = spark.createDataFrame(
+        [(n, size, len(p), p) for n, size, p in rows], "node long, size int, rare int, prefix array<long>"
+    )
+    cells = near_copies._shared_cells(nodes, lambda df: df).collect()
+    assert {(r.token, r.node) for r in cells} == {(41, 5), (41, 6)}
+
+
+def test_long_texts_that_share_a_shingle_by_chance_are_told_apart(spark):
+    rng = np.random.default_rng(8)
+    texts = [t.decode() for t in unlike_and_alike([4100, 4300, 4500, 5000, 6000, 8300, 8500, 9000, 17000], rng)]
+    rows = spark.createDataFrame([((i,), t) for i, t in enumerate(texts)], "best struct<i int>, text string")
+    signed = near_copies.signs(rows, np.zeros(0, np.uint64))
+    place = {r.node: r.best.i for r in signed.select("node", "best").collect()}
+    edges = spark.createDataFrame(
+        [(a, b) for a in place for b in place if place[a] < place[b]], "a long, b long"
+    )
+    told = {(place[r.a], place[r.b]) for r in near_copies._alike(edges, signed).collect()}
+    assert told == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
+def test_many_keys_pass_a_filter_before_texts_are_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "FEW_KEYS", 0)
+    rng = np.random.default_rng(4)
+    rows = []
+    for base in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 80)]
+        rows += [(3 * base, " ".join(words)), (3 * base + 1, changed(words, 0.01, rng))]
+    rows += [(500, None), (501, ""), (502, rows[0][1]), (0, rows[0][1])]
+    want, _ = brute_kept(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == sorted(want)
