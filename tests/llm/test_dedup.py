@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from peerlight.llm import simhash, suffix_dedup
 from peerlight.llm.suffix_sort import suffix_order
@@ -257,3 +258,30 @@ def test_few_edges_take_no_rounds_of_stars(spark, monkeypatch):
     edges = spark.range(400).selectExpr("id as a", "id + 1 as b").where("a % 100 != 99")
     assert {r.root for r in simhash.components(edges).collect()} == {0, 100, 200, 300}
     assert len(kept) == 2  # a chain took a checkpoint for every doubling
+
+
+def test_places_that_share_an_anchor_by_chance_are_not_sent():
+    """Twenty to thirty bytes in common make no window; a text on both sides of an anchor does."""
+    rng = np.random.default_rng(11)
+
+    def noise(n):
+        return bytes(rng.integers(97, 123, n, dtype=np.uint8))
+
+    def sent(texts, length=50):
+        table = pa.table({
+            "doc_id": pa.array(range(len(texts)), pa.int64()),
+            "text": [zstandard.compress(t) for t in texts], "_digest": [str(i) for i in range(len(texts))],
+        })
+        heads = suffix_dedup._exchanged([{"part": 0, "kind": 0, "heads": list(range(len(texts)))}])
+        key = (pa.scalar(0),)
+        counted = suffix_dedup._count_anchors(length, 1)(key, table, heads)
+        told = suffix_dedup._repeated_anchors(key, counted)
+        out = suffix_dedup._stretches(length, 1)(key, table, pa.concat_tables([heads, told]))
+        return [suffix_dedup._texts(out.slice(i, 1)) for i in range(len(out))]
+
+    common = noise(34)
+    assert sent([noise(70) + common + noise(70) for _ in range(6)]) == []
+    for size in (50, 51, 65, 80):
+        whole = noise(size)
+        found = b"".join(sent([noise(60) + whole + noise(60), noise(40) + whole, whole + noise(40)]))
+        assert all(whole[i : i + 50] in found for i in range(size - 49))
