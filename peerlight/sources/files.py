@@ -12,7 +12,7 @@ import re
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Functions travel with their jobs, so executors need no copy of this package.
@@ -120,6 +120,16 @@ def file_uri(file: bytes) -> str:
     return "file:" + ESCAPED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), name)
 
 
+def name_uri(file: Column) -> Column:
+    @F.arrow_udf("string")
+    def uris(files):
+        import pyarrow as pa
+
+        return pa.array([file_uri(f) for f in files.to_pylist()], pa.string())
+
+    return uris(file)
+
+
 def read_files(files: DataFrame, suffixes: list[str]) -> DataFrame:
     """(path, md) of the files with one of the suffixes; the others are not opened.
 

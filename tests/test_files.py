@@ -2,8 +2,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from peerlight.sources import papers
+from peerlight.sources import auditlog, papers
 from peerlight.sources.files import list_files, local_root
+from peerlight.streaming import intake
+from peerlight.streaming.intake import listed_files, review_stream
 
 NAMES = [
     b"a.md", b"B.MD", b"with blank.txt", b"per%20cent.md", b"hash#q?.md", b"br[a]{c}.md", b"\xc3\xbc \xe2\x80\x94.txt",
@@ -53,3 +55,42 @@ def test_names_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
     read = papers.read_papers(spark, str(tmp_path))
     assert read.inputFiles() == [] and read.select("md").distinct().count() == 300
     assert list_files(spark, str(tmp_path)).count() == 300
+
+
+def _run(spark, tmp_path):
+    log, checkpoint = str(tmp_path / "log"), str(tmp_path / "checkpoint")
+    review_stream(spark, str(tmp_path / "in"), ["arxiv"], log, checkpoint).awaitTermination()
+    batches = len(os.listdir(f"{checkpoint}/commits"))
+    return {r.paper_id for r in auditlog.read_log(spark, log).collect()}, batches
+
+
+def test_a_stream_keeps_no_names_on_the_driver(spark, tmp_path):
+    # Spark's file source logs every name and reads that log into the driver's memory.
+    for n in range(40):
+        file = tmp_path / "in" / f"{n % 4}" / f"paper {n}.md"
+        os.makedirs(file.parent, exist_ok=True)
+        file.write_text(f"## Introduction\nabout {n}")
+    seen, batches = _run(spark, tmp_path)
+    assert len(seen) == 40
+    sources = tmp_path / "checkpoint" / "sources" / "0"
+    assert not any(b"paper" in file.read_bytes() for file in sources.iterdir())
+    assert _run(spark, tmp_path) == (seen, batches)  # nothing new: no batch
+    # A listing that was written by a run which died before its stream is not lost, nor repeated.
+    (tmp_path / "in" / "late.md").write_text("## Introduction\nlate")
+    listed_files(spark, str(tmp_path / "in"), str(tmp_path / "checkpoint"))
+    (tmp_path / "in" / "later.md").write_text("## Introduction\nlater")
+    later, _ = _run(spark, tmp_path)
+    assert seen < later and len(later) == 42
+    assert spark.read.parquet(str(tmp_path / "checkpoint" / "listed")).count() == 42
+
+
+def test_a_stream_of_sparks_file_source_goes_on(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("## Introduction\nold")
+    monkeypatch.setattr(intake, "local_root", lambda *_: None)
+    first, _ = _run(spark, tmp_path)
+    monkeypatch.undo()
+    (tmp_path / "in" / "b.md").write_text("## Introduction\nnew")
+    both, batches = _run(spark, tmp_path)
+    assert len(first) == 1 and len(both) == 2
+    assert _run(spark, tmp_path) == (both, batches)
