@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from checks import model
 from peerlight.operators.parsing import block_array
+from peerlight.operators.rubric_requests import excerpts
 
 
 def _plan(spark, column):
@@ -23,3 +24,10 @@ def test_headers_are_told_by_their_first_line(spark):
     assert [(b.level, b.title, b.body) for b in blocks] == [
         (0, "", "#\n# \n#x"), (1, "T", "##"), (2, "A", "body # no\n####### seven\n\t# tab"), (2, "B", ""),
     ]
+
+
+def test_excerpts_are_built_once(spark):
+    one = spark.createDataFrame([([("Method", "text", 0)],)], "sections array<struct<title:string,text:string,ord:int>>")
+    got = one.select(excerpts(F.col("sections")).alias("e"))
+    assert got._jdf.queryExecution().analyzed().toString().count("filter(sections") == 1
+    assert got.first().e == "### Method\ntext"
